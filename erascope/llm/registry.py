@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op8_secrets": op8_secrets,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
