@@ -5,10 +5,12 @@ from __future__ import annotations
 from .language_id import op9_language_id
 from .mixing import op10_mixing
 from .secrets import op8_secrets
+from .simhash import op5_simhash
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_simhash": op5_simhash,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
