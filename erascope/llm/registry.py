@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .language_id import op9_language_id
 from .mixing import op10_mixing
 from .secrets import op8_secrets
@@ -10,6 +11,7 @@ from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
