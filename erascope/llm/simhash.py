@@ -91,12 +91,12 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
 def _close(a, b, ca, cb, radius):
     """Which pairs are links: first the bound, then the exact distance."""
     out = manhattan(ca, cb) <= radius
-    at = np.flatnonzero(out)
+    at, a = np.flatnonzero(out), np.broadcast_to(a, b.shape)
     out[at] = np.bitwise_count(a[at] ^ b[at]) <= radius
     return out
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among distinct fingerprints."""
     counts = segment_counts(fps)
     left = np.arange(len(fps))
