@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat
 from .decontaminate import op4_decontaminate
+from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .simhash import op5_simhash
 from .token_counts import op1_token_counts
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat": op2_chat,
+    "op3_fingerprints": op3_fingerprints,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+    "op6_warc": OP6_SQL,
+}
