@@ -6,6 +6,7 @@ from .chat import OP2_SQL, op2_chat
 from .decontaminate import op4_decontaminate
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
+from .language_model import op7_ctw
 from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .simhash import op5_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_ctw": op7_ctw,
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
