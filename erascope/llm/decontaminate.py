@@ -118,14 +118,15 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over a sequence of codes; code 0 only ends the sequence."""
 
-    def __init__(self, codes: np.ndarray, sample: int = SAMPLE, order_by: np.ndarray | None = None, keep: np.ndarray | None = None):
+    def __init__(self, codes: np.ndarray, sample: int = SAMPLE, order_by: np.ndarray | None = None, keep: np.ndarray | None = None, symbols: int | None = None):
         """order_by: codes that refine the order of equal codes (here: the end marks), for sorting alone. keep: positions to
-        sample besides, which must be those after refined codes, as no step goes back over one."""
+        sample besides, which must be those after refined codes, as no step goes back over one. symbols: the number of codes, of which the sequence may lack some."""
         order = suffix_array(codes if order_by is None else order_by)
         self.n, self.sample = len(codes), sample
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=int(codes.max()) + 2))))
+        symbols = max(symbols or 0, int(codes.max()) + 1)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=symbols))))
         last = codes[order - 1]  # the code before each suffix
-        self.tree = WaveletMatrix(last, max(1, int(codes.max()).bit_length()))
+        self.tree = WaveletMatrix(last, max(1, (symbols - 1).bit_length()))
         kept = order % sample == 0
         if keep is not None:
             also = np.zeros(self.n, bool)
@@ -213,7 +214,7 @@ def search_documents(docs: list[list[bytes]], phrases: _Phrases, shard: int = SH
         order_by = text + len(marks)  # the end marks are ordered among themselves, so that ties end with a run
         order_by[marks] = np.arange(1, len(marks) + 1)
         order_by[-1] = 0
-        index = FMIndex(text, sample, order_by, offset[:-1])
+        index = FMIndex(text, sample, order_by, offset[:-1], len(phrases.vocabulary) + 2)
         low, high = index.search(phrases.codes, phrases.lengths)
         hit = np.flatnonzero(high > low)
         if not len(hit):
