@@ -81,6 +81,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(sizes: list[int], most: int = 2_000_000) -> Iterator[slice]:
+    """Consecutive ranges of at most so much in all, or of one: long texts of a batch are not worked on together."""
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def same_remainder(modulus: int, remainder: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo: a fold that any engine can compute again. A null id is in no named fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

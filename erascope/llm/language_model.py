@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, per_batch, same_remainder, table, written
+from .common import LOWER, byte_texts, per_batch, same_remainder, slices, table, written
 
 DEPTH = 5
 HEAVY_GRAMS = 1 << 21
@@ -33,7 +33,7 @@ HEAVY_WORDS = 1 << 19
 SMOOTHING = 0.1
 #: Bytes that no UTF-8 text has: the end, which also fills the context before a text.
 END = 0xFF
-KEPT_WORDS, KEPT_GRAMS = 300_000, 3_000_000
+KEPT_WORDS, KEPT_GRAMS = 200_000, 700_000
 CHUNK = 400_000
 _EMPTY = np.uint64((1 << 64) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,24 +94,25 @@ def count_corpus(docs: DataFrame, text: str, held: str, depth: int = DEPTH) -> D
         words: Counter = Counter()
         grams: list[tuple] = []
         for b in batches:
-            split = [words_of(t) for t in byte_texts(b, text)]
-            out = b.column(held).to_pylist()
-            for w, h in zip(split, out, strict=True):
-                if not h:
-                    words.update(w)
-                    words[bytes([END])] += 1
-            for learned in (True, False):
-                some = [w for w, h in zip(split, out, strict=True) if h != learned]
-                if some:
-                    codes, count = np.unique(_own(*grams_of(some, depth)), return_counts=True)
-                    grams.append((codes, count if learned else np.zeros_like(count), count))
-            if sum(len(g[0]) for g in grams) > 2 * KEPT_GRAMS:
-                grams = [_summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))]
-                if len(grams[0][0]) > KEPT_GRAMS:
-                    yield rows_of_grams(grams.pop())
-            if len(words) > KEPT_WORDS:
-                yield rows_of_words(words)
-                words = Counter()
+            whole, out = byte_texts(b, text), b.column(held).to_pylist()
+            for part in slices([len(t) for t in whole]):
+                split = [words_of(t) for t in whole[part]]
+                for w, h in zip(split, out[part], strict=True):
+                    if not h:
+                        words.update(w)
+                        words[bytes([END])] += 1
+                for learned in (True, False):
+                    some = [w for w, h in zip(split, out[part], strict=True) if h != learned]
+                    if some:
+                        codes, count = np.unique(_own(*grams_of(some, depth)), return_counts=True)
+                        grams.append((codes, count if learned else np.zeros_like(count), count))
+                if sum(len(g[0]) for g in grams) > 2 * KEPT_GRAMS:
+                    grams = [_summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))]
+                    if len(grams[0][0]) > KEPT_GRAMS:
+                        yield rows_of_grams(grams.pop())
+                if len(words) > KEPT_WORDS:
+                    yield rows_of_words(words)
+                    words = Counter()
         if grams:
             yield rows_of_grams(_summed(*(np.concatenate(x) for x in zip(*grams, strict=True))))
         if words:
@@ -315,8 +316,7 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
         known, lookup, n_end = model.value
         first, done = TaskContext.get().partitionId() << 33, 0
         end_score = math.log10(n_end + SMOOTHING) - log_all
-        for b in batches:
-            split = [words_of(t) for t in byte_texts(b)]
+        for split, ids, out in ((([words_of(t) for t in whole[p]]), b.column("doc_id")[p.start : p.stop], b.column("held_out")[p.start : p.stop]) for b in batches for whole in (byte_texts(b),) for p in slices([len(t) for t in whole])):
             codes, starts, lengths = grams_of(split, depth)
             logp = lookup.get(codes)
             lost = np.isnan(logp)
@@ -338,7 +338,7 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
                 rows["base"].append(float((np.log10(c + SMOOTHING) - log_all).sum()) + end_score)
             k = len(split)
             nothing = {"word": pa.nulls(k, pa.binary()), "gram": np.zeros(k, np.int64), "n": np.zeros(k, np.int64)}
-            yield {"kind": np.zeros(k, np.int32), "key": first + done + np.arange(k), "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": score_of, **rows, **nothing}
+            yield {"kind": np.zeros(k, np.int32), "key": first + done + np.arange(k), "doc_id": ids, "held_out": out, "score": score_of, **rows, **nothing}
             if light_words:
                 keys, said, n = zip(*light_words, strict=True)
                 yield _light(1, keys, said, None, n)
