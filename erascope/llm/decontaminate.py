@@ -258,10 +258,10 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
         yield [(r["i"], r["t"].encode()) for r in part.collect()]  # about block_chars characters
 
 
-def _find(docs: DataFrame, phrases_of, text: str, shard: int, sample: int, extra: list[str]):
-    """Rows of docs (extra columns first) with n_words, starts, ends (merged word spans) and items."""
+def _find(docs: DataFrame, phrases_of, shard: int, sample: int):
+    """Rows of docs (doc_ any, text_) as (doc_, n_words, starts, ends (merged word spans), items)."""
     small_batches(docs.sparkSession)
-    schema = docs.select(*extra).schema
+    schema = docs.select("doc_").schema
     for name, kind in (("n_words", LongType()), ("starts", ArrayType(LongType())), ("ends", ArrayType(LongType())), ("items", ArrayType(StringType()))):
         schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(phrases_of)
@@ -277,21 +277,21 @@ def _find(docs: DataFrame, phrases_of, text: str, shard: int, sample: int, extra
                 k += len(ws)
                 spans = [merged(s) for s, _ in mine]
                 add = [pa.array([len(w) for w in ws], pa.int64()), pa.array([[a for a, _ in s] for s in spans], pa.list_(pa.int64())), pa.array([[e for _, e in s] for s in spans], pa.list_(pa.int64())), pa.array([sorted(map(str, i)) for _, i in mine], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), *add], names=[*extra, "n_words", "starts", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_"), *add], names=["doc_", "n_words", "starts", "ends", "items"])
 
         held, size = [], 0
         for b in batches:
-            ws = [words_of(t) for t in byte_texts(b, text)]
+            ws = [words_of(t) for t in byte_texts(b, "text_")]
             n = sum(map(len, ws))
             if held and size + n > shard:
                 yield from flush(held)
                 held, size = [], 0
-            held.append((b.select(extra) if extra else b, ws))
+            held.append((b.select(["doc_"]), ws))
             size += n
         if held:
             yield from flush(held)
 
-    return docs.select(*dict.fromkeys([*extra, text])).mapInArrow(run, schema)
+    return docs.select("doc_", "text_").mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shard: int = SHARD, sample: int = SAMPLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -303,8 +303,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     more than one block needs a key that is not null and names one text; rows that share both are joined into one.
     """
     blocks = _blocks(benchmark, item, item_text, block_chars)
-    first = _find(docs, _Phrases(next(blocks), window), text, shard, sample, [key])
-    rest = [_find(docs, _Phrases(b, window), text, shard, sample, [key]) for b in blocks]
+    docs = docs.select(F.col(key).alias("doc_"), F.col(text).alias("text_"))
+    first, *rest = (_find(docs, _Phrases(b, window), shard, sample).withColumnRenamed("doc_", key) for b in blocks)
     if not rest:
         return first
     every = first
@@ -320,6 +320,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     return grown.withColumn("m_", join).select(key, "n_words", F.col("m_.starts").alias("starts"), F.col("m_.ends").alias("ends"), "items")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs without those that hold any window of the benchmark; all columns stay, whatever their names. No shuffle; each
+    block of the benchmark is a pass over what the blocks before left."""
+    kept = docs.select(F.struct(*docs.columns).alias("doc_"))
+    for b in _blocks(benchmark, item, item_text, BLOCK_CHARS):
+        kept = _find(kept.select("doc_", F.col("doc_")[text].alias("text_")), _Phrases(b, window), SHARD, SAMPLE).filter(F.size("starts") == 0).select("doc_")
+    return kept.select("doc_.*")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS said FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS g(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM v),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS said FROM d, sizes, unnest(generate_series(1, len(w) - n + 1)) AS g(i) WHERE len(w) >= n),
+hits AS (SELECT doc_id, item_id, i, dw.n FROM dw JOIN v ON dw.said = v.said AND dw.n = v.n),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(generate_series(i, i + n - 1)) AS g(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(said, ',' ORDER BY said) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS said FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)

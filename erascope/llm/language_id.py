@@ -16,10 +16,11 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, per_batch, same_remainder, table, texts
+from .common import LOWER, per_batch, same_remainder, small_batches, table, texts
 
 BUCKETS = 1 << 13
 #: A text counts as at most so many n-grams of its language.
@@ -123,6 +124,27 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     return per_batch(docs.select(key, text), run, f"`{key}` bigint, lang_pred string, score double, ambiguous boolean")
 
 
+def identified(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """docs without those whose language is undetermined: null texts and texts that have no letter. All columns stay."""
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        languages, code, weights = shared.value
+        for b in batches:
+            keep = []
+            for t in (x or "" for x in b.column(at).to_pylist()):
+                ok = bool(languages) and has_letter(t)
+                if ok:
+                    c = ngram_counts(t)
+                    i, _ = decode(c @ weights / math.sqrt(c.sum()), code)
+                    ok = languages[i] != UNDETERMINED
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.filter(~same_remainder(4, 2)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat
-from .decontaminate import op4_decontaminate
+from .decontaminate import OP4_SQL, op4_decontaminate
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .language_model import op7_ctw
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op4_decontaminate": OP4_SQL,
     "op6_warc": OP6_SQL,
 }

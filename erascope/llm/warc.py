@@ -198,7 +198,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     rows.append((page_of(head["WARC-Record-ID"]), int(http["Content-Length"]) if again else len(payload), said, head["WARC-Type"], refers, uri, frame, at))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    frames = index.select("bundle", "frame").distinct()
+    # an explicit number of partitions: the rows are few and short, the frames they name are not
+    frames = index.select("bundle", "frame").distinct().repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame")
     return frames.mapInArrow(run, schema)
 
 
