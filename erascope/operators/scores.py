@@ -89,15 +89,16 @@ def row_mean(columns: list[str]) -> Column:
     return F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
 
 
-def block_loss(df: DataFrame, error: Column, block: str, temperature: float, prior: Column | None = None) -> DataFrame:
-    """Per block: mean squared error and its softmax weight T * (loss / mean loss - 1), times a prior where given; the last
-    column is the weighted loss over all blocks."""
-    per = df.groupBy(block).agg(F.avg(error * error).alias("loss"), (F.lit(1.0) if prior is None else F.avg(prior)).alias("prior"))
+def block_loss(df: DataFrame, error: Column, block: str, temperature: float, recency: Column | None = None) -> DataFrame:
+    """Per block: mean squared error (weighted by recency where given) and its weight, the softmax of T * (loss / mean loss - 1),
+    times the block's share of the recency weights where given; dro_loss is the weighted loss over all blocks."""
+    w = F.lit(1.0) if recency is None else recency
+    per = df.groupBy(block).agg((F.sum(w * error * error) / F.sum(w)).alias("loss"), F.sum(w).alias("mass_"))
     everything = W.partitionBy()
-    raw = F.col("prior") * F.exp(F.lit(temperature) * (F.col("loss") / F.avg("loss").over(everything) - 1))
-    per = per.withColumn("raw_", raw)
+    raw = F.exp(F.lit(temperature) * (F.col("loss") / F.greatest(F.avg("loss").over(everything), F.lit(2.220446049250313e-16)) - 1))
+    per = per.withColumn("raw_", raw if recency is None else raw * F.col("mass_"))
     per = per.withColumn("weight", F.col("raw_") / F.sum("raw_").over(everything))
-    return per.withColumn("dro_loss", F.sum(F.col("weight") * F.col("loss")).over(everything)).drop("raw_", "prior")
+    return per.withColumn("dro_loss", F.sum(F.col("weight") * F.col("loss")).over(everything)).drop("raw_", "mass_")
 
 
 def era_balanced_error(df: DataFrame, error: Column, era: str = "era") -> DataFrame:

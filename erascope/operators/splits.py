@@ -30,19 +30,17 @@ def every_nth_era(df: DataFrame, step: int, offset: int = 0, era: str = "era") -
 def cv_splits(df: DataFrame, folds: int, embargo: int = 0, mode: str = "expanding", min_train: int = 1, max_train: int | None = None, era: str = "era") -> DataFrame:
     """Rows (fold, era, role): era cross-validation.
 
-    expanding: eras are cut in folds + 1 equal parts, the rest going to the last; fold k trains on the parts before part k,
-    less embargo eras at their end, and validates on part k. blocked: folds parts; fold k validates on part k and trains on
-    all others, less embargo eras on either side. Folds with fewer than min_train train eras are left out; max_train keeps
-    the last train eras alone.
+    Eras are cut in equal parts, one a fold, the rest going to the last; fold k validates on part k. expanding: it trains on
+    the eras before, less embargo eras at their end. blocked: on all others, less embargo eras on either side. Folds with
+    fewer than min_train train eras are left out; max_train keeps the last train eras alone.
     """
     if mode not in ("expanding", "blocked"):
         raise ValueError(f"no such mode: {mode!r}")
     eras = era_index(df, era)
-    parts = folds + 1 if mode == "expanding" else folds
-    size = F.floor(F.col("n") / parts)
+    size = F.floor(F.col("n") / folds)
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     placed = eras.select(era, "i", "n", size.alias("z_"), fold.alias("fold"))
-    start = F.col("z_") * (F.col("fold") + (1 if mode == "expanding" else 0))
+    start = F.col("z_") * F.col("fold")
     end = F.when(F.col("fold") == folds - 1, F.col("n")).otherwise(start + F.col("z_"))
     before = F.col("i") < start - embargo
     train = before if mode == "expanding" else before | (F.col("i") >= end + embargo)
@@ -80,7 +78,7 @@ def inner_validation(df: DataFrame, fraction: float, embargo: int = 0, mode: str
     if mode == "rows":
         share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
         return df.withColumn("inner_role", F.when(share < fraction, "validation").otherwise("train"))
-    held = F.greatest(F.lit(1), F.round(F.col("n") * fraction).cast("int"))
+    held = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction)).cast("int"))
     first = F.col("n") - held
     roles = era_index(df, era).select(era, F.when(F.col("i") >= first, "validation").when(F.col("i") < first - embargo, "train").alias("inner_role"))
     return df.join(F.broadcast(roles), era)  # one row an era
