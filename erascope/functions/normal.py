@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The coefficients of the published rational approximations, lowest power first.
@@ -26,18 +26,29 @@ def _polynomial(coefficients, x):
     return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
 
 
-def probit(p: Column) -> Column:
-    """Quantile of the standard normal distribution; null outside 0 < p < 1 and for null."""
+def probit(p: Column, s: Column | None = None) -> Column:
+    """Quantile of the standard normal distribution; null outside 0 < p < 1 and for null. The expression names p and s, the
+    root of -log(min(p, 1 - p)), many times, so both should be columns that are there already, as in with_probit."""
     q = p - F.lit(0.5)
     r = F.lit(0.180625) - q * q
     central = q * _polynomial(CENTRAL[0], r) / _polynomial(CENTRAL[1], r)
-    s = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    s = _tail_distance(p) if s is None else s
     middle = _polynomial(MIDDLE[0], s - F.lit(1.6)) / _polynomial(MIDDLE[1], s - F.lit(1.6))
     tail = _polynomial(TAIL[0], s - F.lit(5.0)) / _polynomial(TAIL[1], s - F.lit(5.0))
     outer = F.signum(q) * F.when(s <= 5.0, middle).otherwise(tail)
     return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, central).otherwise(outer))
 
 
+def _tail_distance(p: Column) -> Column:
+    return F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+
+
+def with_probit(df: DataFrame, name: str, p: Column) -> DataFrame:
+    """df with the quantile of p, which is computed once for a row."""
+    at = df.withColumn("p__", p).withColumn("s__", _tail_distance(F.col("p__")))
+    return at.withColumn(name, probit(F.col("p__"), F.col("s__"))).drop("p__", "s__")
+
+
 def probit_sql(p: str) -> str:
     """The same expression in SQL, for a column named p."""
 

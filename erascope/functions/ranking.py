@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .normal import probit
+from .normal import with_probit
 
 
 def col(x: Column | str) -> Column:
@@ -41,8 +41,9 @@ def tie_kept_rank(x: Column | str, *by: str) -> Column:
     return (average_rank(x, *by) - 0.5) / count_in(x, *by)
 
 
-def rank_gaussian(x: Column | str, *by: str) -> Column:
-    return probit(tie_kept_rank(x, *by))
+def with_rank_gaussian(df: DataFrame, name: str, x: Column | str, *by: str) -> DataFrame:
+    """df with the normal quantile of the tie-kept rank."""
+    return with_probit(df, name, tie_kept_rank(x, *by))
 
 
 def first_rank(x: Column | str, key: str, *by: str) -> Column:

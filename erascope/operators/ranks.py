@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normal import probit
-from ..functions.ranking import average_rank, first_rank, percent_rank, rank_gaussian, tie_kept_rank, zscore
+from ..functions.normal import with_probit
+from ..functions.ranking import average_rank, first_rank, percent_rank, tie_kept_rank, with_rank_gaussian, zscore
 
-_EXPRESSIONS = {"percent": percent_rank, "tie_kept": tie_kept_rank, "gaussian": rank_gaussian, "zscore": zscore, "average": average_rank}
+_EXPRESSIONS = {"percent": percent_rank, "tie_kept": tie_kept_rank, "zscore": zscore, "average": average_rank}
 
 
 def transform_in_groups(df: DataFrame, signals: dict[str, tuple[str, str]], by: list[str]) -> DataFrame:
     """df with new columns {name: (kind, signal)}, computed in the groups of by; kinds: percent, tie_kept, gaussian, zscore,
     average. All share one exchange on by."""
     for name, (kind, x) in signals.items():
-        df = df.withColumn(name, _EXPRESSIONS[kind](x, *by))
+        df = with_rank_gaussian(df, name, x, *by) if kind == "gaussian" else df.withColumn(name, _EXPRESSIONS[kind](x, *by))
     return df
 
 
@@ -36,8 +36,12 @@ def ranked_over_all(df: DataFrame, name: str, x: str, kind: str = "gaussian", pa
     inside = F.sum("n_").over(W.partitionBy("p_").orderBy("v_").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
     placed = values.withColumn("inside_", inside).join(F.broadcast(before), "p_")  # one row for each range
     rank = F.col("before_") + F.col("inside_") + (F.col("n_") + 1) / 2
-    result = {"average": rank, "percent": rank / F.col("all_"), "tie_kept": (rank - 0.5) / F.col("all_"), "gaussian": probit((rank - 0.5) / F.col("all_"))}[kind]
-    return df.join(placed.select("v_", result.alias(name)), F.col(x) == F.col("v_"), "left").drop("v_")
+    kept = (rank - 0.5) / F.col("all_")
+    if kind == "gaussian":
+        placed = with_probit(placed, "r_", kept)
+    else:
+        placed = placed.withColumn("r_", {"average": rank, "percent": rank / F.col("all_"), "tie_kept": kept}[kind])
+    return df.join(placed.select("v_", F.col("r_").alias(name)), F.col(x) == F.col("v_"), "left").drop("v_")
 
 
 def scaled_over_all(df: DataFrame, name: str, x: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import clean, rank_gaussian, zscore
+from ..functions.ranking import clean, with_rank_gaussian, zscore
 from .ranks import ranked_over_all, scaled_over_all
 
 
@@ -42,7 +42,7 @@ def linear_residual(df: DataFrame, name: str, y: str, x: str, by: list[str], int
 def projection_residual(df: DataFrame, name: str, target: str, reference: str, by: list[str]) -> DataFrame:
     """The centred target less its projection on the rank-Gaussian reference, which is not centred."""
     w = W.partitionBy(*by)
-    with_g = df.withColumn("g_", rank_gaussian(reference, *by)).withColumn("c_", F.col(target) - F.avg(target).over(w))
+    with_g = with_rank_gaussian(df, "g_", reference, *by).withColumn("c_", F.col(target) - F.avg(target).over(w))
     beta = F.sum(F.col("c_") * F.col("g_")).over(w) / F.sum(F.col("g_") * F.col("g_")).over(w)
     return with_g.withColumn(name, F.col("c_") - F.coalesce(beta, F.lit(0.0)) * F.col("g_")).drop("g_", "c_")
 
@@ -88,7 +88,7 @@ def target_transform(df: DataFrame, spec: TargetSpec, name: str = "target_transf
         return projection_residual(df, name, spec.target, spec.reference, by)
     out = linear_residual(df, "identity_", spec.target, spec.reference, by, spec.intercept)
     if spec.temper:
-        out = out.withColumn("x_", rank_gaussian(spec.reference, *by)) if by else ranked_over_all(out, "x_", spec.reference)
+        out = with_rank_gaussian(out, "x_", spec.reference, *by) if by else ranked_over_all(out, "x_", spec.reference)
         out = linear_residual(out, "gaussian_", spec.target, "x_", by, spec.intercept).drop("x_")
         out = out.withColumn(name, tempered(F.col("identity_"), F.col("gaussian_"), spec.temper, F.col(spec.target), spec.proportion)).drop("gaussian_")
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import average_rank, clean, rank_gaussian, signed_power
+from ..functions.ranking import average_rank, clean, signed_power, with_rank_gaussian
 
 
 def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
@@ -20,8 +20,9 @@ def powered_correlation(long: DataFrame, target: str, era: str = "era", extra: l
     by = [era, "signal", *(extra or [])]
     usable = long.filter(F.col("value").isNotNull() & clean(target).isNotNull())
     centred = clean(target) - F.avg(clean(target)).over(W.partitionBy(*by))
-    rows = usable.withColumn("g_", rank_gaussian("value", *by)).withColumn("t_", centred)
-    return rows.groupBy(*by).agg(F.try_divide(F.covar_pop(signed_power("g_"), signed_power("t_")), F.stddev_pop(signed_power("g_")) * F.stddev_pop(signed_power("t_"))).alias("corr"))
+    rows = with_rank_gaussian(usable, "g_", "value", *by).withColumn("t_", centred)
+    rows = rows.withColumn("g_", signed_power("g_")).withColumn("t_", signed_power("t_"))
+    return rows.groupBy(*by).agg(F.try_divide(F.covar_pop("g_", "t_"), F.stddev_pop("g_") * F.stddev_pop("t_")).alias("corr"))
 
 
 def contribution(long: DataFrame, target: str, reference: str, era: str = "era", target_scale: float = 4.0, name: str = "contribution") -> DataFrame:
@@ -29,7 +30,7 @@ def contribution(long: DataFrame, target: str, reference: str, era: str = "era",
     centred target, over the rows. target_scale is 4 for targets in 0 to 1."""
     by = [era, "signal"]
     usable = long.filter(F.col("value").isNotNull() & clean(target).isNotNull() & clean(reference).isNotNull())
-    rows = usable.withColumn("p_", rank_gaussian("value", *by)).withColumn("m_", rank_gaussian(reference, *by)).withColumn("t_", clean(target))
+    rows = with_rank_gaussian(with_rank_gaussian(usable, "p_", "value", *by), "m_", reference, *by).withColumn("t_", clean(target))
     p, m, t = F.col("p_"), F.col("m_"), F.col("t_")
     sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(m).alias("sm"), F.avg(t).alias("mt"), F.sum(t * p).alias("tp"), F.sum(t * m).alias("tm"), F.sum(m * p).alias("mp"), F.sum(m * m).alias("mm"))
     tp, tm = F.col("tp") - F.col("mt") * F.col("sp"), F.col("tm") - F.col("mt") * F.col("sm")
