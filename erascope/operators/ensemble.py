@@ -12,7 +12,8 @@ def rank_blend(df: DataFrame, weights: dict[str, float], name: str = "blend", er
     """Weighted sum of percentile ranks by era, ranked again unless told otherwise."""
     for i, s in enumerate(weights):
         df = df.withColumn(f"r{i}_", percent_rank(s, era))
-    df = df.withColumn("b_", sum((F.lit(float(w)) * F.col(f"r{i}_") for i, w in enumerate(weights.values())), F.lit(0.0)))
+    # sums that differ by rounding alone are ties
+    df = df.withColumn("b_", F.round(sum((F.lit(float(w)) * F.col(f"r{i}_") for i, w in enumerate(weights.values())), F.lit(0.0)), 12))
     return df.withColumn(name, percent_rank("b_", era) if rerank else F.col("b_")).drop("b_", *[f"r{i}_" for i in range(len(weights))])
 
 
@@ -20,7 +21,7 @@ def two_signal_blends(df: DataFrame, a: str, b: str, weights: list[float], era:
     """Columns w35 ... for each weight of a (b has the rest), ranked again."""
     df = df.withColumn("ra_", percent_rank(a, era)).withColumn("rb_", percent_rank(b, era))
     for w in weights:
-        df = df.withColumn("x_", F.lit(w) * F.col("ra_") + F.lit(1 - w) * F.col("rb_")).withColumn(f"w{round(100 * w)}", percent_rank("x_", era)).drop("x_")
+        df = df.withColumn("x_", F.round(F.lit(w) * F.col("ra_") + F.lit(1 - w) * F.col("rb_"), 12)).withColumn(f"w{round(100 * w)}", percent_rank("x_", era)).drop("x_")
     return df.drop("ra_", "rb_")
 
 
@@ -41,4 +42,4 @@ def mean_of_ranks(df: DataFrame, signals: list[str], name: str = "ensemble", era
 def target_ensemble(df: DataFrame, signals: list[str], key: str = "id", name: str = "ensemble", era: str = "era") -> DataFrame:
     """Mean of ranks, then a rank without ties, in order of key."""
     df = mean_of_ranks(df, signals, "m_", era)
-    return df.withColumn(name, first_rank(F.round("m_", 12), key, era)).drop("m_")
+    return df.withColumn(name, first_rank("m_", key, era)).drop("m_")
