@@ -1,10 +1,9 @@
 """Era splits, samples, weights, and jobs that fit and predict by fold."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,13 +117,10 @@ def predict_linear(df: DataFrame, weights: dict[str, float], intercept: float =
 def predict_with(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], features: list[str], name: str = "prediction", era: str = "era", rank: bool = True) -> DataFrame:
     """Any callable from a feature matrix to a vector, applied in Arrow batches; then ranked by era."""
 
-    @F.pandas_udf("double")
-    def run(batch: "pd.DataFrame") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def run(batch: pd.DataFrame) -> pd.Series:
         return pd.Series(np.asarray(predict(batch.to_numpy(np.float64)), float), index=batch.index)
 
-    run.__annotations__ = {}
+    run = F.pandas_udf(run, "double")
     df = df.withColumn("raw_", run(F.struct(*[F.coalesce(clean(f), F.lit(0.0)).alias(f) for f in features])))
     return df.withColumn(name, percent_rank("raw_", era) if rank else F.col("raw_")).drop("raw_")
 
@@ -145,8 +141,6 @@ def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: s
     sums = per_era.join(train, era).groupBy("fold").agg(*[F.sum(n).alias(n) for n in names])
 
     def solve(batches):
-        import pandas as pd
-
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):

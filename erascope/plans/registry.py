@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_panel, q_ranks, q_scores, q_summary  # noqa: F401  each registers its queries
+from . import q_decide, q_panel, q_ranks, q_scores, q_summary  # noqa: F401  each registers its queries
 from .cohorts import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
