@@ -6,12 +6,11 @@ however unequal the texts. A text with shingles but none below the threshold is
 merging drops that mark when the other sketch has hashes.
 """
 
-from __future__ import annotations
-
 import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -106,35 +105,25 @@ def with_next(docs: DataFrame, fn, schema: str, text: str = "text", key: str = "
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col(key).cast("bigint").alias("k_"))
-    splits = ids.approxQuantile("k_", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    splits = ids.approxQuantile("k_", [i / n for i in range(1, n)], max(0.2 / n, 1e-4)) if n > 1 else []
     splits = sorted({math.floor(x) for x in splits})
     shared = spark.sparkContext.broadcast(np.array(splits, np.int64))  # one number for each bucket
 
     @F.pandas_udf(LongType())
-    def bucket(k):
-        import pandas as pd
-
-        return pd.Series(np.where(k.isna(), len(shared.value) + 1, len(shared.value) - np.searchsorted(shared.value, k.fillna(0).to_numpy(np.int64), side="left")))
+    def place(k: pd.Series) -> pd.Series:
+        return pd.Series(len(shared.value) - np.searchsorted(shared.value, k.to_numpy(np.int64), side="left"))
 
-    dealt = docs.select(F.col(key).cast("bigint").alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("b_", bucket("k_"))
-    heads = {r["b_"]: r["m_"] for r in ids.withColumn("b_", bucket("k_")).groupBy("b_").agg(F.max("k_").alias("m_")).collect()}  # one row for each bucket
+    bucket = F.when(F.col("k_").isNull(), len(splits) + 1).otherwise(place(F.coalesce("k_", F.lit(0))))
+    dealt = docs.select(F.col(key).cast("bigint").alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("b_", bucket)
+    heads = {r["b_"]: r["m_"] for r in ids.withColumn("b_", bucket).groupBy("b_").agg(F.max("k_").alias("m_")).collect()}  # one row for each bucket
     order = sorted(heads)
-    if not order:
-        before = {}
-    else:
-        before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    first = F.struct(F.xxhash64("t_").alias("h"), F.col("t_").alias("t"))
-    named = [k for k in before if k is not None]
-    at = F.col("k_").isin(named) if named else F.lit(False)
-    if None in before:
-        at = at | F.col("k_").isNull()
-    ghosts = docs.select(F.col(key).cast("bigint").alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).filter(F.coalesce(at, F.lit(None in before))).groupBy("k_").agg(F.min(first).alias("f_"))
-    goes = F.lit(None).cast("bigint")
-    pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(b).cast("bigint").alias("b")) for k, b in before.items()]) if before else None
-    goes = F.filter(pairs, lambda p: p["k"].eqNullSafe(F.col("k_")))[0]["b"] if before else goes
-    ghosts = ghosts.select("k_", F.col("f_.t").alias("t_"), goes.alias("b_"), F.lit(1).alias("g_"))
+    before = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the head of the first bucket follows the last
+    named = F.broadcast(spark.createDataFrame(before, "head_ bigint, b_ bigint"))  # one row for each bucket
+    first = F.min(F.struct(F.xxhash64("t_").alias("h"), F.col("t_").alias("t"))).alias("f_")
+    ghosts = dealt.drop("b_").join(named, F.col("k_").eqNullSafe(F.col("head_"))).groupBy("k_", "b_").agg(first)
+    ghosts = ghosts.select("k_", F.col("f_.t").alias("t_"), "b_", F.lit(1).alias("g_"))
     rows = dealt.withColumn("g_", F.lit(0)).unionByName(ghosts).repartition("b_").sortWithinPartitions(F.col("b_"), F.col("g_"), F.col("k_").desc_nulls_last(), F.xxhash64("t_"), F.col("t_"))
 
     def run(batches):
