@@ -43,53 +43,58 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class ForwardTrie:
-    """Distinct pre-tokens with forward scores and counts at their prefixes."""
+    """Distinct pre-tokens with forward scores and counts at their prefixes. Edges are kept in one dict by (node, character)."""
 
     def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES):
         self.pieces, self.longest, self.max_nodes = pieces, max(map(len, pieces), default=1), max_nodes
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}  # a piece may still grow from here
+        lengths: dict[str, set[int]] = {}
+        for p in pieces:
+            lengths.setdefault(p[-3:], set()).add(len(p))
+        #: lengths of the pieces that end in some three characters (short pieces: in themselves), ascending
+        self.lengths = {tail: sorted(n) for tail, n in lengths.items()}
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.score, self.tokens, self.known = [0.0], [0], {}
+        self.edges: dict[int, int] = {}
+        self.score, self.tokens = [0.0], [0]
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.score) >= self.max_nodes:
-                self.clear()
-            got = self.insert(word) if len(word) <= LONG else self.roll(word)
-            if len(word) <= LONG:
-                self.known[word] = got
-        return got
+        if len(word) > LONG:
+            return self.roll(word)
+        if len(self.score) >= self.max_nodes:
+            self.clear()
+        return self.insert(word)
 
     def best(self, word: str, end: int, score: list[float], tokens: list[int]) -> tuple[float, int]:
         """Forward score and count at word[:end]; score[k] and tokens[k] are those of word[:end - len(score) + k]."""
-        base = end - len(score)
-        n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        c = word[end - 1]
+        n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
         top, count = score[-1] + n * FALLBACK, tokens[-1] + n
-        for start in range(end - 1, max(-1, end - 1 - self.longest, base - 1), -1):
-            p = self.pieces.get(word[start:end])
-            if p is not None and score[start - base] + p >= top:
-                top, count = score[start - base] + p, tokens[start - base] + 1
+        get, lengths, held = self.pieces.get, self.lengths.get, len(score)
+        for tail in (c, word[end - 2 : end] if end > 1 else "", word[end - 3 : end] if end > 2 else ""):
+            for k in lengths(tail, ()):
+                if k > held:
+                    break
+                p = get(word[end - k : end])
+                if p is not None and score[-k] + p >= top:
+                    top, count = score[-k] + p, tokens[-k] + 1
         return top, count
 
     def insert(self, word: str) -> int:
-        node, path = 0, [0]
-        for i, c in enumerate(word):
-            nxt = self.children[node].get(c)
+        node, path_score, path_tokens, edges = 0, [0.0], [0], self.edges
+        for end, c in enumerate(word, 1):
+            edge = node << 21 | ord(c)
+            nxt = edges.get(edge)
             if nxt is None:
-                s, t = self.best(word, i + 1, [self.score[k] for k in path], [self.tokens[k] for k in path])
-                nxt = len(self.score)
-                self.children[node][c] = nxt
-                self.children.append({})
+                s, t = self.best(word, end, path_score, path_tokens)
+                nxt = edges[edge] = len(self.score)
                 self.score.append(s)
                 self.tokens.append(t)
             node = nxt
-            path.append(node)
-        return self.tokens[node]
+            path_score.append(self.score[node])
+            path_tokens.append(self.tokens[node])
+        return path_tokens[-1]
 
     def roll(self, word: str) -> int:
         score, tokens = [0.0], [0]
