@@ -108,3 +108,8 @@ def pct_sql(x: str, era: str = "era") -> str:
 
 def kept_sql(x: str, era: str = "era") -> str:
     return f"(({rank_sql(x, era)} - 5e-1) / count({x}) OVER (PARTITION BY {era}))"
+
+
+def corr_sql(a: str, b: str) -> str:
+    """Pearson with null, not NaN, where a side is constant."""
+    return f"(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import gates as GA
 from ..operators import scores as S
 from ..operators import splits as SP
-from .cohorts import LINEITEM, ORDERS, lineitem, orders, pct_sql, query, r, rs
+from .cohorts import LINEITEM, ORDERS, corr_sql, lineitem, orders, pct_sql, query, r, rs
 from .jobs import evaluation_job, scoring_job
 from .q_scores import CORR, contribution_sql
 
@@ -168,7 +168,7 @@ def selection(spark, sf_dir):
     return GA.select_candidate(per, "best", 0.5, [F.round("risk", 9), F.col("feature_b")], ["era"]).select("era", r("feature_b").alias("feature_b"), r("best").alias("best"))
 
 
-_RUNS = "rn AS (SELECT era, CAST(feature_b AS INTEGER) AS run, corr(prediction, benchmark) AS c FROM lineitem_c WHERE feature_b < 3 GROUP BY ALL)"
+_RUNS = f"rn AS (SELECT era, CAST(feature_b AS INTEGER) AS run, {corr_sql('prediction', 'benchmark')} AS c FROM lineitem_c WHERE feature_b < 3 GROUP BY ALL)"
 
 
 @query("gat3_replication_vote", f"WITH {LINEITEM}, {_RUNS} SELECT era, count(*) FILTER (c > 8e-1) AS passing, count(*) AS realisations, count(*) FILTER (c > 8e-1) >= 2 AS replicated FROM rn GROUP BY era")
@@ -235,7 +235,7 @@ def evaluation(spark, sf_dir):
 
 @query(
     "gat7_replication_job",
-    f"""WITH {LINEITEM}, ps AS (SELECT era, CAST(feature_b AS INTEGER) AS run, corr(prediction, benchmark) AS c, corr(feature_a, benchmark) AS k FROM lineitem_c GROUP BY ALL),
+    f"""WITH {LINEITEM}, ps AS (SELECT era, CAST(feature_b AS INTEGER) AS run, {corr_sql('prediction', 'benchmark')} AS c, {corr_sql('feature_a', 'benchmark')} AS k FROM lineitem_c GROUP BY ALL),
     m AS (SELECT run, avg(c - k) AS uplift, count(*) FILTER (c > k) AS better, count(*) AS eras FROM ps GROUP BY run) SELECT CAST(run AS INTEGER) AS run, {rs('uplift')} AS uplift, better, eras, uplift > 5e-1 AND better * 2 > eras AS passed, count(*) FILTER (uplift > 5e-1 AND better * 2 > eras) OVER () >= 3 AS replicated FROM m""",
 )
 def replication(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ensemble as EN
 from ..operators import scores as S
 from ..operators import summary as SU
-from .cohorts import EVENTS, LINEITEM, ORDERS, events, lineitem, orders, pct_sql, query, r, rs
+from .cohorts import EVENTS, LINEITEM, ORDERS, corr_sql, events, lineitem, orders, pct_sql, query, r, rs
 from .jobs import model_comparison
 from .q_scores import CORR, LONG, SIGNALS, contribution_sql, long_lineitem
 
@@ -111,7 +111,7 @@ def leaderboard(spark, sf_dir):
 
 @query(
     "sum10_seed_aggregates",
-    f"""WITH {LINEITEM}, ps AS (SELECT era, CASE WHEN feature_b >= 3 THEN 'b' ELSE 'a' END AS procedure, CAST(feature_b AS INTEGER) AS seed, corr(prediction, benchmark) AS value FROM lineitem_c GROUP BY ALL),
+    f"""WITH {LINEITEM}, ps AS (SELECT era, CASE WHEN feature_b >= 3 THEN 'b' ELSE 'a' END AS procedure, CAST(feature_b AS INTEGER) AS seed, {corr_sql('prediction', 'benchmark')} AS value FROM lineitem_c GROUP BY ALL),
     m AS (SELECT procedure, seed, avg(value) AS m FROM ps GROUP BY ALL), o AS (SELECT procedure, avg(m) AS mean, min(m) AS worst, max(m) - min(m) AS gap, stddev_pop(m) AS dispersion, count(*) AS seeds FROM m GROUP BY procedure),
     se AS (SELECT procedure, avg(v) / nullif(stddev_pop(v), 0) AS sharpe FROM (SELECT procedure, era, avg(value) AS v FROM ps GROUP BY ALL) GROUP BY procedure)
     SELECT o.procedure, {rs('mean')} AS mean, {rs('worst')} AS worst, {rs('gap')} AS gap, {rs('dispersion')} AS dispersion, seeds, {rs('sharpe')} AS sharpe FROM o JOIN se ON o.procedure = se.procedure""",
