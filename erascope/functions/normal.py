@@ -22,43 +22,30 @@ TAIL = (
 )
 
 
-def _polynomial(coefficients, x):
-    return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+def _text(literal, p: str, s: str) -> str:
+    """The quantile of a column p, given a column or expression s for the root of -log(min(p, 1 - p)), as an SQL text."""
 
+    def poly(coefficients, x):
+        return reduce(lambda acc, c: f"({acc}*{x}+{literal(c)})", reversed(coefficients[:-1]), literal(coefficients[-1]))
 
-def probit(p: Column, s: Column | None = None) -> Column:
-    """Quantile of the standard normal distribution; null outside 0 < p < 1 and for null. The expression names p and s, the
-    root of -log(min(p, 1 - p)), many times, so both should be columns that are there already, as in with_probit."""
-    q = p - F.lit(0.5)
-    r = F.lit(0.180625) - q * q
-    central = q * _polynomial(CENTRAL[0], r) / _polynomial(CENTRAL[1], r)
-    s = _tail_distance(p) if s is None else s
-    middle = _polynomial(MIDDLE[0], s - F.lit(1.6)) / _polynomial(MIDDLE[1], s - F.lit(1.6))
-    tail = _polynomial(TAIL[0], s - F.lit(5.0)) / _polynomial(TAIL[1], s - F.lit(5.0))
-    outer = F.signum(q) * F.when(s <= 5.0, middle).otherwise(tail)
-    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, central).otherwise(outer))
+    q = f"({p}-{literal(0.5)})"
+    r = f"({literal(0.180625)}-{q}*{q})"
+    m, t = f"({s}-{literal(1.6)})", f"({s}-{literal(5.0)})"
+    central = f"{q}*{poly(CENTRAL[0], r)}/{poly(CENTRAL[1], r)}"
+    outer = f"sign({q})*CASE WHEN {s}<=5 THEN {poly(MIDDLE[0], m)}/{poly(MIDDLE[1], m)} ELSE {poly(TAIL[0], t)}/{poly(TAIL[1], t)} END"
+    return f"CASE WHEN {p}>0 AND {p}<1 THEN CASE WHEN abs({q})<={literal(0.425)} THEN {central} ELSE {outer} END END"
 
 
-def _tail_distance(p: Column) -> Column:
-    return F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+PROBIT = _text(lambda c: f"{c!r}D", "p__", "s__")
 
 
 def with_probit(df: DataFrame, name: str, p: Column) -> DataFrame:
-    """df with the quantile of p, which is computed once for a row."""
-    at = df.withColumn("p__", p).withColumn("s__", _tail_distance(F.col("p__")))
-    return at.withColumn(name, probit(F.col("p__"), F.col("s__"))).drop("p__", "s__")
+    """df with the quantile of p; null outside 0 < p < 1 and for null. p and the root in the tails are columns first, since the
+    polynomials name them many times; the polynomials are one text, which is parsed faster than built."""
+    at = df.withColumn("p__", p).withColumn("s__", F.expr("sqrt(-ln(least(p__, 1D - p__)))"))
+    return at.withColumn(name, F.expr(PROBIT)).drop("p__", "s__")
 
 
 def probit_sql(p: str) -> str:
-    """The same expression in SQL, for a column named p."""
-
-    def poly(coefficients, x):
-        return reduce(lambda acc, c: f"({acc}*{x}+{c!r}::DOUBLE)", reversed(coefficients[:-1]), f"{coefficients[-1]!r}::DOUBLE")
-
-    q, r = f"({p}-5e-1)", f"(180625e-6-({p}-5e-1)*({p}-5e-1))"
-    s = f"sqrt(-ln(least({p},1e0-{p})))"
-    m, t = f"({s}-16e-1)", f"({s}-5e0)"
-    return (
-        f"CASE WHEN {p}>0 AND {p}<1 THEN CASE WHEN abs({q})<=425e-3 THEN {q}*{poly(CENTRAL[0], r)}/{poly(CENTRAL[1], r)} "
-        f"ELSE sign({q})*CASE WHEN {s}<=5 THEN {poly(MIDDLE[0], m)}/{poly(MIDDLE[1], m)} ELSE {poly(TAIL[0], t)}/{poly(TAIL[1], t)} END END END"
-    )
+    """The same in the oracles' SQL, for a column named p."""
+    return _text(lambda c: f"{c!r}::DOUBLE", p, f"sqrt(-ln(least({p},1e0-{p})))")

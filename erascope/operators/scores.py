@@ -37,6 +37,21 @@ def contribution(long: DataFrame, target: str, reference: str, era: str = "era",
     return sums.select(*by, (F.lit(target_scale) * (tp - F.coalesce(F.try_divide(F.col("mp"), F.col("mm")), F.lit(0.0)) * tm) / F.col("n")).alias(name))
 
 
+def era_scores(long: DataFrame, target: str, reference: str, era: str = "era", target_scale: float = 4.0) -> DataFrame:
+    """corr, contribution and ref_corr (CORR with the reference as the target) in one pass over the rows that have the value,
+    the target and the reference: the ranks are shared, and one aggregation follows them."""
+    by = [era, "signal"]
+    rows = long.filter(F.col("value").isNotNull() & clean(target).isNotNull() & clean(reference).isNotNull())
+    w = W.partitionBy(*by)
+    rows = with_rank_gaussian(with_rank_gaussian(rows, "p_", "value", *by), "m_", reference, *by)
+    rows = rows.withColumn("t_", clean(target) - F.avg(clean(target)).over(w)).withColumn("u_", clean(reference) - F.avg(clean(reference)).over(w))
+    rows = rows.withColumns({"pp_": signed_power("p_"), "tt_": signed_power("t_"), "uu_": signed_power("u_")})
+    p, m, t = F.col("p_"), F.col("m_"), F.col("t_")
+    projected = F.sum(t * p) - F.coalesce(F.try_divide(F.sum(m * p), F.sum(m * m)), F.lit(0.0)) * F.sum(t * m)
+    over = lambda x: F.try_divide(F.covar_pop("pp_", x), F.stddev_pop("pp_") * F.stddev_pop(x))
+    return rows.groupBy(*by).agg(over("tt_").alias("corr"), (F.lit(target_scale) * projected / F.count("*")).alias("contribution"), over("uu_").alias("ref_corr"))
+
+
 def rank_similarity(df: DataFrame, a: str, b: str, era: str = "era") -> DataFrame:
     """Spearman correlation with average ties; null where either is constant."""
     both = df.filter(clean(a).isNotNull() & clean(b).isNotNull())

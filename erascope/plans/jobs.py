@@ -30,12 +30,16 @@ def scoring_job(predictions: DataFrame, targets: DataFrame, references: DataFram
     joined = align.apply_coverage(joined, covered, exclude_absent)
     joined = align.attach(joined, references, [reference], required=reference)
     long = scores.long_signals(joined, signals, ["id", "era", "target", reference])
-    both = scores.powered_correlation(long, "target").join(scores.contribution(long, "target", reference), ["era", "signal"])
-    weighted = scores.weighted_score(both, multipliers)
-    whole = summary.summarize(weighted, "weighted", ["signal"], zero_baseline=True)
-    parts = weighted.groupBy("signal").agg(F.avg("corr").alias("corr_mean"), F.avg("contribution").alias("contribution_mean"))
-    late = summary.last_eras(weighted, recent, ["signal"]).groupBy("signal").agg(F.avg("weighted").alias("recent_mean"))
-    return whole.join(parts, "signal").join(late, "signal")
+    weighted = scores.weighted_score(scores.era_scores(long, "target", reference), multipliers)
+    return _summarized(weighted, "weighted", recent, {"corr_mean": F.avg("corr"), "contribution_mean": F.avg("contribution"), "recent_mean": F.avg(F.when(F.col("recent_"), F.col("weighted")))}, zero_baseline=True)
+
+
+def _summarized(per: DataFrame, value: str, recent: int, more: dict, zero_baseline: bool) -> DataFrame:
+    """summary.summarize and further aggregates by signal in one pass over era scores; recent_ marks the last eras."""
+    late = F.dense_rank().over(W.partitionBy("signal").orderBy(summary.era_number().desc())) <= recent
+    rows = summary.drawdowns(per.withColumn("recent_", late), value, ["signal"], zero_baseline=zero_baseline)
+    out = rows.groupBy("signal").agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.max("drawdown").alias("max_drawdown"), F.count(value).alias("eras"), *[x.alias(n) for n, x in more.items()])
+    return out.withColumn("sharpe", F.expr(summary.SAFE_SHARPE))
 
 
 def alpha_by_date(signal: DataFrame, neutralizers: DataFrame, weights: DataFrame, targets: DataFrame, columns: list[str], era: str = "era", ticker: str = "ticker") -> DataFrame:
@@ -84,11 +88,10 @@ def model_comparison(df: DataFrame, signals: list[str], target: str, reference:
     """One row a signal, the reference itself among them: CORR, contribution, both over the last eras, and CORR with the
     reference."""
     long = scores.long_signals(df.withColumn("ref_", F.col(reference)), signals, ["id", "era", target, "ref_"])
-    per = scores.powered_correlation(long, target).join(scores.contribution(long, target, "ref_"), ["era", "signal"]).join(scores.powered_correlation(long, "ref_").withColumnRenamed("corr", "ref_corr"), ["era", "signal"])
-    whole = summary.summarize(per, "corr", ["signal"]).select("signal", F.col("mean").alias("corr_mean"), F.col("sharpe").alias("corr_sharpe"))
-    bmc = per.groupBy("signal").agg(F.avg("contribution").alias("bmc_mean"), F.avg("ref_corr").alias("ref_corr_mean"))
-    late = summary.last_eras(per, recent, ["signal"]).groupBy("signal").agg(F.avg("contribution").alias("bmc_recent"), F.avg("ref_corr").alias("ref_corr_recent"))
-    return whole.join(bmc, "signal").join(late, "signal")
+    per = scores.era_scores(long, target, "ref_")
+    recent_ = lambda c: F.avg(F.when(F.col("recent_"), F.col(c)))
+    out = _summarized(per, "corr", recent, {"bmc_mean": F.avg("contribution"), "ref_corr_mean": F.avg("ref_corr"), "bmc_recent": recent_("contribution"), "ref_corr_recent": recent_("ref_corr")}, zero_baseline=False)
+    return out.select("signal", F.col("mean").alias("corr_mean"), F.col("sharpe").alias("corr_sharpe"), "bmc_mean", "ref_corr_mean", "bmc_recent", "ref_corr_recent")
 
 
 def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4) -> DataFrame:
@@ -99,15 +102,15 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
     def means(name: str) -> DataFrame:
         a, b = segments[name]
         part = long.filter(F.expr("try_cast(era as bigint)").between(a, b))
-        per = scores.powered_correlation(part, target).join(scores.contribution(part, target, "ref_"), ["era", "signal"])
-        wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"))
+        wide = scores.era_scores(part, target, "ref_").groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"))
         return wide.unpivot(["signal"], ["corr", "contribution"], "metric", "value").withColumn("reference", F.lit(None).cast("double"))
 
-    first = means(calibration)
+    first = means(calibration).cache()  # two rows a candidate
     passed = gates.eligible(gates.checks(first, specs, ["signal"]), ["signal"])
     ranked = passed.join(first.filter(F.col("metric") == best).select("signal", F.col("value").alias("best")), "signal")
     selected = gates.select_candidate(ranked, "best", tie, [F.col("signal")]).select("signal")
     row = selected.first()
+    first.unpersist()
     spark = df.sparkSession
     if row is None:
         return spark.createDataFrame([], "selected string, promoted boolean")
