@@ -55,6 +55,17 @@ def wide_fingerprint(text: bytes, words: int = WORDS) -> tuple[int, int]:
     return a, b
 
 
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in set(_shingles(text, words))], np.uint64))
+
+
+def _set_name(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a shingle set, as two signed numbers."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), ">i8").tolist()
+    return a, b
+
+
 def table_masks(tables: int = TABLES, bits: int = CELL_BITS) -> list[tuple[int, int]]:
     rng = np.random.default_rng(SEED)
     out = []
@@ -132,19 +143,20 @@ def _chosen(docs: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(representatives (key, least): each document with the smallest key of its fingerprint; verified links (a, b) among
+    """(representatives (key, least): each document with the smallest key of its shingle set; verified links (a, b) among
     those smallest keys, enough to connect all that are linked). Rows with a null key are left out."""
     docs = docs.filter(F.col(key).isNotNull())
     spark = docs.sparkSession
 
     def prints(batches):
         for b in batches:
-            f = [wide_fingerprint(t, words) for t in byte_texts(b, text)]
-            yield {key: b.column(key), "fa": [x for x, _ in f], "fb": [x for _, x in f]}
+            f = [wide_fingerprint(t, words) + _set_name(shingle_set(t, words)) for t in byte_texts(b, text)]
+            yield {key: b.column(key)} | {n: [x[i] for x in f] for i, n in enumerate(("fa", "fb", "sa", "sb"))}
 
-    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fa bigint, fb bigint"))
-    distinct = written(found.groupBy("fa", "fb").agg(F.min(key).alias("id")))
-    least = found.join(distinct.withColumnRenamed("id", "least"), ["fa", "fb"]).select(key, "least")
+    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fa bigint, fb bigint, sa bigint, sb bigint"))
+    # only equal sets merge unseen; unlike sets of one fingerprint meet in every cell and are checked like other candidates
+    distinct = written(found.groupBy("sa", "sb").agg(F.min(key).alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
+    least = found.join(distinct.select("sa", "sb", F.col("id").alias("least")), ["sa", "sb"]).select(key, "least")
     cells = F.array(*[F.xxhash64(F.lit(t), F.col("fa").bitwiseAND(F.lit(x)), F.col("fb").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(table_masks())])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = distinct.select(F.explode(cells).alias("cell"), "fa", "fb", "id").repartition("cell").sortWithinPartitions("cell", "id")
@@ -159,15 +171,15 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
 
     def sets(batches):
         for b in batches:
-            yield {"id": b.column(key), "s": [np.unique(np.array([xxhash.xxh64_intdigest(s) for s in _shingles(t, words)], np.uint64)).view(np.int64) for t in byte_texts(b, text)]}
+            yield {"id": b.column(key), "s": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, text)]}
 
-    shingles = written(per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s")))
+    shingles = written(per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>").groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
     x, y = shingles.select(F.col("id").alias("a"), F.col("s").alias("sa")), shingles.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
 
     def verified(some: DataFrame) -> DataFrame:
         both = some.join(x, "a").join(y, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
-        return written(both.filter(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b"))
+        return written(both.filter(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b").distinct())
 
     # each document's pair with the least other first; then only pairs that would join what these links have not joined
     first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))

@@ -213,6 +213,16 @@ def test_similar_documents_equal_brute_force(spark):
     assert want <= kept and len(kept - want) <= 1  # at the very edge a pair may share no cell
 
 
+def test_unlike_documents_of_one_fingerprint_stay(spark, monkeypatch):
+    rng = random.Random(3)
+    line = "please read all terms first " * 100
+    docs = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400)) + " " + line) for i in range(20)]
+    docs += [(20, docs[0][1]), (21, None), (22, "")]
+    monkeypatch.setattr(similar, "wide_fingerprint", lambda text, words=5: (7, 7))
+    got = similar.without_copies(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(20), 21]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 800
     rows = [(1, "http://a/ü b", big), (7, None, big), (7, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f\r\nX: y", big), (6, "http://g", "x" * 700_000)]
