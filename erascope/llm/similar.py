@@ -43,9 +43,10 @@ def _shingles(text: bytes, words: int) -> list[bytes]:
 
 
 def wide_fingerprint(text: bytes, words: int = WORDS) -> tuple[int, int]:
-    """128 bits as two signed numbers; a bit is 1 if set in over half the shingles' hashes."""
+    """128 bits as two signed numbers; a bit is 1 if set in over half the hashes of the distinct shingles, so that the
+    distance estimates the resemblance of the sets and repeated lines weigh no more than others."""
     digest = xxhash.xxh3_128_digest
-    h = [digest(s) for s in _shingles(text, words)]
+    h = [digest(s) for s in set(_shingles(text, words))]
     if not h:
         return 0, 0
     votes = np.zeros(128, np.int64)

@@ -223,6 +223,17 @@ def test_unlike_documents_of_one_fingerprint_stay(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == [*range(20), 21]
 
 
+def test_repeated_lines_do_not_move_the_wide_fingerprint(spark):
+    rng = random.Random(4)
+    line = " please read all terms first"
+    body = " ".join(f"w{rng.randrange(5000)}" for _ in range(400))
+    once, often = body + line, body + line * 100
+    (a, b), (c, d) = (similar.wide_fingerprint(t.encode()) for t in (once, often))
+    assert ((a ^ c) & (1 << 64) - 1).bit_count() + ((b ^ d) & (1 << 64) - 1).bit_count() <= 12
+    got = similar.without_copies(spark.createDataFrame([(1, once), (2, often)], "doc_id bigint, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [1]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 800
     rows = [(1, "http://a/ü b", big), (7, None, big), (7, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f\r\nX: y", big), (6, "http://g", "x" * 700_000)]
