@@ -1,15 +1,24 @@
-"""Near-duplicate documents by word-shingle similarity, on SimHash fingerprints of 128 bits.
+"""Near-duplicate documents by word-shingle similarity: SimHash cells first, then an exact prefix join for the rest.
 
 Links of a few bits find copies that hardly differ. A resemblance of SIMILARITY on shingles of five words shows as up to
 RADIUS of 128 bits, too many for every choice of agreeing blocks. Here the segments have one bit (their bit counts are the
-bits, and Manhattan is Hamming distance), and the cells are TABLES fixed draws of CELL_BITS segments: a pair that differs
-in a share s of its bits shares a cell with probability 1 - (1 - (1 - s) ** CELL_BITS) ** TABLES, 0.99 at the edge of
-SIMILARITY (s about 0.15). Candidates within RADIUS bits are then verified exactly on their whole texts' shingle sets, so
-no pair below SIMILARITY is linked.
+bits, and Manhattan is Hamming distance), and the cells are TABLES fixed draws of CELL_BITS segments. They name most pairs
+cheaply, but no draw names all: their verified links only join what is easily joined.
+
+The pairs across the components so far come from a prefix join, which misses none. Each set of n shingles is put in one
+order for all documents, rare shingles first, and entered under its first n - SIMILARITY * n + 1; two sets that resemble
+by SIMILARITY share an entry, and at their first common one each has enough shingles left for the overlap that they need.
+Pairs that have not are dropped in the cell. The order comes from counts in a sample of the documents: it decides how
+many pairs are named, never which links are found.
+
+All named pairs are verified exactly on their whole texts' shingle sets, so the links connect what brute force connects,
+and no pair below SIMILARITY is linked (but for collisions of 64-bit shingle hashes).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +35,9 @@ TIGHT = 16
 TABLES = 96
 CELL_BITS = 18
 SEED = 5
+#: Shingles of about so many documents are counted for the order of the prefix join; the most frequent are told apart.
+SAMPLE = 1 << 15
+FREQUENT = 200_000
 #: Ids up to this many are sent to every task; beyond, they are joined.
 FEW_IDS = 1_000_000
 
@@ -137,6 +149,97 @@ def _candidates(batches, radius, tight):
         yield pairs(kept[0], kept[1].view(np.uint64), kept[2].view(np.uint64), kept[3])
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of n ordered shingles a set enters: one more than it can lack of an overlap that any link needs."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _across(batches, similarity: float, every: bool):
+    """Pairs of ids of unlike groups within the cells of rows sorted by cell, if enough of both sets is left after it.
+
+    The rows outside a cell's largest group meet all others. With every, all such pairs are named, else one for each of
+    those rows. rest is the number of a set's ordered shingles from the cell's on.
+    """
+    share = similarity / (1 + similarity)
+    kept = None
+
+    def pairs(cell, id_, group, n, rest):
+        starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
+        size = np.diff(starts)
+        left, right = [], []
+
+        def linkable(i, j):
+            return (group[i] != group[j]) & (np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - 1e-6)
+
+        for s in np.unique(size[(size > 1) & (size <= 4)]):
+            base = starts[:-1][size == s]
+            for i in range(s):
+                for j in range(i + 1, s):
+                    ok = linkable(base + i, base + j)
+                    left.append(id_[base[ok] + i])
+                    right.append(id_[base[ok] + j])
+        for k in np.flatnonzero(size > 4):
+            at = np.arange(starts[k], starts[k + 1])
+            names, of, count = np.unique(group[at], return_inverse=True, return_counts=True)
+            if len(names) == 1:
+                continue
+            outside = at[of != count.argmax()]
+            for i in outside:
+                j = at[linkable(np.full(1, i), at)]
+                j = j if every else j[:1]
+                left.append(np.full(len(j), id_[i]))
+                right.append(id_[j])
+        if not left:
+            return None
+        x, y = np.concatenate(left), np.concatenate(right)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
+
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "id", "group", "n", "rest")]
+        if kept is not None:
+            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        kept = [x[cut:] for x in cols]
+        if cut:
+            yield pairs(*(x[:cut] for x in cols))
+    if kept is not None:
+        yield pairs(*kept)
+
+
+def _frequent(docs: DataFrame, text: str, key: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles of most documents in a sample, by hash; at most FREQUENT."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, words) for t in byte_texts(b, text)]
+            yield {"s": np.concatenate(sets).view(np.int64) if sets else []}
+
+    some = docs.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(text)
+    counts = written(per_batch(some, run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"))
+    least, held = 2, 0
+    for n, m in sorted(((r["n"], r["count"]) for r in counts.groupBy("n").count().collect()), reverse=True):
+        held += m
+        if held > FREQUENT:
+            least = n + 1
+            break
+    got = counts.filter(F.col("n") >= least).toPandas()  # at most FREQUENT rows
+    hashes, n = got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set by count in the sample, then hash."""
+    names, counts = frequent
+    count = np.zeros(len(hashes), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        count = np.where(names[at] == hashes, counts[at], 0)
+    return hashes[np.argsort(count, kind="stable")[: prefix_length(len(hashes), similarity)]].view(np.int64)
+
+
 def _chosen(docs: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
     """docs whose key is (not) among ids, a table of distinct keys that are not null: by broadcast if these are few."""
     side = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
@@ -149,12 +252,17 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
     docs = docs.filter(F.col(key).isNotNull())
     spark = docs.sparkSession
 
+    frequent = spark.sparkContext.broadcast(_frequent(docs, text, key, words))
+
     def prints(batches):
         for b in batches:
-            f = [wide_fingerprint(t, words) + _set_name(shingle_set(t, words)) for t in byte_texts(b, text)]
-            yield {key: b.column(key)} | {n: [x[i] for x in f] for i, n in enumerate(("fa", "fb", "sa", "sb"))}
+            all_ = byte_texts(b, text)
+            sets = [shingle_set(t, words) for t in all_]
+            f = [wide_fingerprint(t, words) + _set_name(s) for t, s in zip(all_, sets, strict=True)]
+            firsts = [_prefix(s, frequent.value, similarity) for s in sets]
+            yield {key: b.column(key)} | {n: [x[i] for x in f] for i, n in enumerate(("fa", "fb", "sa", "sb"))} | {"n_": [len(s) for s in sets], "prefix_": firsts}
 
-    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fa bigint, fb bigint, sa bigint, sb bigint"))
+    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fa bigint, fb bigint, sa bigint, sb bigint, n_ bigint, prefix_ array<bigint>"))
     # only equal sets merge unseen; unlike sets of one fingerprint meet in every cell and are checked like other candidates
     distinct = written(found.groupBy("sa", "sb").agg(F.min(key).alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
     least = found.join(distinct.select("sa", "sb", F.col("id").alias("least")), ["sa", "sb"]).select(key, "least")
@@ -168,26 +276,48 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
                 yield out
 
     pairs = written(dealt.mapInArrow(search, "a bigint, b bigint").distinct())
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
 
     def sets(batches):
         for b in batches:
             yield {"id": b.column(key), "s": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, text)]}
 
-    shingles = written(per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>").groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
-    x, y = shingles.select(F.col("id").alias("a"), F.col("s").alias("sa")), shingles.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
+        rows = per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>")
+        return written(rows.groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
+
     common = F.size(F.array_intersect("sa", "sb"))
 
-    def verified(some: DataFrame) -> DataFrame:
+    def verified(some: DataFrame, shingles: DataFrame) -> DataFrame:
+        x, y = shingles.select(F.col("id").alias("a"), F.col("s").alias("sa")), shingles.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = some.join(x, "a").join(y, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
         return written(both.filter(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b").distinct())
 
     # each document's pair with the least other first; then only pairs that would join what these links have not joined
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    shingles = sets_of(pairs)
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shingles)
     parts = written(components(first))
     of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    return least, first.unionByName(verified(written(apart)))
+    joined = written(first.unionByName(verified(written(apart), shingles)))
+
+    # what these links leave apart, by the prefix join: one pair for each row of a cell, then all pairs
+    firsts = written(_chosen(found.select(key, "n_", "prefix_"), distinct.select(F.col("id").alias(key)).distinct(), key, True))
+    entries = firsts.select(F.col(key).alias("id"), F.col("n_").alias("n"), F.posexplode("prefix_").alias("at", "cell")).select("cell", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
+    for every in (False, True):
+        parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+        dealt = grouped.repartition("cell").sortWithinPartitions("cell", "id")
+
+        def across(batches, every=every):
+            for out in _across(batches, similarity, every):
+                if out is not None:
+                    yield out
+
+        pairs = written(dealt.mapInArrow(across, "a bigint, b bigint").distinct())
+        joined = written(joined.unionByName(verified(pairs, sets_of(pairs))))
+    return least, joined
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

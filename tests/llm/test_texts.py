@@ -234,6 +234,36 @@ def test_repeated_lines_do_not_move_the_wide_fingerprint(spark):
     assert [r["doc_id"] for r in got.collect()] == [1]
 
 
+def test_links_do_not_depend_on_the_simhash_cells(spark, monkeypatch):
+    """Families of a template, some members of which have a copy near 0.8: all links are found where no cell names one."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        template = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(20):
+            w = list(template)
+            for at in rng.sample(range(200), 4):
+                w[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+            for at in rng.sample(range(200), rng.choice((0, 2, 4, 5))):
+                w[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    texts += ["five words are here now", "Five words are here now", "a b"]
+    sets = [set(similar._shingles(t.encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    want = sorted(set(group))
+    assert len(want) > 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in similar.without_copies(docs).collect()) == want
+    monkeypatch.setattr(similar, "wide_fingerprint", lambda text, words=5: (hash(text), hash(text[::-1])))
+    assert sorted(r["doc_id"] for r in similar.without_copies(docs).collect()) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 800
     rows = [(1, "http://a/ü b", big), (7, None, big), (7, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f\r\nX: y", big), (6, "http://g", "x" * 700_000)]
