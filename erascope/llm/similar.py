@@ -35,6 +35,8 @@ TIGHT = 16
 TABLES = 96
 CELL_BITS = 18
 SEED = 5
+#: Cells of more rows are dealt out in parts.
+CELL = 16384
 #: Shingles of about so many documents are counted for the order of the prefix join; the most frequent are told apart.
 SAMPLE = 1 << 15
 FREQUENT = 200_000
@@ -246,7 +248,57 @@ def _chosen(docs: DataFrame, ids: DataFrame, key: str, keep: bool) -> DataFrame:
     return docs.join(side, key, "left_semi" if keep else "left_anti")
 
 
-def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+def _some(df: DataFrame, cell: int) -> tuple[DataFrame, int]:
+    """(the rows of one id in so many, that number): enough to estimate the rows of a cell of that size."""
+    step = max(1, cell // 1024)
+    return df.filter(F.pmod(F.xxhash64("id", F.lit("some")), F.lit(step)) == 0), step
+
+
+def near_cells(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+    """Rows (cell, fa, fb, id): the fingerprints' SimHash cells.
+
+    The parts of a large cell are cells of their own, and each holds also one row of all the cell, which holds the parts
+    together; what that leaves apart is for the prefix join.
+    """
+    cells = F.array(*[F.xxhash64(F.lit(t), F.col("fa").bitwiseAND(F.lit(x)), F.col("fb").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(table_masks())])
+    some, step = _some(distinct, cell)
+    large = some.select(F.explode(cells).alias("cell"), F.struct("id", "fa", "fb").alias("r")).groupBy("cell").agg((F.count("*") * step).alias("m_"), F.min("r").alias("first_"))
+    large = written(large.filter(F.col("m_") > cell).select("cell", F.ceil(F.col("m_") / max(1, cell // 2)).cast("int").alias("p_"), "first_"))
+    entered = distinct.select(F.explode(cells).alias("cell"), "fa", "fb", "id")
+    if large.isEmpty():
+        return entered
+    part = lambda p: F.xxhash64("cell", p.cast("int")).alias("cell")
+    entered = entered.join(F.broadcast(large), "cell", "left").filter(F.col("p_").isNull() | (F.col("id") != F.col("first_.id")))
+    own = entered.withColumn("cell", F.when(F.col("p_").isNull(), F.col("cell")).otherwise(part(F.pmod(F.xxhash64("id"), F.col("p_")))))
+    first = large.select("cell", "first_", F.explode(F.sequence(F.lit(0), F.col("p_") - 1)).alias("o_")).select(part(F.col("o_")), "first_.fa", "first_.fb", "first_.id")
+    return own.select("cell", "fa", "fb", "id").unionByName(first)
+
+
+def across_cells(grouped: DataFrame, cell: int = CELL) -> DataFrame:
+    """grouped with the rows of large cells dealt to cells of their parts, such that all pairs of unlike groups still meet.
+
+    The rows of the group that has most of a cell are dealt to parts, the others to parts of theirs; every part of the
+    one meets every part of the other, and the others' parts meet two by two.
+    """
+    some, step = _some(grouped, cell)
+    half = max(1, cell // 2)
+    by = some.groupBy("cell", "group").agg((F.count("*") * step).alias("m_")).groupBy("cell").agg(F.sum("m_").alias("m_"), F.max(F.struct("m_", "group")).alias("top_"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    large = written(by.filter(F.col("m_") > cell).select("cell", F.col("top_.group").alias("top_"), parts(F.col("top_.m_")).alias("p_"), parts(F.col("m_") - F.col("top_.m_")).alias("q_")))
+    if large.isEmpty():
+        return grouped
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    top = F.transform(all_("q_"), lambda o: F.xxhash64("cell", F.lit("top"), mine("p_"), o))
+    rest = F.concat(
+        F.transform(all_("p_"), lambda o: F.xxhash64("cell", F.lit("top"), o, mine("q_"))),
+        F.transform(F.filter(all_("q_"), lambda o: o != mine("q_")), lambda o: F.xxhash64("cell", F.lit("rest"), F.least(o, mine("q_")), F.greatest(o, mine("q_")))),
+    )
+    to = F.when(F.col("p_").isNull(), F.array("cell")).when(F.col("group") == F.col("top_"), top).otherwise(rest)
+    return grouped.join(F.broadcast(large), "cell", "left").withColumn("to_", to).select(F.explode("to_").alias("cell"), "id", "group", "n", "rest")
+
+
+def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(representatives (key, least): each document with the smallest key of its shingle set; verified links (a, b) among
     those smallest keys, enough to connect all that are linked). Rows with a null key are left out."""
     docs = docs.filter(F.col(key).isNotNull())
@@ -266,9 +318,8 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
     # only equal sets merge unseen; unlike sets of one fingerprint meet in every cell and are checked like other candidates
     distinct = written(found.groupBy("sa", "sb").agg(F.min(key).alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
     least = found.join(distinct.select("sa", "sb", F.col("id").alias("least")), ["sa", "sb"]).select(key, "least")
-    cells = F.array(*[F.xxhash64(F.lit(t), F.col("fa").bitwiseAND(F.lit(x)), F.col("fb").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(table_masks())])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = distinct.select(F.explode(cells).alias("cell"), "fa", "fb", "id").repartition("cell").sortWithinPartitions("cell", "id")
+    dealt = near_cells(distinct, cell).repartition("cell").sortWithinPartitions("cell", "id")
 
     def search(batches):
         for out in _candidates(batches, radius, TIGHT):
@@ -308,7 +359,7 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
         parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
         grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-        dealt = grouped.repartition("cell").sortWithinPartitions("cell", "id")
+        dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
 
         def across(batches, every=every):
             for out in _across(batches, similarity, every):

@@ -264,6 +264,24 @@ def test_links_do_not_depend_on_the_simhash_cells(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in similar.without_copies(docs).collect()) == want
 
 
+def test_large_cells_are_dealt_in_parts_that_meet(spark):
+    rows = [(5, i, 0 if i < 600 else i % 40, 100, 90) for i in range(1000)] + [(6, i, i, 100, 90) for i in range(20)]
+    dealt = similar.across_cells(spark.createDataFrame(rows, "cell bigint, id bigint, group bigint, n bigint, rest bigint"), 64).collect()
+    held: dict = {}
+    for r in dealt:
+        held.setdefault(r["cell"], set()).add(r["id"])
+    assert max(map(len, held.values())) <= 100 and held[6] == set(range(20))
+    met = {p for c, ids in held.items() if c != 6 for p in itertools.combinations(sorted(ids), 2)}
+    group = {i: g for _, i, g, _, _ in rows[:1000]}
+    assert all(p in met for p in itertools.combinations(range(1000), 2) if group[p[0]] != group[p[1]])
+    near = similar.near_cells(spark.createDataFrame([(7, 7, i) for i in range(1000)], "fa bigint, fb bigint, id bigint"), 64).collect()
+    held = {}
+    for r in near:
+        held.setdefault(r["cell"], []).append(r["id"])
+    assert all(len(ids) <= 100 and len(set(ids)) == len(ids) and 0 in ids for ids in held.values())
+    assert {i for ids in held.values() for i in ids} == set(range(1000))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 800
     rows = [(1, "http://a/ü b", big), (7, None, big), (7, None, big), (3, "http://c", "small"), (4, "http://d", "small"), (5, "http://e", None), (None, "http://f\r\nX: y", big), (6, "http://g", "x" * 700_000)]
