@@ -1,9 +1,10 @@
 """Secret scans, with weak candidates linked across the parts of a credential.
 
 Three patterns are reported wherever they match. Beside them a credential may come in parts: an access identifier, a
-secret of high entropy and an endpoint, none of which is telling on its own. The parts of a text are intervals in its
+secret of high entropy and an endpoint, none of which is telling on its own; access keys serve as identifiers too, and
+assigned secrets and long hex as secrets. The parts of a text are intervals in its
 scopes (paragraphs between blank lines, cut further at SCOPE characters), and an interval join within a scope pairs each
-weak secret with identifiers and endpoints at most REACH characters away. A weak secret is reported only if complementary
+secret with identifiers and endpoints at most REACH characters away. A weak secret is reported only if complementary
 parts co-occur: an identifier and an endpoint, or an identifier of a telling form. Its partners are reported with it.
 
 The parts of a text all come from one row, so the interval join is a merge of sorted starts inside the task: no shuffle,
@@ -34,8 +35,8 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
-_WEAK_ID = re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.A)
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+_WEAK_ID = re.compile(r"""(?ai:(?<![a-z0-9])(?<!secret_)(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.A)
 _ENDPOINT = re.compile(r"(?ai:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[A-Za-z0-9._~:/?#@!$&'*+,;=%-]{3,256}", re.A)
 _SCOPE = re.compile(r"\n[ \t]*\n")
 
@@ -62,10 +63,10 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
 
 
-def weak_parts(text: str) -> list[Span]:
-    """Identifiers, secrets and endpoints that say nothing alone."""
+def weak_parts(text: str, strong: bool = False) -> list[Span]:
+    """Identifiers, secrets and endpoints that say nothing alone; none if there is no secret, these or a strong one."""
     parts = [Span("weak_secret", *m.span()) for m in _WEAK_SECRET.finditer(text) if entropy(m[0]) >= MIN_ENTROPY]
-    if not parts:
+    if not parts and not strong:
         return []
     if ":" in text or "=" in text:
         parts += [Span("weak_id", *m.span(1)) for m in _WEAK_ID.finditer(text)]
@@ -76,7 +77,7 @@ def weak_parts(text: str) -> list[Span]:
 
 def linked(text: str, base: list[Span]) -> list[Span]:
     """Weak parts whose complements co-occur in their scope within REACH characters. Parts inside a base span are no parts."""
-    parts = weak_parts(text)
+    parts = weak_parts(text, any(s.kind != "access" for s in base))
     if not parts:
         return []
     held = sorted((s.start, s.end) for s in base)
@@ -86,14 +87,14 @@ def linked(text: str, base: list[Span]) -> list[Span]:
         i = bisect_right(starts, p.start) - 1
         return i >= 0 and held[i][1] > p.start or bisect_left(starts, p.end) > bisect_left(starts, p.start)
 
-    parts = [p for p in parts if not covered(p)] + [Span("strong_id", s.start, s.end) for s in base if s.kind == "access"]
+    parts = [p for p in parts if not covered(p)] + [Span("strong_id" if s.kind == "access" else "strong_secret", s.start, s.end) for s in base]
     cuts = [m.start() for m in _SCOPE.finditer(text)]
     by: dict[tuple[int, str], list[Span]] = {}
     for p in sorted(parts, key=lambda p: (p.start, p.end)):
         by.setdefault((bisect_right(cuts, p.start), p.kind), []).append(p)
     out: set[Span] = set()
     for (scope, kind), secrets in by.items():
-        if kind != "weak_secret":
+        if kind not in ("weak_secret", "strong_secret"):
             continue
         others = {k: by.get((scope, k), []) for k in ("weak_id", "endpoint", "strong_id")}
         at = {k: [p.start for p in v] for k, v in others.items()}
@@ -101,7 +102,8 @@ def linked(text: str, base: list[Span]) -> list[Span]:
             near = {k: (bisect_left(at[k], s.start - REACH), bisect_right(at[k], s.end + REACH)) for k in others}
             has = {k: b > a for k, (a, b) in near.items()}
             if has["strong_id"] or has["weak_id"] and has["endpoint"]:
-                out.add(s)
+                if kind == "weak_secret":
+                    out.add(s)
                 for k in ("weak_id", "endpoint"):  # the nearest on either side stand for the rest
                     a, b = near[k]
                     m = bisect_left(at[k], s.start)
