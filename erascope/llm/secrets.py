@@ -3,9 +3,9 @@
 Three patterns are reported wherever they match. Beside them a credential may come in parts: an access identifier, a
 secret of high entropy and an endpoint, none of which is telling on its own; access keys serve as identifiers too, and
 assigned secrets and long hex as secrets. The parts of a text are intervals in its
-scopes (paragraphs between blank lines, cut further at SCOPE characters), and an interval join within a scope pairs each
+scopes (paragraphs between blank lines), and an interval join within a scope pairs each
 secret with identifiers and endpoints at most REACH characters away. A weak secret is reported only if complementary
-parts co-occur: an identifier and an endpoint, or an identifier of a telling form. Its partners are reported with it.
+parts co-occur: an identifier and an endpoint, or an identifier of a telling form. All its partners are reported with it.
 
 The parts of a text all come from one row, so the interval join is a merge of sorted starts inside the task: no shuffle,
 no pairs, linear in the parts.
@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,16 +99,19 @@ def linked(text: str, base: list[Span]) -> list[Span]:
             continue
         others = {k: by.get((scope, k), []) for k in ("weak_id", "endpoint", "strong_id")}
         at = {k: [p.start for p in v] for k, v in others.items()}
+        edges = {k: [0] * (len(v) + 1) for k, v in others.items()}  # 1 where a linked secret's partners begin, -1 past them
         for s in secrets:
             near = {k: (bisect_left(at[k], s.start - REACH), bisect_right(at[k], s.end + REACH)) for k in others}
             has = {k: b > a for k, (a, b) in near.items()}
             if has["strong_id"] or has["weak_id"] and has["endpoint"]:
                 if kind == "weak_secret":
                     out.add(s)
-                for k in ("weak_id", "endpoint"):  # the nearest on either side stand for the rest
+                for k in ("weak_id", "endpoint"):
                     a, b = near[k]
-                    m = bisect_left(at[k], s.start)
-                    out.update(others[k][i] for i in (m - 1, m) if a <= i < b)
+                    edges[k][a] += 1
+                    edges[k][b] -= 1
+        for k in ("weak_id", "endpoint"):
+            out.update(p for p, n in zip(others[k], accumulate(edges[k])) if n > 0)
     return sorted(out, key=lambda p: (p.start, KINDS.index(p.kind)))
 
 

@@ -389,6 +389,13 @@ def test_secrets_in_environment_form_are_parts():
     assert kinds("password=hunter22 https://db.example.com/x") == ["assign"]
 
 
+def test_every_partner_of_a_linked_secret_is_reported():
+    weak = "Zk8sQ2pL0vXwR7tYb3NcM5hJ1dGfA9eUoIiKxTq4"
+    near = "user: admin1 login: admin2 account: admin3 https://a.example.com/ https://b.example.com/ https://c.example.com/"
+    found = secrets.scan(f"user: faraway {'x ' * 250}{near} {weak} {near}")
+    assert [s.kind for s in found] == (["weak_id"] * 3 + ["endpoint"] * 3) + ["weak_secret"] + (["weak_id"] * 3 + ["endpoint"] * 3)
+
+
 def test_redact_masks_every_span(spark):
     out = secrets.redact(spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None)], "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["a [SECRET] b", None]
