@@ -125,7 +125,11 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
 
 
 def identified(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs without those whose language is undetermined: null texts and texts that have no letter. All columns stay."""
+    """docs without those whose language is undetermined: null texts, texts that have no letter, and texts decoded as `und`
+    where that was learned as a label. All columns stay.
+
+    With nothing learned there is nothing to decode, and only the first two go. A text of no clear language stays.
+    """
     small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
@@ -134,8 +138,8 @@ def identified(docs: DataFrame, model, text: str = "text") -> DataFrame:
         for b in batches:
             keep = []
             for t in (x or "" for x in b.column(at).to_pylist()):
-                ok = bool(languages) and has_letter(t)
-                if ok:
+                ok = has_letter(t)
+                if ok and languages:
                     c = ngram_counts(t)
                     i, _ = decode(c @ weights / math.sqrt(c.sum()), code)
                     ok = languages[i] != UNDETERMINED

@@ -419,6 +419,14 @@ def test_language_accuracy(spark):
     assert right >= 0.97 * n
 
 
+def test_identified_keeps_texts_of_unlabelled_tables(spark):
+    docs = spark.createDataFrame([(1, "the cat sat", None), (2, "12 ...", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [r["doc_id"] for r in language_id.identified(docs, language_id.learn(docs)).collect()] == [1]
+    rows = [(1, "the cat sat on the mat", "en"), (2, "xq zzv kkj qqx zv", "und"), (3, "12 ...", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert [r["doc_id"] for r in language_id.identified(docs, language_id.learn(docs)).collect()] == [1]
+
+
 def test_mix_meets_targets(spark):
     out = mixing.op10_mixing(spark, "/root/testdata/sf0.01")
     src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
