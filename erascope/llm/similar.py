@@ -156,11 +156,11 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _across(batches, similarity: float, every: bool):
+def _across(batches, similarity: float):
     """Pairs of ids of unlike groups within the cells of rows sorted by cell, if enough of both sets is left after it.
 
-    The rows outside a cell's largest group meet all others. With every, all such pairs are named, else one for each of
-    those rows. rest is the number of a set's ordered shingles from the cell's on.
+    The rows outside a cell's largest group meet all others. rest is the number of a set's ordered shingles from the
+    cell's on.
     """
     share = similarity / (1 + similarity)
     kept = None
@@ -188,7 +188,6 @@ def _across(batches, similarity: float, every: bool):
             outside = at[of != count.argmax()]
             for i in outside:
                 j = at[linkable(np.full(1, i), at)]
-                j = j if every else j[:1]
                 left.append(np.full(len(j), id_[i]))
                 right.append(id_[j])
         if not left:
@@ -332,10 +331,13 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
         for b in batches:
             yield {"id": b.column(key), "s": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, text)]}
 
+    once = found.select(key).distinct().count() == found.count()
+
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
         rows = per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>")
-        return written(rows.groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
+        # of repeated rows one; texts that share a key each count
+        return written(rows if once else rows.groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
 
     common = F.size(F.array_intersect("sa", "sb"))
 
@@ -344,31 +346,31 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
         both = some.join(x, "a").join(y, "b").select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("n"))
         return written(both.filter(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b").distinct())
 
-    # each document's pair with the least other first; then only pairs that would join what these links have not joined
-    shingles = sets_of(pairs)
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), shingles)
-    parts = written(components(first))
-    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-    joined = written(first.unionByName(verified(written(apart), shingles)))
+    def linked(pairs: DataFrame) -> DataFrame:
+        # each document's pair with the least other first; then only pairs that would join what these links have not joined
+        shingles, tried = sets_of(pairs), written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        first = verified(tried, shingles)
+        parts = written(components(first))
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
+        apart = pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+        return written(first.unionByName(verified(written(apart), shingles)))
+
+    joined = linked(pairs)
 
-    # what these links leave apart, by the prefix join: one pair for each row of a cell, then all pairs
+    # what these links leave apart, by the prefix join
     firsts = written(_chosen(found.select(key, "n_", "prefix_"), distinct.select(F.col("id").alias(key)).distinct(), key, True))
     entries = firsts.select(F.col(key).alias("id"), F.col("n_").alias("n"), F.posexplode("prefix_").alias("at", "cell")).select("cell", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
-    for every in (False, True):
-        parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-        grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-        dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
-
-        def across(batches, every=every):
-            for out in _across(batches, similarity, every):
-                if out is not None:
-                    yield out
-
-        pairs = written(dealt.mapInArrow(across, "a bigint, b bigint").distinct())
-        joined = written(joined.unionByName(verified(pairs, sets_of(pairs))))
-    return least, joined
+    parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
+
+    def across(batches):
+        for out in _across(batches, similarity):
+            if out is not None:
+                yield out
+
+    return least, joined.unionByName(linked(written(dealt.mapInArrow(across, "a bigint, b bigint").distinct())))
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
