@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,19 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Few rows in an Arrow batch: texts may be long, and a batch is held in memory whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that no task decodes very many texts at once. Spark bounds the bytes of a batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names for checkpoints; where none is named, one of this session's own."""
+    """A new folder below the one that the cluster names for checkpoints. Where none is named, a local session has one of its
+    own; on a cluster that is an error, since no folder of one machine will do."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -43,16 +45,27 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder_ = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables from written(), once nothing that is still to run reads them. Others are left alone."""
+    for df in tables:
+        folder = getattr(df, "folder_", None)
+        if folder:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def per_batch(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with a function that yields a dict of columns for each batch of results."""
-    small_batches(df.sparkSession)
+    """mapInArrow with a function from small batches that yields a dict of columns for each batch of results."""
     arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in _fields(schema)])
 
     def run(batches):
-        for out in fn(batches):
+        for out in fn(small_batches(batches)):
             if out is not None and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((out[n], arrow.field(n).type) for n in arrow.names)], schema=arrow)
 
@@ -96,15 +109,3 @@ def slices(sizes: list[int], most: int = 2_000_000) -> Iterator[slice]:
 def same_remainder(modulus: int, remainder: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo: a fold that any engine can compute again. A null id is in no named fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """name, or name with underscores in front until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else os.fspath(uri)

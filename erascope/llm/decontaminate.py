@@ -6,13 +6,15 @@ Burrows-Wheeler transform, kept as a wavelet matrix with rank counts, and every
 phrases are searched backwards at once; occurrences are located by stepping to the next sampled position; the words they
 cover are merged into removal spans.
 
-Shards never leave their task, so nothing is shuffled. The phrases go to every task, in blocks of at most BLOCK_CHARS
-characters of benchmark text; each further block is one more pass over the documents, and the passes are merged by row.
+Shards never leave their task, so nothing is shuffled. The phrases go to every task, in blocks of about BLOCK_CHARS
+characters of benchmark text. A benchmark of more blocks takes one pass over the documents for each, one after the other, so
+that one block is in memory at a time; the rows are numbered and written first, and the passes are merged by number.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from .common import byte_texts, small_batches, table
+from .common import byte_texts, release, small_batches, table, written
 
 WINDOW = 10
 SHARD = 1 << 20
@@ -164,18 +166,22 @@ class FMIndex:
         return out
 
 
-class _Phrases:
+class Phrases(NamedTuple):
     """The windows of a benchmark as codes: 0 ends the shard, 1 a run of words, then the benchmark's words."""
 
-    def __init__(self, items, window: int):
-        found = windows_of(items, window)
-        self.vocabulary = {w: i + 2 for i, w in enumerate(sorted({w for p in found for w in p}))}
-        self.windows = list(found)
-        self.items = [sorted(found[p], key=str) for p in self.windows]
-        self.lengths = np.array([len(p) for p in self.windows], np.int64)
-        self.codes = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(self.windows):
-            self.codes[i, window - len(p) :] = [self.vocabulary[w] for w in p]
+    vocabulary: dict[bytes, int]
+    items: list[list[str]]
+    lengths: np.ndarray
+    codes: np.ndarray
+
+
+def phrases_of(items, window: int) -> Phrases:
+    found = windows_of(items, window)
+    vocabulary = {w: i + 2 for i, w in enumerate(sorted({w for p in found for w in p}))}
+    codes = np.zeros((len(found), window), np.int64)
+    for i, p in enumerate(found):
+        codes[i, window - len(p) :] = [vocabulary[w] for w in p]
+    return Phrases(vocabulary, [sorted(map(str, owners)) for owners in found.values()], np.array([len(p) for p in found], np.int64), codes)
 
 
 def _runs(codes: np.ndarray, shortest: int, longest: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +197,7 @@ def _runs(codes: np.ndarray, shortest: int, longest: int, shard: int) -> tuple[n
     return start, end
 
 
-def search_documents(docs: list[list[bytes]], phrases: _Phrases, shard: int = SHARD, sample: int = SAMPLE):
+def search_documents(docs: list[list[bytes]], phrases: Phrases, shard: int = SHARD, sample: int = SAMPLE):
     """For each document (its hit spans as word ranges, its items). A phrase can only occur in a run of words that are all
     the benchmark's and no fewer than the shortest phrase, so the index holds those runs, each with an end mark."""
     out = [([], set()) for _ in docs]
@@ -248,26 +254,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int):
-    """The benchmark in blocks of bounded size, one after the other on the driver."""
-    size = benchmark.select(F.sum(F.length(text))).first()[0] or 0
-    n = max(1, -(-size // block_chars))
+def _block_count(benchmark: DataFrame, text: str, block_chars: int) -> int:
+    return max(1, -(-(benchmark.select(F.sum(F.length(text))).first()[0] or 0) // block_chars))
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, n: int):
+    """The benchmark in n blocks, one after the other on the driver."""
     rows = benchmark.select(F.col(item).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null")
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.col("i").cast("string"), "t"), F.lit(n)) == k)
-        yield [(r["i"], r["t"].encode()) for r in part.collect()]  # about block_chars characters
+        yield [(r["i"], r["t"].encode()) for r in part.collect()]  # a block of bounded size
 
 
-def _find(docs: DataFrame, phrases_of, shard: int, sample: int):
+def _find(docs: DataFrame, phrases: Phrases, shard: int, sample: int):
     """Rows of docs (doc_ any, text_) as (doc_, n_words, starts, ends (merged word spans), items)."""
-    small_batches(docs.sparkSession)
     schema = docs.select("doc_").schema
     for name, kind in (("n_words", LongType()), ("starts", ArrayType(LongType())), ("ends", ArrayType(LongType())), ("items", ArrayType(StringType()))):
         schema = schema.add(name, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(phrases_of)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(phrases))  # built-in types and arrays alone: workers have no copy of this code
 
     def run(batches):
-        phrases = shared.value
+        phrases = Phrases(*shared.value)
 
         def flush(held):
             found = search_documents([w for _, ws in held for w in ws], phrases, shard, sample) if len(phrases.lengths) else None
@@ -280,7 +287,7 @@ def _find(docs: DataFrame, phrases_of, shard: int, sample: int):
                 yield pa.RecordBatch.from_arrays([b.column("doc_"), *add], names=["doc_", "n_words", "starts", "ends", "items"])
 
         held, size = [], 0
-        for b in batches:
+        for b in small_batches(batches):
             ws = [words_of(t) for t in byte_texts(b, "text_")]
             n = sum(map(len, ws))
             if held and size + n > shard:
@@ -299,19 +306,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
     starts and ends are merged spans of word numbers that occur in the benchmark, items the items with an occurring window,
     sorted as strings. Null texts have no words; null item texts have no windows; an empty benchmark hits nothing. Texts
-    of any length are indexed whole, in overlapping pieces beyond a shard. Repeated rows each give a row. A benchmark of
-    more than one block needs a key that is not null and names one text; rows that share both are joined into one.
+    of any length are indexed whole, in overlapping pieces beyond a shard. Repeated rows and rows of a null key each give
+    a row, whatever the size of the benchmark. An empty table gives an empty result; other columns are not read.
     """
-    blocks = _blocks(benchmark, item, item_text, block_chars)
+    n = _block_count(benchmark, item_text, block_chars)
     docs = docs.select(F.col(key).alias("doc_"), F.col(text).alias("text_"))
-    first, *rest = (_find(docs, _Phrases(b, window), shard, sample).withColumnRenamed("doc_", key) for b in blocks)
-    if not rest:
-        return first
-    every = first
+    if n == 1:
+        (block,) = _blocks(benchmark, item, item_text, 1)
+        return _find(docs, phrases_of(block, window), shard, sample).withColumnRenamed("doc_", key)
+    docs = written(docs.select(F.struct("doc_", F.monotonically_increasing_id().alias("row_")).alias("doc_"), "text_"))
+    passes = [written(_find(docs, phrases_of(b, window), shard, sample)) for b in _blocks(benchmark, item, item_text, n)]
+    release(docs)
+    every, *rest = passes
     for r in rest:
         every = every.unionByName(r)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))  # one list for each block of the benchmark
-    grown = every.groupBy(key, "n_words").agg(spans.alias("s_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grown = every.groupBy("doc_.row_").agg(F.first("doc_.doc_").alias(key), F.first("n_words").alias("n_words"), spans.alias("s_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     join = F.aggregate(
         "s_",
         F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
@@ -320,12 +330,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     return grown.withColumn("m_", join).select(key, "n_words", F.col("m_.starts").alias("starts"), F.col("m_.ends").alias("ends"), "items")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without those that hold any window of the benchmark; all columns stay, whatever their names. No shuffle; each
-    block of the benchmark is a pass over what the blocks before left."""
+    further block of the benchmark is a pass over what the blocks before left.
+
+    Null and empty texts hold no window and stay, as do all documents beside an empty benchmark. Repeated rows stay or go
+    together. An empty table gives an empty result.
+    """
+    n = _block_count(benchmark, item_text, block_chars)
     kept = docs.select(F.struct(*docs.columns).alias("doc_"))
-    for b in _blocks(benchmark, item, item_text, BLOCK_CHARS):
-        kept = _find(kept.select("doc_", F.col("doc_")[text].alias("text_")), _Phrases(b, window), SHARD, SAMPLE).filter(F.size("starts") == 0).select("doc_")
+    for i, b in enumerate(_blocks(benchmark, item, item_text, n)):
+        found = _find(kept.select("doc_", F.col("doc_")[text].alias("text_")), phrases_of(b, window), SHARD, SAMPLE).filter(F.size("starts") == 0).select("doc_")
+        kept = found if i == n - 1 else written(found)
     return kept.select("doc_.*")
 
 
@@ -344,6 +360,7 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those hit by the benchmark, and the items with occurring windows."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.select(
