@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts.
 
-A visitor flattens a turn's parts in order: texts are escaped, images, audio and documents become numbered placeholders
-whose references and expanded token counts are recorded. The template marks turns with control strings; each begins with a
+A visitor flattens a turn's parts in order: runs of adjacent texts are joined and escaped as one, so that no control string
+forms across them; images, audio and documents become numbered placeholders whose references and expanded token counts are
+recorded. The template marks turns with control strings; each begins with a
 pattern that escaping breaks up inside texts and roles, so a formatted turn reads back exactly, and the loss mask is a span
 of code points that never touches the template.
 """
@@ -17,6 +18,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import small_batches, table
 
@@ -51,7 +53,7 @@ class Flattener:
         self.image_patch, self.audio_rate, self.chars_per_token = image_patch, audio_rate, chars_per_token
 
     def visit(self, parts) -> tuple[str, list[Attachment]]:
-        out, attached = [], []
+        out, attached, said = [], [], []
         for p in parts or ():
             if p is None:
                 continue
@@ -62,13 +64,14 @@ class Flattener:
             got = visitor(p, len(attached))
             if isinstance(got, Attachment):
                 attached.append(got)
-                out.append(f"<|{got.kind}:{got.ordinal}|>")
+                out += [escape("".join(said)), f"<|{got.kind}:{got.ordinal}|>"]
+                said = []
             else:
-                out.append(got)
-        return "".join(out), attached
+                said.append(got)
+        return "".join([*out, escape("".join(said))]), attached
 
     def visit_text(self, p, _) -> str:
-        return escape(p.get("text") or "")
+        return p.get("text") or ""
 
     def visit_image(self, p, ordinal) -> Attachment:
         tiles = lambda x: max(1, math.ceil((x or 0) / self.image_patch))
@@ -105,20 +108,26 @@ PARTS = "array<struct<kind:string,text:string,ref:string,width:bigint,height:big
 ATTACHMENTS = pa.list_(pa.struct([("ordinal", pa.int64()), ("kind", pa.string()), ("reference", pa.string()), ("tokens", pa.int64())]))
 
 
+def _typed(turns: DataFrame) -> bool:
+    """Whether a column parts holds typed parts; a column of that name and another type is no part of a turn."""
+    kind = turns.schema["parts"].dataType if "parts" in turns.columns else None
+    return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "kind" in kind.elementType.names
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """One formatted row for each turn.
 
-    turns: conv_id, turn, role and parts (PARTS), or text in place of parts. The result has conv_id, turn, formatted, the
+    turns: conv_id, turn, role and parts (PARTS), or text where there are no such parts. The result has conv_id, turn, formatted, the
     loss mask as a span of code points of formatted (loss_start, loss_end; empty where the role is not learned),
     attachments and expanded_tokens, their sum. Null texts, parts and roles are empty; repeated and tied turns each give
-    a row; other columns are not read. No shuffle.
+    a row; ids and turns that are null stay null; texts of any length are formatted whole; an empty table gives an empty
+    result; other columns are not read. No shuffle.
     """
-    small_batches(turns.sparkSession)
-    own = "parts" in turns.columns
+    own = _typed(turns)
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attachments", ATTACHMENTS), ("expanded_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in small_batches(batches):
             rows = [format_turn(r, p if own else ({"kind": "text", "text": p},)) for r, p in zip(b.column("role").to_pylist(), b.column("parts" if own else "text").to_pylist(), strict=True)]
             learned = [r == LEARNED_ROLE for r in b.column("role").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -142,9 +151,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, from formatted turns alone: turns, digests of its texts and of the learned text.
 
     Turns are sorted inside their partition and digested as they pass, so a conversation of any length takes the memory
-    of one batch. Turns with equal numbers go by their formatted text; a null number goes first.
+    of one batch. Turns with equal numbers go by their formatted text; a null number goes first; turns of a null
+    conversation are one conversation. Repeated turns each count. An empty table gives an empty result.
     """
-    small_batches(formatted.sparkSession)
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, expanded_tokens bigint"
 
     def run(batches):
@@ -161,7 +170,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             done.clear()
             return out
 
-        for b in batches:
+        for b in small_batches(batches):
             for conv, text, start, end, tokens in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "expanded_tokens")), strict=True):
                 if now is None or now[0] != conv:
                     close()
@@ -186,6 +195,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return read_back(format_turns(turns.unionByName(probe)))
