@@ -21,10 +21,11 @@ from collections import Counter
 from itertools import accumulate
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_batch, table, texts
+from .common import per_batch, small_batches, table, texts
 
 REACH = 400
 MIN_ENTROPY = 3.5
@@ -37,8 +38,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
-_WEAK_ID = re.compile(r"""(?ai:(?<![a-z0-9])(?<!secret_)(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,64})""", re.A)
-_ENDPOINT = re.compile(r"(?ai:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[A-Za-z0-9._~:/?#@!$&'*+,;=%-]{3,256}", re.A)
+_WEAK_ID = re.compile(r"""(?ai:(?<![a-z0-9])(?<!secret_)(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.A)
+_ENDPOINT = re.compile(r"(?ai:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[A-Za-z0-9._~:/?#@!$&'*+,;=%-]{3,}", re.A)
 _SCOPE = re.compile(r"\n[ \t]*\n")
 
 
@@ -137,14 +138,15 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by the mask; overlapping spans are replaced once. All columns stay."""
+    """docs with every found span replaced by the mask; overlapping spans are replaced once. All columns stay.
+
+    Null and empty texts stay as they are, repeated rows each stay, whatever their keys; an empty table gives an empty result.
+    """
     cols = docs.columns
     at = cols.index(text)
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
+        for b in small_batches(batches):
             new = []
             for t in b.column(at).to_pylist():
                 spans = scan(t) if t else []
@@ -162,13 +164,11 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
             arrays[at] = pa.array(new, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
 
-    from .common import small_batches
-
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document, base and linked."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.struct(s["kinds"].alias("kind"), F.concat_ws(":", s["kinds"], s["starts"].cast("string"), s["ends"].cast("string")).alias("said")))
     count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("bigint")
