@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_folder, small_batches, table, written
 
 FRAME = 1 << 18
+#: A task of the read-back takes the frames of about so many plain bytes.
+READ_BYTES = 1 << 25
 BUNDLE = 1 << 28
 REVISIT_BYTES = 1000
 #: Fixed values of the seekable format and of the archive standard.
@@ -150,8 +152,8 @@ INDEX = "page_id bigint, record_id string, record_type string, bundle string, fr
 
 
 def write_bundles(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
-    """The committed index of the records of pages (page_id, url, html, refers_to, revisit), written below folder."""
-    small_batches(pages.sparkSession)
+    """The committed index of the records of pages (page_id, url, html, refers_to, revisit), written below folder. Rows of
+    equal page_id have records of equal names, which the index tells apart by their places."""
     names = [f.split()[0] for f in INDEX.split(", ")]
 
     def run(batches):
@@ -160,7 +162,7 @@ def write_bundles(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("record_id", "record_type", "bundle") else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-        for b in batches:
+        for b in small_batches(batches):
             for page, url, html, refers, again in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
                 if bundle is None or bundle.written > BUNDLE:
                     if bundle is not None:
@@ -179,8 +181,10 @@ def write_bundles(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """The records of an index's bundles, frame by frame: (page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, offset)."""
-    small_batches(index.sparkSession)
+    """The records of an index's bundles, frame by frame: (page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, offset).
+
+    Frames are dealt by the bytes that they unpack to, in ranges of bundles, so a task reads neighbouring frames of few files.
+    """
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, bundle string, frame bigint, offset bigint"
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
@@ -198,8 +202,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     rows.append((page_of(head["WARC-Record-ID"]), int(http["Content-Length"]) if again else len(payload), said, head["WARC-Type"], refers, uri, frame, at))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    # an explicit number of partitions: the rows are few and short, the frames they name are not
-    frames = index.select("bundle", "frame").distinct().repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame")
+    # an explicit number of ranges, which Spark does not merge: the rows are few and short, the frames they name are not
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // READ_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    frames = index.select("bundle", "frame").distinct().repartitionByRange(tasks, "bundle", "frame")
     return frames.mapInArrow(run, schema)
 
 
@@ -227,6 +233,7 @@ def archive(pages: DataFrame, folder: str | None = None, level: int = 3) -> Data
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to bundles and read back."""
     index = archive(table(spark, sf_dir, "pages"))
     return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
