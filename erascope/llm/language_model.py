@@ -7,9 +7,9 @@ half its own estimate and half the product of its children, summed up from the d
 seen, the mixture ends at the deepest one that was. So the code length of a byte is exact and sums to one over all bytes.
 
 The corpus is read twice. The first pass counts words and grams (DEPTH context bytes and the next byte) of all texts; Spark
-sums them. The tree is built by groups of grams that share their last two context bytes, which hold whole subtrees; the
-levels above have at most 256 * 255 nodes. It gives one log probability for each gram that any text has. The second pass
-adds those up. Grams and words are looked up in tables of the most frequent ones, at most HEAVY_GRAMS and HEAVY_WORDS
+sums them. The tree is built by groups of grams that share their last three context bytes, which hold whole subtrees; Spark
+sums what they say into the nodes of two bytes, and those into the levels above, at most 256 * 255 nodes. It gives one log
+probability for each gram that any text has. The second pass adds those up. Grams and words are looked up in tables of the most frequent ones, at most HEAVY_GRAMS and HEAVY_WORDS
 entries, which every task gets; what a text has beyond them is joined by key. The split changes no result.
 """
 
@@ -35,6 +35,9 @@ SMOOTHING = 0.1
 END = 0xFF
 KEPT_WORDS, KEPT_GRAMS = 200_000, 700_000
 CHUNK = 400_000
+#: The depth of the groups in which the tree is built, and into how many parts grams of two equal last bytes are dealt.
+GROUP = 3
+SALTS = 8
 _EMPTY = np.uint64((1 << 64) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,7 +156,7 @@ def _weighted(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both - math.log(2), np.exp(own - both)
 
 
-def subtrees(grams: np.ndarray, n: np.ndarray, depth: int = DEPTH, top: int = 2) -> dict[int, tuple]:
+def subtrees(grams: np.ndarray, n: np.ndarray, depth: int = DEPTH, top: int = GROUP) -> dict[int, tuple]:
     """{d: (nodes, zeros, ones, log weighted probability, weight of the own estimate)} for d from depth to top, from the
     training counts of grams that hold whole subtrees below depth top."""
     seen = n > 0
@@ -195,53 +198,95 @@ def log_probabilities(grams: np.ndarray, levels: dict[int, tuple]) -> np.ndarray
     return total
 
 
-def _groups(batches, chunk: int):
-    """(gram, n, m) arrays of whole groups, from rows sorted by group."""
+def _groups(batches, columns: tuple[str, ...], chunk: int):
+    """Arrays of the columns, the first of which numbers groups, for runs of whole groups of about chunk rows or one group;
+    from rows sorted by group."""
     held: list[tuple] = []
+    size = 0
     for b in batches:
-        held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("g_", "gram", "n", "m")))
-        if sum(len(h[0]) for h in held) >= chunk:
-            g, *cols = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = np.searchsorted(g, g[-1])  # the last group may go on
-            if cut:
-                yield [c[:cut] for c in cols]
-            held = [tuple(x[cut:] for x in (g, *cols))]
+        cols = tuple(b.column(c).to_numpy(zero_copy_only=False) for c in columns)
+        if size >= chunk:
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
+            if cut == 0 and held[-1][0][-1] != cols[0][0]:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+            elif cut:
+                held.append(tuple(x[:cut] for x in cols))
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size, cols = [], 0, tuple(x[cut:] for x in cols)
+        held.append(cols)
+        size += len(cols[0])
     if held:
-        yield [np.concatenate(x) for x in list(zip(*held, strict=True))[1:]]
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+UPPER = "node bigint, zeros bigint, ones bigint, below double"
 
 
 def gram_table(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (gram, m, logp) from (gram, n, m). A group of grams with the same last two context bytes holds the
-    subtrees below those; it grows with the distinct grams of the corpus, not with its texts."""
+    """Rows (gram, m, logp) from (gram, n, m); depth is GROUP or more.
+
+    A group of grams with the same last three context bytes holds the subtrees below those; it grows with the distinct
+    grams of the corpus, not with its texts. Nodes of two context bytes are summed and weighted by Spark, and meet the
+    grams again beside the groups that need them.
+    """
+    if depth < GROUP:
+        raise ValueError(f"contexts have {GROUP} bytes or more")
     spark = grams.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = grams.select(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("g_"), "gram", "n", "m")
-    dealt = dealt.repartition("g_").sortWithinPartitions("g_")
+    byte = lambda k: F.shiftrightunsigned("gram", 8 * k).bitwiseAND(F.lit(0xFF))
+    bottom = grams.select(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("g_"), "gram", "n").filter("n > 0").repartition("g_").sortWithinPartitions("g_")
 
     def tops(batches):
-        for gram, n, _ in _groups(batches, CHUNK):
-            nodes, zeros, ones, log_below, _ = subtrees(gram.view(np.uint64), n, depth)[2]
-            if len(nodes):
-                yield pa.RecordBatch.from_arrays([pa.array((nodes & np.uint64(0xFFFF)).astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(log_below)], names=["node", "zeros", "ones", "below"])
+        for _, gram, n in _groups(batches, ("g_", "gram", "n"), CHUNK):
+            nodes, zeros, ones, below, _ = subtrees(gram.view(np.uint64), n, depth)[GROUP]
+            node, zeros, ones, below = _summed(nodes & np.uint64(0xFFFFFF), zeros, ones, below)
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], names=["node", "zeros", "ones", "below"])
+
+    sums = [F.sum(c).alias(c) for c in ("zeros", "ones", "below")]
 
-    upper = dealt.mapInArrow(tops, "node bigint, zeros bigint, ones bigint, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).orderBy("node").toPandas()  # at most 256 * 255 rows
+    def weigh(batches):
+        for b in batches:
+            node, zeros, ones, below = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "zeros", "ones", "below"))
+            log_p, share = _weighted(log_kt(zeros, ones), below)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, zeros, ones, log_p, share)], names=["node", "zeros", "ones", "below", "share"])
+
+    second = written(bottom.mapInArrow(tops, UPPER).groupBy("node").agg(*sums).mapInArrow(weigh, UPPER + ", share double"))
+    upper = second.groupBy(F.col("node").bitwiseAND(F.lit(0xFFFF)).alias("node")).agg(*sums).orderBy("node").toPandas()  # at most 256 * 255 rows
     nodes, zeros, ones = upper["node"].to_numpy(np.uint64), upper["zeros"].to_numpy(np.int64), upper["ones"].to_numpy(np.int64)
     first = nodes, zeros, ones, *_weighted(log_kt(zeros, ones), upper["below"].to_numpy(float))
     root, z, o, below = _summed(nodes & np.uint64(255), zeros, ones, first[3])
     shared = spark.sparkContext.broadcast({1: first, 0: (root, z, o, *_weighted(log_kt(z, o), below))})
 
+    # groups of a part in a run, behind the nodes of their two last bytes (in group -1 of the part)
+    part = lambda pair, salt: pair * F.lit(SALTS) + salt
+    rows = grams.select(part(F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(0xFFFF)), byte(3) % SALTS).alias("p_"), byte(3).alias("t_"), "gram", "n", "m", F.lit(0.0).alias("share"))
+    above = second.select(F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s_"), "*").select(part(F.shiftrightunsigned("node", 8), F.col("s_")).alias("p_"), F.lit(-1).cast("bigint").alias("t_"), F.col("node").alias("gram"), F.col("zeros").alias("n"), F.col("ones").alias("m"), "share")
+    dealt = rows.unionByName(above).withColumn("g_", F.col("p_") * 257 + F.col("t_") + 1).repartition("p_").sortWithinPartitions("g_", "gram")
+
     def fill(batches):
-        for gram, n, m in _groups(batches, CHUNK):
-            levels = subtrees(gram.view(np.uint64), n, depth) | shared.value
+        level = [np.zeros(0, np.int64)] * 5
+        for g, gram, n, m, share in _groups(batches, ("g_", "gram", "n", "m", "share"), CHUNK):
+            own = g % 257 == 0
+            # the nodes of the last part of the rows before still count
+            level = [np.concatenate((a[level[0] // 257 == g[0] // 257], b[own])) for a, b in zip(level, (g, gram, n, m, share), strict=True)]
+            if own.all():
+                continue
+            nodes, at = np.unique(level[1], return_index=True)
+            second = nodes.view(np.uint64), level[2][at], level[3][at], None, level[4][at]
+            gram, n, m = gram[~own], n[~own], m[~own]
+            levels = subtrees(gram.view(np.uint64), n, depth) | {2: second} | shared.value
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(m), pa.array(log_probabilities(gram.view(np.uint64), levels))], names=["gram", "m", "logp"])
 
     return dealt.mapInArrow(fill, "gram bigint, m bigint, logp double")
 
 
 class HashTable:
-    """Values of 64-bit keys, with linear probing over arrays."""
+    """Values of 64-bit keys, with linear probing over arrays; over the slots of another table, which can be sent as arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, filled: bool = False):
+        if filled:
+            self.keys, self.values, self.bits = keys, values, len(keys).bit_length() - 1
+            return
         self.bits = max(4, (3 * len(keys) // 2).bit_length())
         size = 1 << self.bits
         self.keys, self.values = np.full(size, _EMPTY, np.uint64), np.zeros(size)
@@ -285,11 +330,13 @@ def heaviest(rows: DataFrame, count: str, most: int) -> tuple[DataFrame, bool]:
     return rows.filter(F.col(count) >= F.lit(1 << (64 if least is None else least)).cast("decimal(20,0)")), False
 
 
-PARTS = "kind int, key bigint, doc_id bigint, held_out boolean, word binary, gram bigint, n bigint, n_tokens bigint, n_known bigint, base double, score double"
+PARTS = "kind int, key bigint, doc_id bigint, held_out boolean, word binary, gram bigint, n bigint, n_tokens bigint, n_bytes bigint, n_known bigint, base double, score double"
 
 
 def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", depth: int = DEPTH, heavy_grams: int = HEAVY_GRAMS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
-    """Rows (key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one for each row of docs.
+    """Rows (key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte), one for each row of docs.
+
+    score is the log10 probability of the whole text, bits_per_byte its code length over n_bytes, the bytes coded.
 
     Texts with a true held column are scored and not learned from. Null and empty texts are an end alone. Whole texts are
     learned and scored; repeated rows each count and each give a row; a null key stays null; other columns are not read.
@@ -309,11 +356,13 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
     known = dict(zip(picked.column("word").to_pylist(), picked.column("n").to_pylist(), strict=True))
     picked = top_grams.select("gram", "logp").toArrow()  # at most heavy_grams rows
     lookup = HashTable(picked.column("gram").to_numpy().view(np.uint64), picked.column("logp").to_numpy())
-    model = spark.sparkContext.broadcast((known, lookup, ends[0] if ends else 0))
+    # built-in types and arrays alone: workers have no copy of this code
+    model = spark.sparkContext.broadcast((known, lookup.keys, lookup.values, ends[0] if ends else 0))
     del known, lookup, picked
 
     def run(batches):
-        known, lookup, n_end = model.value
+        known, keys, values, n_end = model.value
+        lookup = HashTable(keys, values, filled=True)
         first, done = TaskContext.get().partitionId() << 33, 0
         end_score = math.log10(n_end + SMOOTHING) - log_all
         for split, ids, out in ((([words_of(t) for t in whole[p]]), b.column("doc_id")[p.start : p.stop], b.column("held_out")[p.start : p.stop]) for b in batches for whole in (byte_texts(b),) for p in slices([len(t) for t in whole])):
@@ -338,7 +387,7 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
                 rows["base"].append(float((np.log10(c + SMOOTHING) - log_all).sum()) + end_score)
             k = len(split)
             nothing = {"word": pa.nulls(k, pa.binary()), "gram": np.zeros(k, np.int64), "n": np.zeros(k, np.int64)}
-            yield {"kind": np.zeros(k, np.int32), "key": first + done + np.arange(k), "doc_id": ids, "held_out": out, "score": score_of, **rows, **nothing}
+            yield {"kind": np.zeros(k, np.int32), "key": first + done + np.arange(k), "doc_id": ids, "held_out": out, "score": score_of, "n_bytes": lengths, **rows, **nothing}
             if light_words:
                 keys, said, n = zip(*light_words, strict=True)
                 yield _light(1, keys, said, None, n)
@@ -354,7 +403,7 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
             done += k
 
     parts = written(per_batch(docs, run, PARTS), by="kind")
-    own = parts.filter("kind = 0").select("key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    own = parts.filter("kind = 0").select("key", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score")
     if not (all_words and all_grams):
         zero = F.lit(0.0)
         c = F.coalesce(words["n"], F.lit(0))
@@ -364,9 +413,9 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
         add_g = light_g.join(grams, light_g["g_"] == grams["gram"]).select("key", F.lit(0).cast("bigint").alias("known_"), zero.alias("base_"), (F.col("k_") * F.col("logp") / F.lit(math.log(10))).alias("score_"))
         adds = add_w.unionByName(add_g).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("known_", "base_", "score_")])
         own = own.join(adds, "key", "left").select(
-            "doc_id", "held_out", "n_tokens", *[(F.col(x) + F.coalesce(F.col(f"{y}_"), F.lit(0))).alias(x) for x, y in (("n_known", "known"), ("base", "base"), ("score", "score"))]
+            "doc_id", "held_out", "n_tokens", "n_bytes", *[(F.col(x) + F.coalesce(F.col(f"{y}_"), F.lit(0))).alias(x) for x, y in (("n_known", "known"), ("base", "base"), ("score", "score"))]
         )
-    return own.select(F.col("doc_id").alias(key), "held_out", "n_tokens", F.col("n_known").cast("bigint").alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return own.select(F.col("doc_id").alias(key), "held_out", "n_tokens", F.col("n_known").cast("bigint").alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score", "n_bytes", (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def _light(kind, keys, words, grams, n):
@@ -375,10 +424,11 @@ def _light(kind, keys, words, grams, n):
     return {
         "kind": np.full(k, kind, np.int32), "key": np.asarray(keys, np.int64), "doc_id": none(pa.int64()), "held_out": none(pa.bool_()),
         "word": none(pa.binary()) if words is None else pa.array(words, pa.binary()), "gram": none(pa.int64()) if grams is None else grams, "n": np.asarray(n, np.int64),
-        "n_tokens": none(pa.int64()), "n_known": none(pa.int64()), "base": none(pa.float64()), "score": none(pa.float64()),
+        "n_tokens": none(pa.int64()), "n_bytes": none(pa.int64()), "n_known": none(pa.int64()), "base": none(pa.float64()), "score": none(pa.float64()),
     }
 
 
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those outside the held-out tenth."""
     docs = table(spark, sf_dir, "documents").withColumn("held_", same_remainder(10, 0))
     return score(docs, "held_")
