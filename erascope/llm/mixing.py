@@ -2,8 +2,9 @@
 
 Rates r = exp(f . lambda) over the documents, f being a document's group indicators, are the ones closest to 1 in relative
 entropy (in words) that meet sum(size * r * f) = target for each group. The dual of that problem is convex; each Newton
-iteration is an aggregation of the (group, size) table on the executors. With one group for each document the Hessian is
-diagonal, so a step is a division by group and nothing is gathered on the driver but one number, the largest error.
+iteration is an aggregation over classes of like documents on the executors. balance() takes several families of groups,
+whose constraints are coupled through the Hessian; with one family, as in mix(), the Hessian is diagonal, so a step is a
+division by group and nothing is gathered on the driver but one number, the largest error.
 
 Rates are rounded into whole copies. Within a group, sizes are taken from large to small; the copies of a size keep the
 running sum of words as near to the running target as the bounds floor(r) and ceil(r) of each document allow, so the error
@@ -15,15 +16,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import release, table, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
-RANK_BUCKETS = 128
+#: Texts of one source and size are ranked in so many windows.
+RANK_BUCKETS = 1024
+MOST_CONSTRAINTS = 2000
 ITERATIONS = 60
 TOLERANCE = 1e-9
 
@@ -58,24 +62,93 @@ def capped_targets(sizes: DataFrame, group: str, weights: tuple[float, ...] = WE
 
 
 def balanced_rates(classes: DataFrame, targets: DataFrame, group: str, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Rows (group, source_size, target, rate) after Newton iterations on the dual, over classes (group, size, n).
+    """Rows (group, source_size, target, rate): Newton on the dual for one family of constraints, over classes (group, size, n).
 
-    Each iteration sums size * n * exp(lambda) by group, the gradient's and the Hessian's entry of the group, and moves
-    lambda by their quotient, damped to one unit; groups of no words keep rate 0.
+    The groups of one family are disjoint, so the Hessian is diagonal and its entries are the tilted sums themselves. Each
+    iteration aggregates size * n * exp(lambda) over the classes by group and moves lambda by gradient over Hessian, at
+    most one unit; the state is a table of one row for each group and never leaves Spark. Groups without words or with a
+    target of 0 have rate 0. An error is raised if the constraints are not met after so many iterations.
     """
-    words = classes.groupBy(group).agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("s_"))
-    state = written(targets.join(words, targets[group].eqNullSafe(words[group])).select(targets[group], "source_size", "target", "s_", F.lit(0.0).alias("lambda_")))
+    mass = classes.select(F.col(group), (F.col("size") * F.col("n")).cast("double").alias("s_"))
+    state = written(targets.select(group, "source_size", "target", F.lit(0.0).alias("lambda_"), F.lit(None).cast("double").alias("error_")))
     for _ in range(iterations):
-        tilted = F.col("s_") * F.exp("lambda_")
-        step = F.when((F.col("s_") > 0) & (F.col("target") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tilted) / tilted))).otherwise(0.0)
-        # ten Newton steps to a job: the rows of the state are independent given the class sums
-        for _ in range(10):
-            state = state.withColumn("lambda_", F.col("lambda_") + step)
-        state = written(state)
-        error = state.select(F.max(F.abs(F.col("s_") * F.exp("lambda_") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))).first()[0]
+        now = state.select(F.col(group).alias("g2_"), "lambda_")
+        tilted = mass.join(now, mass[group].eqNullSafe(now["g2_"])).groupBy("g2_").agg(F.sum(F.col("s_") * F.exp("lambda_")).alias("tilted_"))
+        bound = (F.col("tilted_") > 0) & (F.col("target") > 0)
+        gradient = F.col("target") - F.col("tilted_")
+        step = F.when(bound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gradient / F.col("tilted_")))).otherwise(0.0)
+        moved = state.join(tilted, state[group].eqNullSafe(tilted["g2_"]), "left").select(group, "source_size", "target", (F.col("lambda_") + step).alias("lambda_"), F.when(bound, F.abs(gradient) / F.col("target")).otherwise(0.0).alias("error_"))
+        before, state = state, written(moved)
+        release(before)
+        error = state.select(F.max("error_")).first()[0]
         if error is None or error <= tolerance:
             break
-    return state.select(group, "source_size", "target", F.when((F.col("s_") > 0) & (F.col("target") > 0), F.exp("lambda_")).otherwise(0.0).alias("rate"))
+    else:
+        raise RuntimeError(f"the mix misses its targets by {error:.1e} after {iterations} iterations")
+    return state.select(group, "source_size", "target", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.exp("lambda_")).otherwise(0.0).alias("rate"))
+
+
+def balance(docs: DataFrame, families: dict[str, dict], size: str = "size", iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs with rate: the rates closest to 1 in relative entropy that meet several families of constraints at once.
+
+    families: {column: {group: target words}}; the targets of each family share one total, and each names all groups with
+    words. A rate is exp of the sum of its document's multipliers, one from each family. Documents are summed into classes
+    of equal groups once; then each Newton iteration is one aggregation of the tilted classes by pairs of constraints,
+    which is the Hessian (its diagonal is the gradient's sum), and one solve on the driver of at most MOST_CONSTRAINTS
+    unknowns, with the step halved while the dual grows. Targets that no rates meet, or a group without one, are an error.
+
+    A null group is a group (None); documents of size 0 or null get a rate and weigh nothing; repeated rows each count; an
+    empty table gives an empty result; a column rate is replaced.
+    """
+    names, spark = list(families), docs.sparkSession
+    index = {(f, g): i for i, (f, g) in enumerate((f, g) for f in names for g in families[f])}
+    if len(index) > MOST_CONSTRAINTS:
+        raise ValueError(f"{len(index)} constraints, more than {MOST_CONSTRAINTS}")
+    target = np.array([float(families[f][g]) for f, g in index])
+    totals = [sum(families[f].values()) for f in names]
+    if max(totals) - min(totals) > 1e-9 * max(totals):
+        raise ValueError(f"the families' targets have unlike totals: {totals}")
+    known = spark.createDataFrame([(f, None if g is None else str(g), i) for (f, g), i in index.items()], "f_ string, g_ string, i_ int")
+    placed = docs.select(F.struct(*[c for c in docs.columns if c != "rate"]).alias("doc_"))
+    for k, f in enumerate(names):
+        own = F.broadcast(known.filter(F.col("f_") == f).select(F.col("g_").alias(f"g{k}_"), F.col("i_").alias(f"i{k}_")))  # a row for each group of a family
+        placed = placed.join(own, F.col("doc_")[f].cast("string").eqNullSafe(F.col(f"g{k}_")), "left").drop(f"g{k}_")
+    at = [f"i{k}_" for k in range(len(names))]
+    classes = written(placed.groupBy(*at).agg(F.sum(F.coalesce(F.col("doc_")[size], F.lit(0)).cast("double")).alias("s_")).filter("s_ > 0"))
+    if classes.filter(" or ".join(f"{i} is null" for i in at)).limit(1).count():
+        raise ValueError("a group with words has no target")
+    pairs = F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(at) for b in at[i:]]))
+
+    def tilted(multipliers):
+        """(dual, gradient, Hessian) at the multipliers, from one job over the classes."""
+        of = F.array(*[F.lit(float(x)) for x in multipliers])
+        w = F.col("s_") * F.exp(sum((F.get(of, F.col(i)) for i in at), F.lit(0.0)))
+        got = classes.select(pairs.alias("p_"), w.alias("w_")).groupBy("p_.a", "p_.b").agg(F.sum("w_").alias("w_")).collect()  # at most a row for each pair of constraints
+        h = np.zeros((len(index), len(index)))
+        for r in got:
+            h[r["a"], r["b"]] = h[r["b"], r["a"]] = r["w_"]
+        mass = np.diag(h).copy()
+        first = sum(mass[i] for (f, _), i in index.items() if f == names[0])
+        return first - target @ multipliers, target - mass, h
+
+    multipliers = np.zeros(len(index))
+    dual, gradient, hessian = tilted(multipliers)
+    for _ in range(iterations):
+        if np.all(np.abs(gradient) <= tolerance * np.maximum(target, 1.0)):
+            break
+        step = np.linalg.pinv(hessian, rcond=1e-12, hermitian=True) @ gradient  # singular: the families share a total
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+        while True:
+            dual_, gradient_, hessian_ = tilted(multipliers + step)
+            if dual_ <= dual + 1e-9 * abs(dual) or np.abs(step).max() < 1e-12:
+                break
+            step /= 2
+        multipliers, dual, gradient, hessian = multipliers + step, dual_, gradient_, hessian_
+    else:
+        raise RuntimeError(f"the mix misses its targets by {np.abs(gradient).max():.1e} words after {iterations} iterations")
+    release(classes)
+    of = F.array(*[F.lit(float(x)) for x in multipliers])
+    return placed.withColumn("rate", F.exp(sum((F.coalesce(F.get(of, F.col(i)), F.lit(0.0)) for i in at), F.lit(0.0)))).select("doc_.*", "rate")
 
 
 def _copies_of_sizes(pdf):
@@ -100,7 +173,7 @@ def copies_of(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     sized = sized.select("doc_", "key_", F.coalesce(F.concat(F.lit("s"), F.col("g_")), F.lit("n")).alias("gk_"), "g_", "size", bucket.alias("b_"))
     # counts of (group, size, bucket): every later sum and rank starts from here
     cells = written(sized.groupBy("gk_", "g_", "size", "b_").agg(F.count("*").alias("n")))
-    classes = cells.groupBy("gk_", "g_", "size").agg(F.sum("n").alias("n"))
+    classes = written(cells.groupBy("gk_", "g_", "size").agg(F.sum("n").alias("n")))
     totals = classes.groupBy("g_").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rates = written(balanced_rates(classes, capped_targets(totals, "g_", weights, cap), "g_"))
     rates = rates.select(F.coalesce(F.concat(F.lit("s"), F.col("g_")), F.lit("n")).alias("gk_"), "source_size", "target", "rate")
@@ -118,8 +191,8 @@ def mix(docs: DataFrame, group: str = "source", text: str = "text", key: str = "
     """docs with size, source_size, target, rate and copies (how often the mix takes the document, whole).
 
     Null texts have size 0 and are taken once at no cost. A null group is a group of its own, the last. A null key is
-    hashed like any other value; repeated rows are documents of their own. An empty table gives an empty result. Columns
-    of docs by the names of the new ones are replaced.
+    hashed like any other value; repeated rows are documents of their own. Very long texts are counted whole. An empty
+    table gives an empty result. Columns of docs by the names of the new ones are replaced.
     """
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
     sized = docs.select(F.struct(*keep).alias("doc_"), F.col(key).alias("key_"), F.col(group).cast("string").alias("g_"), word_count(F.col(text)).alias("size"))
@@ -127,6 +200,7 @@ def mix(docs: DataFrame, group: str = "source", text: str = "text", key: str = "
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     docs = table(spark, sf_dir, "documents")
     # the texts are read once, for their sizes; ranks and copies need no more
     sized = written(docs.select(F.struct("doc_id").alias("doc_"), F.col("doc_id").alias("key_"), F.col("source").alias("g_"), word_count(F.col("text")).alias("size")))
