@@ -10,12 +10,10 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .common import LOWER, small_batches, table
 
@@ -23,6 +21,9 @@ SHINGLE = 5
 FRACTION = 8
 BITS = 32 + FRACTION.bit_length() - 1
 MEMO = 400_000
+#: A bucket of the order holds about so many documents, unless there would be more than BUCKETS of them.
+BUCKET_ROWS = 4096
+BUCKETS = 20_000
 
 
 class Sketcher:
@@ -40,9 +41,9 @@ class Sketcher:
             h = self.words[w] = xxhash.xxh64_intdigest(w, 0)
         return h
 
-    def hashes(self, text: str) -> np.ndarray:
-        """Distinct hashes of the text's shingles, ascending; fewer words than a shingle are one."""
-        w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    def shingles(self, text: bytes) -> np.ndarray:
+        """64-bit hashes of the shingles of a UTF-8 text in order; fewer words than a shingle are one."""
+        w = text.translate(LOWER).split()
         if not w:
             return np.zeros(0, np.uint64)
         h = np.fromiter(map(self._word, w), np.uint64, len(w))
@@ -55,7 +56,11 @@ class Sketcher:
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
-        return np.unique(x >> np.uint64(64 - BITS))
+        return x
+
+    def hashes(self, text: str) -> np.ndarray:
+        """Distinct hashes of the text's shingles, of BITS bits, ascending."""
+        return np.unique(self.shingles(text.encode("utf-8", "surrogatepass")) >> np.uint64(64 - BITS))
 
     def sketch(self, text: str) -> np.ndarray:
         """Hashes below the threshold; where there is none, the least one, which is above."""
@@ -100,36 +105,35 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 def with_next(docs: DataFrame, fn, schema: str, text: str = "text", key: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """fn over an iterator of (key, text, next text), documents in descending order of key, the first following the last.
 
-    Documents are dealt once, to buckets between quantiles of the key; the head of each bucket, one row, is sent to the
-    bucket before it as well. Rows of equal keys go by a hash of the text, then the text; null keys come last.
+    Documents are dealt once, to buckets between quantiles of the key, a task each; the head of each bucket, one row, is
+    sent to the bucket before it as well. Rows of equal keys go by a hash of the text, then the text; null keys come last.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    n = buckets or max(16, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col(key).cast("bigint").alias("k_"))
+    n = buckets or min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // BUCKET_ROWS)))
     splits = ids.approxQuantile("k_", [i / n for i in range(1, n)], max(0.2 / n, 1e-4)) if n > 1 else []
     splits = sorted({math.floor(x) for x in splits})
-    shared = spark.sparkContext.broadcast(np.array(splits, np.int64))  # one number for each bucket
-
-    @F.pandas_udf(LongType())
-    def place(k: pd.Series) -> pd.Series:
-        return pd.Series(len(shared.value) - np.searchsorted(shared.value, k.to_numpy(np.int64), side="left"))
-
-    bucket = F.when(F.col("k_").isNull(), len(splits) + 1).otherwise(place(F.coalesce("k_", F.lit(0))))
+    # how many splits are below the key, from every so manieth one first
+    step = max(1, math.isqrt(len(splits)))
+    below = lambda some: F.size(F.filter(some, lambda s: s < F.col("k_")))
+    literal = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs]).cast("array<bigint>")
+    coarse = F.greatest((below(literal(splits[::step])) - 1) * step, F.lit(0))
+    place = F.lit(len(splits)) - (coarse + below(F.slice(literal(splits), coarse + 1, F.lit(step))))
+    bucket = F.when(F.col("k_").isNull(), len(splits) + 1).otherwise(place).cast("int")
     dealt = docs.select(F.col(key).cast("bigint").alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("b_", bucket)
     heads = {r["b_"]: r["m_"] for r in ids.withColumn("b_", bucket).groupBy("b_").agg(F.max("k_").alias("m_")).collect()}  # one row for each bucket
     order = sorted(heads)
     before = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the head of the first bucket follows the last
-    named = F.broadcast(spark.createDataFrame(before, "head_ bigint, b_ bigint"))  # one row for each bucket
+    named = F.broadcast(spark.createDataFrame(before, "head_ bigint, b_ int"))  # one row for each bucket
     first = F.min(F.struct(F.xxhash64("t_").alias("h"), F.col("t_").alias("t"))).alias("f_")
     ghosts = dealt.drop("b_").join(named, F.col("k_").eqNullSafe(F.col("head_"))).groupBy("k_", "b_").agg(first)
     ghosts = ghosts.select("k_", F.col("f_.t").alias("t_"), "b_", F.lit(1).alias("g_"))
-    rows = dealt.withColumn("g_", F.lit(0)).unionByName(ghosts).repartition("b_").sortWithinPartitions(F.col("b_"), F.col("g_"), F.col("k_").desc_nulls_last(), F.xxhash64("t_"), F.col("t_"))
+    rows = dealt.withColumn("g_", F.lit(0)).unionByName(ghosts).repartitionById(len(splits) + 2, "b_").sortWithinPartitions(F.col("b_"), F.col("g_"), F.col("k_").desc_nulls_last(), F.xxhash64("t_"), F.col("t_"))
 
     def run(batches):
         def pairs_of():
             now = None
-            for b in batches:
+            for b in small_batches(batches):
                 for k, t, bucket_, g in zip(*(b.column(c).to_pylist() for c in ("k_", "t_", "b_", "g_")), strict=True):
                     if now is not None and now[2] == bucket_:
                         yield now[0], now[1], t
@@ -165,23 +169,16 @@ def _compare(triples):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in EDITED.split(", ")])
 
 
-def fingerprint_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (key, fingerprint), one for each row of docs; equal texts have equal fingerprints, texts without words (null and
-    empty ones too) an empty one. Whole texts; repeated rows each give a row; other columns are not read."""
-    from .common import per_batch, texts
-
-    def run(batches):
-        sketcher = Sketcher(shingle)
-        for b in batches:
-            yield {key: b.column(key), "fingerprint": [as_text(sketcher.sketch(t)) for t in texts(b, text)]}
-
-    return per_batch(docs.select(key, text), run, f"`{key}` bigint, fingerprint string")
-
-
 def compare_with_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document (EDITED)."""
+    """Each document's fingerprint beside those of its edited text and of the next document (EDITED), one row for each row.
+
+    Null texts are empty; texts without words have an empty fingerprint and are like each other. Repeated rows and equal keys
+    are documents that follow one another; those of a null key follow last. A lone document follows itself. Whole texts are
+    read; other columns are not; an empty table gives an empty result.
+    """
     return with_next(docs, _compare, EDITED, text, key)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against those of its edited text and of the next document."""
     return compare_with_edited(table(spark, sf_dir, "documents"))

@@ -134,4 +134,5 @@ def count_tokens(docs: DataFrame, pieces: Iterable[tuple[str, float]] | None = N
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"))
