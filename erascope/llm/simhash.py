@@ -11,9 +11,13 @@ Wider segments bound less tightly: at eight bits the cells of real texts hold so
 with the square of the input; at two bits a cell of three blocks in seven holds about one in a million.
 
 Only distinct fingerprints enter the join, so exact copies cost nothing. A cell's fingerprints are searched breadth-first
-from the not yet reached, which gives a spanning forest of the cell's links and never all its pairs; a cell of more than
-CELL fingerprints is dealt out as all pairs of its parts of CELL / 2, so no task holds more than that. The forests of all
+from the not yet reached, which gives a spanning forest of the cell's links and never all its pairs. The forests of all
 cells have the same connected components as all links.
+
+A cell of more than CELL fingerprints is cut by the same rule once more: the segments are dealt to FINE further blocks, of
+which links agree in FINE - RADIUS, so each of its fingerprints goes to 70 smaller cells. Fingerprints that still share one
+agree in some 45 bits and are at most 2 ** 19; such a cell is dealt out as all pairs of its parts of CELL / 2. So a task
+holds CELL fingerprints at most, and what a fingerprint is entered under does not grow with the table.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, per_batch, table, written
+from .common import LOWER, byte_texts, per_batch, release, table, written
 
 RADIUS = 4
 BLOCKS = 7
+FINE = 8
 CELL = 16384
 SEED = 42
 _ODD = 0x5555555555555555
@@ -49,6 +53,11 @@ def fingerprint(text: bytes, words: int = 4) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest, seed = xxhash.xxh64_intdigest, SEED
         h = np.fromiter([digest(line[a:b], seed) for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64, len(w) - words + 1)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half the hashes."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -67,8 +76,16 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     """Signed masks over the fingerprint's segments, one for each choice of blocks that must agree."""
-    dealt = [sum(3 << (2 * s) for s in range(32) if s * blocks // 32 == b) for b in range(blocks)]
-    masks = [sum(c) for c in combinations(dealt, blocks - radius)]
+    return _masks([sum(3 << (2 * s) for s in range(32) if s * blocks // 32 == b) for b in range(blocks)], radius)
+
+
+def fine_masks(blocks: int = FINE, radius: int = RADIUS) -> list[int]:
+    """The same for blocks that take every so manieth segment, so that they cut those of block_masks."""
+    return _masks([sum(3 << (2 * s) for s in range(32) if s % blocks == b) for b in range(blocks)], radius)
+
+
+def _masks(dealt: list[int], radius: int) -> list[int]:
+    masks = [sum(c) for c in combinations(dealt, len(dealt) - radius)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -160,28 +177,34 @@ def _search(batches, radius):
         yield edges(*kept)
 
 
+def _apart(entered: DataFrame, cell: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of cells of at most so many, rows of larger ones with the number p_ of their parts; None if there are none)."""
+    half = max(1, cell // 2)
+    large = entered.groupBy("t", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
+    large = written(large.select("t", "cell", F.ceil(F.col("n") / half).cast("int").alias("p_")))
+    if large.isEmpty():
+        return entered, None
+    joined = entered.join(large, ["t", "cell"], "left")
+    return joined.filter(F.col("p_").isNull()), joined.filter(F.col("p_").isNotNull())
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """Links (a, b), a < b, with the connected components of all links among the distinct fingerprints (fp) given."""
-    spark = distinct.sparkSession
     half = F.shiftrightunsigned("fp", 1)
     counts = F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(F.lit(_ODD)), 1).bitwiseOR(F.col("fp").bitwiseXOR(half).bitwiseAND(F.lit(_ODD)))
     masks = F.array(*[F.lit(m) for m in block_masks(blocks, radius)])
-    entered = distinct.select("fp", counts.alias("c_"), F.posexplode(masks).alias("t", "m_")).select("fp", F.col("t").cast("int"), F.col("c_").bitwiseAND(F.col("m_")).alias("cell"))
-    entered = written(entered)
-    # cells of more than so many fingerprints: their parts of half that size meet two by two
-    large = entered.groupBy("t", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
-    half = max(1, cell // 2)
-    large = written(large.select("t", "cell", F.ceil(F.col("n") / half).cast("int").alias("p_")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    if large.isEmpty():
-        dealt = entered.select("t", "cell", F.lit(0).alias("part"), "fp")
-    else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("p_")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("p_") - 1), lambda o: F.least(o, F.col("mine_")) * F.col("p_") + F.greatest(o, F.col("mine_")))
-        joined = entered.join(large, ["t", "cell"], "left")
-        dealt = joined.filter(F.col("p_").isNull()).select("t", "cell", F.lit(0).alias("part"), "fp").unionByName(
-            joined.filter(F.col("p_").isNotNull()).withColumn("mine_", mine).select("t", "cell", F.explode(pairs).alias("part"), "fp")
-        )
+    entered = written(distinct.select("fp", counts.alias("c_"), F.posexplode(masks).alias("t", "m_")).select("fp", F.col("t").cast("int"), F.col("c_").bitwiseAND(F.col("m_")).alias("cell")))
+    small, large = _apart(entered, cell)
+    dealt = small.select("t", "cell", F.lit(0).alias("part"), "fp")
+    if large is not None:
+        fine = F.array(*[F.lit(m) for m in fine_masks(radius=radius)])
+        finer = written(large.withColumn("c_", counts).select("fp", "t", "cell", "c_", F.posexplode(fine).alias("f_", "m_")).select("fp", F.col("t"), F.xxhash64("t", "cell", "f_", F.col("c_").bitwiseAND(F.col("m_"))).alias("cell")))
+        small, large = _apart(finer, cell)
+        dealt = dealt.unionByName(small.select("t", "cell", F.lit(0).alias("part"), "fp"))
+        if large is not None:  # parts of half the size meet two by two
+            mine = F.pmod(F.xxhash64("fp"), F.col("p_")).cast("int")
+            pairs = F.transform(F.sequence(F.lit(0), F.col("p_") - 1), lambda o: F.least(o, F.col("mine_")) * F.col("p_") + F.greatest(o, F.col("mine_")))
+            dealt = dealt.unionByName(large.withColumn("mine_", mine).select("t", "cell", F.explode(pairs).alias("part"), "fp"))
     dealt = dealt.repartition("t", "cell", "part").sortWithinPartitions("t", "cell", "part")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -193,12 +216,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Rows (node, component): the smallest node reachable, for all nodes of the edges (a, b).
 
     Large-star and small-star in turn until no edge changes, O(log^2) rounds; each is an aggregation to the smallest
     neighbour and a join back on the node, in which Spark can split a node of very many neighbours. Each round is written,
-    which cuts the lineage.
+    which cuts the lineage. Edges that have not settled after max_rounds are an error, never a partial result.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     said = None
@@ -211,18 +234,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # each smaller neighbour of u, and u, are joined to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = written(small)
+        before, edges = edges, written(small)
+        release(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == said or now[0] == 0:
             break
         said = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """Rows (key, fp, component_id, n_links), one for each row of docs; component_id is the smallest key reachable.
+    """Rows (key, fp, component_id), one for each row of docs; component_id is the smallest key reachable.
 
-    n_links counts the links that reach the fingerprint in the spanning forest. Null and empty texts have fingerprint
+    Null and empty texts have fingerprint
     zero and link like any other; repeated rows and equal texts share a fingerprint and so a component. A null key is
     never the smallest; a component of null keys alone has a null id. An empty table gives an empty result. Other columns
     of docs are not read.
@@ -235,20 +261,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     # components are many and small as a rule; one that is not is summed on the map side first
     ids = of.groupBy("c_").agg(F.min("least_").alias("component_id"))
     of = of.join(ids, "c_").select("fp", "component_id")
-    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    of = of.join(ends, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(of, "fp").select(key, "fp", "component_id", "n_links")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose component has a smaller key; all columns stay.
-
-    Of rows with equal keys all stay or go together. Rows with a null key stay, since no key names the one to keep.
-    """
-    gone = near_duplicates(docs, text, key).filter(F.col(key).isNotNull() & (F.col("component_id") < F.col(key))).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return prints.join(of, "fp").select(key, "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id that its links reach."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
