@@ -35,7 +35,8 @@ _KEEP = bytes(LOWER[c] if c >= 128 or 97 <= LOWER[c] <= 122 else 32 for c in ran
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Whether a character of the Unicode categories L* is in it; digits, numerals such as Ⅷ or ½ and signs are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def ngram_counts(text: str) -> np.ndarray:
@@ -130,12 +131,11 @@ def identified(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     With nothing learned there is nothing to decode, and only the first two go. A text of no clear language stays.
     """
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
         languages, code, weights = shared.value
-        for b in batches:
+        for b in small_batches(batches):
             keep = []
             for t in (x or "" for x in b.column(at).to_pylist()):
                 ok = has_letter(t)

@@ -1,18 +1,17 @@
-"""Near-duplicate documents by word-shingle similarity: SimHash cells first, then an exact prefix join for the rest.
-
-Links of a few bits find copies that hardly differ. A resemblance of SIMILARITY on shingles of five words shows as up to
-RADIUS of 128 bits, too many for every choice of agreeing blocks. Here the segments have one bit (their bit counts are the
-bits, and Manhattan is Hamming distance), and the cells are TABLES fixed draws of CELL_BITS segments. They name most pairs
-cheaply, but no draw names all: their verified links only join what is easily joined.
-
-The pairs across the components so far come from a prefix join, which misses none. Each set of n shingles is put in one
-order for all documents, rare shingles first, and entered under its first n - SIMILARITY * n + 1; two sets that resemble
-by SIMILARITY share an entry, and at their first common one each has enough shingles left for the overlap that they need.
-Pairs that have not are dropped in the cell. The order comes from counts in a sample of the documents: it decides how
-many pairs are named, never which links are found.
-
-All named pairs are verified exactly on their whole texts' shingle sets, so the links connect what brute force connects,
-and no pair below SIMILARITY is linked (but for collisions of 64-bit shingle hashes).
+"""Near-duplicate documents by word-shingle similarity: the SimHash grid first, then an exact prefix join for the rest.
+
+Links of a few bits find copies that hardly differ: the grid join of simhash.links() names them over the fingerprints of
+distinct shingles. A resemblance of SIMILARITY on shingles of five words shows as up to 13 of 64 bits, which no choice of
+agreeing segments reaches, so the pairs across the components so far come from a prefix join, which misses none. Each set
+of n shingles is put in one order for all documents, rare shingles first, and entered under its first
+n - SIMILARITY * n + 1; two sets that resemble by SIMILARITY share an entry, and at their first common one each has enough
+shingles left for the overlap that they need. Pairs that have not are dropped in the cell. The order comes from counts in a
+sample of the documents: it decides how many pairs are named, never which links are found.
+
+The prefix join runs twice. First each document of a cell outside the cell's largest group meets one document of that group,
+which joins most families; then all pairs that are still apart meet. All named pairs are verified exactly on their whole
+texts' shingle sets, so the links connect what brute force connects, and no pair below SIMILARITY is linked (but for
+collisions of 64-bit shingle hashes). Only equal sets merge unseen.
 """
 
 from __future__ import annotations
@@ -25,54 +24,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, per_batch, written
+from . import simhash
+from .common import byte_texts, per_batch, release, written
+from .fingerprints import Sketcher
 from .simhash import components
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 30
-TIGHT = 16
-TABLES = 96
-CELL_BITS = 18
-SEED = 5
 #: Cells of more rows are dealt out in parts.
 CELL = 16384
 #: Shingles of about so many documents are counted for the order of the prefix join; the most frequent are told apart.
-SAMPLE = 1 << 15
+SAMPLE = 1 << 14
 FREQUENT = 200_000
 #: Ids up to this many are sent to every task; beyond, they are joined.
 FEW_IDS = 1_000_000
 
 
-def _shingles(text: bytes, words: int) -> list[bytes]:
-    w = text.translate(LOWER).split()
-    if not w:
-        return []
-    line = b" ".join(w)
-    if len(w) <= words:
-        return [line]
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return [line[a:b] for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-
-
-def wide_fingerprint(text: bytes, words: int = WORDS) -> tuple[int, int]:
-    """128 bits as two signed numbers; a bit is 1 if set in over half the hashes of the distinct shingles, so that the
-    distance estimates the resemblance of the sets and repeated lines weigh no more than others."""
-    digest = xxhash.xxh3_128_digest
-    h = [digest(s) for s in set(_shingles(text, words))]
-    if not h:
-        return 0, 0
-    votes = np.zeros(128, np.int64)
-    for i in range(0, len(h), 1 << 15):
-        votes += np.unpackbits(np.frombuffer(b"".join(h[i : i + (1 << 15)]), np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(votes * 2 > len(h)).view(">i8").tolist()
-    return a, b
-
-
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in set(_shingles(text, words))], np.uint64))
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles; of none, zero."""
+    return simhash.majority(hashes) if len(hashes) else 0
 
 
 def _set_name(hashes: np.ndarray) -> tuple[int, int]:
@@ -81,86 +51,16 @@ def _set_name(hashes: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def table_masks(tables: int = TABLES, bits: int = CELL_BITS) -> list[tuple[int, int]]:
-    rng = np.random.default_rng(SEED)
-    out = []
-    for _ in range(tables):
-        m = sum(1 << int(k) for k in rng.choice(128, bits, replace=False))
-        out.append(tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (m >> 64, m & ((1 << 64) - 1))))
-    return out
-
-
-def _distance(a, b, i, j):
-    return np.bitwise_count(a[i] ^ a[j]).astype(np.int64) + np.bitwise_count(b[i] ^ b[j])
-
-
-def _forest(a: np.ndarray, b: np.ndarray, radius: int):
-    """Edges of a spanning forest of the pairs at most radius apart."""
-    left, out_i, out_j = np.arange(len(a)), [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            u = queue.pop()
-            near = _distance(a, b, np.full(1, u), left) <= radius
-            if near.any():
-                found, left = left[near], left[~near]
-                out_i.append(np.full(len(found), u))
-                out_j.append(found)
-                queue.extend(found.tolist())
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
-
-
-def _candidates(batches, radius, tight):
-    """Pairs of ids within the cells of rows sorted by (cell, id): all pairs of small cells; of larger ones a forest of
-    the close pairs and one of all, so that a group hangs together by its closest members. A forest starts from the least
-    id, so the cells of one large group mostly name the same pairs."""
-    kept = None
-
-    def pairs(cell, a, b, id_):
-        starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
-        size = np.diff(starts)
-        left, right = [], []
-        for s in np.unique(size[(size > 1) & (size <= 4)]):
-            base = starts[:-1][size == s]
-            for i in range(s):
-                for j in range(i + 1, s):
-                    near = _distance(a, b, base + i, base + j) <= radius
-                    left.append(id_[base[near] + i])
-                    right.append(id_[base[near] + j])
-        for k in np.flatnonzero(size > 4):
-            at = slice(starts[k], starts[k + 1])
-            for r in (tight, radius):
-                i, j = _forest(a[at], b[at], r)
-                left.append(id_[at][i])
-                right.append(id_[at][j])
-        if not left:
-            return None
-        x, y = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
-
-    for batch in batches:
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "fa", "fb", "id")]
-        if kept is not None:
-            cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        kept = [x[cut:] for x in cols]
-        if cut:
-            yield pairs(cols[0][:cut], cols[1][:cut].view(np.uint64), cols[2][:cut].view(np.uint64), cols[3][:cut])
-    if kept is not None:
-        yield pairs(kept[0], kept[1].view(np.uint64), kept[2].view(np.uint64), kept[3])
-
-
 def prefix_length(n: int, similarity: float) -> int:
     """How many of n ordered shingles a set enters: one more than it can lack of an overlap that any link needs."""
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _across(batches, similarity: float):
+def _across(batches, similarity: float, whole: bool = True):
     """Pairs of ids of unlike groups within the cells of rows sorted by cell, if enough of both sets is left after it.
 
-    The rows outside a cell's largest group meet all others. rest is the number of a set's ordered shingles from the
-    cell's on.
+    The rows outside a cell's largest group meet all others or, unless whole, one of that group. rest is the number of a
+    set's ordered shingles from the cell's on.
     """
     share = similarity / (1 + similarity)
     kept = None
@@ -185,9 +85,9 @@ def _across(batches, similarity: float):
             names, of, count = np.unique(group[at], return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
-            outside = at[of != count.argmax()]
+            outside, top = at[of != count.argmax()], at[of == count.argmax()]
             for i in outside:
-                j = at[linkable(np.full(1, i), at)]
+                j = at[linkable(np.full(1, i), at)] if whole else top[linkable(np.full(1, i), top)][:1]
                 left.append(np.full(len(j), id_[i]))
                 right.append(id_[j])
         if not left:
@@ -213,8 +113,9 @@ def _frequent(docs: DataFrame, text: str, key: str, words: int) -> tuple[np.ndar
     step = max(1, docs.count() // SAMPLE)
 
     def run(batches):
+        sketcher = Sketcher(words)
         for b in batches:
-            sets = [shingle_set(t, words) for t in byte_texts(b, text)]
+            sets = [np.unique(sketcher.shingles(t)) for t in byte_texts(b, text)]
             yield {"s": np.concatenate(sets).view(np.int64) if sets else []}
 
     some = docs.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).select(text)
@@ -253,26 +154,6 @@ def _some(df: DataFrame, cell: int) -> tuple[DataFrame, int]:
     return df.filter(F.pmod(F.xxhash64("id", F.lit("some")), F.lit(step)) == 0), step
 
 
-def near_cells(distinct: DataFrame, cell: int = CELL) -> DataFrame:
-    """Rows (cell, fa, fb, id): the fingerprints' SimHash cells.
-
-    The parts of a large cell are cells of their own, and each holds also one row of all the cell, which holds the parts
-    together; what that leaves apart is for the prefix join.
-    """
-    cells = F.array(*[F.xxhash64(F.lit(t), F.col("fa").bitwiseAND(F.lit(x)), F.col("fb").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(table_masks())])
-    some, step = _some(distinct, cell)
-    large = some.select(F.explode(cells).alias("cell"), F.struct("id", "fa", "fb").alias("r")).groupBy("cell").agg((F.count("*") * step).alias("m_"), F.min("r").alias("first_"))
-    large = written(large.filter(F.col("m_") > cell).select("cell", F.ceil(F.col("m_") / max(1, cell // 2)).cast("int").alias("p_"), "first_"))
-    entered = distinct.select(F.explode(cells).alias("cell"), "fa", "fb", "id")
-    if large.isEmpty():
-        return entered
-    part = lambda p: F.xxhash64("cell", p.cast("int")).alias("cell")
-    entered = entered.join(F.broadcast(large), "cell", "left").filter(F.col("p_").isNull() | (F.col("id") != F.col("first_.id")))
-    own = entered.withColumn("cell", F.when(F.col("p_").isNull(), F.col("cell")).otherwise(part(F.pmod(F.xxhash64("id"), F.col("p_")))))
-    first = large.select("cell", "first_", F.explode(F.sequence(F.lit(0), F.col("p_") - 1)).alias("o_")).select(part(F.col("o_")), "first_.fa", "first_.fb", "first_.id")
-    return own.select("cell", "fa", "fb", "id").unionByName(first)
-
-
 def across_cells(grouped: DataFrame, cell: int = CELL) -> DataFrame:
     """grouped with the rows of large cells dealt to cells of their parts, such that all pairs of unlike groups still meet.
 
@@ -297,47 +178,43 @@ def across_cells(grouped: DataFrame, cell: int = CELL) -> DataFrame:
     return grouped.join(F.broadcast(large), "cell", "left").withColumn("to_", to).select(F.explode("to_").alias("cell"), "id", "group", "n", "rest")
 
 
-def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(representatives (key, least): each document with the smallest key of its shingle set; verified links (a, b) among
     those smallest keys, enough to connect all that are linked). Rows with a null key are left out."""
     docs = docs.filter(F.col(key).isNotNull())
-    spark = docs.sparkSession
-
-    frequent = spark.sparkContext.broadcast(_frequent(docs, text, key, words))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, key, words))
 
     def prints(batches):
+        sketcher = Sketcher(words)
         for b in batches:
-            all_ = byte_texts(b, text)
-            sets = [shingle_set(t, words) for t in all_]
-            f = [wide_fingerprint(t, words) + _set_name(s) for t, s in zip(all_, sets, strict=True)]
-            firsts = [_prefix(s, frequent.value, similarity) for s in sets]
-            yield {key: b.column(key)} | {n: [x[i] for x in f] for i, n in enumerate(("fa", "fb", "sa", "sb"))} | {"n_": [len(s) for s in sets], "prefix_": firsts}
-
-    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fa bigint, fb bigint, sa bigint, sb bigint, n_ bigint, prefix_ array<bigint>"))
-    # only equal sets merge unseen; unlike sets of one fingerprint meet in every cell and are checked like other candidates
-    distinct = written(found.groupBy("sa", "sb").agg(F.min(key).alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
-    least = found.join(distinct.select("sa", "sb", F.col("id").alias("least")), ["sa", "sb"]).select(key, "least")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = near_cells(distinct, cell).repartition("cell").sortWithinPartitions("cell", "id")
+            sets = [np.unique(sketcher.shingles(t)) for t in byte_texts(b, text)]
+            names = [_set_name(s) for s in sets]
+            yield {key: b.column(key), "fp": [fingerprint_of(s) for s in sets], "sa": [x for x, _ in names], "sb": [x for _, x in names], "n_": [len(s) for s in sets], "prefix_": [_prefix(s, frequent.value, similarity) for s in sets]}
 
-    def search(batches):
-        for out in _candidates(batches, radius, TIGHT):
-            if out is not None:
-                yield out
+    found = written(per_batch(docs.select(key, text), prints, f"`{key}` bigint, fp bigint, sa bigint, sb bigint, n_ bigint, prefix_ array<bigint>"))
+    distinct = written(found.groupBy("sa", "sb").agg(F.min(key).alias("id"), F.first("fp").alias("fp")))
+    least = found.join(distinct.select("sa", "sb", F.col("id").alias("least")), ["sa", "sb"]).select(key, "least")
 
-    pairs = written(dealt.mapInArrow(search, "a bigint, b bigint").distinct())
+    # the grid: fingerprints at a few bits, and unlike sets of one fingerprint
+    heads = written(distinct.groupBy("fp").agg(F.min("id").alias("head")))
+    near = simhash.links(heads.select("fp"), cell=cell)
+    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}h"))
+    pairs = near.join(of("a"), "a").join(of("b"), "b").select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b"))
+    pairs = written(pairs.unionByName(distinct.join(heads, "fp").filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"))))
+    once = found.select(key).distinct().count() == found.count()
 
     def sets(batches):
+        sketcher = Sketcher(words)
         for b in batches:
-            yield {"id": b.column(key), "s": [shingle_set(t, words).view(np.int64) for t in byte_texts(b, text)]}
-
-    once = found.select(key).distinct().count() == found.count()
+            yield {"id": b.column(key), "s": [np.unique(sketcher.shingles(t)).view(np.int64) for t in byte_texts(b, text)]}
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
         rows = per_batch(_chosen(docs.select(key, text), ids, key, True), sets, "id bigint, s array<bigint>")
         # of repeated rows one; texts that share a key each count
-        return written(rows if once else rows.groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
+        out = written(rows if once else rows.groupBy("id", F.xxhash64("s")).agg(F.first("s").alias("s")).select("id", "s"))
+        release(ids)
+        return out
 
     common = F.size(F.array_intersect("sa", "sb"))
 
@@ -352,25 +229,34 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
         first = verified(tried, shingles)
         parts = written(components(first))
         of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}c"))
-        apart = pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
-        return written(first.unionByName(verified(written(apart), shingles)))
+        apart = written(pairs.join(tried, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b"))
+        second = verified(apart, shingles)
+        out = written(first.unionByName(second))
+        release(shingles, tried, first, parts, apart, second)
+        return out
 
     joined = linked(pairs)
+    release(heads, pairs)
+    named = None
 
-    # what these links leave apart, by the prefix join
+    # what these links leave apart, by the prefix join: by one document of each cell's largest group, then by all
     firsts = written(_chosen(found.select(key, "n_", "prefix_"), distinct.select(F.col("id").alias(key)).distinct(), key, True))
     entries = firsts.select(F.col(key).alias("id"), F.col("n_").alias("n"), F.posexplode("prefix_").alias("at", "cell")).select("cell", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
-    parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
-
-    def across(batches):
-        for out in _across(batches, similarity):
-            if out is not None:
-                yield out
-
-    return least, joined.unionByName(linked(written(dealt.mapInArrow(across, "a bigint, b bigint").distinct())))
+    for whole in (False, True):
+        parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
+        dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
+
+        def across(batches, whole=whole):
+            for out in _across(batches, similarity, whole):
+                if out is not None:
+                    yield out
+
+        pairs = dealt.mapInArrow(across, "a bigint, b bigint").distinct()
+        named = written(pairs if named is None else pairs.join(named, ["a", "b"], "left_anti"))
+        joined = written(joined.unionByName(linked(named)))
+    release(firsts)
+    return least, joined
 
 
 def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
