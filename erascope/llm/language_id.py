@@ -64,7 +64,11 @@ def codewords(k: int) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, codewords, weights by bucket and bit) from all rows whose text and label are not null."""
+    """(languages, codewords, weights by bucket and bit) from all rows whose text and label are not null.
+
+    Empty texts are learned as such, repeated rows each count, very long texts weigh as WEIGHT_OF_TEXT n-grams do. A table
+    without such rows gives no languages.
+    """
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -103,7 +107,8 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     """Rows (key, lang_pred, score, ambiguous), one for each row of docs, from the text alone.
 
     A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned. Texts are read
-    whole. Repeated rows each give a row, a null key stays null, ties of loss go to the first language by name.
+    whole. Repeated rows each give a row, a null key stays null, ties of loss go to the first language by name; an empty
+    table gives an empty result; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each bit
 
@@ -125,31 +130,40 @@ def identify(docs: DataFrame, model, text: str = "text", key: str = "doc_id") ->
     return per_batch(docs.select(key, text), run, f"`{key}` bigint, lang_pred string, score double, ambiguous boolean")
 
 
-def identified(docs: DataFrame, model, text: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model, text: str = "text", label: str = "lang", languages: list[str] | None = None) -> DataFrame:
     """docs without those whose language is undetermined: null texts, texts that have no letter, and texts decoded as `und`
-    where that was learned as a label. All columns stay.
+    where that was learned as a label; with languages given, also those decoded clearly as another one. A label that is null
+    becomes the decoded language unless that is ambiguous. All columns stay.
 
-    With nothing learned there is nothing to decode, and only the first two go. A text of no clear language stays.
+    With nothing learned there is nothing to decode, and only null and letterless texts go. A text of no clear language
+    stays, as does its label; repeated rows stay or go together; whole texts are read; an empty table gives an empty result.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    named = docs.columns.index(label) if label in docs.columns else None
 
     def run(batches):
-        languages, code, weights = shared.value
+        known, code, weights = shared.value
         for b in small_batches(batches):
-            keep = []
-            for t in (x or "" for x in b.column(at).to_pylist()):
+            keep, said = [], b.column(named).to_pylist() if named is not None else None
+            for k, t in enumerate(x or "" for x in b.column(at).to_pylist()):
                 ok = has_letter(t)
-                if ok and languages:
+                if ok and known:
                     c = ngram_counts(t)
-                    i, _ = decode(c @ weights / math.sqrt(c.sum()), code)
-                    ok = languages[i] != UNDETERMINED
+                    i, score = decode(c @ weights / math.sqrt(c.sum()), code)
+                    clear = score >= AMBIGUOUS
+                    ok = known[i] != UNDETERMINED and (languages is None or not clear or known[i] in languages)
+                    if said is not None and said[k] is None and clear:
+                        said[k] = known[i]
                 keep.append(ok)
+            if said is not None:
+                b = b.set_column(named, b.schema.field(named), pa.array(said, b.schema.field(named).type))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.filter(~same_remainder(4, 2)))
     return identify(docs, model).select("doc_id", same_remainder(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
