@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erascope.llm.common import table, written
+from erascope.llm.common import release, table, written
 from erascope.llm.decontaminate import without_contaminated
 from erascope.llm.language_id import identified, learn
 from erascope.llm.mixing import mix
 from erascope.llm.secrets import redact
 from erascope.llm.similar import without_copies
 
+#: Languages to keep; None keeps all that the labels name.
+LANGUAGES: list[str] | None = None
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID, learned from all labelled texts of docs: texts without a language (null, or no letter) go."""
-    return identified(docs, learn(docs))
+    """Language ID, learned from all labelled texts of docs: texts without a language (null, or no letter) go, as do those
+    clearly of a language outside LANGUAGES; a missing label is filled by a clear decision. See identified()."""
+    return identified(docs, learn(docs), languages=LANGUAGES)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: each document as often as the mix takes it, whole, numbered by copy."""
+    """Mixing to target weights: each document as often as the mix takes it, whole, numbered by copy; a column copy of docs is
+    replaced, as are those that mix() adds."""
     mixed = mix(docs).filter(F.col("copies") > 0)
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
@@ -51,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole documents table. Each stage's table is removed when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
