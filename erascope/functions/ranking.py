@@ -22,8 +22,9 @@ def clean(x: Column | str) -> Column:
 def average_rank(x: Column | str, *by: str) -> Column:
     """Rank from 1, ties sharing the mean of their places."""
     x = col(x)
-    first = F.rank().over(W.partitionBy(*by).orderBy(x.asc_nulls_last()))
-    ties = F.count(x).over(W.partitionBy(*by, x))
+    w = W.partitionBy(*by).orderBy(x.asc_nulls_last())
+    first = F.rank().over(w)
+    ties = F.count(x).over(w.rangeBetween(W.currentRow, W.currentRow))  # the peers of a row, in the rank's own sort
     return F.when(x.isNotNull(), first + (ties - 1) / 2)
 
 

@@ -34,11 +34,16 @@ def key_contract(df: DataFrame, key: str = "id", era: str = "era") -> DataFrame:
 
 def finite_contract(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: values of each column that are null, NaN or infinite. Columns that are no numbers are refused."""
+    numbers_only(df, columns)
+    return df.agg(*[F.count_if(clean(c).isNull()).alias(c) for c in columns])
+
+
+def numbers_only(df: DataFrame, columns: list[str]) -> None:
+    """Raise on columns that are no numbers."""
     for c in columns:
         kind = df.schema[c].dataType.simpleString()
         if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
             raise ContractError(f"{c} is {kind}, not a number")
-    return df.agg(*[F.count_if(clean(c).isNull()).alias(c) for c in columns])
 
 
 def era_contract(df: DataFrame, era: str = "era") -> DataFrame:
@@ -65,3 +70,58 @@ def same_column(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: whether two columns agree everywhere, nulls and NaN included, and in how many rows they do not."""
     same = clean(a).eqNullSafe(clean(b))
     return df.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("identical"), F.count_if(~same).alias("differences"))
+
+
+def id_contracts(panel: DataFrame, right: DataFrame, covering: DataFrame | None = None, key: str = "id", era: str = "era") -> tuple[dict[str, int], list[dict]]:
+    """(violations of a panel joined to right by key, coverage of its eras by covering), from one pass over the keys of all tables.
+
+    Violations: null keys, null eras and rows beyond the first of a key in the panel, the same of keys on the right, keys of
+    the panel without a right row, and 1 if the panel is empty. Coverage: one dict an era (era, rows, matched). The tables'
+    keys meet in one shuffle; what comes back is one row an era.
+    """
+    side = lambda df, of, name: df.select(F.col(key).alias("k_"), of.alias("e_"), *[F.lit(int(n == name)).alias(n) for n in ("p", "r", "c")])
+    none = F.lit(None).cast(panel.schema[era].dataType)
+    keys = side(panel, F.col(era), "p").unionByName(side(right, none, "r"))
+    if covering is not None:
+        keys = keys.unionByName(side(covering, none, "c"))
+    per = keys.groupBy("k_").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("c").alias("c"), F.max("e_").alias("e_"), F.count_if((F.col("p") == 1) & F.col("e_").isNull()).alias("null_eras"))
+    null, one = F.col("k_").isNull(), lambda n: F.sum(F.when(null, 0).otherwise(F.greatest(F.col(n) - 1, F.lit(0))))
+    counts = {
+        "null_keys": F.sum(F.when(null, F.col("p") + F.col("r"))),
+        "duplicate_rows": one("p"),
+        "duplicate_right_rows": one("r"),
+        "null_eras": F.sum("null_eras"),
+        "unmatched": F.sum(F.when((F.col("p") > 0) & ~null & (F.col("r") == 0), F.col("p"))),
+        "rows": F.sum("p"),
+        "matched": F.sum(F.when(F.col("c") > 0, F.col("p"))),
+    }
+    rows = [r.asDict() for r in per.groupBy("e_").agg(*[F.coalesce(x, F.lit(0)).alias(n) for n, x in counts.items()]).collect()]  # one row an era
+    bad = {n: sum(r[n] for r in rows) for n in ("null_keys", "duplicate_rows", "duplicate_right_rows", "null_eras", "unmatched")}
+    bad["empty"] = int(not sum(r["rows"] for r in rows))
+    return bad, [{"era": r["e_"], "rows": r["rows"], "matched": r["matched"]} for r in rows if r["rows"]]
+
+
+def refuse(violations: dict[str, int], what: str) -> None:
+    """Raise if any count is not zero."""
+    bad = {k: v for k, v in violations.items() if v}
+    if bad:
+        raise ContractError(f"{what}: {bad}")
+
+
+def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", era: str = "era") -> dict[str, int]:
+    """Violations of the proof that all runs hold the keys and eras of the base, once each: keys that a run lacks, has more
+    than once or has besides, and eras that differ. One shuffle of keys for all runs."""
+    side = lambda df, name: df.select(F.col(key).alias("k_"), F.col(era).alias("e_"), F.lit(name).alias("run_"))
+    rows = side(base, "")
+    for name, df in runs.items():
+        rows = rows.unionByName(side(df, name))
+    per = rows.groupBy("k_").agg(F.count_if(F.col("run_") == "").alias("b"), F.count("*").alias("n"), F.count_distinct("run_").alias("d"), F.min("e_").alias("lo"), F.max("e_").alias("hi"), F.count("e_").alias("known"))
+    all_ = len(runs) + 1
+    got = per.agg(
+        F.count_if(F.col("k_").isNull()).alias("null_keys"),
+        F.count_if((F.col("b") > 0) & (F.col("d") < all_)).alias("missing_keys"),
+        F.count_if(F.col("b") == 0).alias("unexpected_keys"),
+        F.count_if(F.col("n") > F.col("d")).alias("duplicate_keys"),
+        F.count_if(~F.col("lo").eqNullSafe(F.col("hi")) | (F.col("known") < F.col("n"))).alias("era_mismatches"),
+    )
+    return got.first().asDict()

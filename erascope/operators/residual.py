@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import clean, with_rank_gaussian, zscore
+from .grams import fitted, grams, least_squares, linear
 from .ranks import ranked_over_all, scaled_over_all
 
 
@@ -96,50 +96,10 @@ def target_transform(df: DataFrame, spec: TargetSpec, name: str = "target_transf
     return out.drop("identity_")
 
 
-def gram_by_group(df: DataFrame, signal: str, features: list[str], by: list[str], weight: str | None = None) -> DataFrame:
-    """One row a group: sums of products of the features and a constant, and of those with the signal. Products are summed
-    on the map side, so no group is gathered."""
-    xs = [*[F.coalesce(clean(f), F.lit(0.0)) for f in features], F.lit(1.0)]
-    w = F.lit(1.0) if weight is None else F.col(weight)
-    y = clean(signal)
-    used = y.isNotNull()
-    k = len(xs)
-    grams = [F.sum(F.when(used, w * xs[i] * xs[j])).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)]
-    sides = [F.sum(F.when(used, w * xs[i] * y)).alias(f"s_{i}") for i in range(k)]
-    return df.groupBy(*by).agg(*grams, *sides, F.stddev_samp(y).alias("std_"))
-
-
 def neutralized(df: DataFrame, name: str, signal: str, features: list[str], by: list[str], proportion: float = 1.0, rcond: float = 1e-12) -> DataFrame:
     """The signal less proportion times its projection on the features and a constant, in each group; null where the signal has
     no variance. Products are summed by group, a pseudo-inverse of one small matrix is taken for each group, and the
     coefficients are joined back, so rows of a group are never gathered. Features that are not finite count as 0."""
-    k = len(features) + 1
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = gram_by_group(df, signal, features, by)
-    schema = ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), "beta_ array<double>"])
-
-    def solve(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                g = np.zeros((k, k))
-                for i, j in upper:
-                    g[i, j] = g[j, i] = row[f"g_{i}_{j}"] if row[f"g_{i}_{j}"] is not None else np.nan
-                s = np.array([row[f"s_{i}"] for i in range(k)], float)
-                std = row["std_"]
-                if std is None or not np.isfinite(std) or std == 0 or not np.isfinite(g).all():
-                    out.append(None)
-                    continue
-                scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
-                out.append((np.linalg.pinv(g / np.outer(scale, scale), rcond=rcond, hermitian=True) @ (s / scale) / scale).tolist())
-            res = pdf[by].copy()
-            res["beta_"] = pd.Series(out, index=res.index, dtype=object)
-            yield res
-
-    betas = sums.mapInPandas(solve, schema)
-    xs = [*[F.coalesce(clean(f), F.lit(0.0)) for f in features], F.lit(1.0)]
-    joined = df.join(betas, by, "left")
-    fitted = sum((F.col("beta_")[i] * x for i, x in enumerate(xs)), F.lit(0.0))
-    return joined.withColumn(name, clean(signal) - F.lit(proportion) * fitted).drop("beta_")
+    betas = fitted(grams(df, signal, features, by), by, len(features), least_squares(rcond=rcond))
+    joined = df.join(betas, by, "left") if by else df.join(F.broadcast(betas), F.lit(True), "left")  # without groups one row
+    return joined.withColumn(name, clean(signal) - F.lit(proportion) * linear("beta_", features)).drop("beta_")

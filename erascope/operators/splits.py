@@ -4,11 +4,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import clean, percent_rank
+from .contracts import ContractError, enforce, key_contract
+from .grams import fitted, grams, least_squares, linear
 from .summary import era_number
 
 
@@ -26,16 +29,28 @@ def every_nth_era(df: DataFrame, step: int, offset: int = 0, era: str = "era") -
     return df.join(F.broadcast(kept), era, "left_semi")  # one row an era
 
 
-def cv_splits(df: DataFrame, folds: int, embargo: int = 0, mode: str = "expanding", min_train: int = 1, max_train: int | None = None, era: str = "era") -> DataFrame:
-    """Rows (fold, era, role): era cross-validation.
+def cv_splits(df: DataFrame, folds: int, embargo: int = 0, mode: str = "expanding", min_train: int = 1, max_train: int | None = None, era: str = "era", strict: bool = True) -> DataFrame:
+    """Rows (fold, era, role): era cross-validation. Raises on more folds than eras and, if strict, on a fold with too few
+    train eras.
 
     Eras are cut in equal parts, one a fold, the rest going to the last; fold k validates on part k. expanding: it trains on
-    the eras before, less embargo eras at their end. blocked: on all others, less embargo eras on either side. Folds with
-    fewer than min_train train eras are left out; max_train keeps the last train eras alone.
+    the eras before, less embargo eras at their end. blocked: on all others, less embargo eras on either side. If not
+    strict, folds with fewer than min_train train eras are left out; max_train keeps the last train eras alone.
     """
+    if folds < 1 or embargo < 0:
+        raise ValueError("folds are 1 or more, an embargo is 0 or more")
     if mode not in ("expanding", "blocked"):
         raise ValueError(f"no such mode: {mode!r}")
     eras = era_index(df, era)
+    n = eras.count()
+    if folds > n > 0:
+        raise ContractError(f"{folds} folds of {n} eras")
+    if strict:
+        size = n // folds
+        starts = [(k * size, n if k == folds - 1 else (k + 1) * size) for k in range(folds)]
+        train = [max(0, a - embargo) + (max(0, n - z - embargo) if mode == "blocked" else 0) for a, z in starts]
+        if n and min(train) < min_train:
+            raise ContractError(f"folds have {train} train eras, fewer than {min_train}")
     size = F.floor(F.col("n") / folds)
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     placed = eras.select(era, "i", "n", size.alias("z_"), fold.alias("fold"))
@@ -88,23 +103,34 @@ def _order(seed: int, key: str) -> Column:
 
 
 def capped_sample(df: DataFrame, cap: int, key: str = "id", seed: int = 1337) -> DataFrame:
-    """At most cap rows, those of the least md5 of (seed, key)."""
-    return df.orderBy(_order(seed, key), key).limit(cap)
-
-
-def balanced_sample(df: DataFrame, cap: int, key: str = "id", seed: int = 1337, era: str = "era") -> DataFrame:
+    """At most cap rows, those of the least md5 of (seed, key). Counts of the first four digits say which of them are taken
+    whole; only the rows of the last are sorted."""
+    head = F.substring(_order(seed, key), 1, 4)
+    taken, last = 0, None
+    for r in sorted(df.groupBy(head.alias("h_")).count().collect()):  # at most 65,536 rows
+        if taken + r["count"] > cap:
+            last = r["h_"]
+            break
+        taken += r["count"]
+    if last is None:
+        return df
+    return df.filter(head < last).unionByName(df.filter(head == last).orderBy(_order(seed, key), key).limit(cap - taken))
+
+
+def balanced_sample(df: DataFrame, cap: int, key: str = "id", seed: int = 1337, era: str = "era", by: list[str] | None = None) -> DataFrame:
     """At most cap rows with an equal quota for each era; what short eras leave goes to the others in era order. Rows of an
-    era are taken by md5 of (seed, key)."""
-    sizes = df.groupBy(era).agg(F.count("*").alias("c_"))
-    everything = W.partitionBy()
+    era are taken by md5 of (seed, key). With by, so many rows of each of these groups."""
+    by = by or []
+    sizes = df.groupBy(*by, era).agg(F.count("*").alias("c_"))
+    everything = W.partitionBy(*by)
     quota = F.floor(F.lit(cap) / F.count("*").over(everything))
     sizes = sizes.withColumn("q_", F.least(F.col("c_"), quota))
     left = F.lit(cap) - F.sum("q_").over(everything)
     spare = F.col("c_") - F.col("q_")
-    before = F.coalesce(F.sum(spare).over(W.orderBy(era_number(era)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("left_", left).withColumn("take_", F.col("q_") + F.greatest(F.lit(0), F.least(spare, F.col("left_") - before))).select(era, "take_")
-    ranked = df.withColumn("k_", F.row_number().over(W.partitionBy(era).orderBy(_order(seed, key), key)))
-    return ranked.join(F.broadcast(sizes), era).filter(F.col("k_") <= F.col("take_")).drop("k_", "take_")  # one row an era
+    before = F.coalesce(F.sum(spare).over(everything.orderBy(era_number(era)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("left_", left).withColumn("take_", F.col("q_") + F.greatest(F.lit(0), F.least(spare, F.col("left_") - before))).select(*by, era, "take_")
+    ranked = df.withColumn("k_", F.row_number().over(W.partitionBy(*by, era).orderBy(_order(seed, key), key)))
+    return ranked.join(F.broadcast(sizes), [*by, era]).filter(F.col("k_") <= F.col("take_")).drop("k_", "take_")  # one row an era
 
 
 def predict_linear(df: DataFrame, weights: dict[str, float], intercept: float = 0.0, name: str = "prediction", era: str = "era", rank: bool = True) -> DataFrame:
@@ -125,40 +151,51 @@ def predict_with(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], fea
     return df.withColumn(name, percent_rank("raw_", era) if rank else F.col("raw_")).drop("raw_")
 
 
-def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: str, era: str = "era", ridge: float = 0.0) -> DataFrame:
-    """Validation rows of every fold with the prediction of least squares (with intercept) fitted on the fold's train eras.
+def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: str, era: str = "era", ridge: float = 0.0, key: str | None = "id", estimator=None, cap: int = 500_000, seed: int = 1337) -> DataFrame:
+    """Validation rows of every fold with the prediction of a model fitted on the fold's train eras. Raises on repeated keys,
+    unless key is None.
 
-    Products are summed by era once, then by fold over eras, so each row is read twice whatever the number of folds; a
-    small system is solved for each fold.
+    Without an estimator the model is least squares with an intercept: products are summed by era once, then by fold over
+    eras, so each row is read twice whatever the number of folds, and a small system is solved for each fold. An estimator
+    is an object with fit(X, y) and predict(X); it is fitted in one task a fold, on at most cap rows (those of
+    balanced_sample, by fold), and predicts in Arrow batches.
     """
-    from .residual import gram_by_group
-
-    k = len(features) + 1
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
-    names = [*(f"g_{i}_{j}" for i, j in upper), *(f"s_{i}" for i in range(k))]
-    per_era = gram_by_group(df, target, features, [era])
+    if key is not None:
+        enforce(key_contract(df.select(key, era), key, era).select("null_keys", "duplicate_rows"), "out-of-fold rows")
     train = F.broadcast(splits.filter("role = 'train'").select("fold", era))  # a row for each fold and era
-    sums = per_era.join(train, era).groupBy("fold").agg(*[F.sum(n).alias(n) for n in names])
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                g = np.zeros((k, k))
-                for i, j in upper:
-                    g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-                g[range(k - 1), range(k - 1)] += ridge
-                scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
-                out.append((np.linalg.pinv(g / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (np.array([row[f"s_{i}"] for i in range(k)]) / scale) / scale).tolist())
-            res = pdf[["fold"]].copy()
-            res["beta_"] = pd.Series(out, index=res.index, dtype=object)
-            yield res
-
-    betas = sums.mapInPandas(solve, "fold int, beta_ array<double>")
-    held = splits.filter("role = 'validation'").select("fold", era)
-    xs = [*[F.coalesce(clean(f), F.lit(0.0)) for f in features], F.lit(1.0)]
-    rows = df.join(F.broadcast(held), era).join(F.broadcast(betas), "fold")  # a row for each fold
-    return rows.withColumn("prediction", sum((F.col("beta_")[i] * x for i, x in enumerate(xs)), F.lit(0.0))).withColumnRenamed("fold", "cv_fold").drop("beta_")
+    held = F.broadcast(splits.filter("role = 'validation'").select("fold", era))
+    if estimator is not None:
+        return _fitted_out_of_fold(df, train, held, features, target, era, key or era, estimator, cap, seed)
+    sums = grams(df, target, features, [era]).join(train, era).select("fold", "sums_")
+    betas = fitted(sums, ["fold"], len(features), least_squares(ridge=ridge, varying=False))
+    rows = df.join(held, era).join(F.broadcast(betas), "fold")  # a row for each fold
+    return rows.withColumn("prediction", linear("beta_", features)).withColumnRenamed("fold", "cv_fold").drop("beta_")
+
+
+def _fitted_out_of_fold(df, train, held, features, target, era, key, estimator, cap, seed) -> DataFrame:
+    xs = [F.coalesce(clean(f), F.lit(0.0)).alias(f"x{i}_") for i, f in enumerate(features)]
+    names = [f"x{i}_" for i in range(len(features))]
+    rows = df.filter(clean(target).isNotNull()).join(train, era)
+    taken = balanced_sample(rows, cap, key, seed, era, by=["fold"]).select("fold", era, F.col(key).alias("key_"), *xs, clean(target).alias("y_"))
+    packed = cloudpickle.dumps(estimator)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([era, "key_"])
+        model = cloudpickle.loads(packed)
+        fitted_ = model.fit(pdf[names].to_numpy(np.float64), pdf["y_"].to_numpy(np.float64))
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "model_": [cloudpickle.dumps(model if fitted_ is None else fitted_)]})
+
+    models = taken.groupBy("fold").applyInPandas(fit, "fold int, model_ binary")  # at most cap rows a fold
+
+    def predict(fold: pd.Series, model: pd.Series, x: pd.DataFrame) -> pd.Series:
+        out = pd.Series(np.nan, index=fold.index)
+        for at in fold.groupby(fold).groups.values():
+            out.loc[at] = np.asarray(cloudpickle.loads(model.loc[at[0]]).predict(x.loc[at].to_numpy(np.float64)), float)
+        return out
+
+    predict = F.pandas_udf(predict, "double")
+    joined = df.join(held, era).join(F.broadcast(models), "fold")  # a model for each fold
+    return joined.withColumn("prediction", predict("fold", "model_", F.struct(*xs))).withColumnRenamed("fold", "cv_fold").drop("model_")
 
 
 def era_weights(df: DataFrame, name: str = "weight", era: str = "era") -> DataFrame:

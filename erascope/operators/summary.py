@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranking import clean
+
 SAFE_SHARPE = "case when std = 0 or isnan(std) then null else mean / std end"
 
 
@@ -75,6 +77,17 @@ def leaderboard(rows: DataFrame, metric: str, n: int, key: str) -> DataFrame:
     return rows.orderBy(F.col(metric).desc_nulls_last(), F.col(key)).limit(n)
 
 
+def board_and_missing(rows: DataFrame, metric: str, n: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the n best of the rows that have the metric, ties by key; the keys of those that lack it)."""
+    has = clean(metric).isNotNull()
+    return leaderboard(rows.filter(has), metric, n, key), rows.filter(~has).select(key)
+
+
+def medians(scores: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Exact medians of scores, one row for each of by."""
+    return scores.groupBy(*by).agg(F.median(value).alias("median"))
+
+
 def seed_aggregates(scores: DataFrame, value: str, procedure: str = "procedure", seed: str = "seed", era: str = "era") -> DataFrame:
     """Per procedure over its seeds' means: mean, worst, gap, deviation of the means, and sharpe of the seeds' mean series."""
     means = scores.groupBy(procedure, seed).agg(F.avg(value).alias("m_"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +34,23 @@ def _month(date: str):
     return F.lpad(((F.year(d) - 1995) * 12 + F.month(d)).cast("string"), 4, "0")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _first_day(era: int) -> str:
+    return f"{1995 + (era - 1) // 12}-{(era - 1) % 12 + 1:02d}-01"
+
+
+def month_ranges(date: str, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a date lies in one of the ranges of eras (first, last): dates alone, which the reader can use to skip files."""
+    out = F.lit(False)
+    for a, b in ranges:
+        out = out | ((F.col(date) >= F.lit(_first_day(a)).cast("date")) & (F.col(date) < F.lit(_first_day(b + 1)).cast("date")))
+    return out
+
+
+def orders(spark: SparkSession, sf_dir: str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """All orders as a panel, or those of ranges of eras, which are looked for by date in the scan."""
     o, c = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    if ranges is not None:
+        o = o.filter(month_ranges("o_orderdate", ranges))
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
         F.col("o_orderkey").cast("string").alias("id"),
         _month("o_orderdate").alias("era"),
@@ -59,8 +74,12 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select(
+def events(spark: SparkSession, sf_dir: str, first: str | None = None) -> DataFrame:
+    """All events as a panel of days, or those from a date (yyyy-mm-dd) on, which are looked for in the scan."""
+    rows = _table(spark, sf_dir, "events")
+    if first is not None:
+        rows = rows.filter(F.col("ts") >= F.lit(first).cast("timestamp"))
+    return rows.select(
         F.col("event_id").cast("string").alias("id"),
         F.date_format("ts", "yyyyMMdd").alias("era"),
         F.col("value").alias("prediction"),

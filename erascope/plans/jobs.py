@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranking import clean, tie_kept_rank
-from ..operators import align, contracts, gates, scores, summary
-from ..operators.residual import gram_by_group
+from ..functions.ranking import clean, percent_rank, tie_kept_rank
+from ..operators import align, contracts, ensemble, gates, scores, summary
+from ..operators.grams import fitted, grams, least_squares, linear
 
 
 def gated_contribution(long: DataFrame, target: str, reference: str | None) -> DataFrame:
@@ -24,11 +24,16 @@ def scoring_job(predictions: DataFrame, targets: DataFrame, references: DataFram
     predictions: id, era and signal columns; targets: id, target; references: id, era, reference.
     """
     signals = [c for c in predictions.columns if c not in ("id", "era")]
-    contracts.enforce(contracts.key_contract(predictions), "predictions")
-    joined = align.joined_by_id(predictions, targets, ["target"])
-    covered = align.coverage(joined, references)
-    joined = align.apply_coverage(joined, covered, exclude_absent)
-    joined = align.attach(joined, references, [reference], required=reference)
+    # all contracts and the coverage in one pass over the keys, then one pass over the values
+    bad, covered = contracts.id_contracts(predictions, targets, references)
+    contracts.refuse(bad, "predictions and targets")
+    absent = [c["era"] for c in covered if not c["matched"]]
+    partial = [c["era"] for c in covered if 0 < c["matched"] < c["rows"]]
+    contracts.refuse({"partial_eras": len(partial), "absent_eras": 0 if exclude_absent else len(absent)}, "coverage")
+    if absent:
+        gone = F.broadcast(predictions.sparkSession.createDataFrame([(e,) for e in absent], predictions.select("era").schema))  # one row an era
+        predictions = predictions.join(gone, "era", "left_anti")
+    joined = align.attach(predictions.join(targets.select("id", "target"), "id"), references, [reference], required=reference)
     long = scores.long_signals(joined, signals, ["id", "era", "target", reference])
     weighted = scores.weighted_score(scores.era_scores(long, "target", reference), multipliers)
     return _summarized(weighted, "weighted", recent, {"corr_mean": F.avg("corr"), "contribution_mean": F.avg("contribution"), "recent_mean": F.avg(F.when(F.col("recent_"), F.col("weighted")))}, zero_baseline=True)
@@ -60,28 +65,8 @@ def alpha_by_date(signal: DataFrame, neutralizers: DataFrame, weights: DataFrame
 
 def _projected_out(df: DataFrame, y: str, xs: list[str], era: str) -> DataFrame:
     """y less its projection on xs (no constant), by era; the sums are the only thing gathered for an era."""
-    import numpy as np
-
-    k = len(xs)
-    sums = gram_by_group(df, y, xs, [era])
-
-    def solve(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                g = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-                out.append((np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ np.array([row[f"s_{i}"] for i in range(k)], float)).tolist())
-            res = pdf[[era]].copy()
-            res["beta_"] = pd.Series(out, index=res.index, dtype=object)
-            yield res
-
-    joined = df.join(sums.mapInPandas(solve, f"`{era}` string, beta_ array<double>"), era)
-    return joined.withColumn(y, F.col(y) - sum((F.col("beta_")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))).drop("beta_")
+    betas = fitted(grams(df, y, xs, [era]), [era], len(xs), least_squares(constant=False, varying=False))
+    return df.join(betas, era).withColumn(y, F.col(y) - linear("beta_", xs, constant=False)).drop("beta_")
 
 
 def model_comparison(df: DataFrame, signals: list[str], target: str, reference: str, recent: int) -> DataFrame:
@@ -94,21 +79,35 @@ def model_comparison(df: DataFrame, signals: list[str], target: str, reference:
     return out.select("signal", F.col("mean").alias("corr_mean"), F.col("sharpe").alias("corr_sharpe"), "bmc_mean", "ref_corr_mean", "bmc_recent", "ref_corr_recent")
 
 
-def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4) -> DataFrame:
+def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4, blends: tuple[str, str, list[float]] | None = None, manifest: DataFrame | None = None) -> DataFrame:
     """Selection on one segment, promotion on another: candidates are scored by era, summarized on the calibration segment and
-    checked; the holdout is only read if one is selected. One row (selected, promoted), or none."""
-    long = scores.long_signals(df.withColumn("ref_", F.col(reference)), candidates, ["id", "era", target, "ref_"])
+    checked; the holdout is only read if one is selected. One row (selected, promoted), or none.
+
+    With blends (a, b, weights of a) the candidates are also the blends w35 and so on. With a manifest (id, era) the cohort
+    must hold its rows and no others. Of candidates within tie of the best, the one of the least drawdown goes first, then the
+    one of the least weight, then by name.
+    """
+    if manifest is not None:
+        contracts.refuse(contracts.same_cohort({"manifest": manifest}, df), "cohort")
+    weights = dict.fromkeys(candidates, 0.0)
+    if blends is not None:
+        a, b, shares = blends
+        df = ensemble.two_signal_blends(df, a, b, shares)
+        weights |= {f"w{round(100 * w)}": float(w) for w in shares}
+    long = scores.long_signals(df.withColumn("ref_", F.col(reference)), list(weights), ["id", "era", target, "ref_"])
 
     def means(name: str) -> DataFrame:
         a, b = segments[name]
         part = long.filter(F.expr("try_cast(era as bigint)").between(a, b))
-        wide = scores.era_scores(part, target, "ref_").groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"))
-        return wide.unpivot(["signal"], ["corr", "contribution"], "metric", "value").withColumn("reference", F.lit(None).cast("double"))
+        per = summary.drawdowns(scores.era_scores(part, target, "ref_"), best, ["signal"], zero_baseline=True)
+        wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.max("drawdown").alias("drawdown"))
+        return wide.unpivot(["signal"], ["corr", "contribution", "drawdown"], "metric", "value").withColumn("reference", F.lit(None).cast("double"))
 
-    first = means(calibration).cache()  # two rows a candidate
+    first = means(calibration).cache()  # three rows a candidate
     passed = gates.eligible(gates.checks(first, specs, ["signal"]), ["signal"])
-    ranked = passed.join(first.filter(F.col("metric") == best).select("signal", F.col("value").alias("best")), "signal")
-    selected = gates.select_candidate(ranked, "best", tie, [F.col("signal")]).select("signal")
+    of = lambda metric, name: first.filter(F.col("metric") == metric).select("signal", F.col("value").alias(name))
+    ranked = passed.join(of(best, "best"), "signal").join(of("drawdown", "risk"), "signal").withColumn("weight", F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("signal")))
+    selected = gates.select_candidate(ranked, "best", tie, [F.round("risk", 9), F.col("weight"), F.col("signal")]).select("signal")
     row = selected.first()
     first.unpersist()
     spark = df.sparkSession
@@ -116,3 +115,34 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
         return spark.createDataFrame([], "selected string, promoted boolean")
     second = gates.checks(means(holdout).filter(F.col("signal") == row[0]), specs, ["signal"])
     return gates.eligible(second, ["signal"]).select(F.col("signal").alias("selected"), F.col("eligible").alias("promoted"))
+
+
+def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, target: str, reference: str, specs: DataFrame, needed: int = 2, recent: int = 40) -> DataFrame:
+    """Several runs (id, era, prediction) of one procedure on the cohort of base (id, era, target, reference, control): one row
+    a run, and one for the ensemble, the mean of their ranks within eras.
+
+    The runs must hold the cohort's ids and eras, once each; else an error is raised. Columns: signal, corr, contribution,
+    recent, drawdown, passed (all checks of specs, whose ratios refer to the control's metrics), and on each row passing (runs
+    that pass), gap (between the runs' best and worst corr), replicated (needed of them and the ensemble pass) and state.
+    """
+    contracts.refuse(contracts.same_cohort(runs, base), "runs")
+    rows = None
+    for name, df in runs.items():
+        part = df.select("id", F.lit(name).alias("signal"), clean("prediction").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.join(base.select("id", "era", target, F.col(reference).alias("ref_")), "id")
+    whole = rows.withColumn("k_", percent_rank("value", "era", "signal")).groupBy("id").agg(F.lit("ensemble").alias("signal"), F.round(F.avg("k_"), 12).alias("value"), F.first("era").alias("era"), F.first(target).alias(target), F.first("ref_").alias("ref_"))
+    own = base.select("id", "era", target, F.col(reference).alias("ref_"), F.lit("control").alias("signal"), clean(control).alias("value"))
+    per = scores.era_scores(rows.unionByName(whole).unionByName(own), target, "ref_")
+    late = F.dense_rank().over(W.partitionBy("signal").orderBy(summary.era_number().desc())) <= recent
+    per = summary.drawdowns(per.withColumn("recent_", late), "corr", ["signal"], zero_baseline=True)
+    names = ["corr", "contribution", "recent", "drawdown"]
+    wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.avg(F.when(F.col("recent_"), F.col("contribution"))).alias("recent"), F.max("drawdown").alias("drawdown")).cache()  # a row a run
+    long = wide.unpivot(["signal"], names, "metric", "value")
+    control_ = long.filter("signal = 'control'").select("metric", F.col("value").alias("reference"))
+    checked = gates.checks(long.filter("signal <> 'control'").join(control_, "metric"), specs, ["signal"]).withColumn("all_", F.lit(1))
+    vote = gates.replication_vote(checked.filter("signal <> 'ensemble'"), ["all_"], "signal", needed, checked.filter("signal = 'ensemble'"))
+    gap = wide.filter(~F.col("signal").isin("control", "ensemble")).agg((F.max("corr") - F.min("corr")).alias("gap"))
+    out = wide.filter("signal <> 'control'").join(gates.eligible(checked, ["signal"]).select("signal", F.col("eligible").alias("passed")), "signal")
+    out = out.crossJoin(F.broadcast(vote.select("passing", "ensemble_passed", "replicated"))).crossJoin(F.broadcast(gap))  # one row each
+    return out.withColumn("state", F.when(F.col("replicated"), "replicated").when(F.col("passing") >= needed, "ensemble failed").otherwise("unstable"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.ranking import percent_rank
 from ..operators import gates as GA
 from ..operators import scores as S
 from ..operators import splits as SP
 from .cohorts import LINEITEM, ORDERS, corr_sql, lineitem, orders, pct_sql, query, r, rs
-from .jobs import evaluation_job, scoring_job
+from .jobs import evaluation_job, replication_job, scoring_job
 from .q_scores import CORR, contribution_sql
 
 
@@ -29,7 +31,7 @@ def splits_sql(cohort: str, folds: int, embargo: int, blocked: bool, max_train:
 
 @query("trn1_expanding_splits", f"WITH {ORDERS}, {splits_sql('orders_c', 5, 4, False)} SELECT * FROM sp")
 def expanding(spark, sf_dir):
-    return SP.cv_splits(orders(spark, sf_dir), 5, 4)
+    return SP.cv_splits(orders(spark, sf_dir), 5, 4, strict=False)
 
 
 @query("trn1_blocked_splits", f"WITH {ORDERS}, {splits_sql('orders_c', 6, 3, True)} SELECT * FROM sp")
@@ -39,13 +41,13 @@ def blocked(spark, sf_dir):
 
 @query("trn2_windowed_splits", f"WITH {ORDERS}, {splits_sql('orders_c', 5, 4, False, 20)} SELECT * FROM sp")
 def windowed(spark, sf_dir):
-    return SP.cv_splits(orders(spark, sf_dir), 5, 4, max_train=20)
+    return SP.cv_splits(orders(spark, sf_dir), 5, 4, max_train=20, strict=False)
 
 
 @query("trn3_fold_geometry", f"WITH {ORDERS}, {splits_sql('orders_c', 5, 4, False)} SELECT fold, role, count(DISTINCT sp.era) AS eras, count(*) AS rows, least(count(*), 4000) AS capped_rows, min(sp.era) AS first_era, max(sp.era) AS last_era FROM sp JOIN orders_c o ON sp.era = o.era GROUP BY fold, role")
 def geometry(spark, sf_dir):
     df = orders(spark, sf_dir)
-    return SP.fold_geometry(df, SP.cv_splits(df, 5, 4), 4000)
+    return SP.fold_geometry(df, SP.cv_splits(df, 5, 4, strict=False), 4000)
 
 
 @query(
@@ -84,8 +86,6 @@ def balanced(spark, sf_dir):
 
 @query("trn7_predict_linear", f"WITH {LINEITEM}, p AS (SELECT id, era, 2e-2 * benchmark + 5e-1 * feature_b + 1e0 * feature_a + 3e-1 AS raw FROM lineitem_c), q AS (SELECT id, era, round(raw, 9) AS raw FROM p) SELECT id, era, {rs(pct_sql('raw'))} AS prediction FROM q")
 def predict(spark, sf_dir):
-    from ..functions.ranking import percent_rank
-
     raw = SP.predict_linear(lineitem(spark, sf_dir), {"benchmark": 0.02, "feature_b": 0.5, "feature_a": 1.0}, 0.3, rank=False).withColumn("prediction", F.round("prediction", 9))
     return raw.select("id", "era", r(percent_rank("prediction", "era")).alias("prediction"))
 
@@ -103,7 +103,7 @@ def predict_callable(spark, sf_dir):
 )
 def oof(spark, sf_dir):
     df = orders(spark, sf_dir).withColumnRenamed("prediction", "label")
-    return SP.out_of_fold(df, SP.cv_splits(df, 5, 4), ["benchmark"], "label").select("id", "era", "cv_fold", r("prediction", 4).alias("prediction"))
+    return SP.out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "label").select("id", "era", "cv_fold", r("prediction", 4).alias("prediction"))
 
 
 @query("trn8_out_of_fold_wide")
@@ -113,6 +113,28 @@ def oof_wide(spark, sf_dir):
     return SP.out_of_fold(df, SP.cv_splits(df, 5, 4, "blocked"), ["benchmark", "feature_a", "feature_b"], "target").select("id", "era", "cv_fold", r("prediction", 6).alias("prediction"))
 
 
+class TargetMean:
+    """The plainest estimator: the mean of what it was fitted on."""
+
+    def fit(self, x, y):
+        self.mean = float(y.mean())
+
+    def predict(self, x):
+        return np.full(len(x), self.mean)
+
+
+@query(
+    "trn8_estimator",
+    f"""WITH {ORDERS}, {splits_sql('orders_c', 5, 4, False)}, f AS (SELECT fold, avg(target) AS m FROM orders_c o JOIN sp ON o.era = sp.era WHERE role = 'train' GROUP BY fold)
+    SELECT id, o.era, sp.fold AS cv_fold, {rs('m')} AS prediction FROM orders_c o JOIN sp ON o.era = sp.era AND role = 'validation' JOIN f ON sp.fold = f.fold""",
+)
+def oof_estimator(spark, sf_dir):
+    """Any estimator by fold; this one is the mean, on all rows, since the cap is above them."""
+    df = orders(spark, sf_dir)
+    out = SP.out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "target", estimator=TargetMean(), cap=1 << 40)
+    return out.select("id", "era", "cv_fold", r("prediction").alias("prediction"))
+
+
 @query("trn9_era_weights", f"WITH {ORDERS}, c AS (SELECT era, count(*) AS c FROM orders_c GROUP BY era) SELECT id, o.era, {rs('(SELECT sum(c) FROM c) / ((SELECT count(*) FROM c) * CAST(c AS DOUBLE))')} AS weight FROM orders_c o JOIN c ON o.era = c.era")
 def era_weights(spark, sf_dir):
     return SP.era_weights(orders(spark, sf_dir)).select("id", "era", r("weight").alias("weight"))
@@ -178,6 +200,49 @@ def vote(spark, sf_dir):
     return GA.replication_vote(checked, ["era"], "run")
 
 
+@query(
+    "gat3_ensemble_vote",
+    f"WITH {LINEITEM}, {_RUNS}, v AS (SELECT era, count(*) FILTER (c > 8e-1) AS passing, count(*) AS realisations FROM rn GROUP BY era), w AS (SELECT era, {corr_sql('prediction', 'benchmark')} > 85e-2 AS ok FROM lineitem_c WHERE feature_b < 3 GROUP BY era) SELECT v.era, passing, realisations, coalesce(ok, false) AS ensemble_passed, passing >= 2 AND coalesce(ok, false) AS replicated FROM v LEFT JOIN w ON v.era = w.era",
+)
+def ensemble_vote(spark, sf_dir):
+    """The vote of the runs of an era, and a check of all their rows together."""
+    df = lineitem(spark, sf_dir).filter("feature_b < 3")
+    none = F.lit(None).cast("double")
+    ok = lambda c, t: GA.passes(c, F.lit(">"), F.lit(t), none, none).alias("passed")
+    each = df.groupBy("era", F.col("feature_b").cast("int").alias("run")).agg(S.correlation("prediction", "benchmark").alias("c")).select("era", "run", ok(F.col("c"), 0.8))
+    whole = df.groupBy("era").agg(S.correlation("prediction", "benchmark").alias("c")).select("era", ok(F.col("c"), 0.85))
+    return GA.replication_vote(each, ["era"], "run", ensemble=whole)
+
+
+_SIX = [("a", 1, 14), ("b", 15, 28), ("c", 29, 42), ("d", 43, 56), ("e", 57, 70), ("f", 71, 9999)]
+_SIX_SQL = "bk(block, lo, hi) AS (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _SIX) + ")"
+
+
+def _law_side(p: str, v: str) -> str:
+    peak = "greatest(max(c) OVER (PARTITION BY seed ORDER BY era ROWS UNBOUNDED PRECEDING), 0)"
+    return f"""{p}c AS (SELECT era, seed, {v} AS v, sum({v}) OVER (PARTITION BY seed ORDER BY era ROWS UNBOUNDED PRECEDING) AS c FROM ps), {p}d AS (SELECT *, {peak} - c AS d FROM {p}c),
+    {p}s AS (SELECT seed, avg(v) AS mean, avg(v) / nullif(stddev_pop(v), 0) AS sharpe, max(d) AS dd FROM {p}d GROUP BY seed), {p}w AS (SELECT avg(mean) AS mean, min(mean) AS wm, min(sharpe) AS ws, max(dd) AS wd FROM {p}s),
+    {p}b AS (SELECT block, avg(m) AS m FROM (SELECT block, seed, avg({v}) AS m FROM ps JOIN bk ON CAST(era AS BIGINT) BETWEEN lo AND hi GROUP BY block, seed) GROUP BY block)"""
+
+
+@query(
+    "gat4_matched_law",
+    f"""WITH {LINEITEM}, {_SIX_SQL}, ps AS (SELECT era, CAST(feature_b AS INTEGER) AS seed, {corr_sql('prediction', 'benchmark')} AS c, {corr_sql('feature_a', 'benchmark')} AS k FROM lineitem_c GROUP BY ALL), {_law_side('x', 'c')}, {_law_side('y', 'k')},
+    n AS (SELECT count(*) FILTER (xb.m > yb.m) AS positive_blocks, count(*) AS blocks FROM xb JOIN yb ON xb.block = yb.block),
+    o AS (SELECT xw.mean - yw.mean AS uplift, positive_blocks, blocks, xw.wm - yw.wm AS mg, xw.ws - yw.ws AS sg, xw.wd AS wd, yw.wd AS kd, yw.mean AS km, xw.mean AS cm FROM xw, yw, n)
+    SELECT {rs('uplift', 6)} AS uplift, positive_blocks, blocks, {rs('mg', 6)} AS worst_mean_gap, {rs('sg', 5)} AS worst_sharpe_gap, {rs('wd', 6)} AS worst_drawdown, {rs('kd', 6)} AS control_drawdown,
+    CASE WHEN blocks = 6 THEN uplift >= 1e-2 AND positive_blocks >= 4 AND mg >= -5e-2 AND sg >= -5e-1 AND wd <= 125e-2 * kd END AS promoted, km >= 7e-1 * cm AS parity FROM o""",
+)
+def matched_law(spark, sf_dir):
+    """Runs by seed against their matched control over six blocks, and the parity of the control."""
+    per = lineitem(spark, sf_dir).groupBy("era", F.col("feature_b").cast("int").alias("seed")).agg(S.correlation("prediction", "benchmark").alias("c"), S.correlation("feature_a", "benchmark").alias("k"))
+    side = lambda v: per.select("era", "seed", F.col(v).alias("value"))
+    law = GA.MatchedLaw(0.01, 4, 0.05, 0.5, 1.25)
+    means = per.groupBy("seed").agg(F.avg("c").alias("c"), F.avg("k").alias("k")).agg(GA.parity(F.avg("k"), F.avg("c")).alias("parity"))
+    out = GA.matched_law(side("c"), side("k"), "value", _SIX, law).crossJoin(F.broadcast(means))  # one row
+    return out.select(*[r(c, 5 if "sharpe" in c else 6).alias(c) for c in ("uplift", "worst_mean_gap", "worst_sharpe_gap", "worst_drawdown", "control_drawdown")], "positive_blocks", "blocks", "promoted", "parity")
+
+
 @query(
     "gat4_matched_decision",
     f"""WITH {LINEITEM}, b AS (SELECT CAST(CAST(era AS BIGINT) // 14 AS INTEGER) AS block, CAST(feature_b AS INTEGER) AS seed, avg(benchmark) AS c, avg(feature_a) * 600 AS k FROM lineitem_c GROUP BY ALL),
@@ -246,3 +311,44 @@ def replication(spark, sf_dir):
     m = m.withColumn("passed", (F.col("uplift") > 0.5) & (F.col("better") * 2 > F.col("eras")))
     vote_ = GA.replication_vote(m.withColumn("all_", F.lit(1)), ["all_"], "run", 3).select("replicated")
     return m.crossJoin(F.broadcast(vote_)).select("run", r("uplift").alias("uplift"), "better", "eras", "passed", "replicated")  # one row
+
+
+_BLENDED = f"""q AS (SELECT id, era, target, benchmark, prediction, feature_a, {pct_sql('prediction')} AS pa, {pct_sql('feature_a')} AS pb FROM orders_c), b AS (SELECT *, round(35e-2 * pa + 65e-2 * pb, 12) AS x, round(75e-2 * pa + 25e-2 * pb, 12) AS y FROM q),
+bl AS (SELECT *, {pct_sql('x')} AS w35, {pct_sql('y')} AS w75 FROM b), long AS (""" + " UNION ALL ".join(f"SELECT id, era, target, benchmark AS ref, '{s}' AS signal, {s} AS value FROM bl" for s in ("prediction", "feature_a", "w35", "w75")) + ")"
+
+
+@query(
+    "gat6_blend_evaluation",
+    f"""WITH {ORDERS}, {_BLENDED}, {CORR}, {contribution_sql('long', 'ref', 'con')},
+    sc AS (SELECT corrs.era, corrs.signal, CASE WHEN CAST(corrs.era AS BIGINT) <= 50 THEN 'calibration' ELSE 'holdout' END AS segment, corr, contribution FROM corrs JOIN con ON corrs.era = con.era AND corrs.signal = con.signal),
+    cum AS (SELECT *, sum(corr) OVER (PARTITION BY segment, signal ORDER BY era ROWS UNBOUNDED PRECEDING) AS c FROM sc), dd AS (SELECT *, greatest(max(c) OVER (PARTITION BY segment, signal ORDER BY era ROWS UNBOUNDED PRECEDING), 0) - c AS d FROM cum),
+    m AS (SELECT segment, signal, avg(corr) AS corr, avg(contribution) AS contribution, max(d) AS risk FROM dd GROUP BY ALL), e AS (SELECT *, corr > -1 AND contribution >= -1e-1 - 1e-12 AS ok FROM m),
+    s AS (SELECT signal FROM e WHERE segment = 'calibration' AND ok AND corr >= (SELECT max(corr) FROM e WHERE segment = 'calibration' AND ok) - 1e-2 ORDER BY round(risk, 9), CASE signal WHEN 'w35' THEN 35e-2 WHEN 'w75' THEN 75e-2 ELSE 0 END, signal LIMIT 1)
+    SELECT signal AS selected, ok AS promoted FROM e WHERE segment = 'holdout' AND signal IN (SELECT signal FROM s)""",
+)
+def blend_evaluation(spark, sf_dir):
+    """The evaluation with blends as candidates, a proven cohort, and ties that go by drawdown, then weight."""
+    df = orders(spark, sf_dir)
+    specs = _specs(spark, [("corr", "corr", ">", -1.0, None), ("contribution", "contribution", ">=", -0.1, None)])
+    return evaluation_job(df, ["prediction", "feature_a"], "target", "benchmark", {"calibration": (0, 50), "holdout": (51, 99999)}, specs, "calibration", "holdout", tie=1e-2, blends=("prediction", "feature_a", [0.35, 0.75]), manifest=df.select("id", "era"))
+
+
+_REPLICAS = f"""q AS (SELECT id, era, target, benchmark, feature_b, {pct_sql('prediction')} AS pa, {pct_sql('feature_a')} AS pb, prediction, feature_a FROM orders_c), en AS (SELECT *, round((pa + pb) / 2, 12) AS ensemble FROM q),
+long AS (""" + " UNION ALL ".join(f"SELECT id, era, target, benchmark AS ref, '{n}' AS signal, {c} AS value FROM en" for n, c in (("one", "prediction"), ("two", "feature_a"), ("ensemble", "ensemble"), ("control", "feature_b"))) + ")"
+
+
+@query(
+    "gat7_replication_state",
+    f"""WITH {ORDERS}, {_REPLICAS}, {CORR}, {contribution_sql('long', 'ref', 'con')}, sc AS (SELECT corrs.era, corrs.signal, corr, contribution, dense_rank() OVER (PARTITION BY corrs.signal ORDER BY corrs.era DESC) AS k FROM corrs JOIN con ON corrs.era = con.era AND corrs.signal = con.signal),
+    cum AS (SELECT *, sum(corr) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING) AS c FROM sc), dd AS (SELECT *, greatest(max(c) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING), 0) - c AS d FROM cum),
+    m AS (SELECT signal, avg(corr) AS corr, avg(contribution) AS contribution, avg(contribution) FILTER (k <= 40) AS recent, max(d) AS drawdown FROM dd GROUP BY signal), ct AS (SELECT drawdown AS cd FROM m WHERE signal = 'control'),
+    p AS (SELECT m.*, contribution > -1e-1 AND drawdown >= 1e-1 * cd - 1e-12 AS passed FROM m, ct WHERE signal <> 'control'), v AS (SELECT count(*) FILTER (passed AND signal <> 'ensemble') AS passing, bool_and(passed) FILTER (signal = 'ensemble') AS ensemble_passed, max(corr) FILTER (signal <> 'ensemble') - min(corr) FILTER (signal <> 'ensemble') AS gap FROM p)
+    SELECT signal, {rs('corr')} AS corr, {rs('contribution', 6)} AS contribution, {rs('recent', 6)} AS recent, {rs('drawdown', 6)} AS drawdown, passed, passing, ensemble_passed, {rs('gap')} AS gap, passing >= 2 AND ensemble_passed AS replicated,
+    CASE WHEN passing >= 2 AND ensemble_passed THEN 'replicated' WHEN passing >= 2 THEN 'ensemble failed' ELSE 'unstable' END AS state FROM p, v""",
+)
+def replication_state(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    specs = _specs(spark, [("contribution", "contribution", ">", -0.1, None), ("drawdown", "drawdown", "ratio", 0.1, None)])
+    runs = {n: df.select("id", "era", F.col(c).alias("prediction")) for n, c in (("one", "prediction"), ("two", "feature_a"))}
+    out = replication_job(runs, df.select("id", "era", "target", "benchmark", "feature_b"), "feature_b", "target", "benchmark", specs)
+    return out.select("signal", *[r(c, 6 if c in ("contribution", "recent", "drawdown") else 8).alias(c) for c in ("corr", "contribution", "recent", "drawdown", "gap")], "passed", "passing", "ensemble_passed", "replicated", "state")

@@ -31,7 +31,7 @@ def projected(spark, sf_dir):
 
 @query("src2_era_scan", f"WITH {ORDERS} SELECT id, era FROM orders_c WHERE era IN ('0003', '0017', '0041')")
 def era_scan(spark, sf_dir):
-    return P.in_eras(orders(spark, sf_dir), ["0003", "0017", "0041"]).select("id", "era")
+    return P.in_eras(orders(spark, sf_dir, [(3, 3), (17, 17), (41, 41)]), ["0003", "0017", "0041"]).select("id", "era")
 
 
 @query("src2_era_semi_join", f"WITH {ORDERS} SELECT id, era FROM orders_c WHERE era IN (SELECT era FROM orders_c GROUP BY era HAVING count(*) > 150)")
@@ -45,9 +45,9 @@ _DAILY = "d AS (SELECT era, ticker, avg(prediction) AS signal, avg(benchmark) AS
 
 @query("src3_neutralizers_by_date", f"WITH {EVENTS}, {_DAILY} SELECT e.id, e.era, {rs('n1')} AS n1 FROM events_c e JOIN d ON e.era = d.era AND e.ticker = d.ticker WHERE e.era >= '20240105'")
 def by_date(spark, sf_dir):
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, "2024-01-05")
     daily = e.groupBy("era", "ticker").agg(F.avg("benchmark").alias("n1"))
-    return e.filter(F.col("era") >= "20240105").join(daily, ["era", "ticker"]).select("id", "era", r("n1").alias("n1"))
+    return P.values_by_date(e, daily, "20240105", ["era", "ticker"]).select("id", "era", r("n1").alias("n1"))
 
 
 @query("src4_feature_sets", "WITH s AS (SELECT DISTINCT p_brand AS feature_set, p_type AS feature FROM part) SELECT a.feature_set AS a, b.feature_set AS b, count(*) AS size FROM s a JOIN s b ON a.feature = b.feature GROUP BY ALL")
@@ -80,6 +80,18 @@ def multi(spark, sf_dir):
     return a.unionByName(lineitem(spark, sf_dir).select("id", "era", r("feature_a").alias("feature_a"), r("feature_b").alias("extra")), allowMissingColumns=True)
 
 
+_TRAINING = "CAST(era AS BIGINT) <= 50"
+
+
+@query("src6_panel_files", f"WITH {ORDERS} SELECT id, era, CASE WHEN NOT ({_TRAINING}) THEN {rs('benchmark')} END AS benchmark FROM orders_c")
+def panel_files(spark, sf_dir):
+    """A panel written as train and validation files, of which only the latter have the benchmark, loaded as one."""
+    df, root = orders(spark, sf_dir), scratch(spark, "panel")
+    df.filter(_TRAINING).select("id", "era").write.parquet(f"{root}/train")
+    df.filter(f"not ({_TRAINING})").select("id", "era", r("benchmark").alias("benchmark")).write.parquet(f"{root}/validation")
+    return P.load_panel(spark, f"{root}/full", f"{root}/train", f"{root}/validation", ["id", "era", "benchmark"])
+
+
 @query("src7_resolved_columns", f"WITH {ORDERS} SELECT id, {rs('feature_a')} AS by_suffix, {rs('benchmark')} AS by_part FROM orders_c")
 def resolved(spark, sf_dir):
     df = orders(spark, sf_dir)
@@ -135,7 +147,7 @@ def feature_store(spark, sf_dir):
 
 @query("src14_prefix_extract", f"WITH {ORDERS} SELECT id, era FROM orders_c WHERE CAST(era AS BIGINT) <= 30")
 def prefix(spark, sf_dir):
-    return orders(spark, sf_dir).filter(F.col("era").cast("bigint") <= 30).select("id", "era")
+    return P.up_to_era(orders(spark, sf_dir, [(-1200, 30)]), 30).select("id", "era")
 
 
 @query("src15_digest", f"WITH {ORDERS} SELECT era, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5('=' || id || chr(31) || '=' || CAST(CAST(target * 4 AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS content FROM orders_c GROUP BY era")
@@ -143,6 +155,17 @@ def digest(spark, sf_dir):
     return P.digest(orders(spark, sf_dir).withColumn("q", (F.col("target") * 4).cast("bigint")), ["id", "q"], ["era"])
 
 
+@query(
+    "src15_fingerprint",
+    f"""WITH {ORDERS}, e AS (SELECT sha256(string_agg(era, ',' ORDER BY era)) AS eras_sha256 FROM (SELECT DISTINCT era FROM orders_c))
+    SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5('=' || id || chr(31) || '=' || CAST(CAST(target * 4 AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS content, max(eras_sha256) AS eras_sha256,
+    sha256('[["id","string"],["era","string"],["feature_a","double"],["feature_b","double"],["q","bigint"]]') AS schema_sha256, sha256('["feature_a","feature_b"]') AS features_sha256 FROM orders_c, e""",
+)
+def fingerprint(spark, sf_dir):
+    df = orders(spark, sf_dir).select("id", "era", "feature_a", "feature_b", (F.col("target") * 4).cast("bigint").alias("q"))
+    return P.fingerprint(df, ["feature_a", "feature_b"], ["id", "q"])
+
+
 @query("src16_oof_sink", f"WITH {ORDERS} SELECT id, era, {rs('target')} AS target, {rs('prediction')} AS prediction, CAST(CAST(era AS BIGINT) % 5 AS INTEGER) AS cv_fold FROM orders_c")
 def oof_sink(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("cv_fold", (F.col("era").cast("bigint") % 5).cast("int"))

@@ -115,6 +115,15 @@ def neutral_wide(spark, sf_dir):
     return residual.neutralized(df, "v", "prediction", features, ["era"]).select("id", "era", r("v").alias("v"))
 
 
+@query("rnk11_neutralized_sixty")
+def neutral_sixty(spark, sf_dir):
+    """A signal made neutral to sixty coordinates of the vectors, within halves of the labels."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    features = [f"f{i}" for i in range(60)]
+    df = v.select(F.col("vec_id").cast("string").alias("id"), (F.col("label") % 2).cast("string").alias("era"), F.col("embedding")[62].cast("double").alias("prediction"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(features)])
+    return residual.neutralized(df, "v", "prediction", features, ["era"]).select("id", "era", r("v", 6).alias("v"))
+
+
 @query(
     "rnk12_predict_neutralize_rank",
     f"""WITH {LINEITEM}, p AS (SELECT *, 1e-5 * prediction + 2e-2 * benchmark + 1e-1 AS raw FROM lineitem_c),

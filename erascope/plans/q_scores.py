@@ -104,7 +104,13 @@ def target_correlations(spark, sf_dir):
     return S.target_correlations(orders(spark, sf_dir), _T).select("a", "b", r("corr").alias("corr"))
 
 
-@query("sco12_alpha")
+@query(
+    "sco12_alpha",
+    f"""WITH {EVENTS}, p AS (SELECT era, ticker, avg(prediction) AS signal, avg(benchmark) AS n1, CAST(count(*) AS DOUBLE) AS weight, max(target) AS target FROM events_c GROUP BY era, ticker),
+    k AS (SELECT *, {kept_sql('signal')} AS s FROM p WHERE n1 IS NOT NULL), y AS (SELECT era, weight, (s - avg(s) OVER (PARTITION BY era)) * weight AS y, n1 * weight AS x, target - avg(target) OVER (PARTITION BY era) AS t FROM k),
+    b AS (SELECT *, coalesce(sum(x * y) OVER (PARTITION BY era) / nullif(sum(x * x) OVER (PARTITION BY era), 0), 0) AS b FROM y), v AS (SELECT era, (y - b * x) * weight AS v, t FROM b)
+    SELECT era, {rs('sum(v * t) / nullif(sum(abs(v)), 0)')} AS alpha FROM v GROUP BY era""",
+)
 def alpha(spark, sf_dir):
     """By day: signal, neutralizers, weights and targets joined by (era, ticker)."""
     from .jobs import alpha_by_date

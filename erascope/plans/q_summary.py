@@ -109,6 +109,17 @@ def leaderboard(spark, sf_dir):
     return SU.leaderboard(per.select("era", F.when(F.col("era").cast("bigint") % 7 != 0, F.col("m_")).alias("metric")), "metric", 80, "era")
 
 
+@query(
+    "sum9_board_and_missing",
+    f"WITH {LINEITEM}, m AS (SELECT era, {rs('CASE WHEN CAST(era AS BIGINT) % 7 = 0 THEN NULL ELSE corr(prediction, target) END')} AS metric FROM lineitem_c GROUP BY era) SELECT era, metric, true AS listed FROM (SELECT * FROM m WHERE metric IS NOT NULL ORDER BY metric DESC, era LIMIT 20) UNION ALL SELECT era, NULL, false FROM m WHERE metric IS NULL",
+)
+def board_and_missing(spark, sf_dir):
+    """The twenty best eras, and those that lack the metric."""
+    per = lineitem(spark, sf_dir).groupBy("era").agg(r(S.correlation("prediction", "target")).alias("m_"))
+    board, missing = SU.board_and_missing(per.select("era", F.when(F.col("era").cast("bigint") % 7 != 0, F.col("m_")).alias("metric")), "metric", 20, "era")
+    return board.withColumn("listed", F.lit(True)).unionByName(missing.select("era", F.lit(None).cast("double").alias("metric"), F.lit(False).alias("listed")))
+
+
 @query(
     "sum10_seed_aggregates",
     f"""WITH {LINEITEM}, ps AS (SELECT era, CASE WHEN feature_b >= 3 THEN 'b' ELSE 'a' END AS procedure, CAST(feature_b AS INTEGER) AS seed, {corr_sql('prediction', 'benchmark')} AS value FROM lineitem_c GROUP BY ALL),
@@ -124,7 +135,7 @@ def seeds(spark, sf_dir):
 
 @query("sum11_medians", f"{WITH} SELECT signal, {rs('median(value)')} AS median FROM per GROUP BY signal")
 def medians(spark, sf_dir):
-    return per_era(spark, sf_dir).groupBy("signal").agg(r(F.median("value")).alias("median"))
+    return SU.medians(per_era(spark, sf_dir), "value", ["signal"]).select("signal", r("median").alias("median"))
 
 
 @query(

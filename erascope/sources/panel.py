@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.contracts import ContractError, enforce, finite_contract, key_contract
+from ..functions.ranking import clean
+from ..operators.contracts import ContractError, numbers_only, refuse
 from ..operators.summary import era_number
 
 
@@ -60,27 +63,34 @@ def surviving(df: DataFrame, kept: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write_filtered(df: DataFrame, path: str, level: int = 3) -> DataFrame:
-    """The rows, as zstd Parquet; an empty result is an error. Returns the written table."""
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if out.isEmpty():
+    """The rows, as zstd Parquet; an empty result is an error, found before anything is written. Returns the written table."""
+    if df.isEmpty():
         raise ContractError(f"nothing to write to {path}")
-    return out
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def feature_store(panel: DataFrame, benchmark: DataFrame, features: list[str], target: str, column: str, key: str = "id", era: str = "era") -> DataFrame:
     """Panel rows that have a benchmark value, with a row_offset by era and key. Raises on keys, eras, targets or features that
-    break their contract."""
+    break their contract. The join is read once for all contracts and for the eras' counts, and once for the result."""
+    values = [target, *features]
+    numbers_only(panel, values)
     joined = panel.join(benchmark.select(key, F.col(era).alias("e_"), column), key)
-    enforce(key_contract(joined, key, era), "feature store keys")
-    enforce(joined.agg(F.count_if(~F.col(era).eqNullSafe(F.col("e_"))).alias("era_mismatches")), "feature store eras")
-    enforce(finite_contract(joined, [target, *features]), "feature store values")
-    counts = joined.groupBy(era).agg(F.count("*").alias("c_"))
+    bad = {"era_mismatches": ~F.col(era).eqNullSafe(F.col("e_")), "null_eras": F.col(era).isNull()} | {f"not_finite_{c}": clean(c).isNull() for c in values}
+    per = joined.groupBy(key).agg(F.count("*").alias("rows"), F.min(era).alias("era_"), *[F.count_if(x).alias(n) for n, x in bad.items()])
+    counts = per.groupBy("era_").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") - 1).alias("duplicate_rows"), *[F.sum(n).alias(n) for n in bad]).collect()  # one row an era
+    refuse({n: sum(r[n] for r in counts) for n in ("duplicate_rows", *bad)} | {"empty": int(not counts)}, "feature store")
+    counts = df_of_counts(panel, [(r["era_"], r["rows"]) for r in counts], era)
     starts = counts.select(era, F.coalesce(F.sum("c_").over(W.orderBy(era_number(era)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b_"))
     offset = F.col("b_") + F.row_number().over(W.partitionBy(era).orderBy(key)) - 1
     return joined.join(F.broadcast(starts), era).withColumn("row_offset", offset).drop("b_", "e_")  # one row an era
 
 
+def df_of_counts(panel: DataFrame, counts: list[tuple], era: str) -> DataFrame:
+    """Counts by era, one row each, with the era's own type."""
+    return panel.sparkSession.createDataFrame(counts, StructType([StructField(era, panel.schema[era].dataType), StructField("c_", LongType())]))
+
+
 def digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """rows and an order-free content hash by group: sums of the first 32 bits of md5 over the columns' texts; nulls differ from
     empty strings."""
@@ -89,6 +99,51 @@ def digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> Da
     return df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.sum(part).alias("content"))
 
 
+def schema_sha256(df: DataFrame) -> str:
+    """Digest of the columns' names and types, in order."""
+    return hashlib.sha256(json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema.fields], separators=(",", ":")).encode()).hexdigest()
+
+
+def order_sha256(names: list[str]) -> str:
+    """Digest of some names in their order."""
+    return hashlib.sha256(json.dumps(list(names), separators=(",", ":")).encode()).hexdigest()
+
+
+def fingerprint(df: DataFrame, features: list[str], columns: list[str], era: str = "era") -> DataFrame:
+    """One row that says whether a table can be used again: rows, content (digest() over the columns), and digests of the
+    schema, of the features in order and of the kept eras."""
+    eras = df.select(F.col(era).cast("string").alias("e")).distinct().agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("e"))), 256).alias("eras_sha256"))  # one short text an era
+    both = digest(df, columns).crossJoin(F.broadcast(eras))  # one row
+    return both.withColumns({"schema_sha256": F.lit(schema_sha256(df)), "features_sha256": F.lit(order_sha256(features))})
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_panel(spark: SparkSession, full: str, train: str, validation: str, columns: list[str] | None = None) -> DataFrame:
+    """The full table where there is one, else train and validation by name; columns that one of them lacks are null."""
+    read = lambda path: spark.read.parquet(path)
+    out = read(full) if path_exists(spark, full) else read(train).unionByName(read(validation), allowMissingColumns=True)
+    if columns is None:
+        return out
+    missing = [c for c in columns if c not in out.columns]
+    if missing:
+        raise ContractError(f"no columns {missing}")
+    return out.select(*columns)
+
+
+def up_to_era(df: DataFrame, last: int, era: str = "era") -> DataFrame:
+    """The rows of the eras up to a number."""
+    return df.filter(F.expr(f"try_cast(`{era}` as bigint)") <= last)
+
+
+def values_by_date(rows: DataFrame, daily: DataFrame, first: str, on: list[str], era: str = "era") -> DataFrame:
+    """Rows from a date on with the daily values of their keys."""
+    return rows.filter(F.col(era) >= first).join(daily.filter(F.col(era) >= first), on)
+
+
 def feature_sets(spark: SparkSession, path: str) -> DataFrame:
     """Rows (feature_set, feature) of a metadata JSON file {"feature_sets": {name: [feature, ...]}}."""
     sets = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<feature_sets:map<string,array<string>>>").alias("j"))
@@ -101,6 +156,7 @@ def set_overlaps(sets: DataFrame) -> DataFrame:
     return a.join(b, "feature").groupBy("a", "b").agg(F.count("*").alias("size"))
 
 
+# The field names of results records.
 RESULTS = "model string, metrics struct<corr:struct<mean:double,std:double,sharpe:double,max_drawdown:double>,bmc:struct<mean:double>,bmc_last_200_eras:struct<mean:double>>"
 
 
@@ -153,7 +209,8 @@ def select_groups(df: DataFrame, groups: list[str], members: dict[str, list[str]
 
 
 def resolution(df: DataFrame, target: str, era: str = "era") -> DataFrame:
-    """Per era: rows, resolved rows, status; and the last era up to which all are resolved as frontier."""
+    """Per era: rows, resolved rows, status; and the last resolved era as frontier. Eras before it may still be open; their
+    status says so."""
     per = df.groupBy(era).agg(F.count("*").alias("rows"), F.count(target).alias("resolved"))
     status = F.when(F.col("rows") == F.col("resolved"), "resolved").when(F.col("resolved") == 0, "open").otherwise("partial")
     return per.withColumn("status", status).withColumn("frontier", F.max(F.when(F.col("status") == "resolved", F.col(era))).over(W.partitionBy()))
