@@ -97,8 +97,8 @@ def balance(docs: DataFrame, families: dict[str, dict], size: str = "size", iter
     which is the Hessian (its diagonal is the gradient's sum), and one solve on the driver of at most MOST_CONSTRAINTS
     unknowns, with the step halved while the dual grows. Targets that no rates meet, or a group without one, are an error.
 
-    A null group is a group (None); documents of size 0 or null get a rate and weigh nothing; repeated rows each count; an
-    empty table gives an empty result; a column rate is replaced.
+    A null group is a group (None); documents of size 0 or null get a rate and weigh nothing; repeated rows each count; a
+    table without words has rate 1 throughout, an empty table gives an empty result; a column rate is replaced.
     """
     names, spark = list(families), docs.sparkSession
     index = {(f, g): i for i, (f, g) in enumerate((f, g) for f in names for g in families[f])}
@@ -131,6 +131,8 @@ def balance(docs: DataFrame, families: dict[str, dict], size: str = "size", iter
         first = sum(mass[i] for (f, _), i in index.items() if f == names[0])
         return first - target @ multipliers, target - mass, h
 
+    if classes.isEmpty():
+        return docs.withColumn("rate", F.lit(1.0))
     multipliers = np.zeros(len(index))
     dual, gradient, hessian = tilted(multipliers)
     for _ in range(iterations):
