@@ -33,7 +33,9 @@ HEAVY_WORDS = 1 << 19
 SMOOTHING = 0.1
 #: Bytes that no UTF-8 text has: the end, which also fills the context before a text.
 END = 0xFF
-KEPT_WORDS, KEPT_GRAMS = 200_000, 700_000
+KEPT_WORDS, KEPT_GRAMS = 200_000, 500_000
+#: Bytes of text that are worked on together.
+SLICE = 1_000_000
 CHUNK = 400_000
 #: The depth of the groups in which the tree is built, and into how many parts grams of two equal last bytes are dealt.
 GROUP = 3
@@ -98,7 +100,7 @@ def count_corpus(docs: DataFrame, text: str, held: str, depth: int = DEPTH) -> D
         grams: list[tuple] = []
         for b in batches:
             whole, out = byte_texts(b, text), b.column(held).to_pylist()
-            for part in slices([len(t) for t in whole]):
+            for part in slices([len(t) for t in whole], SLICE):
                 split = [words_of(t) for t in whole[part]]
                 for w, h in zip(split, out[part], strict=True):
                     if not h:
@@ -365,7 +367,7 @@ def score(docs: DataFrame, held: str, text: str = "text", key: str = "doc_id", d
         lookup = HashTable(keys, values, filled=True)
         first, done = TaskContext.get().partitionId() << 33, 0
         end_score = math.log10(n_end + SMOOTHING) - log_all
-        for split, ids, out in ((([words_of(t) for t in whole[p]]), b.column("doc_id")[p.start : p.stop], b.column("held_out")[p.start : p.stop]) for b in batches for whole in (byte_texts(b),) for p in slices([len(t) for t in whole])):
+        for split, ids, out in ((([words_of(t) for t in whole[p]]), b.column("doc_id")[p.start : p.stop], b.column("held_out")[p.start : p.stop]) for b in batches for whole in (byte_texts(b),) for p in slices([len(t) for t in whole], SLICE)):
             codes, starts, lengths = grams_of(split, depth)
             logp = lookup.get(codes)
             lost = np.isnan(logp)
