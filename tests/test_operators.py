@@ -239,3 +239,117 @@ def test_stream_scores_only_new_drops(spark, tmp_path):
     score_drops(spark, drops, df.schema, score, out, check)
     got = spark.read.parquet(out)
     assert got.count() == 4 and got.filter("p = 1.0").count() == 2
+
+
+def test_neutralization_to_sixty_columns_equals_pinv(spark):
+    from erascope.plans import registry
+
+    data = "/root/testdata/sf0.01"
+    for name, k, era in (("rnk11_neutralized_sixty", 60, lambda v: v % 2), ("rnk11_neutralized_embeddings", 16, lambda v: v)):
+        pdf = spark.read.parquet(f"{data}/embeddings.parquet").toPandas()
+        got = registry.QUERIES[name](spark, data).toPandas().set_index("id")["v"]
+        z = np.array(pdf["embedding"].tolist(), float)
+        y = z[:, 62 if k == 60 else 20]
+        for e in set(era(pdf["label"])):
+            at = np.flatnonzero(era(pdf["label"]) == e)
+            n = np.column_stack([z[at, :k], np.ones(len(at))])
+            want = y[at] - n @ (np.linalg.pinv(n) @ y[at])
+            assert np.allclose(got.loc[pdf["vec_id"].iloc[at].astype(str)].astype(float), want, atol=2e-6)
+
+
+def test_plan_of_neutralization_does_not_grow_in_operators(spark):
+    df = spark.range(10).select(F.lit("1").alias("era"), *[F.rand(i).alias(f"x{i}") for i in range(40)], F.rand(99).alias("y"))
+    nodes = [residual.neutralized(df, "v", "y", [f"x{i}" for i in range(k)], ["era"])._jdf.queryExecution().sparkPlan().toString().count("\n") for k in (2, 40)]
+    assert nodes[0] == nodes[1]
+
+
+def test_out_of_fold_of_three_features_on_the_table_equals_numpy(spark):
+    from erascope.plans import registry
+    from erascope.plans.cohorts import orders
+
+    data = "/root/testdata/sf0.001"
+    pdf, got = orders(spark, data).toPandas(), registry.QUERIES["trn8_out_of_fold_wide"](spark, data).toPandas()
+    roles = splits.cv_splits(orders(spark, data), 5, 4, "blocked").toPandas()
+    x = lambda d: np.column_stack([d["benchmark"], d["feature_a"], d["feature_b"], np.ones(len(d))]).astype(float)
+    for fold, g in got.groupby("cv_fold"):
+        train = pdf[pdf["era"].isin(roles[(roles["fold"] == fold) & (roles["role"] == "train")]["era"])]
+        beta = np.linalg.lstsq(x(train), train["target"].astype(float), rcond=None)[0]
+        held = pdf.set_index("id").loc[g["id"]]
+        assert np.allclose(g["prediction"], x(held) @ beta, atol=2e-6)
+
+
+def test_out_of_fold_estimators_and_repeated_keys(spark):
+    class Nearest:
+        def fit(self, x, y):
+            self.x, self.y = x[:, 0], y
+
+        def predict(self, x):
+            return self.y[np.abs(x[:, :1] - self.x).argmin(axis=1)]
+
+    df = eras(spark, 8, 9)
+    sp = splits.cv_splits(df, 3, 1, strict=False)
+    out = splits.out_of_fold(df, sp, ["x"], "y", estimator=Nearest(), cap=40).toPandas()
+    pdf = df.toPandas()
+    assert len(out) and out["prediction"].isin(pdf["y"]).all() and (out.groupby("cv_fold")["prediction"].nunique() <= 40).all()
+    with pytest.raises(contracts.ContractError):
+        splits.out_of_fold(df.unionByName(df.limit(1)), sp, ["x"], "y")
+
+
+def test_splits_fail_loud(spark):
+    df = spark.createDataFrame([(f"{e:04d}",) for e in range(10)], "era string")
+    for bad in (lambda: splits.cv_splits(df, 11, mode="blocked"), lambda: splits.cv_splits(df, 5), lambda: splits.cv_splits(df, 2, 6, "blocked")):
+        with pytest.raises(contracts.ContractError):
+            bad()
+    with pytest.raises(ValueError):
+        splits.cv_splits(df, 0)
+    assert splits.cv_splits(df, 5, min_train=0).filter("role = 'validation'").count() == 10
+
+
+def test_capped_sample_takes_the_least(spark):
+    import hashlib
+
+    df = spark.range(3000).withColumn("id", F.col("id").cast("string"))
+    order = sorted((hashlib.md5(f"3:{i}".encode()).hexdigest(), str(i)) for i in range(3000))
+    for cap in (0, 1, 700, 5000):
+        assert {r["id"] for r in splits.capped_sample(df, cap, seed=3).collect()} == {i for _, i in order[:cap]}
+
+
+def test_a_rank_takes_one_sort(spark):
+    df = spark.range(10).select(F.lit("1").alias("era"), F.rand(1).alias("v")).withColumn("r", percent_rank("v", "era"))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
+
+
+def test_eras_are_looked_for_in_the_scan(spark):
+    from erascope.plans import registry
+
+    for name, column in (("src2_era_scan", "o_orderdate"), ("src14_prefix_extract", "o_orderdate"), ("src3_neutralizers_by_date", "ts")):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert any(f"({column}," in part.split("]")[0] for part in plan.split("PushedFilters: [")[1:]), name
+
+
+def test_cohort_proof_and_key_contracts(spark):
+    base = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "2")], "id string, era string")
+    assert not any(contracts.same_cohort({"x": base, "y": base.repartition(3)}, base).values())
+    cases = {"missing_keys": base.limit(2), "unexpected_keys": base.unionByName(spark.createDataFrame([("d", "2")], base.schema)), "duplicate_keys": base.unionByName(base.limit(1)), "era_mismatches": base.withColumn("era", F.lit("9"))}
+    for problem, run in cases.items():
+        assert contracts.same_cohort({"x": run}, base)[problem] > 0, problem
+    bad, covered = contracts.id_contracts(base, base.filter("id <> 'c'"), base.filter("id = 'b'"))
+    assert bad == {"null_keys": 0, "duplicate_rows": 0, "duplicate_right_rows": 0, "null_eras": 0, "unmatched": 1, "empty": 0}
+    assert sorted((c["era"], c["rows"], c["matched"]) for c in covered) == [("1", 1, 0), ("2", 2, 1)]
+    assert contracts.id_contracts(base.limit(0), base)[0]["empty"] == 1
+    broken = base.unionByName(base.limit(1)).unionByName(spark.createDataFrame([(None, "1"), ("e", None)], base.schema))
+    bad, _ = contracts.id_contracts(broken, broken)
+    assert bad["duplicate_rows"] == bad["duplicate_right_rows"] == 1 and bad["null_keys"] == 2 and bad["null_eras"] == 1
+
+
+def test_feature_store_and_sinks_refuse_before_they_write(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1", 1.0, 0.5), ("b", "2", 2.0, 0.5)], "id string, era string, f double, target double")
+    other = df.select("id", "era", F.lit(1.0).alias("bm"))
+    assert [r["row_offset"] for r in panel.feature_store(df, other, ["f"], "target", "bm").orderBy("id").collect()] == [0, 1]
+    for a, b in ((df.unionByName(df), other), (df, other.withColumn("era", F.lit("7"))), (df.withColumn("f", F.lit(NAN)), other), (df.limit(0), other)):
+        with pytest.raises(contracts.ContractError):
+            panel.feature_store(a, b, ["f"], "target", "bm")
+    with pytest.raises(contracts.ContractError):
+        panel.write_filtered(df.limit(0), f"file://{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
