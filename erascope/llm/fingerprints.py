@@ -8,6 +8,9 @@ merging drops that mark when the other sketch has hashes.
 
 import hashlib
 import math
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -107,12 +110,21 @@ def with_next(docs: DataFrame, fn, schema: str, text: str = "text", key: str = "
 
     Documents are dealt once, to buckets between quantiles of the key, a task each; the head of each bucket, one row, is
     sent to the bucket before it as well. Rows of equal keys go by a hash of the text, then the text; null keys come last.
+    A key of several buckets' rows, and null keys, are dealt to parts by ranges of that hash; equal texts of a key stay together.
     """
     spark = docs.sparkSession
+    hash_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     ids = docs.select(F.col(key).cast("bigint").alias("k_"))
-    n = buckets or min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // BUCKET_ROWS)))
-    splits = ids.approxQuantile("k_", [i / n for i in range(1, n)], max(0.2 / n, 1e-4)) if n > 1 else []
-    splits = sorted({math.floor(x) for x in splits})
+    total, known = ids.agg(F.count("*"), F.count("k_")).first()
+    n = buckets or min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ROWS)))
+    cuts = ids.approxQuantile("k_", [i / n for i in range(1, n)], max(0.2 / n, 1e-4)) if n > 1 else []
+    cuts = [min(math.floor(x), (1 << 63) - 1) for x in cuts]
+    often = {k: m for k, m in Counter(cuts).items() if m > 1 and k > -(1 << 63)}  # these get a bucket of their own
+    splits = sorted({*cuts, *(k - 1 for k in often)})
+    parts = [1] * (len(splits) + 1) + [max(1, -(-(total - known) * n // max(1, total)))]
+    for k, m in often.items():
+        parts[len(splits) - bisect_left(splits, k)] = m + 1
+    firsts, dealt_on = list(accumulate(parts, initial=0)), max(parts) > 1
     # how many splits are below the key, from every so manieth one first
     step = max(1, math.isqrt(len(splits)))
     below = lambda some: F.size(F.filter(some, lambda s: s < F.col("k_")))
@@ -120,15 +132,27 @@ def with_next(docs: DataFrame, fn, schema: str, text: str = "text", key: str = "
     coarse = F.greatest((below(literal(splits[::step])) - 1) * step, F.lit(0))
     place = F.lit(len(splits)) - (coarse + below(F.slice(literal(splits), coarse + 1, F.lit(step))))
     bucket = F.when(F.col("k_").isNull(), len(splits) + 1).otherwise(place).cast("int")
-    dealt = docs.select(F.col(key).cast("bigint").alias("k_"), F.coalesce(F.col(text), F.lit("")).alias("t_")).withColumn("b_", bucket)
-    heads = {r["b_"]: r["m_"] for r in ids.withColumn("b_", bucket).groupBy("b_").agg(F.max("k_").alias("m_")).collect()}  # one row for each bucket
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows (k_, h_, ...) with the number b_ of their bucket."""
+        rows = rows.withColumn("b_", bucket)
+        if not dealt_on:
+            return rows
+        part = F.shiftright((F.shiftright("h_", 32) + F.lit(1 << 31)) * F.element_at(literal(parts), F.col("b_") + 1), 32)
+        return rows.withColumn("b_", (F.element_at(literal(firsts), F.col("b_") + 1) + part).cast("int"))
+
+    keys = docs.select(F.col(key).cast("bigint").alias("k_"), (hash_ if dealt_on else F.lit(None).cast("bigint")).alias("h_"))
+    dealt = placed(docs.select(F.col(key).cast("bigint").alias("k_"), hash_.alias("h_"), F.coalesce(F.col(text), F.lit("")).alias("t_")))
+    heads = {r["b_"]: (r["m_"], r["h_"]) for r in placed(keys).groupBy("b_").agg(F.max("k_").alias("m_"), F.min("h_").alias("h_")).collect()}  # one row for each bucket
     order = sorted(heads)
-    before = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the head of the first bucket follows the last
-    named = F.broadcast(spark.createDataFrame(before, "head_ bigint, b_ int"))  # one row for each bucket
-    first = F.min(F.struct(F.xxhash64("t_").alias("h"), F.col("t_").alias("t"))).alias("f_")
-    ghosts = dealt.drop("b_").join(named, F.col("k_").eqNullSafe(F.col("head_"))).groupBy("k_", "b_").agg(first)
-    ghosts = ghosts.select("k_", F.col("f_.t").alias("t_"), "b_", F.lit(1).alias("g_"))
-    rows = dealt.withColumn("g_", F.lit(0)).unionByName(ghosts).repartitionById(len(splits) + 2, "b_").sortWithinPartitions(F.col("b_"), F.col("g_"), F.col("k_").desc_nulls_last(), F.xxhash64("t_"), F.col("t_"))
+    of_a_part = {f + i for f, m in zip(firsts, parts) if m > 1 for i in range(m)}  # noqa: B905  firsts ends with their number
+    before = [(heads[b][0], heads[b][1] if b in of_a_part else None, b, order[i - 1]) for i, b in enumerate(order)]  # the head of the first bucket follows the last
+    named = F.broadcast(spark.createDataFrame(before, "head_ bigint, least_ bigint, own_ int, to_ int"))  # one row for each bucket
+    first = F.min(F.struct("h_", F.col("t_").alias("t"))).alias("f_")
+    leads = (F.col("b_") == F.col("own_")) & F.col("k_").eqNullSafe(F.col("head_")) & (F.col("least_").isNull() | (F.col("h_") == F.col("least_")))
+    ghosts = dealt.join(named, leads).groupBy("k_", F.col("to_").alias("b_")).agg(first)
+    ghosts = ghosts.select("k_", F.col("f_.h_").alias("h_"), F.col("f_.t").alias("t_"), "b_", F.lit(1).alias("g_"))
+    rows = dealt.withColumn("g_", F.lit(0)).unionByName(ghosts).repartitionById(firsts[-1], "b_").sortWithinPartitions(F.col("b_"), F.col("g_"), F.col("k_").desc_nulls_last(), F.col("h_"), F.col("t_"))
 
     def run(batches):
         def pairs_of():
