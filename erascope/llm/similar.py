@@ -38,6 +38,8 @@ SAMPLE = 1 << 14
 FREQUENT = 200_000
 #: Ids up to this many are sent to every task; beyond, they are joined.
 FEW_IDS = 1_000_000
+#: Pairs that a task holds before it hands them on.
+PAIRS = 1_000_000
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -65,10 +67,15 @@ def _across(batches, similarity: float, whole: bool = True):
     share = similarity / (1 + similarity)
     kept = None
 
+    def handed_on(left, right):
+        x, y = np.concatenate(left), np.concatenate(right)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
     def pairs(cell, id_, group, n, rest):
         starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
         size = np.diff(starts)
-        left, right = [], []
+        left, right, held = [], [], 0
 
         def linkable(i, j):
             return (group[i] != group[j]) & (np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - 1e-6)
@@ -90,11 +97,12 @@ def _across(batches, similarity: float, whole: bool = True):
                 j = at[linkable(np.full(1, i), at)] if whole else top[linkable(np.full(1, i), top)][:1]
                 left.append(np.full(len(j), id_[i]))
                 right.append(id_[j])
-        if not left:
-            return None
-        x, y = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"]) if len(both) else None
+                held += len(j)
+                if held > PAIRS:
+                    yield handed_on(left, right)
+                    left, right, held = [], [], 0
+        if left:
+            yield handed_on(left, right)
 
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "id", "group", "n", "rest")]
@@ -103,9 +111,9 @@ def _across(batches, similarity: float, whole: bool = True):
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         kept = [x[cut:] for x in cols]
         if cut:
-            yield pairs(*(x[:cut] for x in cols))
+            yield from pairs(*(x[:cut] for x in cols))
     if kept is not None:
-        yield pairs(*kept)
+        yield from pairs(*kept)
 
 
 def _frequent(docs: DataFrame, text: str, key: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,9 +256,7 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
         dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
 
         def across(batches, whole=whole):
-            for out in _across(batches, similarity, whole):
-                if out is not None:
-                    yield out
+            yield from _across(batches, similarity, whole)
 
         pairs = dealt.mapInArrow(across, "a bigint, b bigint").distinct()
         named = written(pairs if named is None else pairs.join(named, ["a", "b"], "left_anti"))
