@@ -7,8 +7,10 @@ import random
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from erascope.llm import chat, decontaminate, fingerprints, language_id, language_model, mixing, secrets, similar, simhash, token_counts, warc
 
@@ -477,3 +479,39 @@ def test_next_documents_follow_in_descending_order(spark):
         k = len(t) // 3
         want[i] = (len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest())
     assert got == want
+
+
+def test_rows_of_one_key_are_dealt_to_many_tasks(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd efé") for _ in range(rng.randint(0, 12)))
+    rows = [(i, word()) for i in rng.sample(range(10**6), 150)]
+    rows += [(500_000, word()) for _ in range(200)] + [(7, word()) for _ in range(120)] + [(None, word()) for _ in range(130)]
+    rows += [(500_000, "same text"), (500_000, "same text"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = fingerprints.with_next(df, fingerprints._compare, fingerprints.EDITED, buckets=12)
+    got = sorted(((r["doc_id"] is None, -(r["doc_id"] or 0), r["n_chars"], r["edited_sha256"]) for r in found.collect()))
+
+    def hash_(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hash_(r[1]), r[1]))
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 3
+        want.append((i is None, -(i or 0), len(t), hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest()))
+    assert got == sorted(want)
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 120
+
+
+def test_pairs_of_a_cell_are_handed_on_in_pieces(monkeypatch):
+    rng = random.Random(13)
+    rows = sorted((rng.randrange(4), i, rng.randrange(9), 10, rng.randint(4, 10)) for i in range(120))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[at : at + 50]], pa.int64()) for j in range(5)], names=["cell", "id", "group", "n", "rest"]) for at in (0, 50, 100)]
+    pairs = lambda: [list(zip(*(b.column(c).to_pylist() for c in "ab"), strict=True)) for b in similar._across(iter(batches), 0.8)]
+    want = {tuple(sorted((a[1], b[1]))) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2] and min(a[4], b[4]) >= 0.8 / 1.8 * 20 - 1e-6}
+    whole = pairs()
+    monkeypatch.setattr(similar, "PAIRS", 40)
+    some = pairs()
+    assert {p for b in whole for p in b} == {p for b in some for p in b} == want
+    assert max(map(len, some)) <= 40 + 120 and len(some) > len(whole)
