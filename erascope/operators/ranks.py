@@ -24,24 +24,38 @@ def first_ranked(df: DataFrame, name: str, x: str, key: str, by: list[str]) -> D
     return df.withColumn(name, first_rank(x, key, *by))
 
 
-def ranked_over_all(df: DataFrame, name: str, x: str, kind: str = "gaussian", parts: int = 64) -> DataFrame:
+def ranked_over_all(df: DataFrame, name: str, x: str, kind: str = "gaussian", parts: int = 64, by: list[str] | None = None) -> DataFrame:
     """A rank over the whole table without a window over the whole table: values are counted, dealt to ranges between
-    quantiles, summed by range (at most parts rows), and ranked inside their range."""
-    values = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("v_")).agg(F.count("*").alias("n_"))
-    splits = sorted(set(df.approxQuantile(x, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    bounds = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
+    quantiles, summed by range (at most parts rows), and ranked inside their range. kinds: gaussian, average, percent, tie_kept.
+
+    With by, over each group of these columns: for few groups of very many rows, each of which a window would hold in one
+    task; the quantiles are then one row a group. Null values get null; a null group is a group.
+    """
+    by = by or []
+    of = [f"{c}_of_" for c in by]
+    values = df.filter(F.col(x).isNotNull()).groupBy(*[F.col(c).alias(g) for c, g in zip(by, of, strict=True)], F.col(x).alias("v_")).agg(F.count("*").alias("n_"))
+    if by:
+        quantiles = F.percentile_approx(x, [i / parts for i in range(1, parts)], 100 * parts)
+        cuts = df.groupBy(*[F.col(c).alias(f"{g}q_") for c, g in zip(by, of, strict=True)]).agg(F.array_distinct(quantiles).alias("cuts_"))
+        values = values.join(F.broadcast(cuts), [F.col(g).eqNullSafe(F.col(f"{g}q_")) for g in of]).drop(*[f"{g}q_" for g in of])  # one row a group
+        bounds = F.col("cuts_")
+    else:
+        splits = sorted(set(df.approxQuantile(x, [i / parts for i in range(1, parts)], 0.5 / parts)))
+        bounds = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
     values = values.withColumn("p_", F.size(F.filter(bounds, lambda s: s < F.col("v_"))))
-    totals = values.groupBy("p_").agg(F.sum("n_").alias("t_"))
-    before = totals.select("p_", (F.sum("t_").over(W.orderBy("p_").rowsBetween(W.unboundedPreceding, 0)) - F.col("t_")).alias("before_"), F.sum("t_").over(W.partitionBy()).alias("all_"))
-    inside = F.sum("n_").over(W.partitionBy("p_").orderBy("v_").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
-    placed = values.withColumn("inside_", inside).join(F.broadcast(before), "p_")  # one row for each range
+    totals = values.groupBy(*of, "p_").agg(F.sum("n_").alias("t_"))
+    before = totals.select(*[F.col(g).alias(f"{g}b_") for g in of], F.col("p_").alias("pb_"), (F.sum("t_").over(W.partitionBy(*of).orderBy("p_").rowsBetween(W.unboundedPreceding, 0)) - F.col("t_")).alias("before_"), F.sum("t_").over(W.partitionBy(*of)).alias("all_"))
+    inside = F.sum("n_").over(W.partitionBy(*of, "p_").orderBy("v_").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_")
+    same = [F.col(g).eqNullSafe(F.col(f"{g}b_")) for g in of] + [F.col("p_") == F.col("pb_")]
+    placed = values.withColumn("inside_", inside).join(F.broadcast(before), same)  # one row for each range, of a group
     rank = F.col("before_") + F.col("inside_") + (F.col("n_") + 1) / 2
     kept = (rank - 0.5) / F.col("all_")
     if kind == "gaussian":
         placed = with_probit(placed, "r_", kept)
     else:
         placed = placed.withColumn("r_", {"average": rank, "percent": rank / F.col("all_"), "tie_kept": kept}[kind])
-    return df.join(placed.select("v_", F.col("r_").alias(name)), F.col(x) == F.col("v_"), "left").drop("v_")
+    own = [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, of, strict=True)] + [F.col(x) == F.col("v_")]
+    return df.join(placed.select(*of, "v_", F.col("r_").alias(name)), own, "left").drop("v_", *of)
 
 
 def scaled_over_all(df: DataFrame, name: str, x: str) -> DataFrame:

@@ -32,6 +32,11 @@ def rank_gaussian_all(spark, sf_dir):
     return ranks.ranked_over_all(lineitem(spark, sf_dir), "v", "benchmark").select("id", r("v").alias("v"))
 
 
+@query("rnk2_tie_kept_rank_ranges", f"WITH {LINEITEM} SELECT id, era, {rs(kept_sql('benchmark'))} AS v FROM lineitem_c")
+def tie_kept_by_ranges(spark, sf_dir):
+    return ranks.ranked_over_all(lineitem(spark, sf_dir), "v", "benchmark", "tie_kept", by=["era"]).select("id", "era", r("v").alias("v"))
+
+
 @query("rnk4_first_rank", f"WITH {LINEITEM} SELECT id, era, {rs('row_number() OVER (PARTITION BY era ORDER BY benchmark, id) / CAST(count(*) OVER (PARTITION BY era) AS DOUBLE)')} AS v FROM lineitem_c")
 def first_rank(spark, sf_dir):
     return ranks.first_ranked(lineitem(spark, sf_dir), "v", "benchmark", "id", ["era"]).select("id", "era", r("v").alias("v"))

@@ -51,6 +51,16 @@ def test_rank_over_all_equals_one_window(spark):
     assert both.filter("a <> b").count() == 0
 
 
+def test_rank_by_ranges_equals_windows(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float("nan"), -0.0, *map(float, range(40))])) for i in range(600)] + [(600, "c", None)]
+    df = spark.createDataFrame(rows, "id int, era string, v double")
+    for kind, plain in (("average", average_rank), ("percent", percent_rank)):
+        both = ranks.ranked_over_all(df, "a", "v", kind, parts=7, by=["era"]).withColumn("b", plain("v", "era"))
+        assert both.count() == 601 and both.columns == ["id", "era", "v", "a", "b"]
+        assert both.filter("not (a <=> b) and not abs(a - b) < 1e-12").count() == 0 and both.filter("a is null and v is not null").count() == 0
+
+
 def test_zscore_of_a_constant_is_zero(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 1.0)], "era string, v double")
     assert {r[0] for r in df.select(zscore("v", "era")).collect()} == {0.0}
