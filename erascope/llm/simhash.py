@@ -216,16 +216,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (u, v), v < u, are stars: no node with an edge to a smaller one has any other edge."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up_")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up_")))
+    return ends.groupBy("node").agg(F.sum("up_").alias("up_"), F.count("*").alias("n_")).filter("up_ > 0 and n_ > 1").count() == 0
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Rows (node, component): the smallest node reachable, for all nodes of the edges (a, b).
 
-    Large-star and small-star in turn until no edge changes, O(log^2) rounds; each is an aggregation to the smallest
+    Large-star and small-star in turn until the edges are stars around the least nodes, O(log^2) rounds; each is an aggregation to the smallest
     neighbour and a join back on the node, in which Spark can split a node of very many neighbours. Each round is written,
     which cuts the lineage. Edges that have not settled after max_rounds are an error, never a partial result.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    said = None
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _settled(edges):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+        rounds += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each larger neighbour of u is joined to u's least
@@ -236,12 +245,6 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         before, edges = edges, written(small)
         release(before, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == said or now[0] == 0:
-            break
-        said = now
-    else:
-        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 

@@ -393,3 +393,30 @@ def test_stages_take_columns_of_clashing_names(spark):
         assert stage(spark, df.limit(0), DATA).count() == 0
     out = STAGES[-1][1](spark, df, DATA)
     assert set(df.columns) <= set(out.columns) and out.count() >= 1
+
+
+def test_components_of_any_shape(spark):
+    """Stars, chains, rings, trees and isolated loops against union-find, the stop at stars among them."""
+    rng = np.random.default_rng(7)
+    shapes = {
+        "star": [(0, i) for i in range(1, 9)],
+        "centre is not least": [(5, i) for i in (1, 2, 9)],
+        "ring and chain": [(i, (i + 1) % 6) for i in range(6)] + [(i, i + 1) for i in range(20, 40)],
+        "repeated, turned and loops": [(3, 1), (1, 3), (1, 3), (4, 4)],
+        "random": [tuple(map(int, rng.integers(0, 150, 2))) for _ in range(110)],
+    }
+    for name, edges in shapes.items():
+        up = {x: x for e in edges if e[0] != e[1] for x in e}
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+        got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in up), name
+    assert simhash.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
