@@ -11,6 +11,7 @@ from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .simhash import op5_simhash
 from .token_counts import op1_token_counts
+from .url_filter import OP13_SQL, op13_url_filter
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_warc": OP6_SQL,
+    "op13_url_filter": OP13_SQL,
 }
