@@ -7,6 +7,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .fingerprints import op3_fingerprints
 from .language_id import op9_language_id
 from .language_model import op7_ctw
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .simhash import op5_simhash
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
     "op13_url_filter": op13_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_warc": OP6_SQL,
+    "op11_lexical_search": OP11_SQL,
     "op13_url_filter": OP13_SQL,
 }
