@@ -11,6 +11,7 @@ from .lexical_search import OP11_SQL, op11_lexical_search
 from .mixing import op10_mixing
 from .secrets import op8_secrets
 from .simhash import op5_simhash
+from .token_alignment import op12_token_alignment
 from .token_counts import op1_token_counts
 from .url_filter import OP13_SQL, op13_url_filter
 from .warc import OP6_SQL, op6_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
     "op13_url_filter": op13_url_filter,
 }
 ORACLES: dict[str, str] = {
