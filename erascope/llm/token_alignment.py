@@ -8,18 +8,14 @@ all links, and offsets where a token of both ends cut the tokens into groups.
 How many documents hold a pair of ids linked is summed in the tasks first, then by Spark. The counts of the most frequent
 pairs, at most FREQUENT, go to every task; those of others are joined.
 
-Encoders: where the JSON's merges have the order of its ids and its words are the usual pattern's, its ranks are given to
-tiktoken, which then returns the same ids; else the tokenizers library reads it. No piece of B holds a space after another
-character as a rule; then no merge crosses from such a character to a space, and runs of spaces with the characters up to
-the next one are encoded once and remembered. Where one does, whole texts are encoded.
+Where the JSON's merges have the order of its ids and its words are the usual pattern's, its ranks are given to tiktoken,
+which then returns the same ids four times as fast; else the tokenizers library reads it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
-import re
 
 import numpy as np
 import pandas as pd
@@ -36,11 +32,10 @@ WORDS_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACE = "▁"
 #: Pairs whose counts every task has.
 FREQUENT = 1 << 19
-#: Distinct pairs that a task counts before it passes them on; remembered segments of B; longest of those.
-HELD, MEMO, LONG = 1 << 20, 300_000, 64
+#: Distinct pairs that a task counts before it passes them on.
+HELD = 1 << 20
 #: Bytes of texts that are aligned together.
 SLICE = 500_000
-_SEGMENT = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -81,32 +76,10 @@ class Pieces:
     def __init__(self, file: bytes):
         import sentencepiece
 
-        self.model = m = sentencepiece.SentencePieceProcessor(model_proto=file)
-        self.size = m.get_piece_size()
+        m = sentencepiece.SentencePieceProcessor(model_proto=file)
+        self.size, self.encode = m.get_piece_size(), m.encode
         pieces = [m.id_to_piece(i) for i in range(self.size)]
         self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        probes = ["ab", "  a  b ", "é ﬁ  　x", "\n a\t"]
-        self.alone = m.piece_to_id(SPACE)  # the library gives no token for an empty text
-        self.apart = self.alone != m.unk_id() and not any(SPACE in p.lstrip(SPACE) for p in pieces) and all(m.normalize(x) == (" " + x).replace(" ", SPACE) for x in probes)
-        self.ids: dict[str, tuple[np.ndarray, bytes]] = {}
-
-    def segments(self, text: str) -> tuple[np.ndarray, bytes]:
-        """Ids of a text and the bytes that they stand for."""
-        if not self.apart:
-            ids = np.array(self.model.encode(text), np.int64)
-            return ids, b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        known, parts = self.ids, _SEGMENT.findall(" " + text)
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > MEMO:  # what this text needs stays
-            self.ids = known = {p: known[p] for p in dict.fromkeys(parts) if p in known}
-        for p, ids in zip(new, self.model.encode([p[1:] for p in new], num_threads=1), strict=True):
-            ids = ids if len(p) > 1 else [self.alone]
-            known[p] = np.array(ids, np.int64), b"".join(map(self.bytes.__getitem__, ids))
-        got = [known[p] for p in parts]
-        for p in new:
-            if len(p) > LONG:
-                del known[p]
-        return np.concatenate([a for a, _ in got]), b"".join([b for _, b in got])
 
 
 class Slice:
@@ -120,10 +93,9 @@ class Slice:
             said = b" " + t.encode()
             x, y, z = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
             if t:
-                p, back = two.segments(t)
-                q = one.encode(" " + t)
-                if back == said and b"".join(map(one.bytes.__getitem__, q.tolist())) == said:
-                    x, y, z = q, p, len(said)
+                p, q = one.encode(" " + t), two.encode(t)
+                if b"".join(map(two.bytes.__getitem__, q)) == said and b"".join(map(one.bytes.__getitem__, p.tolist())) == said:
+                    x, y, z = p, np.array(q, np.int64), len(said)
             a.append(x)
             b.append(y)
             total.append(z)
