@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 from .common import byte_texts, release, small_batches, table, written
 
 WINDOW = 10
-SHARD = 1 << 20
+SHARD = 1 << 18
 SAMPLE = 8
 BLOCK_CHARS = 8_000_000
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F], A-Z lower-cased; all others become spaces.
