@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,12 @@ def with_probit(df: DataFrame, name: str, p: Column) -> DataFrame:
 def probit_sql(p: str) -> str:
     """The same in the oracles' SQL, for a column named p."""
     return _text(lambda c: f"{c!r}::DOUBLE", p, f"sqrt(-ln(least({p},1e0-{p})))")
+
+
+def probit_values(p: np.ndarray) -> np.ndarray:
+    """The same for numbers in a task: NaN outside 0 < p < 1."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q, s = p - 0.5, np.sqrt(-np.log(np.minimum(p, 1 - p)))
+        ratio = lambda pair, x: np.polyval(pair[0][::-1], x) / np.polyval(pair[1][::-1], x)
+        outer = np.sign(q) * np.where(s <= 5, ratio(MIDDLE, s - 1.6), ratio(TAIL, s - 5.0))
+        return np.where((p > 0) & (p < 1), np.where(np.abs(q) <= 0.425, q * ratio(CENTRAL, 0.180625 - q * q), outer), np.nan)

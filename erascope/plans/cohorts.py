@@ -106,6 +106,26 @@ EVENTS = """events_c AS (
   FROM events)"""
 
 
+#: Features of the wide cohort: 0 to 4, the last sixteen missing in some rows.
+WIDE_FEATURES = [f"f{i}" for i in range(64)]
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem cohort with WIDE_FEATURES as small integers."""
+    rows = lineitem(spark, sf_dir).select("id", "era", "prediction", "target", *[F.split("id", "-")[i].cast("bigint").alias(k) for i, k in ((1, "n_"), (2, "p_"), (3, "s_"))])
+    value = lambda i: f"(p_ * {i + 1} + s_ * {i * i % 7} + n_ * {i}) % 5"
+    return rows.selectExpr("id", "era", "prediction", "target", *[f"cast(CASE WHEN {i} < 48 OR (p_ + {i}) % 11 <> 0 THEN {value(i)} END AS tinyint) AS f{i}" for i in range(64)])
+
+
+WIDE = (
+    """wide_c AS (
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, lpad(CAST((year(l_shipdate)-1995)*12+month(l_shipdate) AS VARCHAR),4,'0') AS era,
+    CAST(l_extendedprice AS DOUBLE) AS prediction, least(floor(CAST(l_discount AS DOUBLE)*40)/4, CAST(1 AS DOUBLE)) AS target, """
+    + ", ".join(f"CASE WHEN {i} < 48 OR (l_partkey + {i}) % 11 <> 0 THEN CAST((l_partkey * {i + 1} + l_suppkey * {i * i % 7} + l_linenumber * {i}) % 5 AS TINYINT) END AS f{i}" for i in range(64))
+    + " FROM lineitem)"
+)
+
+
 def r(column, digits: int = 8):
     """Rounded for comparison, with no negative zero."""
     column = F.col(column) if isinstance(column, str) else column

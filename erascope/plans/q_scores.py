@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normal import probit_sql
+from ..operators import discrete as D
 from ..operators import scores as S
-from .cohorts import EVENTS, LINEITEM, ORDERS, events, kept_sql, lineitem, orders, query, r, rank_sql, rs
+from ..operators import summary as SU
+from .cohorts import EVENTS, LINEITEM, ORDERS, WIDE, WIDE_FEATURES, events, kept_sql, lineitem, orders, query, r, rank_sql, rs, wide
 
 G = probit_sql("k")
 SIGNALS = ["prediction", "benchmark", "feature_a"]
@@ -96,6 +98,37 @@ def aligned(spark, sf_dir):
     return S.aligned_feature_scores(lineitem(spark, sf_dir), SIGNALS, "target").select("era", "signal", r("corr").alias("corr"))
 
 
+_WIDE_LONG = "long AS (SELECT id, era, prediction, target, signal, CAST(value AS DOUBLE) AS value FROM (UNPIVOT wide_c ON COLUMNS('^f[0-9]+$') INTO NAME signal VALUE value))"
+_WIDE_ALIGNED = f"al AS (SELECT era, signal, corr * sign(avg(corr) OVER (PARTITION BY signal)) AS value FROM corrs)"
+
+
+@query("sco10_discrete_features", f"WITH {WIDE}, {_WIDE_LONG}, {CORR}, {_WIDE_ALIGNED} SELECT era, signal, {rs('value')} AS corr FROM al")
+def discrete_features(spark, sf_dir):
+    """CORR of 64 features by era, aligned, from value counts."""
+    return D.aligned_discrete_scores(wide(spark, sf_dir), WIDE_FEATURES, "target").select("era", "signal", r("corr").alias("corr"))
+
+
+_WIDE_EXPOSED = "e AS (SELECT era, signal AS feature, covar_pop(prediction, value) / nullif(stddev_pop(prediction) * stddev_pop(value), 0) AS exposure FROM long GROUP BY era, signal)"
+
+
+@query("sco9_discrete_exposures", f"WITH {WIDE}, {_WIDE_LONG}, {_WIDE_EXPOSED} SELECT era, feature, {rs('exposure')} AS exposure FROM e")
+def discrete_exposures(spark, sf_dir):
+    """Exposures of a signal to 64 features, from sums by value."""
+    return D.discrete_exposures(wide(spark, sf_dir), "prediction", WIDE_FEATURES).select("era", "feature", r("exposure").alias("exposure"))
+
+
+@query(
+    "sum3_feature_leaderboard",
+    f"""WITH {WIDE}, {_WIDE_LONG}, {CORR}, {_WIDE_ALIGNED}, cum AS (SELECT *, sum(value) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (PARTITION BY signal ORDER BY era) <= count(*) OVER (PARTITION BY signal) // 2 AS first FROM al),
+    dd AS (SELECT *, max(c) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING) - c AS d FROM cum)
+    SELECT signal, {rs('avg(value)')} AS mean, {rs('stddev_samp(value)')} AS std, {rs('avg(value) / nullif(stddev_samp(value), 0)')} AS sharpe, {rs('-max(d)')} AS max_drawdown, {rs('abs(avg(value) FILTER (first) - avg(value) FILTER (NOT first))')} AS delta, count(value) AS eras FROM dd GROUP BY signal""",
+)
+def feature_leaderboard(spark, sf_dir):
+    """Mean, sample deviation, drawdown and gap of the halves of every one of 64 features."""
+    scored = D.aligned_discrete_scores(wide(spark, sf_dir), WIDE_FEATURES, "target")
+    return SU.half_delta(scored, "corr", ["signal"]).select("signal", *[r(c).alias(c) for c in ("mean", "std", "sharpe", "max_drawdown", "delta")], "eras")
+
+
 _T = ["target", "feature_a", "feature_b"]
 
 
