@@ -4,14 +4,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import clean, percent_rank
+from ..sources.store import shared_folder
 from .contracts import ContractError, enforce, key_contract
 from .grams import fitted, grams, least_squares, linear
+from .models import fit_in_tasks, fit_ml_folds, fold_samples, predict_by_fold, predict_ml_folds, write_models
 from .summary import era_number
 
 
@@ -157,8 +158,9 @@ def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: s
 
     Without an estimator the model is least squares with an intercept: products are summed by era once, then by fold over
     eras, so each row is read twice whatever the number of folds, and a small system is solved for each fold. An estimator
-    is an object with fit(X, y) and predict(X); it is fitted in one task a fold, on at most cap rows (those of
-    balanced_sample, by fold), and predicts in Arrow batches.
+    is an object with fit(X, y) and predict(X); it is fitted in one task a fold, on at most cap rows (those that
+    balanced_sample takes of the fold's eras), kept in a shared folder and fetched by the tasks that predict. For
+    pyspark.ml regressors see ml_out_of_fold().
     """
     if key is not None:
         enforce(key_contract(df.select(key, era), key, era).select("null_keys", "duplicate_rows"), "out-of-fold rows")
@@ -173,29 +175,21 @@ def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: s
 
 
 def _fitted_out_of_fold(df, train, held, features, target, era, key, estimator, cap, seed) -> DataFrame:
-    xs = [F.coalesce(clean(f), F.lit(0.0)).alias(f"x{i}_") for i, f in enumerate(features)]
+    xs = [F.coalesce(clean(f), F.lit(0.0)) for f in features]
     names = [f"x{i}_" for i in range(len(features))]
-    rows = df.filter(clean(target).isNotNull()).join(train, era)
-    taken = balanced_sample(rows, cap, key, seed, era, by=["fold"]).select("fold", era, F.col(key).alias("key_"), *xs, clean(target).alias("y_"))
-    packed = cloudpickle.dumps(estimator)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([era, "key_"])
-        model = cloudpickle.loads(packed)
-        fitted_ = model.fit(pdf[names].to_numpy(np.float64), pdf["y_"].to_numpy(np.float64))
-        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "model_": [cloudpickle.dumps(model if fitted_ is None else fitted_)]})
-
-    models = taken.groupBy("fold").applyInPandas(fit, "fold int, model_ binary")  # at most cap rows a fold
-
-    def predict(fold: pd.Series, model: pd.Series, x: pd.DataFrame) -> pd.Series:
-        out = pd.Series(np.nan, index=fold.index)
-        for at in fold.groupby(fold).groups.values():
-            out.loc[at] = np.asarray(cloudpickle.loads(model.loc[at[0]]).predict(x.loc[at].to_numpy(np.float64)), float)
-        return out
-
-    predict = F.pandas_udf(predict, "double")
-    joined = df.join(held, era).join(F.broadcast(models), "fold")  # a model for each fold
-    return joined.withColumn("prediction", predict("fold", "model_", F.struct(*xs))).withColumnRenamed("fold", "cv_fold").drop("model_")
+    rows = df.filter(clean(target).isNotNull()).select(era, F.col(key).alias("key_"), *[x.alias(n) for x, n in zip(xs, names, strict=True)], clean(target).alias("y_"))
+    taken = fold_samples(rows, train, cap, "key_", _order, seed, era)
+    folder = write_models(fit_in_tasks(taken, names, estimator, [era, "key_"]), shared_folder(df.sparkSession, "models"))  # at most cap rows a fold
+    return predict_by_fold(df.join(held, era), folder, xs).withColumnRenamed("fold", "cv_fold")
+
+
+def ml_out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: str, estimator, era: str = "era", key: str | None = "id", folder: str | None = None) -> DataFrame:
+    """out_of_fold() with a pyspark.ml regressor: each fold's fit is a Spark job over all of its train rows, and prediction stays
+    in the JVM. The fitted pipelines are saved below folder (a new shared one unless given); see models.fit_ml_folds()."""
+    if key is not None:
+        enforce(key_contract(df.select(key, era), key, era).select("null_keys", "duplicate_rows"), "out-of-fold rows")
+    _, models = fit_ml_folds(df, splits, features, target, estimator, folder, era)
+    return predict_ml_folds(df, splits, features, models, era)
 
 
 def era_weights(df: DataFrame, name: str = "weight", era: str = "era") -> DataFrame:

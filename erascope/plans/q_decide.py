@@ -9,7 +9,7 @@ from ..functions.ranking import percent_rank
 from ..operators import gates as GA
 from ..operators import scores as S
 from ..operators import splits as SP
-from .cohorts import LINEITEM, ORDERS, corr_sql, lineitem, orders, pct_sql, query, r, rs
+from .cohorts import LINEITEM, ORACLES, ORDERS, corr_sql, lineitem, orders, pct_sql, query, r, rs
 from .jobs import evaluation_job, replication_job, scoring_job
 from .q_scores import CORR, contribution_sql
 
@@ -106,6 +106,16 @@ def oof(spark, sf_dir):
     return SP.out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "label").select("id", "era", "cv_fold", r("prediction", 4).alias("prediction"))
 
 
+@query("trn8_ml_estimator", ORACLES["trn8_out_of_fold"])
+def oof_ml(spark, sf_dir):
+    """The same fits by a pyspark.ml regressor: a Spark job a fold."""
+    from pyspark.ml.regression import LinearRegression
+
+    df = orders(spark, sf_dir).withColumnRenamed("prediction", "label")
+    out = SP.ml_out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "label", LinearRegression(solver="normal"))
+    return out.select("id", "era", "cv_fold", r("prediction", 4).alias("prediction"))
+
+
 @query("trn8_out_of_fold_wide")
 def oof_wide(spark, sf_dir):
     """Three features at once."""
@@ -129,9 +139,9 @@ class TargetMean:
     SELECT id, o.era, sp.fold AS cv_fold, {rs('m')} AS prediction FROM orders_c o JOIN sp ON o.era = sp.era AND role = 'validation' JOIN f ON sp.fold = f.fold""",
 )
 def oof_estimator(spark, sf_dir):
-    """Any estimator by fold; this one is the mean, on all rows, since the cap is above them."""
+    """Any estimator by fold; this one is the mean of the sample, which is all rows while they are below the cap."""
     df = orders(spark, sf_dir)
-    out = SP.out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "target", estimator=TargetMean(), cap=1 << 40)
+    out = SP.out_of_fold(df, SP.cv_splits(df, 5, 4, strict=False), ["benchmark"], "target", estimator=TargetMean())
     return out.select("id", "era", "cv_fold", r("prediction").alias("prediction"))
 
 

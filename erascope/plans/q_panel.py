@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,15 +11,9 @@ from ..operators import contracts as C
 from ..operators import splits as SP
 from ..operators.summary import last_eras
 from ..sources import panel as P
+from ..sources.store import shared_folder as scratch
 from .cohorts import EVENTS, LINEITEM, ORDERS, events, lineitem, orders, pct_sql, query, r, rs
 
-
-def scratch(spark, name: str) -> str:
-    """A new folder for what a sink writes: below the shared one that the cluster names, else in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # sources -------------------------------------------------------------------------------------------------------------
 
 
