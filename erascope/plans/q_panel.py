@@ -10,6 +10,7 @@ from ..operators import align as A
 from ..operators import contracts as C
 from ..operators import splits as SP
 from ..operators.summary import last_eras
+from ..sources import layout as L
 from ..sources import panel as P
 from ..sources.store import shared_folder as scratch
 from .cohorts import EVENTS, LINEITEM, ORDERS, events, lineitem, orders, pct_sql, query, r, rs
@@ -38,9 +39,10 @@ _DAILY = "d AS (SELECT era, ticker, avg(prediction) AS signal, avg(benchmark) AS
 
 @query("src3_neutralizers_by_date", f"WITH {EVENTS}, {_DAILY} SELECT e.id, e.era, {rs('n1')} AS n1 FROM events_c e JOIN d ON e.era = d.era AND e.ticker = d.ticker WHERE e.era >= '20240105'")
 def by_date(spark, sf_dir):
-    e = events(spark, sf_dir, "2024-01-05")
-    daily = e.groupBy("era", "ticker").agg(F.avg("benchmark").alias("n1"))
-    return P.values_by_date(e, daily, "20240105", ["era", "ticker"]).select("id", "era", r("n1").alias("n1"))
+    """A matrix of all days in a folder each; the days of the rows prune its scan."""
+    e = events(spark, sf_dir)
+    matrix = L.write_matrix(e.groupBy("era", "ticker").agg(F.avg("benchmark").alias("n1")), scratch(spark, "matrix"), "era")
+    return L.join_by_date(e.filter("era >= '20240105'"), matrix, ["era", "ticker"], "era").select("id", "era", r("n1").alias("n1"))
 
 
 @query("src4_feature_sets", "WITH s AS (SELECT DISTINCT p_brand AS feature_set, p_type AS feature FROM part) SELECT a.feature_set AS a, b.feature_set AS b, count(*) AS size FROM s a JOIN s b ON a.feature = b.feature GROUP BY ALL")
@@ -138,9 +140,20 @@ def feature_store(spark, sf_dir):
     return out.select("id", "era", r("feature_a").alias("feature_a"), r("benchmark").alias("benchmark"), "row_offset")
 
 
+@query("src13_era_buckets", f"WITH {ORDERS} SELECT id, era, {rs('benchmark')} AS benchmark FROM orders_c WHERE era IN ('0003', '0030', '0031', '0077') OR CAST(era AS BIGINT) <= 2")
+def era_buckets(spark, sf_dir):
+    """A store by buckets of 12 eras, read for some eras and up to one."""
+    path = scratch(spark, "buckets")
+    L.write_era_buckets(orders(spark, sf_dir).select("id", "era", "benchmark"), path, width=12)
+    some = L.read_era_buckets(spark, path, ["0003", "0030", "0031", "0077", "9999"])
+    return some.unionByName(L.read_era_buckets(spark, path, last=2)).select("id", "era", r("benchmark").alias("benchmark"))
+
+
 @query("src14_prefix_extract", f"WITH {ORDERS} SELECT id, era FROM orders_c WHERE CAST(era AS BIGINT) <= 30")
 def prefix(spark, sf_dir):
-    return P.up_to_era(orders(spark, sf_dir, [(-1200, 30)]), 30).select("id", "era")
+    """A table clustered by era, whose row groups beyond the era are skipped."""
+    stored = L.write_by_era(orders(spark, sf_dir).select("id", "era", "prediction"), scratch(spark, "by-era"))
+    return P.up_to_era(stored, 30, width=4).select("id", "era")
 
 
 @query("src15_digest", f"WITH {ORDERS} SELECT era, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5('=' || id || chr(31) || '=' || CAST(CAST(target * 4 AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS content FROM orders_c GROUP BY era")

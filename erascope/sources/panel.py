@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.ranking import clean
-from ..operators.contracts import ContractError, numbers_only, refuse
+from ..operators.contracts import ContractError, numbers_only
 from ..operators.summary import era_number
+from .layout import WIDTH, delete_folder, observed, publish, with_offsets, write_era_buckets
+from .store import shared_folder
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -63,32 +65,31 @@ def surviving(df: DataFrame, kept: DataFrame, key: str = "id") -> DataFrame:
 
 
 def write_filtered(df: DataFrame, path: str, level: int = 3) -> DataFrame:
-    """The rows, as zstd Parquet; an empty result is an error, found before anything is written. Returns the written table."""
-    if df.isEmpty():
-        raise ContractError(f"nothing to write to {path}")
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def feature_store(panel: DataFrame, benchmark: DataFrame, features: list[str], target: str, column: str, key: str = "id", era: str = "era") -> DataFrame:
-    """Panel rows that have a benchmark value, with a row_offset by era and key. Raises on keys, eras, targets or features that
-    break their contract. The join is read once for all contracts and for the eras' counts, and once for the result."""
-    values = [target, *features]
+    """The rows, as zstd Parquet; returns the written table. One job writes them beside the target and counts them; they take
+    its name afterwards. An empty result is an error, and nothing is left at the target."""
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    counted, got = observed(df, {"rows": F.count("*")})
+    try:
+        counted.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(staged)
+        if not got()["rows"]:
+            raise ContractError(f"nothing to write to {path}")
+        publish(spark, staged, path)
+    finally:
+        delete_folder(spark, staged)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def feature_store(panel: DataFrame, benchmark: DataFrame, features: list[str], target: str, column: str, key: str = "id", era: str = "era", path: str | None = None, width: int = WIDTH) -> DataFrame:
+    """Panel rows that have a benchmark value, with a row_offset by era and key, from a store below path (a new shared folder
+    unless given), which layout.read_era_buckets() reads by era. Raises on keys, eras, targets or features that break their
+    contract; then nothing is left of the store. The join runs once: its contract is counted while it is written."""
+    values, spark = [target, *features], panel.sparkSession
     numbers_only(panel, values)
-    joined = panel.join(benchmark.select(key, F.col(era).alias("e_"), column), key)
-    bad = {"era_mismatches": ~F.col(era).eqNullSafe(F.col("e_")), "null_eras": F.col(era).isNull()} | {f"not_finite_{c}": clean(c).isNull() for c in values}
-    per = joined.groupBy(key).agg(F.count("*").alias("rows"), F.min(era).alias("era_"), *[F.count_if(x).alias(n) for n, x in bad.items()])
-    counts = per.groupBy("era_").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") - 1).alias("duplicate_rows"), *[F.sum(n).alias(n) for n in bad]).collect()  # one row an era
-    refuse({n: sum(r[n] for r in counts) for n in ("duplicate_rows", *bad)} | {"empty": int(not counts)}, "feature store")
-    counts = df_of_counts(panel, [(r["era_"], r["rows"]) for r in counts], era)
-    starts = counts.select(era, F.coalesce(F.sum("c_").over(W.orderBy(era_number(era)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b_"))
-    offset = F.col("b_") + F.row_number().over(W.partitionBy(era).orderBy(key)) - 1
-    return joined.join(F.broadcast(starts), era).withColumn("row_offset", offset).drop("b_", "e_")  # one row an era
-
-
-def df_of_counts(panel: DataFrame, counts: list[tuple], era: str) -> DataFrame:
-    """Counts by era, one row each, with the era's own type."""
-    return panel.sparkSession.createDataFrame(counts, StructType([StructField(era, panel.schema[era].dataType), StructField("c_", LongType())]))
+    path = path or shared_folder(spark, "feature-store")
+    joined = panel.join(benchmark.select(key, F.col(era).alias("e_"), column), key).withColumn("again_", F.row_number().over(W.partitionBy(key).orderBy(key)) > 1)
+    bad = {"duplicate_rows": F.col("again_"), "era_mismatches": ~F.col(era).eqNullSafe(F.col("e_")), "null_eras": F.col(era).isNull()} | {f"not_finite_{c}": clean(c).isNull() for c in values}
+    write_era_buckets(joined, path, key, era, width, {n: F.count_if(x) for n, x in bad.items()}, ["e_", "again_"], numbered=True, what="feature store")
+    return with_offsets(spark, path, key, era)
 
 
 def digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -134,16 +135,14 @@ def load_panel(spark: SparkSession, full: str, train: str, validation: str, colu
     return out.select(*columns)
 
 
-def up_to_era(df: DataFrame, last: int, era: str = "era") -> DataFrame:
-    """The rows of the eras up to a number."""
+def up_to_era(df: DataFrame, last: int, era: str = "era", width: int | None = None) -> DataFrame:
+    """The rows of the eras up to a number. Where all eras are digits padded to one width (operators.contracts.era_contract),
+    give it: the filter is then on the stored column, by which a reader skips row groups of a table from write_by_era()."""
+    if width is not None:
+        return df.filter(F.col(era) <= F.lit(str(last).zfill(width)))
     return df.filter(F.expr(f"try_cast(`{era}` as bigint)") <= last)
 
 
-def values_by_date(rows: DataFrame, daily: DataFrame, first: str, on: list[str], era: str = "era") -> DataFrame:
-    """Rows from a date on with the daily values of their keys."""
-    return rows.filter(F.col(era) >= first).join(daily.filter(F.col(era) >= first), on)
-
-
 def feature_sets(spark: SparkSession, path: str) -> DataFrame:
     """Rows (feature_set, feature) of a metadata JSON file {"feature_sets": {name: [feature, ...]}}."""
     sets = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<feature_sets:map<string,array<string>>>").alias("j"))
