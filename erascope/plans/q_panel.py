@@ -42,7 +42,7 @@ def by_date(spark, sf_dir):
     """A matrix of all days in a folder each; the days of the rows prune its scan."""
     e = events(spark, sf_dir)
     matrix = L.write_matrix(e.groupBy("era", "ticker").agg(F.avg("benchmark").alias("n1")), scratch(spark, "matrix"), "era")
-    return L.join_by_date(e.filter("era >= '20240105'"), matrix, ["era", "ticker"], "era").select("id", "era", r("n1").alias("n1"))
+    return L.join_by_date(events(spark, sf_dir, "2024-01-05"), matrix, ["era", "ticker"], "era").select("id", "era", r("n1").alias("n1"))
 
 
 @query("src4_feature_sets", "WITH s AS (SELECT DISTINCT p_brand AS feature_set, p_type AS feature FROM part) SELECT a.feature_set AS a, b.feature_set AS b, count(*) AS size FROM s a JOIN s b ON a.feature = b.feature GROUP BY ALL")
@@ -203,17 +203,20 @@ def positional(spark, sf_dir):
 
 @query("src20_live_drops", f"WITH {EVENTS} SELECT id, era, {rs(pct_sql('prediction'))} AS prediction FROM events_c")
 def live_drops(spark, sf_dir):
-    """Every day as one file; a file stream scores and ranks each drop, and a second call finds nothing new."""
+    """Every day in two files that hold parts of it; a file stream ranks each day that a drop touches again as a whole, and a
+    second call finds nothing new."""
     from ..operators.ranks import transform_in_groups
-    from ..streaming.live import score_drops
+    from ..streaming.live import rank_drops
 
     df = events(spark, sf_dir).select("id", "era", "prediction")
-    drops, out, checkpoint = (scratch(spark, n) for n in ("drops", "scored", "stream"))
-    df.repartition("era").write.option("maxRecordsPerFile", 0).partitionBy("era").parquet(drops)
-    score = lambda b: transform_in_groups(b, {"v": ("percent", "prediction")}, ["era"]).select("id", "era", r("v").alias("prediction"))
+    drops, out, checkpoint = (scratch(spark, n) for n in ("drops", "ranked", "stream"))
+    half = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2))
+    for h in range(2):
+        df.filter(half == h).repartitionByRange(4, "era").write.mode("append").parquet(drops)
+    rank = lambda b: transform_in_groups(b, {"v": ("percent", "prediction")}, ["era"]).select("id", "era", r("v").alias("prediction"))
     for _ in range(2):
-        score_drops(spark, drops, df.schema, score, out, checkpoint)
-    return spark.read.parquet(out).select("id", "era", "prediction")
+        rank_drops(spark, drops, df.schema, lambda b: b, rank, out, checkpoint)
+    return spark.read.schema("id string, prediction double, era string").parquet(f"{out}/ranked").select("id", "era", "prediction")
 
 
 # projections and contracts -------------------------------------------------------------------------------------------
@@ -326,11 +329,34 @@ def centre(spark, sf_dir):
     return orders(spark, sf_dir).select("id", r((F.col("feature_b") - 2) / 2).alias("v"))
 
 
-@query("prj15_zones", f"WITH {ORDERS}, z AS (SELECT CASE WHEN CAST(era AS BIGINT) <= 40 THEN 'development' WHEN CAST(era AS BIGINT) <= 60 THEN 'scored' WHEN CAST(era AS BIGINT) <= 66 THEN 'gap' ELSE 'holdout' END AS zone, era FROM orders_c) SELECT zone, count(DISTINCT era) AS eras, count(*) AS rows, count(DISTINCT era) >= 13 AS enough FROM z GROUP BY zone")
+_ZONES = [("development", 0, 40), ("scored", 41, 60), ("gap", 61, 66), ("holdout", 67, 99999)]
+_ZONED = f"""WITH {ORDERS}, p AS (SELECT era, count(*) AS rows, count(CASE WHEN CAST(era AS BIGINT) > 78 THEN NULL ELSE target END) AS resolved FROM orders_c GROUP BY era),
+z AS (SELECT *, CASE WHEN CAST(era AS BIGINT) <= 40 THEN 'development' WHEN CAST(era AS BIGINT) <= 60 THEN 'scored' WHEN CAST(era AS BIGINT) <= 66 THEN 'gap' ELSE 'holdout' END AS zone FROM p),
+c AS (SELECT zone, count(*) AS eras, CAST(sum(rows) AS BIGINT) AS rows, count(*) FILTER (rows = resolved) AS resolved_eras FROM z GROUP BY zone) SELECT *, resolved_eras >= CASE WHEN zone = 'holdout' THEN 13 ELSE 0 END AS open FROM c"""
+
+
+def _half_resolved(spark, sf_dir):
+    return orders(spark, sf_dir).select("id", "era", F.when(F.col("era").cast("bigint") <= 78, F.col("target")).alias("target"))
+
+
+@query("prj15_zones", _ZONED)
 def zone_counts(spark, sf_dir):
-    zone = P.zones(F.col("era").cast("bigint"), [("development", 0, 40), ("scored", 41, 60), ("gap", 61, 66), ("holdout", 67, 99999)])
-    out = orders(spark, sf_dir).withColumn("zone", zone).groupBy("zone").agg(F.count_distinct("era").alias("eras"), F.count("*").alias("rows"))
-    return out.withColumn("enough", F.col("eras") >= 13)
+    """Zones by their resolved eras: the holdout opens with 13 of them."""
+    per = P.resolution(_half_resolved(spark, sf_dir), "target").select("era", "rows", "resolved")
+    return P.zone_states(per, _ZONES, {"holdout": 13})
+
+
+@query("prj15_accumulating_holdout", _ZONED)
+def accumulating(spark, sf_dir):
+    """The same from drops: first all rows with open targets, then those that have resolved, counted with what is kept."""
+    from ..streaming.live import count_drops
+
+    df = _half_resolved(spark, sf_dir)
+    drops, out, checkpoint = (scratch(spark, n) for n in ("drops", "counted", "stream"))
+    df.withColumn("target", F.lit(None).cast("double")).coalesce(1).write.parquet(drops)
+    count_drops(spark, drops, df.schema, "target", out, checkpoint)
+    df.filter("target is not null").repartitionByRange(3, "era", "id").write.mode("append").parquet(drops)
+    return P.zone_states(count_drops(spark, drops, df.schema, "target", out, checkpoint), _ZONES, {"holdout": 13})
 
 
 @query(

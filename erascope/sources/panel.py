@@ -208,11 +208,12 @@ def select_groups(df: DataFrame, groups: list[str], members: dict[str, list[str]
 
 
 def resolution(df: DataFrame, target: str, era: str = "era") -> DataFrame:
-    """Per era: rows, resolved rows, status; and the last resolved era as frontier. Eras before it may still be open; their
+    """Per era: rows, resolved rows, status; and the last resolved era, by number, as frontier. Eras before it may still be open; their
     status says so."""
     per = df.groupBy(era).agg(F.count("*").alias("rows"), F.count(target).alias("resolved"))
     status = F.when(F.col("rows") == F.col("resolved"), "resolved").when(F.col("resolved") == 0, "open").otherwise("partial")
-    return per.withColumn("status", status).withColumn("frontier", F.max(F.when(F.col("status") == "resolved", F.col(era))).over(W.partitionBy()))
+    resolved = F.when(F.col("status") == "resolved", F.col(era))
+    return per.withColumn("status", status).withColumn("frontier", F.max_by(resolved, F.when(F.col("status") == "resolved", era_number(era))).over(W.partitionBy()))
 
 
 def zones(era_value, bounds: list[tuple[str, int, int]]):
@@ -221,3 +222,14 @@ def zones(era_value, bounds: list[tuple[str, int, int]]):
     for name, a, b in bounds:
         out = (F.when if out is None else out.when)(era_value.between(a, b), name)
     return out
+
+
+def zone_states(counts: DataFrame, bounds: list[tuple[str, int, int]], needed: dict[str, int] | None = None, era: str = "era") -> DataFrame:
+    """Per zone (name, first, last era number): eras, rows, resolved_eras (of rows that all have their target) and whether it is
+    open. counts has rows (era, rows, resolved), one an era. A zone named in needed opens with so many resolved eras, others at
+    once; zones without eras are there, with none."""
+    spark, needed = counts.sparkSession, needed or {}
+    per = counts.withColumn("zone", zones(F.expr(f"try_cast(`{era}` as bigint)"), bounds)).groupBy("zone").agg(F.count("*").alias("eras"), F.sum("rows").alias("rows"), F.count_if((F.col("rows") > 0) & (F.col("rows") == F.col("resolved"))).alias("resolved_eras"))
+    named = spark.createDataFrame([(n, needed.get(n, 0)) for n, _, _ in bounds], "zone string, needed_ bigint")
+    out = named.join(per, "zone", "left").fillna(0, ["eras", "rows", "resolved_eras"])
+    return out.withColumn("open", F.col("resolved_eras") >= F.col("needed_")).drop("needed_")

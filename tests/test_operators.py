@@ -333,7 +333,7 @@ def test_a_rank_takes_one_sort(spark):
 def test_eras_are_looked_for_in_the_scan(spark):
     from erascope.plans import registry
 
-    for name, column in (("src2_era_scan", "o_orderdate"), ("src14_prefix_extract", "o_orderdate"), ("src3_neutralizers_by_date", "ts")):
+    for name, column in (("src2_era_scan", "o_orderdate"), ("src14_prefix_extract", "era"), ("src3_neutralizers_by_date", "ts")):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert any(f"({column}," in part.split("]")[0] for part in plan.split("PushedFilters: [")[1:]), name
 
