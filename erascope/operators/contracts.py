@@ -108,14 +108,21 @@ def refuse(violations: dict[str, int], what: str) -> None:
         raise ContractError(f"{what}: {bad}")
 
 
-def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", era: str = "era") -> dict[str, int]:
+def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", era: str = "era", also: list[str] | None = None) -> dict[str, int]:
     """Violations of the proof that all runs hold the keys and eras of the base, once each: keys that a run lacks, has more
-    than once or has besides, and eras that differ. One shuffle of keys for all runs."""
-    side = lambda df, name: df.select(F.col(key).alias("k_"), F.col(era).alias("e_"), F.lit(name).alias("run_"))
+    than once or has besides, and eras that differ; of the columns in also, such as target, fold and benchmark, keys whose
+    values differ (null equals null alone). A run without one of them is an error. One shuffle of keys for all runs."""
+    also = also or []
+    lacking = {n: [c for c in also if c not in df.columns] for n, df in {"base": base, **runs}.items()}
+    if any(lacking.values()):
+        raise ContractError(f"cohort: columns are missing: {({n: c for n, c in lacking.items() if c})}")
+    value = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))
+    side = lambda df, name: df.select(F.col(key).alias("k_"), F.col(era).alias("e_"), F.lit(name).alias("run_"), *[value(c).alias(f"v{i}_") for i, c in enumerate(also)])
     rows = side(base, "")
     for name, df in runs.items():
         rows = rows.unionByName(side(df, name))
-    per = rows.groupBy("k_").agg(F.count_if(F.col("run_") == "").alias("b"), F.count("*").alias("n"), F.count_distinct("run_").alias("d"), F.min("e_").alias("lo"), F.max("e_").alias("hi"), F.count("e_").alias("known"))
+    ends = [f(f"v{i}_").alias(f"{n}{i}_") for i in range(len(also)) for n, f in (("lo", F.min), ("hi", F.max))]
+    per = rows.groupBy("k_").agg(F.count_if(F.col("run_") == "").alias("b"), F.count("*").alias("n"), F.count_distinct("run_").alias("d"), F.min("e_").alias("lo"), F.max("e_").alias("hi"), F.count("e_").alias("known"), *ends)
     all_ = len(runs) + 1
     got = per.agg(
         F.count_if(F.col("k_").isNull()).alias("null_keys"),
@@ -123,5 +130,6 @@ def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", er
         F.count_if(F.col("b") == 0).alias("unexpected_keys"),
         F.count_if(F.col("n") > F.col("d")).alias("duplicate_keys"),
         F.count_if(~F.col("lo").eqNullSafe(F.col("hi")) | (F.col("known") < F.col("n"))).alias("era_mismatches"),
+        *[F.count_if(F.col(f"lo{i}_") != F.col(f"hi{i}_")).alias(f"differs_{c}") for i, c in enumerate(also)],
     )
     return got.first().asDict()

@@ -8,21 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.ranking import first_rank, percent_rank
 
 
-def rank_blend(df: DataFrame, weights: dict[str, float], name: str = "blend", era: str = "era", rerank: bool = True) -> DataFrame:
-    """Weighted sum of percentile ranks by era, ranked again unless told otherwise."""
-    for i, s in enumerate(weights):
-        df = df.withColumn(f"r{i}_", percent_rank(s, era))
+def rank_blends(df: DataFrame, blends: dict[str, dict[str, float]], era: str = "era", rerank: bool = True) -> DataFrame:
+    """df with a column for each blend {name: {signal: weight}}: the weighted sum of percentile ranks by era, ranked again unless
+    told otherwise; null where a signal of the blend is.
+
+    The rows are dealt by era once; all ranks of the signals take one sort and those of the blends another one, whatever their
+    number. Each row is there once a signal between, so select the columns that are needed first. Of the columns' types, maps
+    are not allowed.
+    """
+    signals = list(dict.fromkeys(s for b in blends.values() for s in b))
+    rows = df.repartition(F.col(era)).withColumn("row_", F.monotonically_increasing_id())
+    keep = rows.columns
+    many = lambda names: F.explode(F.array(*[F.struct(F.lit(i).alias("s_"), F.col(n).cast("double").alias("v_")) for i, n in enumerate(names)]))
+    ranked = lambda d, names: d.select(*keep, many(names).alias("p_")).select(*keep, "p_.s_", "p_.v_").withColumn("r_", percent_rank("v_", era, "s_")).groupBy(*keep)
+    of = lambda i: F.when(F.col("s_") == i, F.col("r_"))
     # sums that differ by rounding alone are ties
-    df = df.withColumn("b_", F.round(sum((F.lit(float(w)) * F.col(f"r{i}_") for i, w in enumerate(weights.values())), F.lit(0.0)), 12))
-    return df.withColumn(name, percent_rank("b_", era) if rerank else F.col("b_")).drop("b_", *[f"r{i}_" for i in range(len(weights))])
+    sums = [F.when(F.count(F.coalesce(*[of(signals.index(s)) for s in w])) == len(w), F.round(sum((F.lit(float(x)) * F.max(of(signals.index(s))) for s, x in w.items()), F.lit(0.0)), 12)).alias(f"b{i}_") for i, w in enumerate(blends.values())]
+    out = ranked(rows, signals).agg(*sums)
+    names = [f"b{i}_" for i in range(len(blends))]
+    if rerank:
+        out = ranked(out, names).agg(*[F.max(of(i)).alias(n) for i, n in enumerate(names)])
+    return out.select(*df.columns, *[F.col(n).alias(b) for n, b in zip(names, blends, strict=True)])
+
+
+def rank_blend(df: DataFrame, weights: dict[str, float], name: str = "blend", era: str = "era", rerank: bool = True) -> DataFrame:
+    """One of rank_blends()."""
+    return rank_blends(df, {name: weights}, era, rerank)
 
 
 def two_signal_blends(df: DataFrame, a: str, b: str, weights: list[float], era: str = "era") -> DataFrame:
     """Columns w35 ... for each weight of a (b has the rest), ranked again."""
-    df = df.withColumn("ra_", percent_rank(a, era)).withColumn("rb_", percent_rank(b, era))
-    for w in weights:
-        df = df.withColumn("x_", F.round(F.lit(w) * F.col("ra_") + F.lit(1 - w) * F.col("rb_"), 12)).withColumn(f"w{round(100 * w)}", percent_rank("x_", era)).drop("x_")
-    return df.drop("ra_", "rb_")
+    return rank_blends(df, {f"w{round(100 * w)}": {a: w, b: 1 - w} for w in weights}, era)
 
 
 def seed_ensemble(df: DataFrame, seeds: list[str], reference: str | None = None, weight: float = 0.5, name: str = "ensemble", era: str = "era") -> DataFrame:

@@ -141,3 +141,56 @@ def linear(beta: str, xs: list[str], constant: bool = True):
     """The linear form of a row of coefficients, as one expression over an array of the columns."""
     values = F.array(*[F.coalesce(clean(x), F.lit(0.0)) for x in xs], *([F.lit(1.0)] if constant else []))
     return F.when(F.col(beta).isNotNull(), F.aggregate(F.zip_with(F.col(beta), values, lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x))
+
+
+#: Partial matrices of a whole table meet in so many tasks before the last one.
+MERGED = 64
+
+
+def masked_products(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Z'Z over all rows for Z = (values, squares, masks) of the columns, where a value that is not finite counts as 0 and its
+    mask says so: all sums over the rows that any two columns share. One packed matrix a task is shuffled; they are added in
+    two steps, and one matrix, of the columns' number alone, comes back."""
+    rows, size = df.select(*columns), 3 * len(columns)
+    upper = np.triu_indices(size)
+
+    def packed(total):
+        return pa.RecordBatch.from_arrays([pa.array([total[upper].tobytes()], pa.binary())], names=["sums_"])
+
+    def products(batches):
+        total = np.zeros((size, size))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns])
+            known = np.isfinite(x)
+            x = np.where(known, x, 0.0)
+            z = np.hstack((x, x * x, known))
+            total += z.T @ z
+        yield packed(total)
+
+    def added(batches):
+        total = np.zeros(len(upper[0]))
+        for b in batches:
+            for said in b.column(0):
+                total += np.frombuffer(said.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums_"])
+
+    each = rows.mapInArrow(products, "sums_ binary").withColumn("part_", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    some = each.repartition(MERGED, "part_").select("sums_").mapInArrow(added, "sums_ binary")
+    got = some.coalesce(1).mapInArrow(added, "sums_ binary").first()
+    out = np.zeros((size, size))
+    out[upper] = np.frombuffer(got["sums_"])
+    out.T[upper] = out[upper]
+    return out
+
+
+def pairwise_correlations(products: np.ndarray) -> np.ndarray:
+    """Pearson of each two columns over the rows where both are there, from masked_products(); NaN where either is constant
+    there, up to rounding of the sums, or there are no such rows."""
+    k = len(products) // 3
+    v, q, m = slice(0, k), slice(k, 2 * k), slice(2 * k, 3 * k)
+    n, xy = products[m, m], products[v, v]
+    sx, sxx = products[v, m], products[q, m]  # of the row's column, over the rows that the other one has too
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = sxx - sx * sx / n
+        varies = spread > 1e-13 * sxx
+        return np.where(varies & varies.T, (xy - sx * sx.T / n) / np.sqrt(spread * spread.T), np.nan)

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.ranking import clean
 from ..sources.store import shared_folder
@@ -134,3 +135,41 @@ def _numbered(df: DataFrame, features: list[str], target: str | None) -> DataFra
 
     vector = array_to_vector(F.array(*[F.coalesce(clean(f), F.lit(0.0)) for f in features]))
     return df.withColumns({"features_": vector} | ({"label_": clean(target)} if target else {}))
+
+
+#: Most rows of an era that predict_pairs() puts in one task.
+ERA_ROWS = 1_000_000
+
+
+def predict_pairs(live: DataFrame, benchmarks: DataFrame, predict: Callable[[pd.DataFrame, pd.DataFrame], object], key: str = "id", era: str = "era", name: str = "prediction", most: int = ERA_ROWS) -> DataFrame:
+    """Rows (key, era, name): what a predictor of two tables says of the live rows, era by era.
+
+    predict(live, benchmarks) gets the rows of one era of both, without the era's column, each indexed and sorted by key, and
+    returns a value for each live row: a series or a frame (its first column) by key, or an array in order. A live era without
+    benchmark rows comes with an empty table; benchmark eras without live rows are not predicted. An era is one task's; one of
+    more than most rows in either table is an error, as are repeated or null live keys within it and a result that lacks a live key.
+    """
+    sizes = live.select(era, F.lit(0).alias("t_")).unionByName(benchmarks.select(era, F.lit(1).alias("t_"))).groupBy(era, "t_").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if sizes > most:
+        raise ContractError(f"an era has {sizes} rows, more than {most}")
+    schema = StructType([live.schema[key], live.schema[era], StructField(name, DoubleType())])
+
+    def run(group, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one):
+            return one[[key, era]].assign(**{name: pd.Series(dtype=float)})
+        if one[key].isna().any() or one[key].duplicated().any():
+            raise ContractError(f"era {group[0]}: live keys are null or repeated")
+        one, two = (t.drop(columns=era).set_index(key).sort_index() for t in (one, two))
+        said = predict(one, two)
+        said = said.iloc[:, 0] if isinstance(said, pd.DataFrame) else said
+        if isinstance(said, pd.Series):
+            if not one.index.isin(said.index).all():
+                raise ContractError(f"era {group[0]}: the predictor left out live keys")
+            said = said.reindex(one.index)
+        values = np.asarray(said, float)
+        if len(values) != len(one):
+            raise ContractError(f"era {group[0]}: {len(values)} values for {len(one)} rows")
+        return pd.DataFrame({key: one.index, era: group[0], name: values})
+
+    other = benchmarks.select(*[F.col(c).alias(c) for c in benchmarks.columns])  # names of its own, if both come from one table
+    return live.groupBy(era).cogroup(other.groupBy(era)).applyInPandas(run, schema)

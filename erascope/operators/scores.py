@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import average_rank, clean, signed_power, with_rank_gaussian
+from .contracts import ContractError
+from .grams import masked_products, pairwise_correlations
 
 
 def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
@@ -53,10 +56,22 @@ def era_scores(long: DataFrame, target: str, reference: str, era: str = "era", t
 
 
 def rank_similarity(df: DataFrame, a: str, b: str, era: str = "era") -> DataFrame:
-    """Spearman correlation with average ties; null where either is constant."""
+    """Rows (era, similarity, status): Spearman correlation with average ties. Where a signal is constant in an era there is
+    none: the similarity is null and the status says which signal is constant, else it is ok. See strict_similarity()."""
     both = df.filter(clean(a).isNotNull() & clean(b).isNotNull())
     ranked = both.withColumn("ra_", average_rank(a, era)).withColumn("rb_", average_rank(b, era))
-    return ranked.groupBy(era).agg(F.try_divide(F.covar_pop("ra_", "rb_"), F.stddev_pop("ra_") * F.stddev_pop("rb_")).alias("similarity"))
+    flat = lambda c: F.min(c) == F.max(c)
+    status = F.when(flat("ra_") & flat("rb_"), "both are constant").when(flat("ra_"), f"{a} is constant").when(flat("rb_"), f"{b} is constant").otherwise("ok")
+    return ranked.groupBy(era).agg(F.try_divide(F.covar_pop("ra_", "rb_"), F.stddev_pop("ra_") * F.stddev_pop("rb_")).alias("similarity"), status.alias("status"))
+
+
+def strict_similarity(df: DataFrame, a: str, b: str, era: str = "era") -> DataFrame:
+    """rank_similarity() that refuses constant signals, an era of one row among them."""
+    out = rank_similarity(df, a, b, era)
+    bad = out.filter("status <> 'ok'").groupBy("status").agg(F.count("*").alias("n"), F.min(era).alias("first")).collect()  # three rows at most
+    if bad:
+        raise ContractError("similarity: " + "; ".join(sorted(f"{r['status']} in {r['n']} eras, as in {r['first']}" for r in bad)))
+    return out
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -92,11 +107,11 @@ def aligned_feature_scores(df: DataFrame, features: list[str], target: str, era:
 
 
 def target_correlations(df: DataFrame, targets: list[str]) -> DataFrame:
-    """Rows (a, b, corr) for each pair of targets, over the rows where both are there; one pass."""
-    pairs = [(a, b) for i, a in enumerate(targets) for b in targets[i:]]
-    wide = df.agg(*[correlation(clean(a), clean(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    named = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)]))
-    return wide.select(named.alias("p_")).select("p_.*")
+    """Rows (a, b, corr) for each pair of targets, over the rows where both are there; null where either is constant there. One
+    pass over the rows, which passes on one matrix a task whatever the number of targets."""
+    corr = pairwise_correlations(masked_products(df, targets))
+    pairs = [(a, b, None if np.isnan(c := corr[i, j]) else float(c)) for i, a in enumerate(targets) for j, b in list(enumerate(targets))[i:]]
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, corr double")  # a row for each two targets
 
 
 def row_mean(columns: list[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import clean, percent_rank, tie_kept_rank
 from ..operators import align, contracts, ensemble, gates, scores, summary
 from ..operators.grams import fitted, grams, least_squares, linear
+from ..sources.store import kept
 
 
 def gated_contribution(long: DataFrame, target: str, reference: str | None) -> DataFrame:
@@ -79,37 +80,42 @@ def model_comparison(df: DataFrame, signals: list[str], target: str, reference:
     return out.select("signal", F.col("mean").alias("corr_mean"), F.col("sharpe").alias("corr_sharpe"), "bmc_mean", "ref_corr_mean", "bmc_recent", "ref_corr_recent")
 
 
-def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4, blends: tuple[str, str, list[float]] | None = None, manifest: DataFrame | None = None) -> DataFrame:
+def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4, blends: tuple[str, str, list[float]] | None = None, manifest: DataFrame | None = None, fold: str = "cv_fold") -> DataFrame:
     """Selection on one segment, promotion on another: candidates are scored by era, summarized on the calibration segment and
     checked; the holdout is only read if one is selected. One row (selected, promoted), or none.
 
-    With blends (a, b, weights of a) the candidates are also the blends w35 and so on. With a manifest (id, era) the cohort
-    must hold its rows and no others. Of candidates within tie of the best, the one of the least drawdown goes first, then the
-    one of the least weight, then by name.
+    With blends (a, b, weights of a) the candidates are also the blends w35 and so on. With a manifest (id, era, and target and
+    fold where it has them) the cohort must hold its rows and no others, with the same targets and folds, and each era lies in
+    one fold. Of candidates within tie of the best, the one of the least drawdown goes first, then the one of the least weight,
+    then by name. A segment's eras are picked before anything is ranked or dealt.
     """
     if manifest is not None:
-        contracts.refuse(contracts.same_cohort({"manifest": manifest}, df), "cohort")
+        also = [c for c in (target, fold) if c in manifest.columns]
+        bad = contracts.same_cohort({"manifest": manifest}, df, also=also)
+        if fold in also:
+            bad["eras_in_several_folds"] = align.folds_of_eras(df, fold).count()
+        contracts.refuse(bad, "cohort")
     weights = dict.fromkeys(candidates, 0.0)
     if blends is not None:
-        a, b, shares = blends
-        df = ensemble.two_signal_blends(df, a, b, shares)
-        weights |= {f"w{round(100 * w)}": float(w) for w in shares}
-    long = scores.long_signals(df.withColumn("ref_", F.col(reference)), list(weights), ["id", "era", target, "ref_"])
+        weights |= {f"w{round(100 * w)}": float(w) for w in blends[2]}
+    columns = list(dict.fromkeys(["id", "era", target, reference, *candidates, *(blends[:2] if blends is not None else ())]))
 
     def means(name: str) -> DataFrame:
-        a, b = segments[name]
-        part = long.filter(F.expr("try_cast(era as bigint)").between(a, b))
-        per = summary.drawdowns(scores.era_scores(part, target, "ref_"), best, ["signal"], zero_baseline=True)
+        first, last = segments[name]
+        part = df.filter(F.expr("try_cast(era as bigint)").between(first, last)).select(*columns)
+        if blends is not None:
+            part = ensemble.two_signal_blends(part, *blends)
+        long = scores.long_signals(part.withColumn("ref_", F.col(reference)), list(weights), ["id", "era", target, "ref_"])
+        per = summary.drawdowns(scores.era_scores(long, target, "ref_"), best, ["signal"], zero_baseline=True)
         wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.max("drawdown").alias("drawdown"))
         return wide.unpivot(["signal"], ["corr", "contribution", "drawdown"], "metric", "value").withColumn("reference", F.lit(None).cast("double"))
 
-    first = means(calibration).cache()  # three rows a candidate
+    first = kept(means(calibration), "evaluation")  # three rows a candidate
     passed = gates.eligible(gates.checks(first, specs, ["signal"]), ["signal"])
     of = lambda metric, name: first.filter(F.col("metric") == metric).select("signal", F.col("value").alias(name))
     ranked = passed.join(of(best, "best"), "signal").join(of("drawdown", "risk"), "signal").withColumn("weight", F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("signal")))
     selected = gates.select_candidate(ranked, "best", tie, [F.round("risk", 9), F.col("weight"), F.col("signal")]).select("signal")
     row = selected.first()
-    first.unpersist()
     spark = df.sparkSession
     if row is None:
         return spark.createDataFrame([], "selected string, promoted boolean")
@@ -117,15 +123,18 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
     return gates.eligible(second, ["signal"]).select(F.col("signal").alias("selected"), F.col("eligible").alias("promoted"))
 
 
-def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, target: str, reference: str, specs: DataFrame, needed: int = 2, recent: int = 40) -> DataFrame:
+def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, target: str, reference: str, specs: DataFrame, needed: int = 2, recent: int = 40, blocks: list[tuple[str, int, int]] | None = None, also: list[str] | None = None) -> DataFrame:
     """Several runs (id, era, prediction) of one procedure on the cohort of base (id, era, target, reference, control): one row
     a run, and one for the ensemble, the mean of their ranks within eras.
 
-    The runs must hold the cohort's ids and eras, once each; else an error is raised. Columns: signal, corr, contribution,
-    recent, drawdown, passed (all checks of specs, whose ratios refer to the control's metrics), and on each row passing (runs
-    that pass), gap (between the runs' best and worst corr), replicated (needed of them and the ensemble pass) and state.
+    The runs must hold the cohort's ids and eras, once each, and the same values of the columns in also (target, fold and
+    benchmark, say, which runs and base then have); else an error is raised. Columns: signal, corr, contribution, recent,
+    drawdown, passed (all checks of specs, whose ratios refer to the control's metrics), block_<name> (mean corr of each block
+    (name, first, last era number)), and on each row what the runs say together: passing (runs that pass), gap (between the
+    runs' best and worst corr), seed_mean, seed_worst, seed_dispersion and seed_sharpe (of their means and mean series),
+    replicated (needed of them and the ensemble pass) and state. Era scores are kept in a shared folder, a row an era and run.
     """
-    contracts.refuse(contracts.same_cohort(runs, base), "runs")
+    contracts.refuse(contracts.same_cohort(runs, base, also=also), "runs")
     rows = None
     for name, df in runs.items():
         part = df.select("id", F.lit(name).alias("signal"), clean("prediction").alias("value"))
@@ -133,16 +142,20 @@ def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, t
     rows = rows.join(base.select("id", "era", target, F.col(reference).alias("ref_")), "id")
     whole = rows.withColumn("k_", percent_rank("value", "era", "signal")).groupBy("id").agg(F.lit("ensemble").alias("signal"), F.round(F.avg("k_"), 12).alias("value"), F.first("era").alias("era"), F.first(target).alias(target), F.first("ref_").alias("ref_"))
     own = base.select("id", "era", target, F.col(reference).alias("ref_"), F.lit("control").alias("signal"), clean(control).alias("value"))
-    per = scores.era_scores(rows.unionByName(whole).unionByName(own), target, "ref_")
+    per = kept(scores.era_scores(rows.unionByName(whole).unionByName(own), target, "ref_"), "replication")
     late = F.dense_rank().over(W.partitionBy("signal").orderBy(summary.era_number().desc())) <= recent
-    per = summary.drawdowns(per.withColumn("recent_", late), "corr", ["signal"], zero_baseline=True)
+    placed = summary.drawdowns(per.withColumn("recent_", late), "corr", ["signal"], zero_baseline=True)
     names = ["corr", "contribution", "recent", "drawdown"]
-    wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.avg(F.when(F.col("recent_"), F.col("contribution"))).alias("recent"), F.max("drawdown").alias("drawdown")).cache()  # a row a run
+    wide = placed.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.avg(F.when(F.col("recent_"), F.col("contribution"))).alias("recent"), F.max("drawdown").alias("drawdown"))
     long = wide.unpivot(["signal"], names, "metric", "value")
     control_ = long.filter("signal = 'control'").select("metric", F.col("value").alias("reference"))
     checked = gates.checks(long.filter("signal <> 'control'").join(control_, "metric"), specs, ["signal"]).withColumn("all_", F.lit(1))
     vote = gates.replication_vote(checked.filter("signal <> 'ensemble'"), ["all_"], "signal", needed, checked.filter("signal = 'ensemble'"))
-    gap = wide.filter(~F.col("signal").isin("control", "ensemble")).agg((F.max("corr") - F.min("corr")).alias("gap"))
+    seeds = summary.seed_aggregates(per.filter(~F.col("signal").isin("control", "ensemble")).withColumn("all_", F.lit(1)), "corr", "all_", "signal")
+    seeds = seeds.select("gap", F.col("mean").alias("seed_mean"), F.col("worst").alias("seed_worst"), F.col("dispersion").alias("seed_dispersion"), F.col("sharpe").alias("seed_sharpe"))
     out = wide.filter("signal <> 'control'").join(gates.eligible(checked, ["signal"]).select("signal", F.col("eligible").alias("passed")), "signal")
-    out = out.crossJoin(F.broadcast(vote.select("passing", "ensemble_passed", "replicated"))).crossJoin(F.broadcast(gap))  # one row each
+    if blocks:
+        means = summary.segment_means(per, "corr", blocks, ["signal"]).groupBy("signal").agg(*[F.max(F.when(F.col("block") == n, F.col("mean"))).alias(f"block_{n}") for n, _, _ in blocks])
+        out = out.join(means, "signal", "left")
+    out = out.crossJoin(F.broadcast(vote.select("passing", "ensemble_passed", "replicated"))).crossJoin(F.broadcast(seeds))  # one row each
     return out.withColumn("state", F.when(F.col("replicated"), "replicated").when(F.col("passing") >= needed, "ensemble failed").otherwise("unstable"))

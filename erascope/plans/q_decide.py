@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import percent_rank
 from ..operators import gates as GA
+from ..operators import models as MO
 from ..operators import scores as S
 from ..operators import splits as SP
 from .cohorts import LINEITEM, ORACLES, ORDERS, corr_sql, lineitem, orders, pct_sql, query, r, rs
@@ -96,6 +97,21 @@ def predict_callable(spark, sf_dir):
     return out.select("id", "era", r("prediction").alias("prediction"))
 
 
+@query(
+    "trn7_predict_two_tables",
+    f"WITH {ORDERS}, p AS (SELECT id, era, round(1e-3 * prediction + 2e0 * coalesce(CASE WHEN feature_b <> 0 THEN benchmark END, 0), 6) AS raw FROM orders_c) SELECT id, era, {rs(pct_sql('raw'))} AS prediction FROM p",
+)
+def predict_two(spark, sf_dir):
+    """A predictor of live rows and of benchmark rows, which some live rows lack, era by era; then the rank."""
+    df = orders(spark, sf_dir)
+
+    def model(live, benchmarks):
+        return (0.001 * live["prediction"] + 2 * benchmarks["benchmark"].reindex(live.index).fillna(0)).round(6)
+
+    out = MO.predict_pairs(df.select("id", "era", "prediction"), df.filter("feature_b <> 0").select("id", "era", "benchmark"), model)
+    return out.select("id", "era", r(percent_rank("prediction", "era")).alias("prediction"))
+
+
 @query(
     "trn8_out_of_fold",
     f"""WITH {ORDERS}, {splits_sql('orders_c', 5, 4, False)}, f AS (SELECT fold, regr_slope(prediction, benchmark) AS b, regr_intercept(prediction, benchmark) AS a FROM orders_c o JOIN sp ON o.era = sp.era WHERE role = 'train' GROUP BY fold)
@@ -337,10 +353,11 @@ bl AS (SELECT *, {pct_sql('x')} AS w35, {pct_sql('y')} AS w75 FROM b), long AS (
     SELECT signal AS selected, ok AS promoted FROM e WHERE segment = 'holdout' AND signal IN (SELECT signal FROM s)""",
 )
 def blend_evaluation(spark, sf_dir):
-    """The evaluation with blends as candidates, a proven cohort, and ties that go by drawdown, then weight."""
-    df = orders(spark, sf_dir)
+    """The evaluation with blends as candidates, a cohort proven by ids, eras, targets and folds, and ties that go by drawdown,
+    then weight."""
+    df = orders(spark, sf_dir).withColumn("cv_fold", (F.col("era").cast("bigint") % 5).cast("int"))
     specs = _specs(spark, [("corr", "corr", ">", -1.0, None), ("contribution", "contribution", ">=", -0.1, None)])
-    return evaluation_job(df, ["prediction", "feature_a"], "target", "benchmark", {"calibration": (0, 50), "holdout": (51, 99999)}, specs, "calibration", "holdout", tie=1e-2, blends=("prediction", "feature_a", [0.35, 0.75]), manifest=df.select("id", "era"))
+    return evaluation_job(df, ["prediction", "feature_a"], "target", "benchmark", {"calibration": (0, 50), "holdout": (51, 99999)}, specs, "calibration", "holdout", tie=1e-2, blends=("prediction", "feature_a", [0.35, 0.75]), manifest=df.select("id", "era", "target", "cv_fold"))
 
 
 _REPLICAS = f"""q AS (SELECT id, era, target, benchmark, feature_b, {pct_sql('prediction')} AS pa, {pct_sql('feature_a')} AS pb, prediction, feature_a FROM orders_c), en AS (SELECT *, round((pa + pb) / 2, 12) AS ensemble FROM q),
@@ -352,13 +369,19 @@ long AS (""" + " UNION ALL ".join(f"SELECT id, era, target, benchmark AS ref, '{
     f"""WITH {ORDERS}, {_REPLICAS}, {CORR}, {contribution_sql('long', 'ref', 'con')}, sc AS (SELECT corrs.era, corrs.signal, corr, contribution, dense_rank() OVER (PARTITION BY corrs.signal ORDER BY corrs.era DESC) AS k FROM corrs JOIN con ON corrs.era = con.era AND corrs.signal = con.signal),
     cum AS (SELECT *, sum(corr) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING) AS c FROM sc), dd AS (SELECT *, greatest(max(c) OVER (PARTITION BY signal ORDER BY era ROWS UNBOUNDED PRECEDING), 0) - c AS d FROM cum),
     m AS (SELECT signal, avg(corr) AS corr, avg(contribution) AS contribution, avg(contribution) FILTER (k <= 40) AS recent, max(d) AS drawdown FROM dd GROUP BY signal), ct AS (SELECT drawdown AS cd FROM m WHERE signal = 'control'),
-    p AS (SELECT m.*, contribution > -1e-1 AND drawdown >= 1e-1 * cd - 1e-12 AS passed FROM m, ct WHERE signal <> 'control'), v AS (SELECT count(*) FILTER (passed AND signal <> 'ensemble') AS passing, bool_and(passed) FILTER (signal = 'ensemble') AS ensemble_passed, max(corr) FILTER (signal <> 'ensemble') - min(corr) FILTER (signal <> 'ensemble') AS gap FROM p)
-    SELECT signal, {rs('corr')} AS corr, {rs('contribution', 6)} AS contribution, {rs('recent', 6)} AS recent, {rs('drawdown', 6)} AS drawdown, passed, passing, ensemble_passed, {rs('gap')} AS gap, passing >= 2 AND ensemble_passed AS replicated,
-    CASE WHEN passing >= 2 AND ensemble_passed THEN 'replicated' WHEN passing >= 2 THEN 'ensemble failed' ELSE 'unstable' END AS state FROM p, v""",
+    p AS (SELECT m.*, contribution > -1e-1 AND drawdown >= 1e-1 * cd - 1e-12 AS passed FROM m, ct WHERE signal <> 'control'), v AS (SELECT count(*) FILTER (passed AND signal <> 'ensemble') AS passing, bool_and(passed) FILTER (signal = 'ensemble') AS ensemble_passed, max(corr) FILTER (signal <> 'ensemble') - min(corr) FILTER (signal <> 'ensemble') AS gap, avg(corr) FILTER (signal <> 'ensemble') AS seed_mean, min(corr) FILTER (signal <> 'ensemble') AS seed_worst, stddev_pop(corr) FILTER (signal <> 'ensemble') AS seed_dispersion FROM p),
+    se AS (SELECT avg(v) / nullif(stddev_pop(v), 0) AS seed_sharpe FROM (SELECT era, avg(corr) AS v FROM sc WHERE signal IN ('one', 'two') GROUP BY era)),
+    bk AS (SELECT signal AS s, avg(corr) FILTER (CAST(era AS BIGINT) <= 40) AS early, avg(corr) FILTER (CAST(era AS BIGINT) > 40) AS late FROM sc GROUP BY signal)
+    SELECT signal, {rs('early')} AS block_early, {rs('late')} AS block_late, {rs('seed_mean')} AS seed_mean, {rs('seed_worst')} AS seed_worst, {rs('seed_dispersion')} AS seed_dispersion, {rs('seed_sharpe', 6)} AS seed_sharpe, {rs('corr')} AS corr, {rs('contribution', 6)} AS contribution, {rs('recent', 6)} AS recent, {rs('drawdown', 6)} AS drawdown, passed, passing, ensemble_passed, {rs('gap')} AS gap, passing >= 2 AND ensemble_passed AS replicated,
+    CASE WHEN passing >= 2 AND ensemble_passed THEN 'replicated' WHEN passing >= 2 THEN 'ensemble failed' ELSE 'unstable' END AS state FROM p JOIN bk ON signal = s, v, se""",
 )
 def replication_state(spark, sf_dir):
-    df = orders(spark, sf_dir)
+    """Two runs on a cohort proven by ids, eras, targets, folds and benchmarks, with block means and what the runs say together."""
+    df = orders(spark, sf_dir).withColumn("cv_fold", (F.col("era").cast("bigint") % 5).cast("int"))
     specs = _specs(spark, [("contribution", "contribution", ">", -0.1, None), ("drawdown", "drawdown", "ratio", 0.1, None)])
-    runs = {n: df.select("id", "era", F.col(c).alias("prediction")) for n, c in (("one", "prediction"), ("two", "feature_a"))}
-    out = replication_job(runs, df.select("id", "era", "target", "benchmark", "feature_b"), "feature_b", "target", "benchmark", specs)
-    return out.select("signal", *[r(c, 6 if c in ("contribution", "recent", "drawdown") else 8).alias(c) for c in ("corr", "contribution", "recent", "drawdown", "gap")], "passed", "passing", "ensemble_passed", "replicated", "state")
+    proof = ["target", "cv_fold", "benchmark"]
+    runs = {n: df.select("id", "era", *proof, F.col(c).alias("prediction")) for n, c in (("one", "prediction"), ("two", "feature_a"))}
+    out = replication_job(runs, df.select("id", "era", *proof, "feature_b"), "feature_b", "target", "benchmark", specs, blocks=[("early", 0, 40), ("late", 41, 99999)], also=proof)
+    digits = {"contribution": 6, "recent": 6, "drawdown": 6, "seed_sharpe": 6}
+    numbers = ["corr", "contribution", "recent", "drawdown", "gap", "block_early", "block_late", "seed_mean", "seed_worst", "seed_dispersion", "seed_sharpe"]
+    return out.select("signal", *[r(c, digits.get(c, 8)).alias(c) for c in numbers], "passed", "passing", "ensemble_passed", "replicated", "state")

@@ -137,6 +137,25 @@ def target_correlations(spark, sf_dir):
     return S.target_correlations(orders(spark, sf_dir), _T).select("a", "b", r("corr").alias("corr"))
 
 
+_FORTY = ["target", *WIDE_FEATURES[24:]]
+
+
+@query("sco11_forty_targets", f"WITH {WIDE}, m AS (SELECT unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'c': corr({a}, {b})}}" for i, a in enumerate(_FORTY) for b in _FORTY[i:]) + f"]) AS p FROM wide_c) SELECT p.a AS a, p.b AS b, {rs('p.c')} AS corr FROM m")
+def forty_targets(spark, sf_dir):
+    """All pairs of 41 columns, 16 of which lack values in different rows."""
+    return S.target_correlations(wide(spark, sf_dir), _FORTY).select("a", "b", r("corr").alias("corr"))
+
+
+@query(
+    "sco4_similarity_status",
+    f"WITH {LINEITEM}, y AS (SELECT era, prediction AS p, CASE WHEN CAST(era AS BIGINT) % 9 = 0 THEN 1e0 ELSE benchmark END AS b FROM lineitem_c), x AS (SELECT era, {rank_sql('p')} AS a, {rank_sql('b')} AS b FROM y) SELECT era, {rs('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)')} AS similarity, CASE WHEN min(b) = max(b) THEN 'b is constant' ELSE 'ok' END AS status FROM x GROUP BY era",
+)
+def similarity_status(spark, sf_dir):
+    """Eras in which a signal is constant have no similarity, and say so."""
+    df = lineitem(spark, sf_dir).select("era", "prediction", F.when(F.col("era").cast("bigint") % 9 == 0, 1.0).otherwise(F.col("benchmark")).alias("b"))
+    return S.rank_similarity(df, "prediction", "b").select("era", r("similarity").alias("similarity"), "status")
+
+
 @query(
     "sco12_alpha",
     f"""WITH {EVENTS}, p AS (SELECT era, ticker, avg(prediction) AS signal, avg(benchmark) AS n1, CAST(count(*) AS DOUBLE) AS weight, max(target) AS target FROM events_c GROUP BY era, ticker),
