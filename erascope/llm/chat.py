@@ -26,7 +26,7 @@ TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 LEARNED_ROLE = "assistant"
 #: Strings that some tokenizer takes for control: none may stand in a text as they are.
 _CONTROL = re.compile(r"(<)(\||/?s>|/?<?/?SYS>|unk>|pad>|start_of_turn>|end_of_turn>)|(\[)(/?INST\])")
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|unknown):(\d+)\|>")
 _TURN = re.compile(rf"{re.escape(TURN)}(.*?){re.escape(SAYS)}(.*?){re.escape(END)}", re.S)
 
 
@@ -47,7 +47,10 @@ def unescape(text: str) -> str:
 
 
 class Flattener:
-    """Visits the parts of one turn in order; a method for each kind of part."""
+    """Visits the parts of one turn in order; a method for each kind of part. Any other kind leaves a placeholder of kind
+    unknown and an attachment that says which kind it was, of one token."""
+
+    KINDS = ("image", "audio", "document")
 
     def __init__(self, image_patch: int = 28, audio_rate: float = 12.5, chars_per_token: float = 4.0):
         self.image_patch, self.audio_rate, self.chars_per_token = image_patch, audio_rate, chars_per_token
@@ -58,13 +61,10 @@ class Flattener:
             if p is None:
                 continue
             kind = p.get("kind") or "text"
-            visitor = getattr(self, f"visit_{kind}", None)
-            if visitor is None:
-                raise ValueError(f"no such kind of part: {kind!r}")
-            got = visitor(p, len(attached))
+            got = getattr(self, f"visit_{kind}", self.visit_unknown)(p, len(attached))
             if isinstance(got, Attachment):
                 attached.append(got)
-                out += [escape("".join(said)), f"<|{got.kind}:{got.ordinal}|>"]
+                out += [escape("".join(said)), f"<|{got.kind if got.kind in self.KINDS else 'unknown'}:{got.ordinal}|>"]
                 said = []
             else:
                 said.append(got)
@@ -84,6 +84,10 @@ class Flattener:
         return Attachment(ordinal, "document", p.get("ref"), max(1, math.ceil((p.get("chars") or 0) / self.chars_per_token)))
 
 
+    def visit_unknown(self, p, ordinal) -> Attachment:
+        return Attachment(ordinal, p["kind"], p.get("ref"), 1)
+
+
 def format_turn(role: str | None, parts, flattener: Flattener | None = None) -> tuple[str, int, int, list[Attachment]]:
     """(formatted turn, start and end of its content, attachments)."""
     content, attached = (flattener or Flattener()).visit(parts)
@@ -114,10 +118,19 @@ def _typed(turns: DataFrame) -> bool:
     return isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and "kind" in kind.elementType.names
 
 
+def _by_name(turns: DataFrame):
+    """The column parts with the fields of PARTS, taken by their names: those that it lacks are null, others are left out."""
+    have = turns.schema["parts"].dataType.elementType.names
+    wanted = StructType.fromDDL(f"p {PARTS}")["p"].dataType.elementType.fields
+    return F.transform("parts", lambda p: F.when(p.isNotNull(), F.struct(*[(p[f.name] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]))).alias("parts")
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """One formatted row for each turn.
 
-    turns: conv_id, turn, role and parts (PARTS), or text where there are no such parts. The result has conv_id, turn, formatted, the
+    turns: conv_id, turn, role and parts (an array of structs with a field kind; fields of PARTS are taken by name, those that are
+    missing are null, others are not read), or text where there are no such parts. A part without a kind is a text; one of a
+    kind that no visitor knows leaves a placeholder of kind unknown. The result has conv_id, turn, formatted, the
     loss mask as a span of code points of formatted (loss_start, loss_end; empty where the role is not learned),
     attachments and expanded_tokens, their sum. Null texts, parts and roles are empty; repeated and tied turns each give
     a row; ids and turns that are null stay null; texts of any length are formatted whole; an empty table gives an empty
@@ -143,7 +156,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 schema=schema,
             )
 
-    picked = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("parts").cast(PARTS) if own else F.col("text").cast("string"))
+    picked = turns.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), _by_name(turns) if own else F.col("text").cast("string"))
     return picked.mapInArrow(run, "conv_id bigint, turn bigint, formatted string, loss_start bigint, loss_end bigint, attachments array<struct<ordinal:bigint,kind:string,reference:string,tokens:bigint>>, expanded_tokens bigint")
 
 

@@ -105,7 +105,10 @@ def test_chat_round_trip_and_parts():
     assert [(a.kind, a.reference, a.tokens) for a in attached] == [("image", "a.png", 4), ("audio", "b.wav", 25), ("document", "c", 3)]
     assert chat.read_turn(formatted)[1] == [("text", "see "), ("image", "0"), ("audio", "1"), ("document", "2")]
     with pytest.raises(ValueError):
-        chat.format_turn("user", [{"kind": "smell"}])
+        chat.read_turn("no turn")
+    said, *_, attached = chat.format_turn("user", [{"kind": "text", "text": "see"}, {"kind": "smell", "ref": "r"}, {"kind": "image", "width": 1}])
+    assert chat.read_turn(said) == ("user", [("text", "see"), ("unknown", "0"), ("image", "1")])
+    assert attached[0] == chat.Attachment(0, "smell", "r", 1)
 
 
 def test_chat_typed_parts_in_spark(spark):
@@ -115,6 +118,16 @@ def test_chat_typed_parts_in_spark(spark):
     assert {r["conv_id"]: r["n_turns"] for r in chat.read_back(out).collect()} == {1: 2, 2: 1}
 
 
+def test_chat_parts_by_name(spark):
+    rows = [(1, 0, "user", [("r1", "hi", "text"), ("pic", "no text", "image"), ("clip", None, "video")])]
+    out = chat.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, parts array<struct<ref:string,text:string,kind:string>>")).first()
+    assert out.formatted == "<|turn|>user<|says|>hi<|image:0|><|unknown:1|><|end|>\n"
+    assert [(a.kind, a.reference, a.tokens) for a in out.attachments] == [("image", "pic", 1), ("video", "clip", 1)]
+    few = spark.createDataFrame([(1, 0, "user", [("audio", 3, "extra"), None])], "conv_id bigint, turn bigint, role string, parts array<struct<kind:string,seconds:int,other:string>>")
+    assert chat.format_turns(few).first().expanded_tokens == 38
+    assert chat.format_turns(few.limit(0)).count() == 0
+
+
 def test_fm_index_finds_what_brute_force_finds():
     rng = np.random.default_rng(3)
     for sigma in (2, 3, 6):
@@ -393,10 +406,22 @@ def test_secrets_in_environment_form_are_parts():
 def test_every_partner_of_a_linked_secret_is_reported():
     weak = "Zk8sQ2pL0vXwR7tYb3NcM5hJ1dGfA9eUoIiKxTq4"
     near = "user: admin1 login: admin2 account: admin3 https://a.example.com/ https://b.example.com/ https://c.example.com/"
-    found = secrets.scan(f"user: faraway {'x ' * 250}{near} {weak} {near}")
+    found = secrets.scan(f"user: faraway {'x ' * 250}{near} {weak} {near}", reach=400)
     assert [s.kind for s in found] == (["weak_id"] * 3 + ["endpoint"] * 3) + ["weak_secret"] + (["weak_id"] * 3 + ["endpoint"] * 3)
 
 
+def test_parts_of_a_scope_link_however_far_apart():
+    weak = "Zk8sQ2pL0vXwR7tYb3NcM5hJ1dGfA9eUoIiKxTq4"
+    kinds = lambda text, **how: [s.kind for s in secrets.scan(text, **how)]
+    for gap in (100, 600, 50_000):
+        filler = ("x " * gap)[:gap]
+        text = f"user: admin1 {filler} {weak} {filler} https://db.example.com/x"
+        assert kinds(text) == ["weak_id", "weak_secret", "endpoint"]
+        assert kinds(text, reach=400) == (["weak_id", "weak_secret", "endpoint"] if gap < 400 else [])
+    apart = f"user: admin1\n\nkey {weak}\n\nhttps://db.example.com/x"
+    assert kinds(apart) == [] and kinds(apart, scope=None) == ["weak_id", "weak_secret", "endpoint"]
+
+
 def test_redact_masks_every_span(spark):
     out = secrets.redact(spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None)], "doc_id bigint, text string")).orderBy("doc_id").collect()
     assert [r["text"] for r in out] == ["a [SECRET] b", None]
