@@ -3,8 +3,10 @@
 Three patterns are reported wherever they match. Beside them a credential may come in parts: an access identifier, a
 secret of high entropy and an endpoint, none of which is telling on its own; access keys serve as identifiers too, and
 assigned secrets and long hex as secrets. The parts of a text are intervals in its
-scopes (paragraphs between blank lines), and an interval join within a scope pairs each
-secret with identifiers and endpoints at most REACH characters away. A weak secret is reported only if complementary
+scopes, and an interval join within a scope pairs each secret with its identifiers and endpoints. A scope is a paragraph
+between blank lines; another pattern may end scopes (BLANK_LINE is the default), or none, so that a file with a setting a
+paragraph is one. With a reach, only parts at most so many characters away are partners; without one, all of the scope are.
+A weak secret is reported only if complementary
 parts co-occur: an identifier and an endpoint, or an identifier of a telling form. All its partners are reported with it.
 
 The parts of a text all come from one row, so the interval join is a merge of sorted starts inside the task: no shuffle,
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, small_batches, table, texts
 
-REACH = 400
 MIN_ENTROPY = 3.5
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE = KINDS[:3]
@@ -40,7 +41,8 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 _WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 _WEAK_ID = re.compile(r"""(?ai:(?<![a-z0-9])(?<!secret_)(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)\b)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.A)
 _ENDPOINT = re.compile(r"(?ai:\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[A-Za-z0-9._~:/?#@!$&'*+,;=%-]{3,}", re.A)
-_SCOPE = re.compile(r"\n[ \t]*\n")
+#: What ends a scope.
+BLANK_LINE = r"\n[ \t]*\n"
 
 
 class Span(NamedTuple):
@@ -77,8 +79,9 @@ def weak_parts(text: str, strong: bool = False) -> list[Span]:
     return parts
 
 
-def linked(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts whose complements co-occur in their scope within REACH characters. Parts inside a base span are no parts."""
+def linked(text: str, base: list[Span], reach: int | None = None, scope: str | None = BLANK_LINE) -> list[Span]:
+    """Weak parts whose complements co-occur in their scope, within reach characters if it is given. Parts inside a base span are
+    no parts."""
     parts = weak_parts(text, any(s.kind != "access" for s in base))
     if not parts:
         return []
@@ -90,19 +93,20 @@ def linked(text: str, base: list[Span]) -> list[Span]:
         return i >= 0 and held[i][1] > p.start or bisect_left(starts, p.end) > bisect_left(starts, p.start)
 
     parts = [p for p in parts if not covered(p)] + [Span("strong_id" if s.kind == "access" else "strong_secret", s.start, s.end) for s in base]
-    cuts = [m.start() for m in _SCOPE.finditer(text)]
+    cuts = [m.start() for m in re.finditer(scope, text)] if scope is not None else []
+    reach = len(text) if reach is None else reach
     by: dict[tuple[int, str], list[Span]] = {}
     for p in sorted(parts, key=lambda p: (p.start, p.end)):
         by.setdefault((bisect_right(cuts, p.start), p.kind), []).append(p)
     out: set[Span] = set()
-    for (scope, kind), secrets in by.items():
+    for (place, kind), secrets in by.items():
         if kind not in ("weak_secret", "strong_secret"):
             continue
-        others = {k: by.get((scope, k), []) for k in ("weak_id", "endpoint", "strong_id")}
+        others = {k: by.get((place, k), []) for k in ("weak_id", "endpoint", "strong_id")}
         at = {k: [p.start for p in v] for k, v in others.items()}
         edges = {k: [0] * (len(v) + 1) for k, v in others.items()}  # 1 where a linked secret's partners begin, -1 past them
         for s in secrets:
-            near = {k: (bisect_left(at[k], s.start - REACH), bisect_right(at[k], s.end + REACH)) for k in others}
+            near = {k: (bisect_left(at[k], s.start - reach), bisect_right(at[k], s.end + reach)) for k in others}
             has = {k: b > a for k, (a, b) in near.items()}
             if has["strong_id"] or has["weak_id"] and has["endpoint"]:
                 if kind == "weak_secret":
@@ -116,14 +120,14 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     return sorted(out, key=lambda p: (p.start, KINDS.index(p.kind)))
 
 
-def scan(text: str) -> list[Span]:
+def scan(text: str, reach: int | None = None, scope: str | None = BLANK_LINE) -> list[Span]:
     """All spans of a text, by start, then kind as listed in KINDS."""
     base = base_spans(text)
-    return sorted(base + linked(text, base), key=lambda s: (s.start, KINDS.index(s.kind), s.end))
+    return sorted(base + linked(text, base, reach, scope), key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, kinds, starts, ends), one for each row of docs; arrays in order of start.
+def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int | None = None, scope: str | None = BLANK_LINE) -> DataFrame:
+    """Rows (key, kinds, starts, ends), one for each row of docs; arrays in order of start. reach and scope: see linked().
 
     Null and empty texts have no spans. Very long texts are scanned whole. Repeated rows each give a row, a null key stays
     null, other columns are not read, an empty table gives an empty result.
@@ -131,16 +135,17 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     def run(batches):
         for b in batches:
-            found = [scan(t) for t in texts(b, text)]
+            found = [scan(t, reach, scope) for t in texts(b, text)]
             yield {key: b.column(key), "kinds": [[s.kind for s in f] for f in found], "starts": [[s.start for s in f] for f in found], "ends": [[s.end for s in f] for f in found]}
 
     return per_batch(docs.select(key, text), run, f"`{key}` bigint, kinds array<string>, starts array<bigint>, ends array<bigint>")
 
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by the mask; overlapping spans are replaced once. All columns stay.
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", reach: int | None = None, scope: str | None = BLANK_LINE) -> DataFrame:
+    """docs with every found span replaced by the mask; overlapping spans are replaced once. All columns stay. reach and scope:
+    see linked().
 
-    Null and empty texts stay as they are, repeated rows each stay, whatever their keys; an empty table gives an empty result.
+    Null and empty texts stay as they are, very long texts are scanned whole, repeated rows each stay, whatever their keys; an empty table gives an empty result.
     """
     cols = docs.columns
     at = cols.index(text)
@@ -149,7 +154,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
         for b in small_batches(batches):
             new = []
             for t in b.column(at).to_pylist():
-                spans = scan(t) if t else []
+                spans = scan(t, reach, scope) if t else []
                 if spans:
                     parts, end = [], 0
                     for s in spans:
