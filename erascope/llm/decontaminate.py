@@ -25,7 +25,9 @@ from pyspark.sql.types import ArrayType, LongType, StringType
 from .common import byte_texts, release, small_batches, table, written
 
 WINDOW = 10
-SHARD = 1 << 18
+SHARD = 1 << 16
+#: Documents that are cut into words at a time.
+ROWS = 128
 SAMPLE = 8
 BLOCK_CHARS = 8_000_000
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F], A-Z lower-cased; all others become spaces.
@@ -287,7 +289,7 @@ def _find(docs: DataFrame, phrases: Phrases, shard: int, sample: int):
                 yield pa.RecordBatch.from_arrays([b.column("doc_"), *add], names=["doc_", "n_words", "starts", "ends", "items"])
 
         held, size = [], 0
-        for b in small_batches(batches):
+        for b in small_batches(batches, ROWS):
             ws = [words_of(t) for t in byte_texts(b, "text_")]
             n = sum(map(len, ws))
             if held and size + n > shard:

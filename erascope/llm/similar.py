@@ -39,7 +39,7 @@ FREQUENT = 200_000
 #: Ids up to this many are sent to every task; beyond, they are joined.
 FEW_IDS = 1_000_000
 #: Pairs that a task holds before it hands them on.
-PAIRS = 1_000_000
+PAIRS = 100_000
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
