@@ -68,7 +68,6 @@ def per_batch(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
         for out in fn(small_batches(batches)):
             if out is not None and len(next(iter(out.values()))):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((out[n], arrow.field(n).type) for n in arrow.names)], schema=arrow)
-        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     return df.mapInArrow(run, schema)
 
