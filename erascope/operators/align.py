@@ -107,3 +107,21 @@ def common_eras(scores: DataFrame, by: str = "signal", era: str = "era") -> Data
     signals = scores.agg(F.count_distinct(by).alias("all_"))
     full = scores.groupBy(era).agg(F.count_distinct(by).alias("n_")).crossJoin(F.broadcast(signals)).filter("n_ = all_").select(era)  # one row
     return scores.join(full, era, "left_semi")
+
+
+def joined_by_keys(left: DataFrame, right: DataFrame, columns: list[str], on: tuple[str, ...] = ("id", "era")) -> DataFrame:
+    """left with columns of right where all of the keys are equal; other rows of either side go."""
+    return left.join(right.select(*on, *columns), list(on))
+
+
+def kept_and_lost(left: DataFrame, right: DataFrame, on: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows of left whose key right has, the other rows of left, null keys among them)."""
+    keys = right.select(on)
+    return left.join(keys, on, "left_semi"), left.join(keys, on, "left_anti")
+
+
+def era_sets(first: DataFrame, second: DataFrame, era: str = "era") -> DataFrame:
+    """Rows (side, era): the distinct eras of both tables, of the first alone and of the second alone."""
+    a, b = first.select(era).distinct(), second.select(era).distinct()
+    said = lambda df, side: df.select(F.lit(side).alias("side"), era)
+    return said(a.intersect(b), "both").unionByName(said(a.exceptAll(b), "first")).unionByName(said(b.exceptAll(a), "second"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,3 +128,8 @@ def cohort_profile(df: DataFrame, targets: list[str], era: str = "era") -> DataF
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:
     """Counts by equal bins from 1; 0 and bins + 1 are below and above."""
     return df.filter(F.col(column).isNotNull()).groupBy(*(by or []), F.width_bucket(F.col(column).cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(bins)).alias("bin")).agg(F.count("*").alias("rows"))
+
+
+def distinct_counts(df: DataFrame, counted: dict[str, Column], by: list[str]) -> DataFrame:
+    """Distinct values of some expressions, by name, one row for each of by; nulls do not count."""
+    return df.groupBy(*by).agg(*[F.count_distinct(x).alias(n) for n, x in counted.items()])

@@ -273,22 +273,20 @@ def missing(spark, sf_dir):
 @query("prj8_dropna", f"WITH {ORDERS} SELECT id FROM orders_c WHERE feature_b <> 1 AND feature_a <> 2")
 def dropna(spark, sf_dir):
     df = orders(spark, sf_dir).withColumn("x", F.when(F.col("feature_b") == 1, float("nan")).otherwise(F.col("prediction"))).withColumn("y", F.when(F.col("feature_a") != 2, F.col("target")))
-    return df.na.drop(subset=["x", "y"]).select("id")
+    return P.present(df, ["x", "y"]).select("id")
 
 
 @query("prj9_start_era", f"WITH {ORDERS}, x AS (SELECT id, CASE WHEN era = '0003' THEN 'none' ELSE 'era' || era END AS era FROM orders_c) SELECT id, era FROM x WHERE TRY_CAST(nullif(regexp_replace(era, '[^0-9]', '', 'g'), '') AS BIGINT) IS NULL OR TRY_CAST(nullif(regexp_replace(era, '[^0-9]', '', 'g'), '') AS BIGINT) >= 30")
 def start_era(spark, sf_dir):
     """Digits of the era from a start on; eras without digits stay."""
     x = orders(spark, sf_dir).select("id", F.when(F.col("era") == "0003", "none").otherwise(F.concat(F.lit("era"), "era")).alias("era"))
-    number = F.expr("try_cast(regexp_replace(era, '[^0-9]', '') as bigint)")
-    return x.filter(number.isNull() | (number >= 30))
+    return P.from_era(x, 30)
 
 
 @query("prj10_post_train_embargo", f"WITH {ORDERS}, {_TYPED} SELECT id, era FROM t WHERE data_type = 'validation' AND CAST(era AS BIGINT) > (SELECT max(CAST(era AS BIGINT)) FROM t WHERE data_type = 'train') + 3")
 def post_train(spark, sf_dir):
     train, rest = _typed(spark, sf_dir)
-    last = train.agg(F.max(F.col("era").cast("bigint")).alias("last_"))
-    return rest.filter("data_type = 'validation'").crossJoin(F.broadcast(last)).filter(F.col("era").cast("bigint") > F.col("last_") + 3).select("id", "era")  # one row
+    return P.after_training(rest.filter("data_type = 'validation'"), train, 3).select("id", "era")
 
 
 @query("prj11_last_eras", f"WITH {ORDERS}, e AS (SELECT era FROM (SELECT DISTINCT era FROM orders_c) ORDER BY era DESC LIMIT 12) SELECT era, count(*) AS rows FROM orders_c WHERE era IN (SELECT era FROM e) GROUP BY era")
@@ -320,13 +318,12 @@ def tickers(spark, sf_dir):
 def horizons(spark, sf_dir):
     """Names by stem and horizon, side by side."""
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat("p_brand", F.when(F.col("p_partkey") % 2 == 0, "_20").otherwise("_60")).alias("name")).distinct()
-    parts = names.select(F.regexp_extract("name", "^(.*)_(20|60)$", 1).alias("target"), F.concat(F.lit("h"), F.regexp_extract("name", "^(.*)_(20|60)$", 2)).alias("h"), "name")
-    return parts.groupBy("target").pivot("h", ["h20", "h60"]).agg(F.max("name"))
+    return P.by_horizon(names)
 
 
 @query("prj14_centre_scale", f"WITH {ORDERS} SELECT id, {rs('(feature_b - 2) / 2')} AS v FROM orders_c")
 def centre(spark, sf_dir):
-    return orders(spark, sf_dir).select("id", r((F.col("feature_b") - 2) / 2).alias("v"))
+    return P.centred(orders(spark, sf_dir).select("id", "feature_b"), ["feature_b"]).select("id", r("feature_b").alias("v"))
 
 
 _ZONES = [("development", 0, 40), ("scored", 41, 60), ("gap", 61, 66), ("holdout", 67, 99999)]
@@ -432,7 +429,7 @@ def agreed(spark, sf_dir):
 @query("joi7_composite_key", f"WITH {ORDERS} SELECT id, era, {rs('prediction')} AS prediction, {rs('benchmark')} AS benchmark FROM orders_c WHERE feature_b <> 0")
 def composite(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    return left.join(right.filter("feature_b <> 0"), ["id", "era"]).select("id", "era", r("prediction").alias("prediction"), r("benchmark").alias("benchmark"))
+    return A.joined_by_keys(left, right.filter("feature_b <> 0"), ["benchmark"]).select("id", "era", r("prediction").alias("prediction"), r("benchmark").alias("benchmark"))
 
 
 @query(
@@ -456,8 +453,7 @@ def intersection(spark, sf_dir):
 @query("joi10_semi_anti", f"WITH {ORDERS} SELECT 'kept' AS side, count(*) AS rows FROM orders_c WHERE feature_b > 1 UNION ALL SELECT 'uncovered', count(*) FROM orders_c WHERE feature_b <= 1")
 def semi_anti(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    some = right.filter("feature_b > 1").select("id")
-    kept, lost = left.join(some, "id", "left_semi"), left.join(some, "id", "left_anti")
+    kept, lost = A.kept_and_lost(left, right.filter("feature_b > 1"))
     return kept.agg(F.count("*").alias("rows")).select(F.lit("kept").alias("side"), "rows").unionByName(lost.agg(F.count("*").alias("rows")).select(F.lit("uncovered").alias("side"), "rows"))
 
 
@@ -495,5 +491,4 @@ def common(spark, sf_dir):
 
 @query("set_operations", f"WITH {ORDERS}, {LINEITEM}, a AS (SELECT DISTINCT era FROM orders_c), b AS (SELECT DISTINCT era FROM lineitem_c) SELECT 'both' AS side, era FROM (SELECT era FROM a INTERSECT SELECT era FROM b) UNION ALL SELECT 'second', era FROM (SELECT era FROM b EXCEPT SELECT era FROM a)")
 def sets(spark, sf_dir):
-    a, b = orders(spark, sf_dir).select("era").distinct(), lineitem(spark, sf_dir).select("era").distinct()
-    return a.intersect(b).select(F.lit("both").alias("side"), "era").unionByName(b.exceptAll(a).select(F.lit("second").alias("side"), "era"))
+    return A.era_sets(orders(spark, sf_dir), lineitem(spark, sf_dir)).filter("side <> 'first'")

@@ -171,7 +171,7 @@ def histogram(spark, sf_dir):
 
 @query("sum16_distinct_per_date", f"WITH {EVENTS} SELECT era, count(DISTINCT ticker) AS tickers, count(DISTINCT CASE WHEN kind <> 'view' THEN ticker END) AS other_tickers FROM events_c GROUP BY era")
 def distinct_per_date(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("era").agg(F.count_distinct("ticker").alias("tickers"), F.count_distinct(F.when(F.col("kind") != "view", F.col("ticker"))).alias("other_tickers"))
+    return SU.distinct_counts(events(spark, sf_dir), {"tickers": F.col("ticker"), "other_tickers": F.when(F.col("kind") != "view", F.col("ticker"))}, ["era"])
 
 
 _REF = CORR.replace("ck AS", "rk AS").replace("cg AS", "rg AS").replace("cs AS", "rsx AS").replace("FROM ck", "FROM rk").replace("FROM cg", "FROM rg").replace("FROM cs", "FROM rsx").replace("corrs AS", "refs AS").replace("target - avg(target)", "ref - avg(ref)")

@@ -233,3 +233,33 @@ def zone_states(counts: DataFrame, bounds: list[tuple[str, int, int]], needed: d
     named = spark.createDataFrame([(n, needed.get(n, 0)) for n, _, _ in bounds], "zone string, needed_ bigint")
     out = named.join(per, "zone", "left").fillna(0, ["eras", "rows", "resolved_eras"])
     return out.withColumn("open", F.col("resolved_eras") >= F.col("needed_")).drop("needed_")
+
+
+def present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows in which none of the columns is null or NaN."""
+    return df.na.drop(subset=columns)
+
+
+def from_era(df: DataFrame, first: int, era: str = "era") -> DataFrame:
+    """The rows whose era's digits are a number from first on; eras without digits stay."""
+    number = F.expr(f"try_cast(regexp_replace(`{era}`, '[^0-9]', '') as bigint)")
+    return df.filter(number.isNull() | (number >= first))
+
+
+def after_training(df: DataFrame, train: DataFrame, embargo: int, era: str = "era") -> DataFrame:
+    """The rows of eras more than embargo after the last train era, by number."""
+    number = lambda: F.expr(f"try_cast(`{era}` as bigint)")
+    last = train.agg(F.max(number()).alias("last_"))
+    return df.crossJoin(F.broadcast(last)).filter(number() > F.col("last_") + embargo).drop("last_")  # one row
+
+
+def by_horizon(names: DataFrame, name: str = "name", horizons: tuple[str, ...] = ("20", "60")) -> DataFrame:
+    """Rows (target, h20, h60 ...): names stem_horizon side by side, null where a stem lacks a horizon."""
+    pattern = f"^(.*)_({'|'.join(horizons)})$"
+    parts = names.select(F.regexp_extract(name, pattern, 1).alias("target"), F.concat(F.lit("h"), F.regexp_extract(name, pattern, 2)).alias("h_"), F.col(name).alias("n_"))
+    return parts.groupBy("target").pivot("h_", [f"h{h}" for h in horizons]).agg(F.max("n_"))
+
+
+def centred(df: DataFrame, columns: list[str], centre: float = 2.0, scale: float = 2.0) -> DataFrame:
+    """df with (x - centre) / scale in place of each of the columns."""
+    return df.withColumns({c: (F.col(c) - F.lit(float(centre))) / F.lit(float(scale)) for c in columns})
