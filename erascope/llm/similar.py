@@ -6,7 +6,10 @@ agreeing segments reaches, so the pairs across the components so far come from a
 of n shingles is put in one order for all documents, rare shingles first, and entered under its first
 n - SIMILARITY * n + 1; two sets that resemble by SIMILARITY share an entry, and at their first common one each has enough
 shingles left for the overlap that they need. Pairs that have not are dropped in the cell. The order comes from counts in a
-sample of the documents: it decides how many pairs are named, never which links are found.
+sample of the documents, and from counts over the whole table: a shingle that the sample does not know but CROWD
+documents of unlike groups have is moved behind all rarer ones, and the documents that it leads are entered once more. So a family that resembles too little for
+a link is led by what tells its members apart, however small its share of the corpus, and names few pairs. The order decides
+how many pairs are named, never which links are found.
 
 The prefix join runs twice. First each document of a cell outside the cell's largest group meets one document of that group,
 which joins most families; then all pairs that are still apart meet. All named pairs are verified exactly on their whole
@@ -36,6 +39,8 @@ CELL = 16384
 #: Shingles of about so many documents are counted for the order of the prefix join; the most frequent are told apart.
 SAMPLE = 1 << 14
 FREQUENT = 200_000
+#: Documents of unlike groups from which a shingle is moved behind rarer ones.
+CROWD = 32
 #: Ids up to this many are sent to every task; beyond, they are joined.
 FEW_IDS = 1_000_000
 #: Pairs that a task holds before it hands them on.
@@ -140,13 +145,17 @@ def _frequent(docs: DataFrame, text: str, key: str, words: int) -> tuple[np.ndar
     return hashes[order], n[order]
 
 
-def _prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a sorted set by count in the sample, then hash."""
+def _prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float, crowded: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a sorted set by count in the sample, then hash; crowded ones, in order, come behind those that the
+    sample does not know and before those that it does, whose counts are 2 or more."""
     names, counts = frequent
     count = np.zeros(len(hashes), np.int64)
+    if crowded is not None and len(crowded):
+        at = np.minimum(np.searchsorted(crowded, hashes), len(crowded) - 1)
+        count = (crowded[at] == hashes).astype(np.int64)
     if len(names):
         at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        count = np.where(names[at] == hashes, counts[at], 0)
+        count = np.where(names[at] == hashes, counts[at], count)
     return hashes[np.argsort(count, kind="stable")[: prefix_length(len(hashes), similarity)]].view(np.int64)
 
 
@@ -186,6 +195,81 @@ def across_cells(grouped: DataFrame, cell: int = CELL) -> DataFrame:
     return grouped.join(F.broadcast(large), "cell", "left").withColumn("to_", to).select(F.explode("to_").alias("cell"), "id", "group", "n", "rest")
 
 
+def _uncrowded(firsts: DataFrame, parts: DataFrame, docs: DataFrame, text: str, key: str, frequent, words: int, similarity: float, crowd: int) -> DataFrame:
+    """firsts (key, n_, prefix_) with new prefixes for the rows that crowded shingles lead. Crowded are those that lead so many
+    documents of unlike groups (of each group its first counts), and those that so many of these documents hold. In one order
+    for all: a row that no crowded shingle leads keeps its prefix, since these only move back."""
+
+    def unknown(counted: DataFrame) -> DataFrame:
+        def run(batches):
+            names = frequent.value[0]
+            for b in batches:
+                c = b.column(0).to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(names, c.view(np.uint64)), max(0, len(names) - 1))
+                yield {"cell": c[names[at] != c.view(np.uint64)] if len(names) else c}
+
+        return written(per_batch(counted.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= crowd).select("cell"), run, "cell bigint"))
+
+    def led_by(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        side = F.broadcast(cells) if cells.count() <= FEW_IDS else cells
+        return written(rows.select(key, F.explode("prefix_").alias("cell")).join(side, "cell", "left_semi").select(key).distinct())
+
+    def each(batches):
+        sketcher = Sketcher(words)
+        for b in batches:
+            sets = [np.unique(sketcher.shingles(t)).view(np.int64) for t in byte_texts(b, text)]
+            yield {"cell": np.concatenate(sets) if sets else []}
+
+    heads = _chosen(firsts, parts.filter("id <> group").select(F.col("id").alias(key)), key, False)
+    leading = unknown(heads.select(F.explode("prefix_").alias("cell")))
+    if leading.isEmpty():
+        return firsts
+    leaders = led_by(heads, leading)
+    held = unknown(per_batch(_chosen(docs.select(key, text), leaders, key, True), each, "cell bigint"))
+    crowded = written(leading.unionByName(held).distinct())
+    many, led = crowded.count(), led_by(firsts, crowded)
+    release(leading, leaders, held)
+    mine = _chosen(docs.select(key, text), led, key, True)
+    if many <= FEW_IDS:
+        known = firsts.sparkSession.sparkContext.broadcast(np.sort(crowded.toPandas()["cell"].to_numpy(np.int64).view(np.uint64)))  # at most FEW_IDS
+
+        def again(batches):
+            sketcher = Sketcher(words)
+            for b in batches:
+                sets = [np.unique(sketcher.shingles(t)) for t in byte_texts(b, text)]
+                yield {key: b.column(key), "n_": [len(s) for s in sets], "prefix_": [_prefix(s, frequent.value, similarity, known.value) for s in sets]}
+
+        new = per_batch(mine, again, f"`{key}` bigint, n_ bigint, prefix_ array<bigint>")
+    else:  # each document meets its own crowded shingles in a join
+
+        def sets(batches):
+            sketcher = Sketcher(words)
+            for b in batches:
+                yield {key: b.column(key), "s": [np.unique(sketcher.shingles(t)).view(np.int64) for t in byte_texts(b, text)]}
+
+        def placed(batches):
+            for b in batches:
+                yield {key: b.column(key), "n_": [len(s) for s in b.column("s").to_pylist()], "prefix_": [_prefix(np.array(s, np.int64).view(np.uint64), frequent.value, similarity, np.sort(np.array(c, np.int64).view(np.uint64))) for s, c in zip(b.column("s").to_pylist(), b.column("c").to_pylist(), strict=True)]}
+
+        whole = written(per_batch(mine, sets, f"`{key}` bigint, s array<bigint>").withColumn("row_", F.monotonically_increasing_id()))
+        own = whole.select("row_", F.explode("s").alias("cell")).join(crowded, "cell").groupBy("row_").agg(F.collect_list("cell").alias("c"))  # at most a document's shingles
+        both = whole.join(own, "row_", "left").select(key, "s", F.coalesce("c", F.expr("cast(array() as array<bigint>)")).alias("c"))
+        new = per_batch(both, placed, f"`{key}` bigint, n_ bigint, prefix_ array<bigint>")
+    return written(_chosen(firsts, led, key, False).select(key, "n_", "prefix_").unionByName(new))
+
+
+def _named(firsts: DataFrame, parts: DataFrame, key: str, similarity: float, cell: int, whole: bool) -> DataFrame:
+    """Distinct pairs (a, b) of unlike groups that share an entry and may be links; see _across()."""
+    entries = firsts.select(F.col(key).alias("id"), F.col("n_").alias("n"), F.posexplode("prefix_").alias("at", "cell")).select("cell", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
+    grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
+    dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
+
+    def across(batches):
+        yield from _across(batches, similarity, whole)
+
+    return dealt.mapInArrow(across, "a bigint, b bigint").distinct()
+
+
 def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(representatives (key, least): each document with the smallest key of its shingle set; verified links (a, b) among
     those smallest keys, enough to connect all that are linked). Rows with a null key are left out."""
@@ -251,16 +335,12 @@ def similar_links(docs: DataFrame, text: str = "text", key: str = "doc_id", word
 
     # what these links leave apart, by the prefix join: by one document of each cell's largest group, then by all
     firsts = written(_chosen(found.select(key, "n_", "prefix_"), distinct.select(F.col("id").alias(key)).distinct(), key, True))
-    entries = firsts.select(F.col(key).alias("id"), F.col("n_").alias("n"), F.posexplode("prefix_").alias("at", "cell")).select("cell", "id", "n", (F.col("n") - F.col("at")).alias("rest"))
+    groups = lambda: written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    parts = groups()
+    firsts = _uncrowded(firsts, parts, docs, text, key, frequent, words, similarity, CROWD)
     for whole in (False, True):
-        parts = written(components(joined)).select(F.col("node").alias("id"), F.col("component").alias("group"))
-        grouped = entries.join(parts, "id", "left").select("cell", "id", F.coalesce("group", "id").alias("group"), "n", "rest")
-        dealt = across_cells(grouped, cell).repartition("cell").sortWithinPartitions("cell", "id")
-
-        def across(batches, whole=whole):
-            yield from _across(batches, similarity, whole)
-
-        pairs = dealt.mapInArrow(across, "a bigint, b bigint").distinct()
+        parts = groups() if whole else parts
+        pairs = _named(firsts, parts, key, similarity, cell, whole)
         named = written(pairs if named is None else pairs.join(named, ["a", "b"], "left_anti"))
         joined = written(joined.unionByName(linked(named)))
     release(firsts)

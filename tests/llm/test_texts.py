@@ -284,6 +284,54 @@ def test_links_do_not_depend_on_the_simhash_cells(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in similar.without_copies(docs).collect()) == want
 
 
+@pytest.mark.parametrize("few", [similar.FEW_IDS, 3])
+def test_a_family_that_the_sample_does_not_know_names_few_pairs(spark, monkeypatch, few):
+    """A family of which a seventh of each member is its own, others that link, and an order from next to no documents."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(10**9)}"
+    docs, family = [], 0
+    for kind, size, edits in ((0, 70, 11), (1, 40, 3), (2, 30, 0)):
+        base = [word() for _ in range(400)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.choice(80, edits, replace=False) * 5:
+                w[at] = word()
+            docs.append((len(docs), " ".join(w)))
+        family = size if kind == 0 else family
+    docs += [(len(docs) + i, " ".join(word() for _ in range(50))) for i in range(60)]
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    monkeypatch.setattr(similar, "FEW_IDS", few)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    sets = [set(np.unique(fingerprints.Sketcher(5).shingles(t.encode())).tolist()) for _, t in docs]
+    links = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert not any(i < 70 and j < 70 for i, j in links)
+    pairs = []
+    own = similar._named
+    monkeypatch.setattr(similar, "_named", lambda *a: (pairs.append({(r.a, r.b) for r in own(*a).collect()}), own(*a))[1])
+    _, found = similar.similar_links(df)
+    named = set().union(*pairs)
+    assert sum(a < 70 and b < 70 for a, b in named) < 0.1 * family * (family - 1) / 2
+    least = lambda edges: {n: min(c) for c in parts_of(len(docs), edges) for n in c}
+    reps = {r.doc_id: r.least for r in similar.similar_links(df)[0].collect()}
+    assert least({(r.a, r.b) for r in found.collect()} | {(min(a, b), max(a, b)) for a, b in reps.items() if a != b}) == least(links)
+
+
+def parts_of(n, edges):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    out = {}
+    for i in range(n):
+        out.setdefault(root(i), []).append(i)
+    return list(out.values())
+
+
 def test_large_cells_are_dealt_in_parts_that_meet(spark):
     rows = [(5, i, 0 if i < 600 else i % 40, 100, 90) for i in range(1000)] + [(6, i, i, 100, 90) for i in range(20)]
     dealt = similar.across_cells(spark.createDataFrame(rows, "cell bigint, id bigint, group bigint, n bigint, rest bigint"), 64).collect()
