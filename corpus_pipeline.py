@@ -14,32 +14,47 @@ from erascope.llm.similar import without_copies
 
 #: Languages to keep; None keeps all that the labels name.
 LANGUAGES: list[str] | None = None
+#: Rows of an Arrow batch at most: texts are long, and the JVM and the worker of each task hold a batch or two.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """The one session setting that this application makes: fewer rows in an Arrow batch, for all its stages."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from all labelled texts of docs: texts without a language (null, or no letter) go, as do those
     clearly of a language outside LANGUAGES; a missing label is filled by a clear decision. See identified()."""
+    _small_batches(spark)
     return identified(docs, learn(docs), languages=LANGUAGES)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of documents whose five-word shingles resemble by 0.8 or more, that of the least doc_id stays."""
+    _small_batches(spark)
     return without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold ten words of a benchmark text in line go."""
+    _small_batches(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans: spans found are masked, and n_chars follows."""
+    _small_batches(spark)
     return redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: each document as often as the mix takes it, whole, numbered by copy; a column copy of docs is
     replaced, as are those that mix() adds."""
+    _small_batches(spark)
     mixed = mix(docs).filter(F.col("copies") > 0)
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
