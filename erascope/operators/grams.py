@@ -19,6 +19,8 @@ from ..functions.ranking import clean
 
 #: Matrices that a task holds before it passes them on, in bytes.
 HELD = 1 << 26
+#: Up to so many columns, sums of products are expressions of Spark's own.
+FEW = 8
 
 
 class Sums:
@@ -35,8 +37,7 @@ class Sums:
         upper = self.products[np.triu_indices(len(self.products))]
         return np.concatenate(([self.low, self.high], upper)).tobytes()
 
-    def merge(self, said: bytes) -> None:
-        a = np.frombuffer(said)
+    def merge(self, a: np.ndarray) -> None:
         upper = np.triu_indices(len(self.products))
         self.low, self.high = min(self.low, a[0]), max(self.high, a[1])
         self.products[upper] += a[2:]
@@ -47,9 +48,20 @@ class Sums:
         return self.products[-2, -2] > 1 and self.low < self.high
 
 
-def grams(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
+def native_grams(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
+    """What grams() says, as arrays, from one aggregation: rows stay in the JVM, and the plan grows with the square of the
+    columns."""
+    n = len(xs) + 2
+    rows = df.select(*by, *[F.coalesce(clean(x), F.lit(0.0)).alias(f"z{i}_") for i, x in enumerate(xs)], F.lit(1.0).alias(f"z{n - 2}_"), clean(y).alias(f"z{n - 1}_")).filter(f"z{n - 1}_ is not null")
+    sums = [F.sum(F.col(f"z{i}_") * F.col(f"z{j}_")) for i in range(n) for j in range(i, n)]
+    return rows.groupBy(*by).agg(F.array(F.min(f"z{n - 1}_"), F.max(f"z{n - 1}_"), *sums).alias("sums_")).filter("sums_[0] is not null")
+
+
+def grams(df: DataFrame, y: str, xs: list[str], by: list[str], native: bool | None = None) -> DataFrame:
     """Rows (by..., sums_): packed sums of the rows whose y is finite; values of xs that are not finite count as 0. A group
-    may have several rows, which fitted() adds up."""
+    may have several rows, which fitted() adds up. With native, or up to FEW columns unless told otherwise, native_grams()."""
+    if native or native is None and len(xs) <= FEW:
+        return native_grams(df, y, xs, by)
     rows = df.select(*by, *[clean(x).alias(f"x{i}_") for i, x in enumerate(xs)], clean(y).alias("y_"))
     schema = StructType([rows.schema[b] for b in by]).add("sums_", BinaryType())
     size, k = len(xs) + 2, len(by)
@@ -108,7 +120,7 @@ def fitted(sums: DataFrame, by: list[str], columns: int, solve: Callable[[Sums],
                     if total is not None:
                         close()
                     now, total = key, Sums(columns + 2)
-                total.merge(said.as_buffer())
+                total.merge(said.values.to_numpy() if pa.types.is_list(said.type) else np.frombuffer(said.as_buffer()))
             if done:
                 yield rows(done)
                 done = []

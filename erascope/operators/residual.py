@@ -96,10 +96,11 @@ def target_transform(df: DataFrame, spec: TargetSpec, name: str = "target_transf
     return out.drop("identity_")
 
 
-def neutralized(df: DataFrame, name: str, signal: str, features: list[str], by: list[str], proportion: float = 1.0, rcond: float = 1e-12) -> DataFrame:
+def neutralized(df: DataFrame, name: str, signal: str, features: list[str], by: list[str], proportion: float = 1.0, rcond: float = 1e-12, native: bool | None = None) -> DataFrame:
     """The signal less proportion times its projection on the features and a constant, in each group; null where the signal has
     no variance. Products are summed by group, a pseudo-inverse of one small matrix is taken for each group, and the
-    coefficients are joined back, so rows of a group are never gathered. Features that are not finite count as 0."""
-    betas = fitted(grams(df, signal, features, by), by, len(features), least_squares(rcond=rcond))
+    coefficients are joined back, so rows of a group are never gathered. Features that are not finite count as 0. native: see
+    grams.grams()."""
+    betas = fitted(grams(df, signal, features, by, native), by, len(features), least_squares(rcond=rcond))
     joined = df.join(betas, by, "left") if by else df.join(F.broadcast(betas), F.lit(True), "left")  # without groups one row
     return joined.withColumn(name, clean(signal) - F.lit(proportion) * linear("beta_", features)).drop("beta_")

@@ -269,7 +269,7 @@ def test_neutralization_to_sixty_columns_equals_pinv(spark):
 
 def test_plan_of_neutralization_does_not_grow_in_operators(spark):
     df = spark.range(10).select(F.lit("1").alias("era"), *[F.rand(i).alias(f"x{i}") for i in range(40)], F.rand(99).alias("y"))
-    nodes = [residual.neutralized(df, "v", "y", [f"x{i}" for i in range(k)], ["era"])._jdf.queryExecution().sparkPlan().toString().count("\n") for k in (2, 40)]
+    nodes = [residual.neutralized(df, "v", "y", [f"x{i}" for i in range(k)], ["era"], native=False)._jdf.queryExecution().sparkPlan().toString().count("\n") for k in (2, 40)]
     assert nodes[0] == nodes[1]
 
 

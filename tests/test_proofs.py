@@ -133,3 +133,16 @@ def test_blends_take_one_exchange_and_two_sorts(spark, panel):
         assert all((g is None) == (w is None) and (g is None or abs(g - w) < 1e-9) for g, w in zip(v, want[k], strict=True)), k
     twice = EN.rank_blend(panel.select("id", "era", "a").unionByName(panel.select("id", "era", "a").limit(5)), {"a": 1.0})
     assert twice.count() == panel.count() + 5
+
+
+def test_native_sums_equal_packed_ones(spark, panel):
+    from erascope.operators.residual import neutralized
+
+    df = panel.withColumn("a", F.when(F.col("id") == "1-1", float("nan")).otherwise(F.col("a"))).withColumn("target", F.when(F.col("era") != "0003", F.col("target")).otherwise(0.5))
+    for by in (["era"], []):
+        got = [{r.id: r.v for r in neutralized(df, "v", "target", ["a", "b", "benchmark"], by, 0.7, native=n).collect()} for n in (True, False)]
+        assert len(got[0]) == len(got[1]) == 240
+        assert all((got[0][k] is None) == (v is None) and (v is None or abs(got[0][k] - v) < 1e-9) for k, v in got[1].items())
+    plan = neutralized(df, "v", "target", ["a"], ["era"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the groups' sums alone
+    assert neutralized(df.limit(0), "v", "target", ["a"], []).count() == 0
