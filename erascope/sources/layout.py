@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,9 +29,17 @@ def bucket_of(era: str = "era", width: int = WIDTH) -> Column:
 
 def observed(df: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
     """(df, a function that gives some aggregates of its rows once a job has run over it). A task that is run again can raise a
-    count, never hide one."""
+    count, never hide one. Of a plan that turns out to have no rows Spark may observe nothing: all counts are then 0."""
     seen = Observation()
-    return df.observe(seen, *[x.alias(n) for n, x in counts.items()]), lambda: {n: v or 0 for n, v in seen.get.items()}
+
+    def got() -> dict[str, int]:
+        try:
+            said = seen.get
+        except Py4JJavaError:  # no metrics: the plan was known to be empty before it ran
+            said = {}
+        return {n: said.get(n) or 0 for n in counts}
+
+    return df.observe(seen, *[x.alias(n) for n, x in counts.items()]), got
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
