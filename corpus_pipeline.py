@@ -18,12 +18,13 @@ LANGUAGES: list[str] | None = None
 BATCH_ROWS = 1000
 
 
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    """The one session setting that this application makes: fewer rows in an Arrow batch, for all its stages."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Fewer rows in an Arrow batch, for what a stage returns as well: called alone, it leaves the setting; run() restores it."""
+    if not 0 < int(spark.conf.get(_BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, BATCH_ROWS)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,12 +75,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole documents table. Each stage's table is removed when the next one is written."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir))
-        release(before)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage over the whole documents table. Each stage's table is removed when the next one is written.
+    The session's settings are left as they were; what is returned sends no texts to Python."""
+    docs, batches = table(spark, sf_dir, "documents"), spark.conf.get(_BATCHES)
+    try:
+        for _, stage in STAGES[:-1]:
+            before, docs = docs, written(stage(spark, docs, sf_dir))
+            release(before)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(_BATCHES, batches)
 
 
 QUERIES = {"pipeline": run}
