@@ -59,7 +59,7 @@ import __spark_entry__
 queries = __spark_entry__.queries()
 for name in ("op4_decontaminate", "op7_ctw", "op9_language_id", "pipeline"):
     assert queries[name](spark, {DATA!r}).count() > 0, name
-for name in ("op1_token_counts", "op2_chat", "op3_fingerprints", "op5_simhash", "op6_warc", "op8_secrets", "op10_mixing"):
+for name in ("op1_token_counts", "op2_chat", "op3_fingerprints", "op5_simhash", "op6_warc", "op8_secrets", "op10_mixing", "op11_lexical_search", "op12_token_alignment", "op13_url_filter"):
     queries[name](spark, {DATA!r}).write.format("noop").mode("overwrite").save()
 assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 """
