@@ -80,14 +80,14 @@ def model_comparison(df: DataFrame, signals: list[str], target: str, reference:
     return out.select("signal", F.col("mean").alias("corr_mean"), F.col("sharpe").alias("corr_sharpe"), "bmc_mean", "ref_corr_mean", "bmc_recent", "ref_corr_recent")
 
 
-def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4, blends: tuple[str, str, list[float]] | None = None, manifest: DataFrame | None = None, fold: str = "cv_fold") -> DataFrame:
+def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference: str, segments: dict[str, tuple[int, int]], specs: DataFrame, calibration: str, holdout: str, best: str = "corr", tie: float = 1e-4, blends: tuple[str, str, list[float]] | None = None, manifest: DataFrame | None = None, fold: str = "cv_fold", by_risk: bool = True) -> DataFrame:
     """Selection on one segment, promotion on another: candidates are scored by era, summarized on the calibration segment and
     checked; the holdout is only read if one is selected. One row (selected, promoted), or none.
 
     With blends (a, b, weights of a) the candidates are also the blends w35 and so on. With a manifest (id, era, and target and
     fold where it has them) the cohort must hold its rows and no others, with the same targets and folds, and each era lies in
     one fold. Of candidates within tie of the best, the one of the least drawdown goes first, then the one of the least weight,
-    then by name. A segment's eras are picked before anything is ranked or dealt.
+    then by name; without by_risk, by name alone. A segment's eras are picked before anything is ranked or dealt.
     """
     if manifest is not None:
         also = [c for c in (target, fold) if c in manifest.columns]
@@ -114,7 +114,7 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
     passed = gates.eligible(gates.checks(first, specs, ["signal"]), ["signal"])
     of = lambda metric, name: first.filter(F.col("metric") == metric).select("signal", F.col("value").alias(name))
     ranked = passed.join(of(best, "best"), "signal").join(of("drawdown", "risk"), "signal").withColumn("weight", F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("signal")))
-    selected = gates.select_candidate(ranked, "best", tie, [F.round("risk", 9), F.col("weight"), F.col("signal")]).select("signal")
+    selected = gates.select_candidate(ranked, "best", tie, [*([F.round("risk", 9), F.col("weight")] if by_risk else []), F.col("signal")]).select("signal")
     row = selected.first()
     spark = df.sparkSession
     if row is None:
