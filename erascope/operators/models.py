@@ -92,6 +92,41 @@ def fit_in_tasks(taken: DataFrame, names: list[str], estimator, order: list[str]
     return taken.groupBy("fold").applyInPandas(fit, "fold int, model_ binary")
 
 
+def fits_in_parts(estimator) -> bool:
+    return hasattr(estimator, "partial_fit") and hasattr(estimator, "merge")
+
+
+def fit_in_parts(rows: DataFrame, train: DataFrame, names: list[str], estimator, era: str = "era") -> DataFrame:
+    """Rows (fold, model_): an estimator with partial_fit(X, y) and merge(other) fitted on all rows (era, y_, names...) of each
+    fold's train eras (rows (fold, era) of train). A task fits one copy for each era that it meets; copies are merged by era, then
+    by fold, so a row is read once whatever the number of folds, and copies are all that is shuffled."""
+    packed = cloudpickle.dumps(estimator)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, object] = {}
+        for b in batches:
+            for e, part in b.groupby(era, sort=False, dropna=False):
+                if e not in own:
+                    own[e] = cloudpickle.loads(packed)
+                own[e].partial_fit(part[names].to_numpy(np.float64), part["y_"].to_numpy(np.float64))
+        if own:
+            yield pd.DataFrame({era: list(own), "model_": [cloudpickle.dumps(m) for m in own.values()]})
+
+    def merged(by: str, keep: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            first, *rest = (cloudpickle.loads(m) for m in sorted(pdf["model_"]))  # sorted, so that reruns agree
+            for m in rest:
+                first.merge(m)
+            return pd.DataFrame({by: pdf[by].iloc[:1], "model_": [cloudpickle.dumps(first)]})[keep]
+
+        return run
+
+    wanted = rows.join(F.broadcast(train.select(era).distinct()), era, "left_semi")  # one row an era
+    schema = StructType([rows.schema[era]]).add("model_", "binary")
+    eras = wanted.select(era, "y_", *names).mapInPandas(fit, schema).groupBy(era).applyInPandas(merged(era, [era, "model_"]), schema)
+    return eras.join(train.select("fold", era), era).groupBy("fold").applyInPandas(merged("fold", ["fold", "model_"]), "fold int, model_ binary")
+
+
 def fit_ml_folds(df: DataFrame, splits: DataFrame, features: list[str], target: str, estimator, folder: str | None = None, era: str = "era") -> tuple[str, dict[int, object]]:
     """(folder, fitted pipelines by fold): a pyspark.ml regressor for each fold, fitted by Spark on all rows of the fold's train
     eras whose target is finite, and saved below folder as fold=k. The regressor reads the columns features_ and label_ and

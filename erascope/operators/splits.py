@@ -12,7 +12,7 @@ from ..functions.ranking import clean, percent_rank
 from ..sources.store import shared_folder
 from .contracts import ContractError, enforce, key_contract
 from .grams import fitted, grams, least_squares, linear
-from .models import fit_in_tasks, fit_ml_folds, fold_samples, predict_by_fold, predict_ml_folds, write_models
+from .models import fit_in_parts, fit_in_tasks, fit_ml_folds, fits_in_parts, fold_samples, predict_by_fold, predict_ml_folds, write_models
 from .summary import era_number
 
 
@@ -159,7 +159,8 @@ def out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: s
     Without an estimator the model is least squares with an intercept: products are summed by era once, then by fold over
     eras, so each row is read twice whatever the number of folds, and a small system is solved for each fold. An estimator
     is an object with fit(X, y) and predict(X); it is fitted in one task a fold, on at most cap rows (those that
-    balanced_sample takes of the fold's eras), kept in a shared folder and fetched by the tasks that predict. For
+    balanced_sample takes of the fold's eras), kept in a shared folder and fetched by the tasks that predict. One that also
+    has partial_fit(X, y) and merge(other) is fitted on all rows, in parts, and cap does not count. For
     pyspark.ml regressors see ml_out_of_fold().
     """
     if key is not None:
@@ -178,8 +179,11 @@ def _fitted_out_of_fold(df, train, held, features, target, era, key, estimator,
     xs = [F.coalesce(clean(f), F.lit(0.0)) for f in features]
     names = [f"x{i}_" for i in range(len(features))]
     rows = df.filter(clean(target).isNotNull()).select(era, F.col(key).alias("key_"), *[x.alias(n) for x, n in zip(xs, names, strict=True)], clean(target).alias("y_"))
-    taken = fold_samples(rows, train, cap, "key_", _order, seed, era)
-    folder = write_models(fit_in_tasks(taken, names, estimator, [era, "key_"]), shared_folder(df.sparkSession, "models"))  # at most cap rows a fold
+    if fits_in_parts(estimator):
+        models = fit_in_parts(rows, train, names, estimator, era)
+    else:
+        models = fit_in_tasks(fold_samples(rows, train, cap, "key_", _order, seed, era), names, estimator, [era, "key_"])  # at most cap rows a fold
+    folder = write_models(models, shared_folder(df.sparkSession, "models"))
     return predict_by_fold(df.join(held, era), folder, xs).withColumnRenamed("fold", "cv_fold")
 
 

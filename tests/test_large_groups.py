@@ -5,8 +5,11 @@ import datetime
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from erascope.operators import splits as SP
 from erascope.plans import registry
+from erascope.plans.q_decide import TargetMean
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +34,15 @@ def test_near_candidates_go_by_name_as_the_sql_has_it(spark, tied):
     want = con.execute(registry.ORACLES["gat6_evaluation_job"]).fetchall()
     assert want == [("feature_a", True)]
     assert [tuple(r) for r in registry.QUERIES["gat6_evaluation_job"](spark, str(tied)).collect()] == want
+
+
+def panel(spark, rows=600, eras=6):
+    return spark.range(rows).selectExpr("cast(id as string) id", f"lpad(cast(id % {eras} + 1 as string), 4, '0') era", "cast(id % 11 as double) x", "cast(id * id % 97 as double) y")
+
+
+def test_an_estimator_of_parts_is_fitted_on_all_rows(spark):
+    df = panel(spark).repartition(3)
+    sp = SP.cv_splits(df, 3, 0, strict=False)
+    got = SP.out_of_fold(df, sp, ["x"], "y", estimator=TargetMean(), cap=10).groupBy("cv_fold").agg(F.min("prediction").alias("a"), F.max("prediction").alias("b")).collect()
+    want = {r["fold"]: r["m"] for r in df.join(sp.filter("role = 'train'"), "era").groupBy("fold").agg(F.avg("y").alias("m")).collect()}
+    assert len(got) == len(want) and all(abs(r[c] - want[r["cv_fold"]]) < 1e-9 for r in got for c in "ab")
