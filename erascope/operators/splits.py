@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import clean, percent_rank
-from ..sources.store import shared_folder
+from ..sources.store import kept, shared_folder
 from .contracts import ContractError, enforce, key_contract
 from .grams import fitted, grams, least_squares, linear
 from .models import fit_in_parts, fit_in_tasks, fit_ml_folds, fits_in_parts, fold_samples, predict_by_fold, predict_ml_folds, write_models
@@ -189,9 +189,12 @@ def _fitted_out_of_fold(df, train, held, features, target, era, key, estimator,
 
 def ml_out_of_fold(df: DataFrame, splits: DataFrame, features: list[str], target: str, estimator, era: str = "era", key: str | None = "id", folder: str | None = None) -> DataFrame:
     """out_of_fold() with a pyspark.ml regressor: each fold's fit is a Spark job over all of its train rows, and prediction stays
-    in the JVM. The fitted pipelines are saved below folder (a new shared one unless given); see models.fit_ml_folds()."""
+    in the JVM. The fitted pipelines are saved below folder (a new shared one unless given); see models.fit_ml_folds(). The rows are kept in
+    a shared folder, so select the columns that are needed first."""
     if key is not None:
         enforce(key_contract(df.select(key, era), key, era).select("null_keys", "duplicate_rows"), "out-of-fold rows")
+    df = kept(df, "fold-rows")  # every fold reads the rows twice: what makes them, joins and their broadcasts, runs once
+    splits = df.sparkSession.createDataFrame(splits.select("fold", era, "role").collect(), splits.select("fold", era, "role").schema)  # a row for each fold and era
     _, models = fit_ml_folds(df, splits, features, target, estimator, folder, era)
     return predict_ml_folds(df, splits, features, models, era)
 

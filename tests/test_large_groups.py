@@ -46,3 +46,18 @@ def test_an_estimator_of_parts_is_fitted_on_all_rows(spark):
     got = SP.out_of_fold(df, sp, ["x"], "y", estimator=TargetMean(), cap=10).groupBy("cv_fold").agg(F.min("prediction").alias("a"), F.max("prediction").alias("b")).collect()
     want = {r["fold"]: r["m"] for r in df.join(sp.filter("role = 'train'"), "era").groupBy("fold").agg(F.avg("y").alias("m")).collect()}
     assert len(got) == len(want) and all(abs(r[c] - want[r["cv_fold"]]) < 1e-9 for r in got for c in "ab")
+
+
+def test_folds_of_pyspark_ml_make_their_rows_once(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = panel(spark).withColumn("y", counted("y"))
+    SP.ml_out_of_fold(df, SP.cv_splits(panel(spark), 3, 0, strict=False), ["x"], "y", LinearRegression(solver="normal")).collect()
+    assert made.value == 600
