@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import first_rank, percent_rank
+from ..sources.store import kept
+from .large import Groups, has_large
 
 
-def rank_blends(df: DataFrame, blends: dict[str, dict[str, float]], era: str = "era", rerank: bool = True) -> DataFrame:
+def rank_blends(df: DataFrame, blends: dict[str, dict[str, float]], era: str = "era", rerank: bool = True, ranks: tuple[str, ...] = ()) -> DataFrame:
     """df with a column for each blend {name: {signal: weight}}: the weighted sum of percentile ranks by era, ranked again unless
     told otherwise; null where a signal of the blend is.
 
     The rows are dealt by era once; all ranks of the signals take one sort and those of the blends another one, whatever their
     number. Each row is there once a signal between, so select the columns that are needed first. Of the columns' types, maps
-    are not allowed.
+    are not allowed. Where an era is large, each signal of many values deals the rows once to ranges of its own, the sums are kept
+    in a shared folder, and they deal the rows once more. Signals in ranks are percentile ranks already, which saves that.
     """
     signals = list(dict.fromkeys(s for b in blends.values() for s in b))
+    if has_large(df, [era]):
+        return _blends_of_large(df, blends, signals, era, rerank, ranks)
     rows = df.repartition(F.col(era)).withColumn("row_", F.monotonically_increasing_id())
     keep = rows.columns
     many = lambda names: F.explode(F.array(*[F.struct(F.lit(i).alias("s_"), F.col(n).cast("double").alias("v_")) for i, n in enumerate(names)]))
@@ -31,9 +36,29 @@ def rank_blends(df: DataFrame, blends: dict[str, dict[str, float]], era: str = "
     return out.select(*df.columns, *[F.col(n).alias(b) for n, b in zip(names, blends, strict=True)])
 
 
-def rank_blend(df: DataFrame, weights: dict[str, float], name: str = "blend", era: str = "era", rerank: bool = True) -> DataFrame:
+def _blends_of_large(df: DataFrame, blends: dict[str, dict[str, float]], signals: list[str], era: str, rerank: bool, ranks: tuple[str, ...]) -> DataFrame:
+    names = {s: f"v{i}_" for i, s in enumerate(signals)}
+    rows = df.select(*df.columns, *[F.col(s).cast("double").alias(v) for s, v in names.items()])
+    rows = _percent_ranks(rows, [v for s, v in names.items() if s not in ranks], era)
+    # sums that differ by rounding alone are ties
+    sums = {b: F.round(sum((F.lit(float(x)) * F.col(names[s]) for s, x in w.items()), F.lit(0.0)), 12) for b, w in blends.items()}
+    rows = rows.select(*df.columns, *[x.alias(f"b{i}_") for i, x in enumerate(sums.values())])
+    if rerank:
+        rows = _percent_ranks(kept(rows, "blends"), [f"b{i}_" for i in range(len(blends))], era)
+    return rows.select(*df.columns, *[F.col(f"b{i}_").alias(b) for i, b in enumerate(blends)])
+
+
+def _percent_ranks(rows: DataFrame, columns: list[str], era: str) -> DataFrame:
+    """rows with columns replaced by their percentile ranks."""
+    groups = Groups(rows.select(era, *columns), columns, [era])
+    for c in columns:
+        rows = groups.ranked(rows, "rank_", "count_", c).withColumn(c, F.col("rank_") / F.col("count_")).drop("rank_", "count_")
+    return rows
+
+
+def rank_blend(df: DataFrame, weights: dict[str, float], name: str = "blend", era: str = "era", rerank: bool = True, ranks: tuple[str, ...] = ()) -> DataFrame:
     """One of rank_blends()."""
-    return rank_blends(df, {name: weights}, era, rerank)
+    return rank_blends(df, {name: weights}, era, rerank, ranks)
 
 
 def two_signal_blends(df: DataFrame, a: str, b: str, weights: list[float], era: str = "era") -> DataFrame:
@@ -44,10 +69,13 @@ def two_signal_blends(df: DataFrame, a: str, b: str, weights: list[float], era:
 def seed_ensemble(df: DataFrame, seeds: list[str], reference: str | None = None, weight: float = 0.5, name: str = "ensemble", era: str = "era") -> DataFrame:
     """Mean of the seeds' ranks, ranked again; then blended with a reference's rank, and ranked again."""
     share = 1.0 / len(seeds)
+    large = has_large(df, [era])
     df = rank_blend(df, {s: share for s in seeds}, name, era)
     if reference is None:
         return df
-    return rank_blend(df, {name: weight, reference: 1 - weight}, "e_", era).drop(name).withColumnRenamed("e_", name)
+    if large:
+        df = kept(df, "seeds")  # read more than once
+    return rank_blend(df, {name: weight, reference: 1 - weight}, "e_", era, ranks=(name,)).drop(name).withColumnRenamed("e_", name)
 
 
 def mean_of_ranks(df: DataFrame, signals: list[str], name: str = "ensemble", era: str = "era") -> DataFrame:
@@ -57,5 +85,9 @@ def mean_of_ranks(df: DataFrame, signals: list[str], name: str = "ensemble", era
 
 def target_ensemble(df: DataFrame, signals: list[str], key: str = "id", name: str = "ensemble", era: str = "era") -> DataFrame:
     """Mean of ranks, then a rank without ties, in order of key."""
+    if has_large(df, [era]):
+        df = kept(mean_of_ranks(df, signals, "m_", era), "ranks")
+        placed = Groups(df.select(era, "m_"), ["m_"], [era]).ranked(df, "rank_", "count_", "m_", key)
+        return placed.withColumn(name, F.col("rank_") / F.col("count_")).drop("m_", "rank_", "count_")
     df = mean_of_ranks(df, signals, "m_", era)
     return df.withColumn(name, first_rank("m_", key, era)).drop("m_")

@@ -194,7 +194,7 @@ _RANKED = f"q AS (SELECT id, era, {pct_sql('prediction')} AS a, {pct_sql('benchm
 
 @query("ens1_two_signal_blends", f"WITH {LINEITEM}, {_RANKED}, w AS (SELECT id, era, 35e-2 * a + 65e-2 * b AS x, 75e-2 * a + 25e-2 * b AS y FROM q) SELECT id, era, {rs(pct_sql('round(x, 12)'))} AS w35, {rs(pct_sql('round(y, 12)'))} AS w75 FROM w")
 def blends(spark, sf_dir):
-    return EN.two_signal_blends(lineitem(spark, sf_dir), "prediction", "benchmark", [0.35, 0.75]).select("id", "era", r("w35").alias("w35"), r("w75").alias("w75"))
+    return EN.two_signal_blends(lineitem(spark, sf_dir).select("id", "era", *SIGNALS), "prediction", "benchmark", [0.35, 0.75]).select("id", "era", r("w35").alias("w35"), r("w75").alias("w75"))
 
 
 @query(
@@ -202,19 +202,19 @@ def blends(spark, sf_dir):
     f"WITH {LINEITEM}, {_RANKED}, m AS (SELECT id, era, b, round((a + c) / 2, 12) AS m FROM q), s AS (SELECT id, era, b, {pct_sql('m')} AS s FROM m), t AS (SELECT id, era, round(s * 5e-1 + b * 5e-1, 12) AS t FROM s) SELECT id, era, {rs(pct_sql('t'))} AS ensemble FROM t",
 )
 def seed_ensemble(spark, sf_dir):
-    return EN.seed_ensemble(lineitem(spark, sf_dir), ["prediction", "feature_a"], "benchmark").select("id", "era", r("ensemble").alias("ensemble"))
+    return EN.seed_ensemble(lineitem(spark, sf_dir).select("id", "era", *SIGNALS), ["prediction", "feature_a"], "benchmark").select("id", "era", r("ensemble").alias("ensemble"))
 
 
 @query("ens3_weighted_blend", f"WITH {LINEITEM}, {_RANKED}, m AS (SELECT id, era, round(5e-1 * a + 3e-1 * b + 2e-1 * c, 12) AS m FROM q) SELECT id, era, {rs(pct_sql('m'))} AS blend FROM m")
 def weighted_blend(spark, sf_dir):
-    return EN.rank_blend(lineitem(spark, sf_dir), {"prediction": 0.5, "benchmark": 0.3, "feature_a": 0.2}).select("id", "era", r("blend").alias("blend"))
+    return EN.rank_blend(lineitem(spark, sf_dir).select("id", "era", *SIGNALS), {"prediction": 0.5, "benchmark": 0.3, "feature_a": 0.2}).select("id", "era", r("blend").alias("blend"))
 
 
 @query("ens4_mean_of_ranks", f"WITH {LINEITEM}, {_RANKED} SELECT id, era, {rs('(a + b + c) / 3')} AS ensemble FROM q")
 def mean_of_ranks(spark, sf_dir):
-    return EN.mean_of_ranks(lineitem(spark, sf_dir), SIGNALS).select("id", "era", r("ensemble").alias("ensemble"))
+    return EN.mean_of_ranks(lineitem(spark, sf_dir).select("id", "era", *SIGNALS), SIGNALS).select("id", "era", r("ensemble").alias("ensemble"))
 
 
 @query("ens5_target_ensemble", f"WITH {LINEITEM}, {_RANKED}, m AS (SELECT id, era, round((a + b + c) / 3, 12) AS m FROM q) SELECT id, era, {rs('row_number() OVER (PARTITION BY era ORDER BY m, id) / CAST(count(*) OVER (PARTITION BY era) AS DOUBLE)')} AS ensemble FROM m")
 def target_ensemble(spark, sf_dir):
-    return EN.target_ensemble(lineitem(spark, sf_dir), SIGNALS).select("id", "era", r("ensemble").alias("ensemble"))
+    return EN.target_ensemble(lineitem(spark, sf_dir).select("id", "era", *SIGNALS), SIGNALS).select("id", "era", r("ensemble").alias("ensemble"))
