@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.normal import with_probit
 from ..functions.ranking import average_rank, clean, signed_power, with_rank_gaussian
 from .contracts import ContractError
 from .grams import masked_products, pairwise_correlations
+from .large import Groups
 
 
 def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
@@ -21,19 +23,34 @@ def long_signals(df: DataFrame, signals: list[str], keep: list[str]) -> DataFram
 def powered_correlation(long: DataFrame, target: str, era: str = "era", extra: list[str] | None = None) -> DataFrame:
     """CORR: correlation of the rank-Gaussian value and the centred target, both to the signed power 1.5."""
     by = [era, "signal", *(extra or [])]
-    usable = long.filter(F.col("value").isNotNull() & clean(target).isNotNull())
-    centred = clean(target) - F.avg(clean(target)).over(W.partitionBy(*by))
-    rows = with_rank_gaussian(usable, "g_", "value", *by).withColumn("t_", centred)
+    usable = long.filter(F.col("value").isNotNull() & clean(target).isNotNull()).withColumn("y_", clean(target))
+    rows = _gaussian_and_centred(usable, by, {"g_": "value"}, {"t_": "y_"})
     rows = rows.withColumn("g_", signed_power("g_")).withColumn("t_", signed_power("t_"))
     return rows.groupBy(*by).agg(F.try_divide(F.covar_pop("g_", "t_"), F.stddev_pop("g_") * F.stddev_pop("t_")).alias("corr"))
 
 
+def _gaussian_and_centred(rows: DataFrame, by: list[str], ranked: dict[str, str], centred: dict[str, str]) -> DataFrame:
+    """rows with the normal quantiles of the tie-kept ranks of some columns, and others less their mean, by group: in windows,
+    or by ranges where groups are large. No column is null."""
+    rows = rows.select(*by, *dict.fromkeys([*ranked.values(), *centred.values(), *[c for c in ("y_", "z_") if c in rows.columns]]))
+    groups = Groups(rows, list(ranked.values()), by, list(centred.values()))
+    if groups.ranges is None:
+        for name, x in ranked.items():
+            rows = with_rank_gaussian(rows, name, x, *by)
+        return rows.withColumns({n: F.col(x) - F.avg(x).over(W.partitionBy(*by)) for n, x in centred.items()})
+    for name, x in ranked.items():
+        rows = with_probit(groups.ranked(rows, "rank_", "count_", x), name, (F.col("rank_") - 0.5) / F.col("count_")).drop("rank_", "count_")
+    if centred:
+        rows = groups.with_means(rows, [f"{n}mean_" for n in centred])
+    return rows.withColumns({n: F.col(x) - F.col(f"{n}mean_") for n, x in centred.items()})
+
+
 def contribution(long: DataFrame, target: str, reference: str, era: str = "era", target_scale: float = 4.0, name: str = "contribution") -> DataFrame:
     """What a signal adds to a reference: rank-Gaussian both, the signal less its projection on the reference, times the
     centred target, over the rows. target_scale is 4 for targets in 0 to 1."""
     by = [era, "signal"]
     usable = long.filter(F.col("value").isNotNull() & clean(target).isNotNull() & clean(reference).isNotNull())
-    rows = with_rank_gaussian(with_rank_gaussian(usable, "p_", "value", *by), "m_", reference, *by).withColumn("t_", clean(target))
+    rows = _gaussian_and_centred(usable.withColumns({"y_": clean(target), "z_": clean(reference)}), by, {"m_": "z_", "p_": "value"}, {}).withColumn("t_", F.col("y_"))
     p, m, t = F.col("p_"), F.col("m_"), F.col("t_")
     sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(p).alias("sp"), F.sum(m).alias("sm"), F.avg(t).alias("mt"), F.sum(t * p).alias("tp"), F.sum(t * m).alias("tm"), F.sum(m * p).alias("mp"), F.sum(m * m).alias("mm"))
     tp, tm = F.col("tp") - F.col("mt") * F.col("sp"), F.col("tm") - F.col("mt") * F.col("sm")
@@ -45,9 +62,8 @@ def era_scores(long: DataFrame, target: str, reference: str, era: str = "era", t
     the target and the reference: the ranks are shared, and one aggregation follows them."""
     by = [era, "signal"]
     rows = long.filter(F.col("value").isNotNull() & clean(target).isNotNull() & clean(reference).isNotNull())
-    w = W.partitionBy(*by)
-    rows = with_rank_gaussian(with_rank_gaussian(rows, "p_", "value", *by), "m_", reference, *by)
-    rows = rows.withColumn("t_", clean(target) - F.avg(clean(target)).over(w)).withColumn("u_", clean(reference) - F.avg(clean(reference)).over(w))
+    rows = rows.withColumns({"y_": clean(target), "z_": clean(reference)})
+    rows = _gaussian_and_centred(rows, by, {"m_": "z_", "p_": "value"}, {"t_": "y_", "u_": "z_"})
     rows = rows.withColumns({"pp_": signed_power("p_"), "tt_": signed_power("t_"), "uu_": signed_power("u_")})
     p, m, t = F.col("p_"), F.col("m_"), F.col("t_")
     projected = F.sum(t * p) - F.coalesce(F.try_divide(F.sum(m * p), F.sum(m * m)), F.lit(0.0)) * F.sum(t * m)
@@ -116,8 +132,9 @@ def target_correlations(df: DataFrame, targets: list[str]) -> DataFrame:
 
 def row_mean(columns: list[str]) -> Column:
     """Mean of the columns that are there in a row."""
-    present = F.filter(F.array(*[clean(c) for c in columns]), lambda x: x.isNotNull())
-    return F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
+    values = [clean(c) for c in columns]
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in values), F.lit(0.0))
+    return F.try_divide(total, sum((F.when(v.isNotNull(), 1).otherwise(0) for v in values), F.lit(0)))
 
 
 def block_loss(df: DataFrame, error: Column, block: str, temperature: float, recency: Column | None = None) -> DataFrame:
