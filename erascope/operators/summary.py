@@ -34,10 +34,10 @@ def summarize(scores: DataFrame, value: str, by: list[str], era: str = "era", ze
 def half_delta(scores: DataFrame, value: str, by: list[str], era: str = "era") -> DataFrame:
     """summarize with sample deviation, the drawdown as a negative number, and the gap of the halves' means."""
     w = W.partitionBy(*by)
-    placed = scores.withColumn("rn_", F.row_number().over(w.orderBy(era_number(era)))).withColumn("first_", F.col("rn_") <= F.floor(F.count("*").over(w) / 2))
-    halves = placed.groupBy(*by).agg(F.abs(F.avg(F.when(F.col("first_"), F.col(value))) - F.avg(F.when(~F.col("first_"), F.col(value)))).alias("delta"))
-    base = summarize(scores, value, by, era, sample_std=True).withColumn("max_drawdown", -F.col("max_drawdown"))
-    return base.join(halves, by)
+    first = F.row_number().over(w.orderBy(era_number(era))) <= F.floor(F.count("*").over(w) / 2)
+    rows = drawdowns(scores.withColumn("first_", first), value, by, era)  # in one pass, since scores may be dear
+    out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), (-F.max("drawdown")).alias("max_drawdown"), F.count(value).alias("eras"), F.abs(F.avg(F.when(F.col("first_"), F.col(value))) - F.avg(F.when(~F.col("first_"), F.col(value)))).alias("delta"))
+    return out.select(*by, "mean", "std", F.expr(SAFE_SHARPE).alias("sharpe"), "max_drawdown", "eras", "delta")
 
 
 def last_eras(scores: DataFrame, n: int, by: list[str], era: str = "era") -> DataFrame:

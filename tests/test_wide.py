@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from erascope.operators import discrete as D
+from erascope.operators import summary as SU
 from erascope.plans import registry
 from erascope.plans.cohorts import WIDE, WIDE_FEATURES, WIDE_MADE, wide, wide_rows
 
@@ -57,3 +58,15 @@ def test_made_features_equal_columns(spark, monkeypatch):
     monkeypatch.setattr(D, "HELD", 8 * 64 * 25 * 3)  # a few groups at a time
     got = D.discrete_scores(wide_rows(spark, sf), WIDE_MADE, "target").toPandas()
     assert plain(got) == plain(want) and len(got) > 64
+
+
+def test_halves_and_summary_in_one_pass(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    SU.half_delta(spark.range(20).select(F.lit("a").alias("signal"), F.lpad(F.col("id").cast("string"), 4, "0").alias("era"), counted(F.col("id") % 3 + 0.5).alias("v")), "v", ["signal"]).collect()
+    assert made.value == 20
