@@ -111,19 +111,23 @@ def refuse(violations: dict[str, int], what: str) -> None:
 def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", era: str = "era", also: list[str] | None = None) -> dict[str, int]:
     """Violations of the proof that all runs hold the keys and eras of the base, once each: keys that a run lacks, has more
     than once or has besides, and eras that differ; of the columns in also, such as target, fold and benchmark, keys whose
-    values differ (null equals null alone). A run without one of them is an error. One shuffle of keys for all runs."""
+    values differ (null equals null alone). A run without one of them is an error. One shuffle of keys for all runs, and a second
+    one of the keys' values where some differ, to say which."""
     also = also or []
     lacking = {n: [c for c in also if c not in df.columns] for n, df in {"base": base, **runs}.items()}
     if any(lacking.values()):
         raise ContractError(f"cohort: columns are missing: {({n: c for n, c in lacking.items() if c})}")
     value = lambda c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v"))
-    side = lambda df, name: df.select(F.col(key).alias("k_"), F.col(era).alias("e_"), F.lit(name).alias("run_"), *[value(c).alias(f"v{i}_") for i, c in enumerate(also)])
-    rows = side(base, "")
-    for name, df in runs.items():
-        rows = rows.unionByName(side(df, name))
+    side = lambda df, name, i: df.select(F.col(key).alias("k_"), F.col(era).alias("e_"), F.lit(name).alias("run_"), F.lit(1 << i % 63).cast("bigint").alias("bit_"), F.lit(i // 63).alias("word_"), *[value(c).alias(f"v{i}_") for i, c in enumerate(also)])
+    rows = side(base, "", 0)
+    for i, (name, df) in enumerate(runs.items(), 1):
+        rows = rows.unionByName(side(df, name, i))
+    all_ = len(runs) + 1
+    counted = _keys_of_cohort(rows, all_, [f"v{i}_" for i in range(len(also))])
+    if not counted.pop("unlike_"):
+        return counted | dict.fromkeys(["era_mismatches", *[f"differs_{c}" for c in also]], 0)
     ends = [f(f"v{i}_").alias(f"{n}{i}_") for i in range(len(also)) for n, f in (("lo", F.min), ("hi", F.max))]
     per = rows.groupBy("k_").agg(F.count_if(F.col("run_") == "").alias("b"), F.count("*").alias("n"), F.count_distinct("run_").alias("d"), F.min("e_").alias("lo"), F.max("e_").alias("hi"), F.count("e_").alias("known"), *ends)
-    all_ = len(runs) + 1
     got = per.agg(
         F.count_if(F.col("k_").isNull()).alias("null_keys"),
         F.count_if((F.col("b") > 0) & (F.col("d") < all_)).alias("missing_keys"),
@@ -133,3 +137,21 @@ def same_cohort(runs: dict[str, DataFrame], base: DataFrame, key: str = "id", er
         *[F.count_if(F.col(f"lo{i}_") != F.col(f"hi{i}_")).alias(f"differs_{c}") for i, c in enumerate(also)],
     )
     return got.first().asDict()
+
+
+def _keys_of_cohort(rows: DataFrame, tables: int, values: list[str]) -> dict[str, int]:
+    """The counts of same_cohort() that need no values, and keys whose era is missing or that have unlike eras or values. Sums of
+    numbers by whole rows are hashed, where the least and greatest era and value of a key would be sorted."""
+    words = range((tables - 1) // 63 + 1)
+    seen = lambda c, w: F.bit_or(F.when(F.col("word_") == w, F.col(c)).otherwise(0).cast("bigint")).alias(f"s{w}_")
+    alike = rows.select("k_", "e_", *values, "bit_", "word_").repartition("k_").groupBy("k_", "e_", *values)
+    alike = alike.agg(F.count_if((F.col("word_") == 0) & (F.col("bit_") == 1)).alias("b"), F.count("*").alias("n"), *[seen("bit_", w) for w in words])
+    per = alike.groupBy("k_").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.count("*").alias("kinds"), F.count("e_").alias("known"), *[F.bit_or(f"s{w}_").alias(f"s{w}_") for w in words])
+    per = per.withColumn("d", sum((F.bit_count(f"s{w}_") for w in words), F.lit(0)))
+    return per.agg(
+        F.count_if(F.col("k_").isNull()).alias("null_keys"),
+        F.count_if((F.col("b") > 0) & (F.col("d") < tables)).alias("missing_keys"),
+        F.count_if(F.col("b") == 0).alias("unexpected_keys"),
+        F.count_if(F.col("n") > F.col("d")).alias("duplicate_keys"),
+        F.count_if((F.col("kinds") > 1) | (F.col("known") < F.col("kinds"))).alias("unlike_"),
+    ).first().asDict()

@@ -100,17 +100,20 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
         weights |= {f"w{round(100 * w)}": float(w) for w in blends[2]}
     columns = list(dict.fromkeys(["id", "era", target, reference, *candidates, *(blends[:2] if blends is not None else ())]))
 
-    def means(name: str) -> DataFrame:
+    def means(name: str, wanted: list[str]) -> DataFrame:
         first, last = segments[name]
         part = df.filter(F.expr("try_cast(era as bigint)").between(first, last)).select(*columns)
-        if blends is not None:
-            part = ensemble.two_signal_blends(part, *blends)
-        long = scores.long_signals(part.withColumn("ref_", F.col(reference)), list(weights), ["id", "era", target, "ref_"])
+        mixed = [w for w in (blends[2] if blends is not None else []) if f"w{round(100 * w)}" in wanted]
+        if mixed:
+            part = ensemble.two_signal_blends(part, *blends[:2], mixed)
+            # scores read their rows several times
+            part = kept(part.select("id", "era", target, reference, *[c for c in wanted if c not in ("id", "era", target, reference)]), "blended")
+        long = scores.long_signals(part.withColumn("ref_", F.col(reference)), wanted, ["id", "era", target, "ref_"])
         per = summary.drawdowns(scores.era_scores(long, target, "ref_"), best, ["signal"], zero_baseline=True)
         wide = per.groupBy("signal").agg(F.avg("corr").alias("corr"), F.avg("contribution").alias("contribution"), F.max("drawdown").alias("drawdown"))
         return wide.unpivot(["signal"], ["corr", "contribution", "drawdown"], "metric", "value").withColumn("reference", F.lit(None).cast("double"))
 
-    first = kept(means(calibration), "evaluation")  # three rows a candidate
+    first = kept(means(calibration, list(weights)), "evaluation")  # three rows a candidate
     passed = gates.eligible(gates.checks(first, specs, ["signal"]), ["signal"])
     of = lambda metric, name: first.filter(F.col("metric") == metric).select("signal", F.col("value").alias(name))
     ranked = passed.join(of(best, "best"), "signal").join(of("drawdown", "risk"), "signal").withColumn("weight", F.element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col("signal")))
@@ -119,7 +122,7 @@ def evaluation_job(df: DataFrame, candidates: list[str], target: str, reference:
     spark = df.sparkSession
     if row is None:
         return spark.createDataFrame([], "selected string, promoted boolean")
-    second = gates.checks(means(holdout).filter(F.col("signal") == row[0]), specs, ["signal"])
+    second = gates.checks(means(holdout, [row[0]]), specs, ["signal"])
     return gates.eligible(second, ["signal"]).select(F.col("signal").alias("selected"), F.col("eligible").alias("promoted"))
 
 
@@ -132,7 +135,8 @@ def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, t
     drawdown, passed (all checks of specs, whose ratios refer to the control's metrics), block_<name> (mean corr of each block
     (name, first, last era number)), and on each row what the runs say together: passing (runs that pass), gap (between the
     runs' best and worst corr), seed_mean, seed_worst, seed_dispersion and seed_sharpe (of their means and mean series),
-    replicated (needed of them and the ensemble pass) and state. Era scores are kept in a shared folder, a row an era and run.
+    replicated (needed of them and the ensemble pass) and state. The values that are scored are kept in a shared folder, a row
+    an id and run, and era scores, a row an era and run.
     """
     contracts.refuse(contracts.same_cohort(runs, base, also=also), "runs")
     rows = None
@@ -140,9 +144,12 @@ def replication_job(runs: dict[str, DataFrame], base: DataFrame, control: str, t
         part = df.select("id", F.lit(name).alias("signal"), clean("prediction").alias("value"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.join(base.select("id", "era", target, F.col(reference).alias("ref_")), "id")
-    whole = rows.withColumn("k_", percent_rank("value", "era", "signal")).groupBy("id").agg(F.lit("ensemble").alias("signal"), F.round(F.avg("k_"), 12).alias("value"), F.first("era").alias("era"), F.first(target).alias(target), F.first("ref_").alias("ref_"))
+    # an id has one era, target and reference by now: as keys they are hashed, as first values they would be sorted
+    whole = rows.withColumn("k_", percent_rank("value", "era", "signal")).groupBy("id", "era", target, "ref_").agg(F.lit("ensemble").alias("signal"), F.round(F.avg("k_"), 12).alias("value"))
     own = base.select("id", "era", target, F.col(reference).alias("ref_"), F.lit("control").alias("signal"), clean(control).alias("value"))
-    per = kept(scores.era_scores(rows.unionByName(whole).unionByName(own), target, "ref_"), "replication")
+    # scores read their rows several times, and a row of the ensemble is two shuffles
+    scored = kept(rows.unionByName(whole).unionByName(own).select("era", "signal", "value", target, "ref_"), "replicas")
+    per = kept(scores.era_scores(scored, target, "ref_"), "replication")
     late = F.dense_rank().over(W.partitionBy("signal").orderBy(summary.era_number().desc())) <= recent
     placed = summary.drawdowns(per.withColumn("recent_", late), "corr", ["signal"], zero_baseline=True)
     names = ["corr", "contribution", "recent", "drawdown"]
